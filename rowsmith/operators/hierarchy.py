@@ -1,4 +1,4 @@
-"""Parent-child trees held as (node, parent) rows: rollup (A4) and levels.
+"""Parent-child trees held as (node, parent) rows: rollup (A4).
 
 The rollup never builds the (node, ancestor) closure, which has
 n x depth rows. It moves *partial sums* up one level per round instead:
@@ -11,15 +11,18 @@ Each round is one join of the current partial sums with the edge list and one
 ``groupBy(parent)`` with map-side partial aggregation, so a parent with a huge
 number of children costs one row per task in the shuffle, not one per child.
 A round only carries nodes that still have descendants k levels down, so the
-rounds shrink fast on bushy trees. Every round is written with a reliable
-``checkpoint()`` (lineage stays flat, and a lost executor re-reads the
-checkpoint instead of re-running earlier rounds). A cycle never empties the
-frontier; the loop stops at ``max_depth`` with an error.
+rounds shrink fast on bushy trees. Each round is written with a reliable
+``checkpoint()`` to the shared checkpoint folder: this cuts the logical plan
+(a plan that grows by a join per round makes analysis slower every round)
+and lets a lost executor re-read the last round instead of re-running all of
+them. The round's row count, the stop test, is an ``Observation`` collected
+by that same checkpoint job. A cycle never empties the frontier; the loop
+stops at ``max_depth`` with an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowsmith.operators.aggregates import MONEY, MONEY_SUM
@@ -62,15 +65,17 @@ def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str
 
     rounds = [base]
     current = base
-    for _ in range(max_depth):
+    for level in range(1, max_depth + 1):
+        seen = Observation(f"tree_rollup_round_{level}")
         nxt = (current.join(edges, current["__node"] == edges["__child"])
                       .groupBy(F.col("__parent").alias("__node"))
                       .agg(F.sum("__sum").cast(MONEY_SUM).alias("__sum"),
                            F.sum("__vals").alias("__vals"),
                            F.sum("__nulls").alias("__nulls"),
                            F.sum("__nodes").alias("__nodes"))
+                      .observe(seen, F.count(F.lit(1)).alias("rows"))
                       .checkpoint(eager=True))
-        if nxt.isEmpty():
+        if seen.get["rows"] == 0:
             break
         rounds.append(nxt)
         current = nxt
@@ -89,34 +94,3 @@ def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str
                        F.col("__sum").cast("double").alias("subtree_total"),
                        "subtree_values", "subtree_nodes",
                        (F.col("__nulls") > 0).alias("has_null")))
-
-
-def tree_levels(nodes: DataFrame, node_col: str, parent_col: str,
-                max_depth: int = 10_000) -> DataFrame:
-    """Depth of every node reachable from a root (parent NULL): roots are 0.
-
-    Breadth-first from the roots, one join of the frontier with the edge list
-    (keyed by parent) per level; each node is touched once, so the total work
-    is O(n). Nodes under a missing parent or on a cycle are never reached and
-    get ``level`` NULL.
-    """
-    checkpoint_root(nodes.sparkSession)
-    edges = (nodes.where(F.col(parent_col).isNotNull())
-                  .select(F.col(node_col).alias("__child"), F.col(parent_col).alias("__parent"))
-                  .checkpoint(eager=True))
-    frontier = (nodes.where(F.col(parent_col).isNull())
-                     .select(F.col(node_col).alias("__node"), F.lit(0).alias("level")))
-    found = [frontier]
-    for depth in range(1, max_depth + 1):
-        frontier = (frontier.join(edges, frontier["__node"] == edges["__parent"])
-                            .select(F.col("__child").alias("__node"), F.lit(depth).alias("level"))
-                            .checkpoint(eager=True))
-        if frontier.isEmpty():
-            break
-        found.append(frontier)
-    else:
-        raise TreeDepthError(f"tree deeper than {max_depth} levels")
-    levels = found[0]
-    for f in found[1:]:
-        levels = levels.unionByName(f)
-    return (nodes.join(levels, nodes[node_col] == levels["__node"], "left").drop("__node"))
