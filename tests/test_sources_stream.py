@@ -1,0 +1,73 @@
+"""S1-S5 sources and sinks, and D2 streaming of new rows."""
+
+import glob
+import tempfile
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import types as T
+
+from rowsmith.session import local_path, scratch_path
+from rowsmith.sources import report_text, tables
+from rowsmith.streaming import new_rows
+
+from conftest import SF_SMALL, rows
+
+
+def test_scan_uses_declared_schema(spark):
+    for name, schema in tables.SCHEMAS.items():
+        df = tables.scan(spark, SF_SMALL, name)
+        assert df.schema == schema, name
+        assert df.limit(1).count() == 1
+
+
+def test_load_with_defaults_fills_absent_only(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "id long, item string")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("item", T.StringType()),
+                           T.StructField("qty", T.IntegerType()), T.StructField("rep", T.StringType())])
+    out = tables.load_with_defaults(df, schema, {"qty": 1, "item": "software"})
+    assert out.schema.simpleString() == "struct<id:int,item:string,qty:int,rep:string>"
+    assert rows(out) == [(1, None, 1, None), (2, "x", 1, None)]
+
+
+def test_fixed_width_report_and_sink(spark):
+    df = spark.createDataFrame([("Bender", "Oliver", "255"), ("Averyverylongfamilyname", None, "7")],
+                               "last string, first string, ext string")
+    lines = report_text.fixed_width_report(df, ["last", "first", "ext"], [20, 15, None], ["LAST", "FIRST", "EXT"])
+    got = sorted(r["line"] for r in lines.collect())
+    assert "LAST                 FIRST           EXT" in got
+    assert "Bender               Oliver          255" in got
+    assert "Averyverylongfamilyname                 7" in got
+    out = scratch_path(spark, "test-report")
+    report_text.write_text_report(lines, out)
+    text = "".join(open(f).read() for f in glob.glob(local_path(out) + "/part-*"))
+    assert text.count("\n") == 3
+
+
+def _events_file(folder, name, ids, types):
+    tbl = pa.table({"event_id": pa.array(ids, pa.int64()), "ts": pa.array([None] * len(ids), pa.timestamp("us")),
+                    "user_id": pa.array([1] * len(ids), pa.int64()), "event_type": pa.array(types, pa.string()),
+                    "value": pa.array([1.0] * len(ids)), "props": pa.array(["{}"] * len(ids))})
+    pq.write_table(tbl, f"{folder}/{name}")
+
+
+def test_stream_counts_each_new_row_once(spark):
+    src = tempfile.mkdtemp(prefix="rowsmith-stream-src-")  # a fresh folder per run
+    root = scratch_path(spark, "test-stream")
+    out, ckpt = f"{root}/notices", f"{root}/_checkpoint"
+    schema = tables.SCHEMAS["events"]
+    _events_file(src, "part-0.parquet", [1, 2, 3], ["click", "view", "click"])
+    q = new_rows.start_new_row_notices(spark, src, schema, "event_type", out, ckpt)
+    q.awaitTermination()
+    assert rows(new_rows.read_notices(spark, out, "event_type")) == [("click", 2), ("view", 1)]
+    # the table grows: only the new file is read by the next run
+    _events_file(src, "part-1.parquet", [4, 5], ["view", "error"])
+    q = new_rows.start_new_row_notices(spark, src, schema, "event_type", out, ckpt)
+    q.awaitTermination()
+    assert rows(new_rows.read_notices(spark, out, "event_type")) == [("click", 2), ("error", 1), ("view", 2)]
+
+
+def test_stream_equals_batch_count(spark):
+    df = new_rows.new_row_counts(spark, SF_SMALL, tables.SCHEMAS["events"], "event_type", "events.parquet")
+    batch = tables.scan(spark, SF_SMALL, "events").groupBy("event_type").count()
+    assert rows(df) == rows(batch)
