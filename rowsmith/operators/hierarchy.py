@@ -1,23 +1,32 @@
 """Parent-child trees held as (node, parent) rows: rollup (A4).
 
-The rollup never builds the (node, ancestor) closure, which has
-n x depth rows. It moves *partial sums* up one level per round instead:
-
-    S_0(a)   = own value of a
-    S_k+1(a) = sum of S_k(c) over the children c of a
-    total(a) = sum over k of S_k(a)
-
-Each round is one join of the current partial sums with the edge list and one
-``groupBy(parent)`` with map-side partial aggregation, so a parent with a huge
-number of children costs one row per task in the shuffle, not one per child.
-A round only carries nodes that still have descendants k levels down, so the
-rounds shrink fast on bushy trees. Each round is written with a reliable
-``checkpoint()`` to the shared checkpoint folder: this cuts the logical plan
-(a plan that grows by a join per round makes analysis slower every round)
-and lets a lost executor re-read the last round instead of re-running all of
-them. The round's row count, the stop test, is an ``Observation`` collected
-by that same checkpoint job. A cycle never empties the frontier; the loop
-stops at ``max_depth`` with an error.
+The rollup never builds the (node, ancestor) closure, which has n x depth
+rows, and does not walk one level per round either (depth rounds, and n x
+depth rows in total on a long chain). It doubles the reach of every node per
+round instead (pointer jumping):
+
+    T_0(a)   = own value of a
+    J_0(b)   = parent of b
+    T_j+1(a) = T_j(a) + sum of T_j(b) over the nodes b with J_j(b) = a
+    J_j+1(b) = J_j(J_j(b))
+
+``T_j(a)`` sums the descendants of ``a`` less than 2^j levels below it and
+``J_j(b)`` is the ancestor 2^j levels above ``b``; a descendant d between 2^j
+and 2^(j+1) levels below ``a`` is counted once, through the one node b on the
+path with J_j(b) = a. When ``J`` is empty every node has its total:
+log2(depth) + 1 rounds of O(n) work each.
+
+Each round is a join of ``T`` with ``J`` on the node, a ``groupBy`` of the
+contributions by ancestor (map-side partial aggregation, so a node with a
+huge number of descendants at one distance costs one row per task in the
+shuffle), a join back on the node, and a self-join of ``J``. ``T`` and ``J``
+are written with a reliable ``checkpoint()`` to the shared checkpoint folder
+every round: the logical plan stays flat (each ``T`` is used twice by the
+next, so an unchecked plan would double per round) and a lost executor
+re-reads the last round. The size of ``J``, the stop test, is an
+``Observation`` collected by the checkpoint job itself. On a cycle ``J``
+never empties; the loop stops with an error once the reach passes
+``max_depth``.
 """
 
 from __future__ import annotations
@@ -28,69 +37,68 @@ from pyspark.sql import functions as F
 from rowsmith.operators.aggregates import MONEY, MONEY_SUM
 from rowsmith.session import checkpoint_root
 
+_MEASURES = ("__sum", "__vals", "__nulls", "__nodes")
+
 
 class TreeDepthError(ValueError):
     """The parent links hold a cycle, or the tree is deeper than allowed."""
 
 
-def _edges(nodes: DataFrame, node_col: str, parent_col: str) -> DataFrame:
-    spark = nodes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Hash-partitioned on the child key once and kept: every round joins on it.
-    return (nodes.where(F.col(parent_col).isNotNull())
-                 .select(F.col(node_col).alias("__child"), F.col(parent_col).alias("__parent"))
-                 .repartition(n, "__child")
-                 .checkpoint(eager=True))
+def _observed_checkpoint(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    seen = Observation(name)
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return out, seen.get["rows"]
 
 
 def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str,
-                max_depth: int = 10_000) -> DataFrame:
+                max_depth: int = 1 << 20) -> DataFrame:
     """A4: for every node, its own value plus the values of all descendants.
 
     Output: ``node_col``, ``own_value`` (double), ``subtree_total`` (double;
     NULL values count as 0), ``subtree_values`` (non-NULL values in the
     subtree), ``subtree_nodes`` (nodes in the subtree, itself included),
     ``has_null`` (some value in the subtree is NULL). Money is summed as
-    decimal(12,2) values, exactly.
+    decimal(12,2) values, exactly. A node whose parent is not in the table
+    is the top of its own tree. ``nodes`` must be unique on ``node_col``.
     """
     checkpoint_root(nodes.sparkSession)
     v = F.col(value_col).cast(MONEY)
-    base = nodes.select(
+    totals = nodes.select(
         F.col(node_col).alias("__node"),
         F.coalesce(v, F.lit(0).cast(MONEY)).cast(MONEY_SUM).alias("__sum"),
         F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("__vals"),
         F.when(v.isNull(), 1).otherwise(0).cast("long").alias("__nulls"),
         F.lit(1).cast("long").alias("__nodes"))
-    edges = _edges(nodes, node_col, parent_col)
-
-    rounds = [base]
-    current = base
-    for level in range(1, max_depth + 1):
-        seen = Observation(f"tree_rollup_round_{level}")
-        nxt = (current.join(edges, current["__node"] == edges["__child"])
-                      .groupBy(F.col("__parent").alias("__node"))
-                      .agg(F.sum("__sum").cast(MONEY_SUM).alias("__sum"),
-                           F.sum("__vals").alias("__vals"),
-                           F.sum("__nulls").alias("__nulls"),
-                           F.sum("__nodes").alias("__nodes"))
-                      .observe(seen, F.count(F.lit(1)).alias("rows"))
-                      .checkpoint(eager=True))
-        if seen.get["rows"] == 0:
-            break
-        rounds.append(nxt)
-        current = nxt
-    else:
-        raise TreeDepthError(f"parent links deeper than {max_depth} levels (a cycle?)")
-
-    stacked = rounds[0]
-    for r in rounds[1:]:
-        stacked = stacked.unionByName(r)
-    totals = stacked.groupBy("__node").agg(
-        F.sum("__sum").cast(MONEY_SUM).alias("__sum"), F.sum("__vals").alias("subtree_values"),
-        F.sum("__nulls").alias("__nulls"), F.sum("__nodes").alias("subtree_nodes"))
+    jump, n_jump = _observed_checkpoint(
+        nodes.where(F.col(parent_col).isNotNull())
+             .select(F.col(node_col).alias("__node"), F.col(parent_col).alias("__anc")),
+        "tree_rollup_jump_0")
+
+    reach, rnd = 1, 0
+    while n_jump > 0:
+        if reach > max_depth:
+            raise TreeDepthError(f"parent links deeper than {max_depth} levels (a cycle?)")
+        rnd += 1
+        # contributions: every node hands its partial total to the node 2^j above it
+        contrib = (totals.join(jump, "__node")
+                         .groupBy(F.col("__anc").alias("__node"))
+                         .agg(*[F.sum(m).alias("__c" + m) for m in _MEASURES]))
+        totals = (totals.join(contrib, "__node", "left")
+                        .select("__node", *[(F.col(m) + F.coalesce(F.col("__c" + m), F.lit(0))).alias(m)
+                                            for m in _MEASURES])
+                        .withColumn("__sum", F.col("__sum").cast(MONEY_SUM))
+                        .checkpoint(eager=True))
+        # reach doubles: the ancestor 2^j above the ancestor 2^j above
+        up = jump.select(F.col("__node").alias("__mid"), F.col("__anc").alias("__anc2"))
+        jump, n_jump = _observed_checkpoint(
+            jump.join(up, jump["__anc"] == up["__mid"]).select("__node", F.col("__anc2").alias("__anc")),
+            f"tree_rollup_jump_{rnd}")
+        reach *= 2
+
     own = nodes.select(F.col(node_col), v.cast("double").alias("own_value"))
     return (own.join(totals, own[node_col] == totals["__node"], "inner")
                .select(node_col, "own_value",
                        F.col("__sum").cast("double").alias("subtree_total"),
-                       "subtree_values", "subtree_nodes",
+                       F.col("__vals").alias("subtree_values"),
+                       F.col("__nodes").alias("subtree_nodes"),
                        (F.col("__nulls") > 0).alias("has_null")))

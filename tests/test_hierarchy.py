@@ -75,3 +75,14 @@ def test_with_position_start_and_empty(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "k long")
     assert rows(positions.with_position(df, ["k"], start=10), "k", "position") == [(1, 10), (2, 11), (3, 12)]
     assert positions.with_position(df.where("k > 5"), ["k"]).count() == 0
+
+
+def test_deep_chain_and_branches(spark):
+    """A 300-long chain with side branches: log2(depth) rounds must still
+    count every descendant exactly once."""
+    data = [(0, None, 1.0)] + [(i, i - 1, float(i % 7)) for i in range(1, 300)] \
+        + [(1000 + i, i, 0.5) for i in range(0, 300, 13)]
+    df = spark.createDataFrame(data, "node long, parent long, value double")
+    got = rows(hierarchy.tree_rollup(df, "node", "parent", "value"),
+               "node", "own_value", "subtree_total", "subtree_values", "subtree_nodes", "has_null")
+    assert sorted(got) == brute_rollup(data)
