@@ -31,12 +31,12 @@ def test_load_with_defaults_fills_absent_only(spark):
 
 
 def test_fixed_width_report_and_sink(spark):
-    df = spark.createDataFrame([("Bender", "Oliver", "255"), ("Averyverylongfamilyname", None, "7")],
+    df = spark.createDataFrame([("Alvarez", "Marisol", "255"), ("Averyverylongfamilyname", None, "7")],
                                "last string, first string, ext string")
     lines = report_text.fixed_width_report(df, ["last", "first", "ext"], [20, 15, None], ["LAST", "FIRST", "EXT"])
     got = sorted(r["line"] for r in lines.collect())
     assert "LAST                 FIRST           EXT" in got
-    assert "Bender               Oliver          255" in got
+    assert "Alvarez              Marisol         255" in got
     assert "Averyverylongfamilyname                 7" in got
     out = scratch_path(spark, "test-report")
     report_text.write_text_report(lines, out)
