@@ -12,22 +12,35 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ntz_literal(value: dt.datetime | dt.date | str) -> Column:
+    """A zone-less timestamp literal. Built from ISO text, so neither the
+    session time zone nor the Python process's zone can shift it (a Python
+    ``datetime`` passed to ``lit`` would become a zoned instant first)."""
+    if isinstance(value, dt.datetime):
+        value = value.isoformat(sep=" ")
+    elif isinstance(value, dt.date):
+        value = value.isoformat() + " 00:00:00"
+    return F.lit(value).cast("timestamp_ntz")
+
+
+_MDY = r"^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})$"
+
+
 def parse_mdy(text: Column | str, pivot: int = 50) -> Column:
     """``MM/DD/YY`` text to a TIMESTAMP_NTZ at midnight.
 
     Two-digit years are read with a pivot: ``yy >= pivot`` is 19yy, else 20yy
     (Spark's own ``yy`` pattern would read 88 as 2088). Four-digit years pass
-    through. Text that is not a valid date gives NULL.
+    through. Text that is not of that shape, or not a real date (02/30/99),
+    gives NULL. No time zone is involved at any step.
     """
-    parts = F.split(_c(text), "/")
-    mm, dd, yy = (F.element_at(parts, i) for i in (1, 2, 3))
-    ok = (F.size(parts) == 3) & mm.rlike("^[0-9]{1,2}$") & dd.rlike("^[0-9]{1,2}$") & yy.rlike("^[0-9]{2}([0-9]{2})?$")
-    y2 = F.when(ok, yy).cast("int")
-    year = (F.when(F.length(yy) == 4, y2)
-             .when(y2 >= pivot, y2 + 1900)
-             .otherwise(y2 + 2000))
-    iso = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(mm, 2, "0"), F.lpad(dd, 2, "0"))
-    return F.when(ok, F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+    t = _c(text)
+    parts = F.split(t, "/")
+    mm, dd, yy = (F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3))
+    y = yy.try_cast("int")
+    year = F.when(F.length(yy) == 4, y).when(y >= pivot, y + 1900).otherwise(y + 2000)
+    ts = F.try_make_timestamp_ntz(year, mm.try_cast("int"), dd.try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    return F.when(t.rlike(_MDY), ts)
 
 
 def format_mdy(ts: Column | str) -> Column:
@@ -36,12 +49,17 @@ def format_mdy(ts: Column | str) -> Column:
 
 
 def days_between(start: Column | str, end: Column | str) -> Column:
-    """``end - start`` as a (fractional) number of days, double."""
-    secs = F.timestamp_diff("SECOND", _c(start), _c(end))
+    """``end - start`` as a (fractional) number of days, double.
+
+    Zone-less timestamps are subtracted as wall-clock values (the interval
+    ``end - start``, read as seconds to the microsecond). ``timestampdiff``
+    is not used: on TIMESTAMP_NTZ it passes through the session time zone
+    and is an hour off around a daylight-saving change."""
+    secs = (_c(end) - _c(start)).cast("decimal(18,6)")
     return secs.cast("double") / F.lit(86400.0)
 
 
 def minus_days(as_of: Column | dt.datetime | str, days: int) -> Column:
     """``as_of - days`` (a timestamp), with ``as_of`` a parameter."""
-    base = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    base = as_of if isinstance(as_of, Column) else ntz_literal(as_of)
     return base - F.make_dt_interval(F.lit(days))

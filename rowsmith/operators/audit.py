@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowsmith.functions.dates import ntz_literal
 from rowsmith.functions.scalars import percent_change
 
 
@@ -28,7 +29,7 @@ def audit_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], value: st
     changed = o.join(n, on=keys, how="inner").where(F.col("__old") != F.col("__new"))
     return changed.select(
         *keys,
-        F.lit(as_of).cast("timestamp_ntz").alias("change_date"),
+        ntz_literal(as_of).alias("change_date"),
         F.lit(user).alias("updater_id"),
         F.col("__old").cast("double").alias("old_value"),
         F.col("__new").cast("double").alias("new_value"),

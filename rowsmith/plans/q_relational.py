@@ -384,7 +384,7 @@ def fn_parse_date(spark, base):
 
 @query("fn_days_between", "X4", """
 SELECT l_orderkey, l_linenumber,
-       CAST(date_diff('second', o_orderdate, l_shipdate) AS DOUBLE) / 86400.0 AS days
+       CAST(epoch_us(l_shipdate) - epoch_us(o_orderdate) AS DOUBLE) / 1000000.0 / 86400.0 AS days
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def fn_days_between(spark, base):
     cat = Catalog(spark, base)

@@ -81,3 +81,17 @@ def test_array_slots_five_rows_blank_and_null(spark):
 def test_fixed_slots(spark):
     df = spark.createDataFrame([(["a", "b"],), (None,)], "a array<string>")
     assert [r[0] for r in df.select(arrays.fixed_slots("a", 4)).collect()] == [["a", "b", " ", " "], None]
+
+
+def test_days_between_ignores_session_time_zone(spark):
+    """Midnight 1995-10-15 does not exist in Sao Paulo (DST began then):
+    zone-less values must still differ by exactly one day."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = spark.createDataFrame([(dt.datetime(1995, 10, 14), dt.datetime(1995, 10, 15)),
+                                    (dt.datetime(1995, 10, 15), dt.datetime(1995, 10, 16))],
+                                   "a timestamp_ntz, b timestamp_ntz")
+        assert [r[0] for r in df.select(dates.days_between("a", "b")).collect()] == [1.0, 1.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
