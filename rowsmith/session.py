@@ -9,8 +9,11 @@ from pyspark.sql import SparkSession
 
 # Settings every job here relies on: adaptive execution re-plans joins and
 # shuffle sizes at runtime (skew splitting included), the session clock is UTC
-# and the UI server stays off.
+# and the UI server stays off. Spark's cleaner drops reliable-checkpoint files
+# once the checkpointed data is out of scope (numbering and tree rounds write
+# some on every call).
 DEFAULT_CONF = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

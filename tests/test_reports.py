@@ -79,3 +79,14 @@ def test_phone_list_and_assignments(spark):
     link = spark.createDataFrame([(1, "A"), (1, "A"), (1, "B"), (2, "C")], "emp int, proj string")
     keys = spark.createDataFrame([(1,), (9,)], "e int")
     assert rows(reports.assignments(link, "emp", keys, "e", ["emp", "proj"])) == [(1, "A"), (1, "B")]
+
+
+def test_org_chart_dangling_manager_gives_null(spark):
+    """A manager id with no employee row leaves name and title NULL
+    (only a unit without any manager gets the fallback)."""
+    units = spark.createDataFrame([(0, None, "Corp")], "node long, parent long, name string")
+    managers = spark.createDataFrame([(0, 99)], "dept_no long, mngr_no long")
+    staff = spark.createDataFrame([(10, 0, "Boss, Ann", "CEO")],
+                                  "emp_no long, dept_no long, full_name string, job_code string")
+    assert [tuple(r) for r in reports.org_chart(units, managers, staff).collect()] == \
+        [(0, None, "Corp", None, None, 1)]
