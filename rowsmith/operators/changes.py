@@ -44,12 +44,16 @@ def update_by_mapping(df: DataFrame, key: str, mapping: DataFrame, mapping_key:
     return joined.drop("__mk", "__hit", *["__m_" + d for d in assignments])
 
 
-def null_out_references(df: DataFrame, ref_col: str, removed: DataFrame, removed_key: str) -> DataFrame:
-    """M4: set ``ref_col`` to NULL where it points at a removed key."""
+def null_out_references(df: DataFrame, ref_col: str, removed: DataFrame, removed_key: str,
+                        changed_col: str | None = None) -> DataFrame:
+    """M4: set ``ref_col`` to NULL where it points at a removed key. With
+    ``changed_col``, a boolean column marks the rows this job cleared."""
     r = removed.select(F.col(removed_key).alias("__rk")).distinct().withColumn("__gone", F.lit(True))
-    return (df.join(r, df[ref_col] == r["__rk"], "left")
-              .withColumn(ref_col, F.when(F.col("__gone"), F.lit(None)).otherwise(F.col(ref_col)))
-              .drop("__rk", "__gone"))
+    out = (df.join(r, df[ref_col] == r["__rk"], "left")
+             .withColumn(ref_col, F.when(F.col("__gone"), F.lit(None)).otherwise(F.col(ref_col))))
+    if changed_col:
+        out = out.withColumn(changed_col, F.coalesce(F.col("__gone"), F.lit(False)))
+    return out.drop("__rk", "__gone")
 
 
 def cascade_delete(parent: DataFrame, parent_key: str, keys: DataFrame, key_col: str,
@@ -61,9 +65,12 @@ def cascade_delete(parent: DataFrame, parent_key: str, keys: DataFrame, key_col:
     ``has_blocking_rows``) and nothing of it changes. For the accepted keys:
     the parent rows go, and each child in ``children`` (name -> (frame,
     reference column, action)) is handled by ``action``: ``'delete'`` drops
-    the rows, ``'nullify'`` sets the reference to NULL.
+    the rows, ``'nullify'`` sets the reference to NULL and marks those rows
+    in a boolean column ``cleared``.
 
-    Returns (new parent, {name: new child}, refused keys with reason).
+    Returns (new parent, {name: new child}, refused keys with reason,
+    accepted keys). The key sets are distinct and map-side combined; the
+    children are changed with anti or outer joins against the accepted set.
     """
     wanted = keys.select(F.col(key_col).alias("__k")).distinct()
     blocked = blockers.select(F.col(blocker_key).alias("__k")).distinct()
@@ -76,10 +83,10 @@ def cascade_delete(parent: DataFrame, parent_key: str, keys: DataFrame, key_col:
         if action == "delete":
             new_children[name] = frame.join(accepted, frame[ref] == accepted["__k"], "left_anti")
         elif action == "nullify":
-            new_children[name] = null_out_references(frame, ref, accepted, "__k")
+            new_children[name] = null_out_references(frame, ref, accepted, "__k", changed_col="cleared")
         else:
             raise ValueError(f"unknown action {action!r}")
-    return new_parent, new_children, refused
+    return new_parent, new_children, refused, accepted.select(F.col("__k").alias(key_col))
 
 
 def insert_checked(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame, str]],

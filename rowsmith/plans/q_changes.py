@@ -83,13 +83,12 @@ def cascade_delete(spark, base):
     cust, orders = cat.customer, cat.orders
     wanted = cust.where(C("c_acctbal") < 0).select("c_custkey")
     blockers = orders.where(C("o_orderstatus") == "O").select("o_custkey")
-    new_cust, kids, refused = changes.cascade_delete(
+    new_cust, kids, refused, _ = changes.cascade_delete(
         cust, "c_custkey", wanted, "c_custkey", blockers, "o_custkey",
         {"orders": (orders.select("o_orderkey", "o_custkey"), "o_custkey", "nullify")})
-    deleted = cust.join(new_cust, "c_custkey", "left_anti").select(
+    deleted = cust.select("c_custkey").join(new_cust, "c_custkey", "left_anti").select(
         F.lit("customer").alias("table_name"), C("c_custkey").alias("key"), F.lit("deleted").alias("action"))
-    cleared = (kids["orders"].where(C("o_custkey").isNull())
-               .join(orders.where(C("o_custkey").isNotNull()).select("o_orderkey"), "o_orderkey")
+    cleared = (kids["orders"].where(C("cleared"))
                .select(F.lit("orders").alias("table_name"), C("o_orderkey").alias("key"),
                        F.lit("reference_cleared").alias("action")))
     ref = refused.select(F.lit("customer").alias("table_name"), C("c_custkey").alias("key"),

@@ -39,12 +39,13 @@ def test_cascade_delete_refuses_blocked_and_leaves_no_orphans(spark):
     keys = spark.createDataFrame([(1,), (2,)], "k int")
     sales = spark.createDataFrame([(100, 2)], "po int, rep int")
     links = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "k int, proj string")
-    new_parent, kids, refused = changes.cascade_delete(
+    new_parent, kids, refused, accepted = changes.cascade_delete(
         parent, "k", keys, "k", sales, "rep", {"links": (links, "k", "delete"), "managed": (links, "k", "nullify")})
     assert rows(new_parent) == [(2,), (3,)]
     assert rows(refused) == [(2, "has_blocking_rows")]
+    assert rows(accepted) == [(1,)]
     assert rows(kids["links"]) == [(2, "q"), (3, "r")]
-    assert rows(kids["managed"]) == [(2, "q"), (3, "r"), (None, "p")]
+    assert rows(kids["managed"]) == [(2, "q", False), (3, "r", False), (None, "p", True)]
     assert rules.orphans(kids["links"], ["k"], new_parent, ["k"]).count() == 0
 
 

@@ -1,6 +1,8 @@
 """A4 tree rollup (N10) and S4 numbering."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from rowsmith.operators import hierarchy, positions
 
@@ -86,3 +88,29 @@ def test_deep_chain_and_branches(spark):
     got = rows(hierarchy.tree_rollup(df, "node", "parent", "value"),
                "node", "own_value", "subtree_total", "subtree_values", "subtree_nodes", "has_null")
     assert sorted(got) == brute_rollup(data)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.one_of(st.none(), st.integers(0, 12).map(lambda x: x / 4))),
+                min_size=1, max_size=40))
+def test_random_forests_match_walk(spark, links):
+    """Random forests (parent index always smaller, so no cycles), some
+    parents absent, some values NULL."""
+    tree = []
+    for i, (p, v) in enumerate(links):
+        parent = None if i == 0 or p % 5 == 0 else (p % i if p % 7 else 1000 + p)
+        tree.append((i, parent, v))
+    df = spark.createDataFrame(tree, "node long, parent long, value double")
+    got = rows(hierarchy.tree_rollup(df, "node", "parent", "value"),
+               "node", "own_value", "subtree_total", "subtree_values", "subtree_nodes", "has_null")
+    assert sorted(got) == brute_rollup(tree)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="abc", max_size=3), min_size=0, max_size=60), st.integers(1, 9))
+def test_with_position_random(spark, names, parts):
+    df = spark.createDataFrame(list(enumerate(names)), "k long, name string").repartition(parts)
+    out = positions.with_position(df, ["name", "k"]).collect()
+    assert sorted(r["position"] for r in out) == list(range(len(names)))
+    assert [(r["name"], r["k"]) for r in sorted(out, key=lambda r: r["position"])] == \
+        sorted((n, k) for k, n in enumerate(names))
