@@ -6,8 +6,10 @@ key range), a per-partition running index from
 fixed even if an executor is lost and a partition re-runs, then the offset of
 each partition from one small count per partition. The counts are as many
 values as there are partitions (not rows), which is the only thing brought to
-the driver; the offsets go back into the plan as a literal array indexed by
-partition id, so no join and no single-task window are needed.
+the driver; the offsets go back as a frame of one row per partition, joined
+with an explicit broadcast (its size is bounded by the partition count, known
+before the join), so the numbered rows are never shuffled and no
+single-task window is needed.
 """
 
 from __future__ import annotations
@@ -35,13 +37,14 @@ def with_position(df: DataFrame, order_by: Sequence[Column | str], pos_col: str
                         F.monotonically_increasing_id().alias(_MID))
                 .checkpoint(eager=True))
     counts = dict(tagged.groupBy(_PID).count().collect())
-    n_parts = (max(counts) + 1) if counts else 1
     offsets, acc = [], 0
-    for pid in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(pid, 0)
-    offset_of = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(_PID) + 1)
+    for pid in sorted(counts):
+        offsets.append((pid, acc))
+        acc += counts[pid]
+    spark = df.sparkSession
+    offset_df = spark.createDataFrame(offsets, f"{_PID} int, __pos_offset long")
     within = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     start_c = start if isinstance(start, Column) else F.lit(start)
-    return (tagged.withColumn(pos_col, (start_c + offset_of + within).cast("long"))
-                  .drop(_PID, _MID))
+    return (tagged.join(F.broadcast(offset_df), _PID)
+                  .withColumn(pos_col, (start_c + F.col("__pos_offset") + within).cast("long"))
+                  .drop(_PID, _MID, "__pos_offset"))
