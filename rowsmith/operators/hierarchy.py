@@ -16,17 +16,18 @@ and 2^(j+1) levels below ``a`` is counted once, through the one node b on the
 path with J_j(b) = a. When ``J`` is empty every node has its total:
 log2(depth) + 1 rounds of O(n) work each.
 
-Each round is a join of ``T`` with ``J`` on the node, a ``groupBy`` of the
-contributions by ancestor (map-side partial aggregation, so a node with a
-huge number of descendants at one distance costs one row per task in the
-shuffle), a join back on the node, and a self-join of ``J``. ``T`` and ``J``
-are written with a reliable ``checkpoint()`` to the shared checkpoint folder
-every round: the logical plan stays flat (each ``T`` is used twice by the
-next, so an unchecked plan would double per round) and a lost executor
-re-reads the last round. The size of ``J``, the stop test, is an
-``Observation`` collected by the checkpoint job itself. On a cycle ``J``
-never empties; the loop stops with an error once the reach passes
-``max_depth``.
+``T`` and ``J`` live on the same row (node, partial totals, pointer), so a
+round is: a ``groupBy`` of the contributions by pointer (map-side partial
+aggregation, so a node with a huge number of descendants at one distance
+costs one row per task in the shuffle), a join of them back on the node, and
+a self-join that moves the pointer up (the pointer of the row it points at).
+The round's table is written with a reliable ``checkpoint()`` to the shared
+checkpoint folder: the logical plan stays flat (each round reads the last
+one three times, so an unchecked plan would triple per round) and a lost
+executor re-reads the last round. The number of rows still pointing
+somewhere, the stop test, is an ``Observation`` collected by that same
+checkpoint job. On a cycle pointers never run out; the loop stops with an
+error once the reach passes ``max_depth``.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ class TreeDepthError(ValueError):
 
 
 def _observed_checkpoint(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Checkpoint ``df``; also return how many rows still have a pointer."""
     seen = Observation(name)
-    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
-    return out, seen.get["rows"]
+    out = df.observe(seen, F.count(F.col("__anc")).alias("active")).checkpoint(eager=True)
+    return out, seen.get["active"]
 
 
 def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str,
@@ -63,40 +65,36 @@ def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str
     """
     checkpoint_root(nodes.sparkSession)
     v = F.col(value_col).cast(MONEY)
-    totals = nodes.select(
+    state, active = _observed_checkpoint(nodes.select(
         F.col(node_col).alias("__node"),
         F.coalesce(v, F.lit(0).cast(MONEY)).cast(MONEY_SUM).alias("__sum"),
         F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("__vals"),
         F.when(v.isNull(), 1).otherwise(0).cast("long").alias("__nulls"),
-        F.lit(1).cast("long").alias("__nodes"))
-    jump, n_jump = _observed_checkpoint(
-        nodes.where(F.col(parent_col).isNotNull())
-             .select(F.col(node_col).alias("__node"), F.col(parent_col).alias("__anc")),
-        "tree_rollup_jump_0")
+        F.lit(1).cast("long").alias("__nodes"),
+        F.col(parent_col).alias("__anc")), "tree_rollup_round_0")
 
     reach, rnd = 1, 0
-    while n_jump > 0:
+    while active > 0:
         if reach > max_depth:
             raise TreeDepthError(f"parent links deeper than {max_depth} levels (a cycle?)")
         rnd += 1
-        # contributions: every node hands its partial total to the node 2^j above it
-        contrib = (totals.join(jump, "__node")
-                         .groupBy(F.col("__anc").alias("__node"))
-                         .agg(*[F.sum(m).alias("__c" + m) for m in _MEASURES]))
-        totals = (totals.join(contrib, "__node", "left")
-                        .select("__node", *[(F.col(m) + F.coalesce(F.col("__c" + m), F.lit(0))).alias(m)
-                                            for m in _MEASURES])
-                        .withColumn("__sum", F.col("__sum").cast(MONEY_SUM))
-                        .checkpoint(eager=True))
-        # reach doubles: the ancestor 2^j above the ancestor 2^j above
-        up = jump.select(F.col("__node").alias("__mid"), F.col("__anc").alias("__anc2"))
-        jump, n_jump = _observed_checkpoint(
-            jump.join(up, jump["__anc"] == up["__mid"]).select("__node", F.col("__anc2").alias("__anc")),
-            f"tree_rollup_jump_{rnd}")
+        # every node hands its partial total to the node 2^j above it
+        contrib = (state.where(F.col("__anc").isNotNull())
+                        .groupBy(F.col("__anc").alias("__node"))
+                        .agg(*[F.sum(m).alias("__c" + m) for m in _MEASURES]))
+        # and its pointer doubles: the pointer of the node it points at
+        up = state.select(F.col("__node").alias("__mid"), F.col("__anc").alias("__up"))
+        nxt = (state.join(contrib, "__node", "left")
+                    .join(up, F.col("__anc") == F.col("__mid"), "left")
+                    .select("__node",
+                            *[(F.col(m) + F.coalesce(F.col("__c" + m), F.lit(0))).alias(m) for m in _MEASURES],
+                            F.col("__up").alias("__anc"))
+                    .withColumn("__sum", F.col("__sum").cast(MONEY_SUM)))
+        state, active = _observed_checkpoint(nxt, f"tree_rollup_round_{rnd}")
         reach *= 2
 
     own = nodes.select(F.col(node_col), v.cast("double").alias("own_value"))
-    return (own.join(totals, own[node_col] == totals["__node"], "inner")
+    return (own.join(state, own[node_col] == state["__node"], "inner")
                .select(node_col, "own_value",
                        F.col("__sum").cast("double").alias("subtree_total"),
                        F.col("__vals").alias("subtree_values"),
