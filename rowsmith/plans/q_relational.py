@@ -4,6 +4,7 @@ array functions (S1-S5, F1-F9, J1-J7, A1-A4, O1, X1-X10, R1-R2)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowsmith.functions import arrays, dates, scalars
 from rowsmith.operators import aggregates, hierarchy, joins, positions, predicates
@@ -20,9 +21,11 @@ def scan_table(spark, base):
     return tables.scan(spark, base, "nation")
 
 
-LOAD_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, " \
-              "o_orderdate timestamp_ntz, o_orderpriority string, paid string, qty_ordered int, " \
-              "discount double, item_type string, sales_rep string"
+LOAD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
+    ("o_orderkey", T.LongType()), ("o_custkey", T.LongType()), ("o_orderstatus", T.StringType()),
+    ("o_totalprice", T.DoubleType()), ("o_orderdate", T.TimestampNTZType()), ("o_orderpriority", T.StringType()),
+    ("paid", T.StringType()), ("qty_ordered", T.IntegerType()), ("discount", T.DoubleType()),
+    ("item_type", T.StringType()), ("sales_rep", T.StringType()))])
 LOAD_DEFAULTS = {"paid": "n", "qty_ordered": 1, "discount": 0.0, "item_type": "software"}
 
 
@@ -33,10 +36,11 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
        'software' AS item_type, CAST(NULL AS VARCHAR) AS sales_rep
 FROM orders""")
 def load_with_defaults(spark, base):
-    from pyspark.sql.types import _parse_datatype_string
+    """Orders loaded into a wider sales schema: the absent columns take their
+    DEFAULT (or NULL), the explicit NULL priorities stay NULL."""
     incoming = tables.scan(spark, base, "orders").withColumn(
         "o_orderpriority", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")))
-    return tables.load_with_defaults(incoming, _parse_datatype_string(LOAD_SCHEMA), LOAD_DEFAULTS)
+    return tables.load_with_defaults(incoming, LOAD_SCHEMA, LOAD_DEFAULTS)
 
 
 def order_contacts(cat: Catalog):
