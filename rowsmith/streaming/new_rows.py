@@ -54,13 +54,15 @@ def read_notices(spark: SparkSession, out_dir: str, type_col: str) -> DataFrame:
 
 
 def new_row_counts(spark: SparkSession, source_dir: str, schema: T.StructType, type_col: str,
-                   file_glob: str | None = None) -> DataFrame:
+                   file_glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Run the stream over everything available now (fresh checkpoint and
     output folders under the shared checkpoint root), wait for it, and return
-    the notices read back as a batch DataFrame."""
+    the notices read back as a batch DataFrame. ``max_files_per_trigger``
+    cuts a large backlog into bounded micro-batches within the one run."""
     root = scratch_path(spark, "new_rows")
     q = start_new_row_notices(spark, source_dir, schema, type_col, f"{root}/notices",
-                              f"{root}/_checkpoint", file_glob=file_glob)
+                              f"{root}/_checkpoint", file_glob=file_glob,
+                              max_files_per_trigger=max_files_per_trigger)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream failed: {q.exception()}")

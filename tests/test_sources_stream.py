@@ -71,3 +71,16 @@ def test_stream_equals_batch_count(spark):
     df = new_rows.new_row_counts(spark, SF_SMALL, tables.SCHEMAS["events"], "event_type", "events.parquet")
     batch = tables.scan(spark, SF_SMALL, "events").groupBy("event_type").count()
     assert rows(df) == rows(batch)
+
+
+def test_stream_backlog_in_bounded_batches(spark):
+    src = tempfile.mkdtemp(prefix="rowsmith-stream-src-")  # a fresh folder per run
+    for n in range(3):
+        _events_file(src, f"part-{n}.parquet", [10 * n + 1, 10 * n + 2], ["click", "view"])
+    root = scratch_path(spark, "test-stream-batches")
+    q = new_rows.start_new_row_notices(spark, src, tables.SCHEMAS["events"], "event_type", f"{root}/notices",
+                                       f"{root}/_checkpoint", max_files_per_trigger=1)
+    q.awaitTermination()
+    batches = glob.glob(local_path(f"{root}/notices") + "/batch_id=*")
+    assert len(batches) == 3
+    assert rows(new_rows.read_notices(spark, f"{root}/notices", "event_type")) == [("click", 3), ("view", 3)]
