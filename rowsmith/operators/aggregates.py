@@ -54,7 +54,8 @@ def count_with_zero(parents: DataFrame, parent_key: str, children: DataFrame, ch
                     alias: str = "n") -> DataFrame:
     """A3: number of child rows per parent, parents without children shown
     with 0. Children are counted per key first (map-side combined), then the
-    small per-key counts are joined to the parents."""
+    per-key counts (one row per key, however many children it has) are
+    joined to the parents."""
     counts = children.groupBy(F.col(child_key).alias("__ck")).agg(F.count(F.lit(1)).alias("__n"))
     return (parents.join(counts, parents[parent_key] == counts["__ck"], "left")
                    .withColumn(alias, F.coalesce(F.col("__n"), F.lit(0)).cast("long"))

@@ -1,7 +1,9 @@
 """Table-change jobs (M1-M7): a new snapshot out, the input left untouched.
 
 Each job is one lazy plan over the input; a series of changes is a fold of
-Column rewrites, so nothing is materialised between steps.
+Column rewrites, so nothing is materialised between steps. The exception is
+key assignment (M7): numbering rows needs their sorted order fixed once, so
+it goes through ``positions.with_position`` (one reliable checkpoint).
 """
 
 from __future__ import annotations
