@@ -42,8 +42,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     The cluster names a shared folder in ``spark.checkpoint.dir``; that one is
     used. Only when it is unset (unit tests, a laptop) is a scratch folder of
     our own made, so ``DataFrame.checkpoint()`` always has somewhere to write.
+    On a Spark Connect session (no SparkContext on the client) the server's
+    ``spark.checkpoint.dir`` is what ``checkpoint()`` uses; it is returned.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no JVM context on the client
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a Connect session")
+        return named
     current = sc.getCheckpointDir()
     if current:
         return current
