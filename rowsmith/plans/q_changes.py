@@ -220,62 +220,83 @@ def check_self_reference(spark, base):
     return rules.self_reference(t, "node", "parent").select("node", "status")
 
 
-def lineitem_rules():
-    return [
-        Rule("quantity_at_least_1", C("l_quantity") >= 1),
-        Rule("linenumber_0_to_6", C("l_linenumber").between(0, 6)),
-        Rule("partkey_over_1000", C("l_partkey") > 1000),
-        Rule("price_in_budget", (C("l_extendedprice") > 10000) & (C("l_extendedprice") <= 100000)),
-        Rule("discount_0_to_5_pct", C("l_discount").between(0, 0.05)),
-        Rule("returnflag_in_list", C("l_returnflag").isin("A", "N")),
-        Rule("tax_positive", C("l_tax") > 0),
-        Rule("linestatus_code", (C("l_linestatus") == "F") | ((C("l_linestatus") > "A") & (C("l_linestatus") <= "N"))),
-    ]
-
-
-def part_rules():
-    return [
-        Rule("type_upper_case", C("p_type") == F.upper(C("p_type"))),
-        Rule("name_upper_case", C("p_name") == F.upper(C("p_name"))),
-        Rule("brand_prefix", C("p_brand").startswith("Brand#1")),
-        Rule("brand_after_digits", C("p_brand") > "99999"),
-        Rule("size_1_to_45", C("p_size").between(1, 45)),
-        Rule("price_positive", C("p_retailprice") > 0),
-    ]
-
-
-_LI_RULES_SQL = [
-    ("quantity_at_least_1", "l_quantity >= 1"),
-    ("linenumber_0_to_6", "l_linenumber BETWEEN 0 AND 6"),
-    ("partkey_over_1000", "l_partkey > 1000"),
-    ("price_in_budget", "l_extendedprice > 10000 AND l_extendedprice <= 100000"),
-    ("discount_0_to_5_pct", "l_discount BETWEEN 0 AND 0.05"),
-    ("returnflag_in_list", "l_returnflag IN ('A', 'N')"),
-    ("tax_positive", "l_tax > 0"),
-    ("linestatus_code", "l_linestatus = 'F' OR (l_linestatus > 'A' AND l_linestatus <= 'N')"),
-]
-_PART_RULES_SQL = [
-    ("type_upper_case", "p_type = upper(p_type)"),
-    ("name_upper_case", "p_name = upper(p_name)"),
-    ("brand_prefix", "starts_with(p_brand, 'Brand#1')"),
-    ("brand_after_digits", "p_brand > '99999'"),
-    ("size_1_to_45", "p_size BETWEEN 1 AND 45"),
-    ("price_positive", "p_retailprice > 0"),
+def _domain_checks(cat: Catalog):
+    """(table, rules) pairs: test columns checked against the schema's domains
+    and column rules, one aggregation pass per table."""
+    from rowsmith.operators.domains import column_rule as col_r, domain_rule as dom_r
+    li = lineitem_with_gaps(cat).select(
+        "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+        C("l_extendedprice").cast(MONEY).alias("l_extendedprice"), F.year("l_shipdate").alias("ship_year"))
+    li_rules = [dom_r("l_linenumber", "jobgrade"), dom_r("l_partkey", "custno"),
+                dom_r("l_extendedprice", "budget"), dom_r("l_returnflag", "deptno"),
+                col_r("l_quantity", "qty_ordered"), col_r("l_discount", "discount"),
+                col_r("l_tax", "discount"), col_r("ship_year", "fiscal_year")]
+    part = cat.part.select("p_name", "p_brand", "p_type", C("p_retailprice").cast(MONEY).alias("p_retailprice"))
+    part_rules = [dom_r("p_name", "projno"), dom_r("p_brand", "jobcode"), dom_r("p_type", "prodtype"),
+                  dom_r("p_retailprice", "salary"), dom_r("p_brand", "ponumber")]
+    sales = si.sales(cat).select("order_status", "paid", "total_value")
+    sales_rules = [col_r("order_status", "order_status"), col_r("paid", "paid"),
+                   col_r("total_value", "total_value")]
+    cust = si.held_customers(cat).select("on_hold")
+    audit_rows = audit.audit_changes(si.orders_keyed(cat), changes.update_sequence(
+        si.orders_keyed(cat), si.price_update_steps()), ["o_orderkey"], "price", si.AS_OF, "auditor")
+    return [(li, li_rules), (part, part_rules), (sales, sales_rules), (cust, [col_r("on_hold", "on_hold")]),
+            (audit_rows.select("percent_change"), [col_r("percent_change", "percent_change")])]
+
+
+_DOMAIN_CHECKS_SQL = [
+    ("li", [
+        ("jobgrade(l_linenumber)", "l_linenumber BETWEEN 0 AND 6"),
+        ("custno(l_partkey)", "l_partkey > 1000"),
+        ("budget(l_extendedprice)", "CAST(l_extendedprice AS DECIMAL(12,2)) > 10000 "
+                                    "AND CAST(l_extendedprice AS DECIMAL(12,2)) <= 2000000"),
+        ("deptno(l_returnflag)", "length(l_returnflag) <= 3 AND (l_returnflag = '000' OR "
+                                 "(l_returnflag > '0' AND l_returnflag <= '999') OR l_returnflag IS NULL)"),
+        ("qty_ordered(l_quantity)", "l_quantity >= 1"),
+        ("discount(l_discount)", "l_discount >= 0 AND l_discount <= 1"),
+        ("discount(l_tax)", "l_tax >= 0 AND l_tax <= 1"),
+        ("fiscal_year(ship_year)", "year(l_shipdate) >= 1993"),
+    ]),
+    ("part", [
+        ("projno(p_name)", "length(p_name) <= 5 AND p_name = upper(p_name)"),
+        ("jobcode(p_brand)", "length(p_brand) <= 5 AND p_brand > '99999'"),
+        ("prodtype(p_type)", "length(p_type) <= 12 AND p_type IN ('software', 'hardware', 'other', 'N/A') "
+                             "AND p_type IS NOT NULL"),
+        ("salary(p_retailprice)", "CAST(p_retailprice AS DECIMAL(12,2)) > 0"),
+        ("ponumber(p_brand)", "length(p_brand) <= 8 AND starts_with(p_brand, 'V')"),
+    ]),
+    ("sales", [
+        ("order_status(order_status)", "order_status IN ('new', 'open', 'shipped', 'waiting')"),
+        ("paid(paid)", "paid IN ('y', 'n')"),
+        ("total_value(total_value)", "total_value >= 0"),
+    ]),
+    ("cust", [("on_hold(on_hold)", "on_hold IS NULL OR on_hold = '*'")]),
+    ("audit_rows", [("percent_change(percent_change)", "percent_change BETWEEN -50 AND 50")]),
 ]
 
+_AUDIT_ROWS_SQL = """audit_rows AS (
+  SELECT (CAST(n.price AS DOUBLE) - CAST(o.price AS DOUBLE)) * CAST(100.0 AS DOUBLE)
+           / nullif(CAST(o.price AS DOUBLE), 0) AS percent_change
+  FROM okeyed o JOIN s4 n ON n.o_orderkey = o.o_orderkey WHERE o.price <> n.price)"""
+
 
 def _rule_sql(name, pred, table):
     return (f"SELECT '{name}' AS rule, count(*) FILTER (WHERE NOT coalesce(({pred}), true)) AS n_violations, "
             f"count(*) FILTER (WHERE ({pred}) IS NULL) AS n_unknown FROM {table}")
 
 
-@query("check_domains", "C7", with_ctes(LI_GAPS_SQL, body="\nUNION ALL\n".join(
-    [_rule_sql(n, p, "li") for n, p in _LI_RULES_SQL] + [_rule_sql(n, p, "part") for n, p in _PART_RULES_SQL])))
+@query("check_domains", "C7", with_ctes(
+    LI_GAPS_SQL, si.SALES_SQL, si.CUST_SQL, si.ORDERS_KEYED_SQL, si.PRICE_UPDATES_SQL, _AUDIT_ROWS_SQL,
+    body="\nUNION ALL\n".join(_rule_sql(n, p, t) for t, rs in _DOMAIN_CHECKS_SQL for n, p in rs)))
 def check_domains(spark, base):
-    """Single-column rules: one aggregation pass per table."""
-    cat = Catalog(spark, base)
-    return rules.rule_counts(lineitem_with_gaps(cat), lineitem_rules()) \
-                .unionByName(rules.rule_counts(cat.part, part_rules()))
+    """Columns checked against the schema's named domains (type length and
+    CHECK) and named column rules: one aggregation pass per table, one count
+    row per rule."""
+    out = None
+    for df, rs in _domain_checks(Catalog(spark, base)):
+        counts = rules.rule_counts(df, rs)
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 @query("check_row_rules", "C8", with_ctes(si.SALES_SQL, body="""
