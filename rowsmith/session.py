@@ -36,6 +36,33 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20,
+               max_partitions: int = 200_000) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of Parquet.
+
+    The initial shuffle partition count is sized so a shuffle of the whole
+    input gives partitions of about ``partition_bytes`` (they must fit an
+    executor's memory share, or they spill), never fewer than two waves of
+    the cluster's cores, and at most ``max_partitions`` (map-output metadata
+    grows with the count; real shuffles carry far less than the whole input
+    after pruning and partial aggregation). Adaptive execution then merges small post-shuffle
+    partitions to the advisory size, and splits a partition five times the
+    median and over the threshold when a hot key lands in it. File splits are
+    kept at the same size, so a scan task reads about one partition's worth.
+    """
+    parts = min(max_partitions, max(2 * total_cores, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for reliable checkpoints and job outputs.
 
@@ -73,4 +100,4 @@ def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path", "DEFAULT_CONF"]
+__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path", "scale_conf", "DEFAULT_CONF"]
