@@ -47,3 +47,11 @@ def test_columns_are_pruned(plans):
 def test_span_window_is_keyed_by_document(plans):
     p = plans["text_find_spans"]
     assert "Window" in p and "hashpartitioning(doc_id" in p and "SinglePartition" not in p
+
+
+def test_no_single_partition_window(plans):
+    """A window must be keyed: no query moves all rows of a window
+    into one partition."""
+    for name, p in plans.items():
+        if "Window" in p:
+            assert "SinglePartition" not in p, name

@@ -84,3 +84,16 @@ def test_stream_backlog_in_bounded_batches(spark):
     batches = glob.glob(local_path(f"{root}/notices") + "/batch_id=*")
     assert len(batches) == 3
     assert rows(new_rows.read_notices(spark, f"{root}/notices", "event_type")) == [("click", 3), ("view", 3)]
+
+
+def test_load_computed_columns(spark):
+    from pyspark.sql import functions as F
+    from rowsmith.functions import dates, scalars
+    df = spark.createDataFrame([("Lee", "Ann", "1994-01-01", "1994-01-11")],
+                               "last string, first string, ordered string, shipped string")
+    schema = T.StructType([T.StructField("last", T.StringType()), T.StructField("first", T.StringType()),
+                           T.StructField("ordered", T.TimestampNTZType()), T.StructField("shipped", T.TimestampNTZType())])
+    out = tables.load_with_defaults(df, schema, computed={
+        "full_name": scalars.concat_null(F.col("last"), ", ", F.col("first")),
+        "aged": dates.days_between("ordered", "shipped")}).first()
+    assert out["full_name"] == "Lee, Ann" and out["aged"] == 10.0
