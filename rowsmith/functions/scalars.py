@@ -42,12 +42,17 @@ def raise_by_percent(amount: Column | str, percent, scale: int = 2,
     rounded half up to ``scale`` places (an explicit rounding, not a cast).
 
     A fixed ``percent`` becomes the exact factor ``1 + percent / 100`` (a
-    decimal literal), so the product is exact before the one rounding."""
+    decimal literal of its own precision), so the product is exact before
+    the one rounding."""
     a = _c(amount)
     if isinstance(percent, Column):
         return F.round(a + a * percent / F.lit(100), scale).cast(result_type)
     factor = Decimal(1) + Decimal(str(percent)) / Decimal(100)
-    return F.round(a * F.lit(str(factor)).cast("decimal(9,4)"), scale).cast(result_type)
+    # the narrowest decimal that holds the factor keeps amount x factor within
+    # 18 digits (Spark's 64-bit decimal path) for the usual money types
+    frac = max(0, -factor.normalize().as_tuple().exponent)
+    whole = max(1, len(str(abs(int(factor)))))
+    return F.round(a * F.lit(str(factor)).cast(f"decimal({whole + frac},{frac})"), scale).cast(result_type)
 
 
 def percent_change(old: Column | str, new: Column | str) -> Column:
