@@ -65,16 +65,16 @@ def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str
     """
     checkpoint_root(nodes.sparkSession)
     v = F.col(value_col).cast(MONEY)
-    state, active = _observed_checkpoint(nodes.select(
+    state = nodes.select(  # round 0: read straight from the scan, no write
         F.col(node_col).alias("__node"),
         F.coalesce(v, F.lit(0).cast(MONEY)).cast(MONEY_SUM).alias("__sum"),
         F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("__vals"),
         F.when(v.isNull(), 1).otherwise(0).cast("long").alias("__nulls"),
         F.lit(1).cast("long").alias("__nodes"),
-        F.col(parent_col).alias("__anc")), "tree_rollup_round_0")
+        F.col(parent_col).alias("__anc"))
 
     reach, rnd = 1, 0
-    while active > 0:
+    while True:
         if reach > max_depth:
             raise TreeDepthError(f"parent links deeper than {max_depth} levels (a cycle?)")
         rnd += 1
@@ -91,6 +91,8 @@ def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str
                             F.col("__up").alias("__anc"))
                     .withColumn("__sum", F.col("__sum").cast(MONEY_SUM)))
         state, active = _observed_checkpoint(nxt, f"tree_rollup_round_{rnd}")
+        if active == 0:
+            break
         reach *= 2
 
     own = nodes.select(F.col(node_col), v.cast("double").alias("own_value"))
