@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from rowsmith.plans import q_relational  # noqa: F401  (registers)
+from rowsmith.plans import q_changes, q_relational, q_reports  # noqa: F401  (import registers the queries)
 from rowsmith.plans.registry import REGISTRY, QuerySpec
 
-try:  # later groups
-    from rowsmith.plans import q_changes  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from rowsmith.plans import q_reports  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-
 
 def all_queries() -> dict[str, QuerySpec]:
     return dict(REGISTRY)
