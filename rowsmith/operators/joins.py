@@ -38,7 +38,8 @@ def join_lookup_default(left: DataFrame, lookup: DataFrame, left_key: str, looku
 
     ``values`` maps an output column to (lookup column, fallback). When the
     left key is NULL the fallback is used; when the key is set but has no
-    lookup row the value is NULL (not the fallback)."""
+    lookup row the value is NULL (not the fallback). ``lookup`` must be
+    unique on its key, as a single-row look-up is."""
     lk = "__lookup_key"
     right = lookup.select(F.col(lookup_key).alias(lk), *[F.col(src).alias("__v_" + out)
                                                          for out, (src, _) in values.items()])

@@ -48,8 +48,7 @@ def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def violations(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:
     """C7/C8 (rows): (keep..., rule) for every row and every rule it violates,
     in one pass (a row failing two rules appears twice)."""
-    failing = F.filter(F.array(*[F.when(violated(r.predicate), F.lit(r.name)) for r in rules]),
-                       lambda x: x.isNotNull())
+    failing = F.array_compact(F.array(*[F.when(violated(r.predicate), F.lit(r.name)) for r in rules]))
     return df.select(*keep, F.explode(failing).alias("rule"))
 
 
