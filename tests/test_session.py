@@ -18,3 +18,16 @@ def test_scale_conf():
     assert small["spark.sql.shuffle.partitions"] == "128"  # two waves of cores
     mid = scale_conf(1 << 40, 64)
     assert mid["spark.sql.shuffle.partitions"] == str((1 << 40) // (256 << 20))
+
+
+def test_cli_list_and_run(spark, capsys):
+    import glob
+    from rowsmith.__main__ import main
+    from rowsmith.session import local_path
+    assert main(["list"]) == 0
+    listed = capsys.readouterr().out.splitlines()
+    assert len(listed) == 66 and any(line.endswith("report_phone_list") for line in listed)
+    out = scratch_path(spark, "cli")
+    assert main(["run", "report_phone_list", "--tables", "/root/testdata/sf0.001", "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 342
+    assert glob.glob(local_path(out) + "/*.parquet")
