@@ -1,8 +1,9 @@
-"""Table scans with declared schemas (S1), typed loads with defaults (S2) and
-named views (S3).
+"""Table scans with declared schemas (S1), typed loads with defaults (S2),
+named views (S3) and a table sink.
 
-Scans never infer: each table has a fixed ``StructType`` and Parquet is read
-with it, so column pruning and filter pushdown reach the file scan.
+Scans never infer: each table has a fixed ``StructType`` and the files
+(Parquet by default; ORC, CSV and JSON too) are read with it, so column
+pruning and filter pushdown reach the file scan.
 """
 
 from __future__ import annotations
@@ -46,29 +47,44 @@ SCHEMAS: dict[str, T.StructType] = {
 TABLES = tuple(SCHEMAS)
 
 
-def table_path(base: str, name: str) -> str:
-    return f"{base.rstrip('/')}/{name}.parquet"
+FORMATS = ("parquet", "orc", "csv", "json")
 
 
-def scan(spark: SparkSession, base: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one table with its declared schema; optional projection."""
-    df = spark.read.schema(SCHEMAS[name]).parquet(table_path(base, name))
+def table_path(base: str, name: str, fmt: str = "parquet") -> str:
+    """Where table ``name`` lives: ``base`` may be a template holding
+    ``{table}`` (one folder per table anywhere), else ``<base>/<name>.<fmt>``."""
+    if "{table}" in base:
+        return base.format(table=name)
+    return f"{base.rstrip('/')}/{name}.{fmt}"
+
+
+def scan(spark: SparkSession, base: str, name: str, columns: list[str] | None = None,
+         fmt: str = "parquet") -> DataFrame:
+    """Read one table with its declared schema (never inferred); optional
+    projection. Parquet and ORC push filters and prune columns at the scan;
+    CSV (with a header line) and JSON lines are read with the same schema."""
+    if fmt not in FORMATS:
+        raise ValueError(f"format {fmt!r} not in {FORMATS}")
+    reader = spark.read.schema(SCHEMAS[name])
+    if fmt == "csv":
+        reader = reader.option("header", "true")
+    df = reader.format(fmt).load(table_path(base, name, fmt))
     return df.select(*columns) if columns else df
 
 
 class Catalog:
     """Lazy accessor: ``Catalog(spark, base).orders`` is a scan of orders."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base
+    def __init__(self, spark: SparkSession, base: str, fmt: str = "parquet"):
+        self.spark, self.base, self.fmt = spark, base, fmt
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        return scan(self.spark, self.base, name)
+        return scan(self.spark, self.base, name, fmt=self.fmt)
 
     def table(self, name: str) -> DataFrame:
-        return scan(self.spark, self.base, name)
+        return scan(self.spark, self.base, name, fmt=self.fmt)
 
 
 def load_with_defaults(df: DataFrame, schema: T.StructType,
@@ -98,6 +114,21 @@ def load_with_defaults(df: DataFrame, schema: T.StructType,
     return out
 
 
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
+                sort_within: list[str] | None = None, mode: str = "overwrite") -> None:
+    """Sink: write a table. ``sort_within`` orders rows inside each output
+    file by the usual filter column, so Parquet min/max statistics let later
+    scans skip row groups (the layout stand-in for an index)."""
+    if sort_within:
+        df = df.sortWithinPartitions(*sort_within)
+    writer = df.write.mode(mode).format(fmt)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if fmt == "csv":
+        writer = writer.option("header", "true")
+    writer.save(path)
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """S3: publish a DataFrame as a named temporary view and hand it back."""
     df.createOrReplaceTempView(name)

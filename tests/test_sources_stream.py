@@ -97,3 +97,18 @@ def test_load_computed_columns(spark):
         "full_name": scalars.concat_null(F.col("last"), ", ", F.col("first")),
         "aged": dates.days_between("ordered", "shipped")}).first()
     assert out["full_name"] == "Lee, Ann" and out["aged"] == 10.0
+
+
+def test_formats_and_path_template(spark):
+    """A table written as CSV, JSON and ORC reads back, with the declared
+    schema, equal to its Parquet source; a {table} template finds folders."""
+    src = tables.scan(spark, SF_SMALL, "orders")
+    root = scratch_path(spark, "formats")
+    for fmt in ("csv", "json", "orc"):
+        tables.write_table(src, f"{root}/{fmt}/orders.{fmt}", fmt=fmt, sort_within=["o_orderdate"])
+        back = tables.scan(spark, f"{root}/{fmt}", "orders", fmt=fmt)
+        assert back.schema == tables.SCHEMAS["orders"]
+        assert back.exceptAll(src).count() == 0 and src.exceptAll(back).count() == 0
+    tables.write_table(src, f"{root}/by_table/orders", partition_by=["o_orderstatus"])
+    t = tables.scan(spark, f"{root}/by_table/{{table}}", "orders")
+    assert t.count() == src.count()
