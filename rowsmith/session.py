@@ -49,6 +49,12 @@ def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 <<
     partitions to the advisory size, and splits a partition five times the
     median and over the threshold when a hot key lands in it. File splits are
     kept at the same size, so a scan task reads about one partition's worth.
+
+    Broadcasts stay bounded: the static choice compares an estimate from file
+    sizes with the threshold, and compressed Parquet grows in memory, so the
+    estimate is scaled up (a compression factor of 4); the runtime choice of
+    adaptive execution uses measured shuffle sizes. Both thresholds are
+    stated explicitly (32 MB).
     """
     parts = min(max_partitions, max(2 * total_cores, -(-input_bytes // partition_bytes)))
     return {
@@ -60,6 +66,9 @@ def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 <<
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.sources.fileCompressionFactor": "4.0",
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 << 20),
     }
 
 
