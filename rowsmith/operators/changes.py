@@ -111,11 +111,12 @@ def insert_checked(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame,
         reasons.append((F.col(ref).isNotNull() & F.col(flag).isNull(), f"unknown_{suffix}"))
     if existing is not None and key:
         key = list(key)
-        old = existing.select(*key).distinct().withColumn("__dup_old", F.lit(True))
-        tagged = tagged.join(old, on=key, how="left")
-        cnt = new_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__dup_new"))
-        tagged = tagged.join(cnt, on=key, how="left")
-        reasons.append((F.col("__dup_old").isNotNull() | (F.col("__dup_new") > 1), "duplicate_key"))
+        # one aggregate over both key sets: present already? how many new rows?
+        stats = (existing.select(*key, F.lit(1).alias("__o"), F.lit(0).alias("__n"))
+                 .unionByName(new_rows.select(*key, F.lit(0).alias("__o"), F.lit(1).alias("__n")))
+                 .groupBy(*key).agg(F.max("__o").alias("__dup_old"), F.sum("__n").alias("__dup_new")))
+        tagged = tagged.join(stats, on=key, how="left")  # a NULL key part never matches: never a duplicate
+        reasons.append(((F.col("__dup_old") == 1) | (F.col("__dup_new") > 1), "duplicate_key"))
     reason = None
     for cond, text in reasons:
         reason = F.when(cond, F.lit(text)) if reason is None else reason.when(cond, F.lit(text))
