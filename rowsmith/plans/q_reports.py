@@ -111,14 +111,16 @@ def report_ship_decision(spark, base):
 
 @query("report_slots_with_separators", "B5", with_ctes(si.PART_WORDS_SQL, body=f"""
 SELECT p_partkey AS group_key, CAST(s.seq AS INTEGER) AS seq, CAST(p_partkey AS VARCHAR) AS code, p_type AS grade,
-       CASE WHEN trim(words[s.seq]) = '' THEN 'NULL' ELSE words[s.seq] END AS value
+       p_brand AS country, CASE WHEN trim(words[s.seq]) = '' THEN 'NULL' ELSE words[s.seq] END AS value
 FROM pwords, (SELECT unnest(range(1, 6)) AS seq) s
 UNION ALL
-SELECT p_partkey, 6, '{reports.SEPARATOR_CODE}', '{reports.SEPARATOR_GRADE}', '{reports.SEPARATOR_VALUE}'
+SELECT p_partkey, 6, '{reports.SEPARATOR_CODE}', '{reports.SEPARATOR_GRADE}', '{reports.SEPARATOR_COUNTRY}',
+       '{reports.SEPARATOR_VALUE}'
 FROM pwords"""))
 def report_slots_with_separators(spark, base):
     w = si.part_words(Catalog(spark, base))
-    return reports.slots_with_separators(w, "p_partkey", C("p_partkey").cast("string"), C("p_type"), "words") \
+    return reports.slots_with_separators(w, "p_partkey", C("p_partkey").cast("string"), C("p_type"), C("p_brand"),
+                                         "words") \
                   .withColumnRenamed("p_partkey", "group_key")
 
 

@@ -20,10 +20,12 @@ from rowsmith.operators import aggregates, joins, predicates
 C = F.col
 
 # The fallback manager name of an unmanaged unit, and the
-# separator row placed after each group of a slot listing.
+# separator row placed after each group of a slot listing (code, grade,
+# country, value).
 NO_MANAGER = "--TBH--"
 SEPARATOR_CODE = "====="
 SEPARATOR_GRADE = "====="
+SEPARATOR_COUNTRY = "==============="
 SEPARATOR_VALUE = "=============="
 
 # The ship decisions, in the order their tests run.
@@ -104,19 +106,20 @@ def ship_decisions(sales: DataFrame, customers: DataFrame, as_of: dt.datetime, g
     return j.select("o_orderkey", "o_custkey", decision.alias("decision"))
 
 
-def slots_with_separators(df: DataFrame, group_key: str, code: Column, grade: Column, arr: str,
-                          n: int = 5) -> DataFrame:
+def slots_with_separators(df: DataFrame, group_key: str, code: Column, grade: Column, country: Column,
+                          arr: str, n: int = 5) -> DataFrame:
     """For every row, its ``n`` array slots (R2), then a separator row.
 
-    Output (group_key, seq, code, grade, value): seq 1..n are the slots,
-    seq n+1 the separator (fixed text in every column), so sorting on
+    Output (group_key, seq, code, grade, country, value): seq 1..n are the
+    slots, seq n+1 the separator (fixed text in every column), so sorting on
     (group_key, seq) gives the listing with a separator after each group.
     """
-    base = df.select(C(group_key), code.alias("code"), grade.alias("grade"), C(arr))
+    base = df.select(C(group_key), code.alias("code"), grade.alias("grade"), country.alias("country"), C(arr))
     slots = arrays.array_slots(base, arr, n, slot_col="seq", value_col="value")
     seps = df.select(C(group_key), F.lit(n + 1).alias("seq"), F.lit(SEPARATOR_CODE).alias("code"),
-                     F.lit(SEPARATOR_GRADE).alias("grade"), F.lit(SEPARATOR_VALUE).alias("value"))
-    return slots.select(group_key, "seq", "code", "grade", "value").unionByName(seps)
+                     F.lit(SEPARATOR_GRADE).alias("grade"), F.lit(SEPARATOR_COUNTRY).alias("country"),
+                     F.lit(SEPARATOR_VALUE).alias("value"))
+    return slots.select(group_key, "seq", "code", "grade", "country", "value").unionByName(seps)
 
 
 def assignments(link: DataFrame, link_key: str, keys: DataFrame, key_col: str,

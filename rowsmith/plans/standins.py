@@ -174,12 +174,12 @@ PRICE_UPDATES_SQL = """
 def part_words(cat: Catalog) -> DataFrame:
     from rowsmith.functions.arrays import fixed_slots
     p = cat.part
-    return p.select("p_partkey", "p_type",
+    return p.select("p_partkey", "p_type", "p_brand",
                     F.when(F.col("p_size") != 1, fixed_slots(F.split("p_name", " "), 5)).alias("words"))
 
 
 PART_WORDS_SQL = """pwords AS (
-  SELECT p_partkey, p_type,
+  SELECT p_partkey, p_type, p_brand,
          CASE WHEN p_size <> 1 THEN
            list_resize(string_split(p_name, ' '), 5, ' ')
          END AS words

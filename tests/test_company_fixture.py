@@ -148,7 +148,7 @@ def test_ship_decisions(db):
 def test_all_langs_listing(db):
     j = db["job"]
     out = reports.slots_with_separators(
-        j, "job_code", C("job_code"), C("job_grade").cast("string"), "language_req").collect()
+        j, "job_code", C("job_code"), C("job_grade").cast("string"), C("job_country"), "language_req").collect()
     assert len(out) == 5 * 6
     eng = sorted((r["seq"], r["value"]) for r in out if r["job_code"] == "Eng")
     assert eng == [(1, "English"), (2, "NULL"), (3, "NULL"), (4, "NULL"), (5, "NULL"), (6, "==============")]

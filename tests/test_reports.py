@@ -62,12 +62,15 @@ def test_ship_decision_order_of_tests(spark):
 
 
 def test_slots_with_separators(spark):
-    df = spark.createDataFrame([(1, "Eng", ["en", " "]), (2, "Mgr", None)], "k long, t string, langs array<string>")
-    out = sorted(tuple(r) for r in reports.slots_with_separators(df, "k", C("k").cast("string"), C("t"),
+    df = spark.createDataFrame([(1, "Eng", "Utopia", ["en", " "]), (2, "Mgr", "Utopia", None)],
+                               "k long, t string, c string, langs array<string>")
+    out = sorted(tuple(r) for r in reports.slots_with_separators(df, "k", C("k").cast("string"), C("t"), C("c"),
                                                                   "langs").collect())
     assert len(out) == 12
-    assert out[:6] == [(1, 1, "1", "Eng", "en"), (1, 2, "1", "Eng", "NULL"), (1, 3, "1", "Eng", None),
-                       (1, 4, "1", "Eng", None), (1, 5, "1", "Eng", None), (1, 6, "=====", "=====", "==============")]
+    assert out[:6] == [(1, 1, "1", "Eng", "Utopia", "en"), (1, 2, "1", "Eng", "Utopia", "NULL"),
+                       (1, 3, "1", "Eng", "Utopia", None), (1, 4, "1", "Eng", "Utopia", None),
+                       (1, 5, "1", "Eng", "Utopia", None),
+                       (1, 6, "=====", "=====", "===============", "==============")]
 
 
 def test_phone_list_and_assignments(spark):
