@@ -93,6 +93,9 @@ def ship_decisions(sales: DataFrame, customers: DataFrame, as_of: dt.datetime, g
     ``sales``: (o_orderkey, o_custkey, order_status, ship_date, paid);
     ``customers``: (c_custkey, on_hold). The overdue customers are one
     distinct key set (map-side combined) joined back, not a look-up per order.
+    An order whose customer is not in ``customers`` is judged on its own
+    status (it cannot be on hold); a per-order look-up through an inner join
+    would see no status at all for it. A NULL ship date is never overdue.
     """
     cutoff = dates.minus_days(as_of, grace_days)
     overdue = (sales.where((C("order_status") == "shipped") & (C("paid") == "n") & (C("ship_date") < cutoff))
