@@ -112,3 +112,21 @@ def test_formats_and_path_template(spark):
     tables.write_table(src, f"{root}/by_table/orders", partition_by=["o_orderstatus"])
     t = tables.scan(spark, f"{root}/by_table/{{table}}", "orders")
     assert t.count() == src.count()
+
+
+def test_stream_running_while_the_table_grows(spark):
+    """Continuous mode: the query keeps running; rows added later are
+    noticed by the next micro-batch."""
+    src = tempfile.mkdtemp(prefix="rowsmith-stream-src-")  # a fresh folder per run
+    root = scratch_path(spark, "test-stream-live")
+    _events_file(src, "part-0.parquet", [1, 2], ["click", "click"])
+    q = new_rows.start_new_row_notices(spark, src, tables.SCHEMAS["events"], "event_type", f"{root}/notices",
+                                       f"{root}/_checkpoint", available_now=False)
+    try:
+        q.processAllAvailable()
+        assert rows(new_rows.read_notices(spark, f"{root}/notices", "event_type")) == [("click", 2)]
+        _events_file(src, "part-1.parquet", [3], ["error"])
+        q.processAllAvailable()
+        assert rows(new_rows.read_notices(spark, f"{root}/notices", "event_type")) == [("click", 2), ("error", 1)]
+    finally:
+        q.stop()
