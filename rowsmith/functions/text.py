@@ -39,8 +39,11 @@ def find_spans(df: DataFrame, id_col: str, text_col: str, needle: str) -> DataFr
                .select(F.col(id_col), F.split(F.col(text_col), quote_pattern(needle), -1).alias("__parts")))
     # n pieces <-> n - 1 matches; match i follows piece i, so the last piece is
     # never needed and is dropped before the shuffle.
+    # the outer generator: the optimizer adds no inferred ``size(split(..)) > 0``
+    # filter for it, which would split every text a second time; the filter
+    # below drops the NULL row it adds for an empty array
     pieces = (split.select(id_col, F.size("__parts").alias("__n"),
-                           F.posexplode("__parts").alias("__i", "__piece"))
+                           F.posexplode_outer("__parts").alias("__i", "__piece"))
                    .where(F.col("__i") < F.col("__n") - 1)
                    .select(id_col, "__i", F.length("__piece").cast("long").alias("__len")))
     w = Window.partitionBy(id_col).orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)

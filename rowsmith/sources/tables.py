@@ -129,6 +129,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     writer.save(path)
 
 
+def write_bucketed(df: DataFrame, path: str, table_name: str, buckets: int, key: str,
+                   sort_by: list[str] | None = None) -> DataFrame:
+    """Sink: write ``df`` as a table bucketed (hash-partitioned) on ``key``
+    at ``path`` and register it as ``table_name``; returns the table. A scan
+    of it reports that partitioning, so later joins, aggregates and windows
+    keyed by ``key`` need no shuffle (T1's running sum over a corpus bucketed
+    by document runs without any exchange)."""
+    (df.write.bucketBy(buckets, key).sortBy(*(sort_by or [key])).option("path", path)
+       .mode("overwrite").saveAsTable(table_name))
+    return df.sparkSession.table(table_name)
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """S3: publish a DataFrame as a named temporary view and hand it back."""
     df.createOrReplaceTempView(name)

@@ -55,3 +55,15 @@ def test_no_single_partition_window(plans):
     for name, p in plans.items():
         if "Window" in p:
             assert "SinglePartition" not in p, name
+
+
+def test_spans_on_bucketed_corpus_need_no_shuffle(spark):
+    from rowsmith.functions import text
+    from rowsmith.session import scratch_path
+    from rowsmith.sources import tables
+    docs = tables.scan(spark, SF_SMALL, "documents", ["doc_id", "text"])
+    bucketed = tables.write_bucketed(docs, scratch_path(spark, "bucketed"), "docs_by_id", 4, "doc_id")
+    spans = text.find_spans(bucketed, "doc_id", "text", "th")
+    assert "Exchange" not in plan_of(spans)
+    plain = text.find_spans(docs, "doc_id", "text", "th")
+    assert spans.exceptAll(plain).count() == 0 and plain.exceptAll(spans).count() == 0
