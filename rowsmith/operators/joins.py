@@ -74,7 +74,10 @@ def join_lateral_explode(df: DataFrame, array_col: str, pos_col: str = "slot",
     """For each row, the rows of its array (a lateral table function).
     Positions are 1-based. ``keep_empty`` keeps a row (NULL value) for a NULL
     or empty array, like an outer lateral join."""
-    gen = F.posexplode_outer if keep_empty else F.posexplode
     rest = [c for c in df.columns if c != array_col]
-    out = df.select(*rest, gen(F.col(array_col)).alias("__pos", value_col))
+    # always the outer generator: the plain one gets an inferred
+    # ``size(array) > 0`` filter that evaluates an array expression twice
+    out = df.select(*rest, F.posexplode_outer(F.col(array_col)).alias("__pos", value_col))
+    if not keep_empty:
+        out = out.where(F.col("__pos").isNotNull())
     return out.withColumn(pos_col, F.col("__pos") + 1).drop("__pos")
