@@ -24,6 +24,13 @@ def fixed_slots(arr: Column | str, n: int, fill: str = " ") -> Column:
     return F.when(a.isNotNull(), F.slice(F.concat(a, pad), 1, n))
 
 
+def slot_value(arr: Column | str, slot: Column, blank_as: str = "NULL") -> Column:
+    """R2's value of one 1-based slot: the element, the text ``blank_as`` for
+    an element of blanks only, NULL past the end or for a NULL array."""
+    v = F.try_element_at(_c(arr), slot)
+    return F.when(F.trim(v) == "", F.lit(blank_as)).otherwise(v)
+
+
 def array_slots(df: DataFrame, arr: str, n: int = 5, slot_col: str = "slot",
                 value_col: str = "value", blank_as: str = "NULL") -> DataFrame:
     """R2: every row turned into exactly ``n`` rows, one per slot (1-based).
@@ -34,6 +41,4 @@ def array_slots(df: DataFrame, arr: str, n: int = 5, slot_col: str = "slot",
     idx = F.sequence(F.lit(1), F.lit(n))
     rest = [c for c in df.columns if c != arr]
     out = df.select(*rest, F.col(arr).alias("__arr"), F.explode(idx).alias(slot_col))
-    v = F.try_element_at(F.col("__arr"), F.col(slot_col))
-    return (out.withColumn(value_col, F.when(F.trim(v) == "", F.lit(blank_as)).otherwise(v))
-               .drop("__arr"))
+    return out.withColumn(value_col, slot_value("__arr", F.col(slot_col), blank_as)).drop("__arr")

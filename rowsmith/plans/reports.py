@@ -116,13 +116,17 @@ def slots_with_separators(df: DataFrame, group_key: str, code: Column, grade: Co
     Output (group_key, seq, code, grade, country, value): seq 1..n are the
     slots, seq n+1 the separator (fixed text in every column), so sorting on
     (group_key, seq) gives the listing with a separator after each group.
+    One pass: a single generator emits the n slots and the separator row.
     """
-    base = df.select(C(group_key), code.alias("code"), grade.alias("grade"), country.alias("country"), C(arr))
-    slots = arrays.array_slots(base, arr, n, slot_col="seq", value_col="value")
-    seps = df.select(C(group_key), F.lit(n + 1).alias("seq"), F.lit(SEPARATOR_CODE).alias("code"),
-                     F.lit(SEPARATOR_GRADE).alias("grade"), F.lit(SEPARATOR_COUNTRY).alias("country"),
-                     F.lit(SEPARATOR_VALUE).alias("value"))
-    return slots.select(group_key, "seq", "code", "grade", "country", "value").unionByName(seps)
+    rows = df.select(C(group_key), code.alias("__code"), grade.alias("__grade"), country.alias("__country"),
+                     C(arr).alias("__arr"), F.explode(F.sequence(F.lit(1), F.lit(n + 1))).alias("seq"))
+    sep = C("seq") == n + 1
+    return rows.select(
+        group_key, "seq",
+        F.when(sep, F.lit(SEPARATOR_CODE)).otherwise(C("__code")).alias("code"),
+        F.when(sep, F.lit(SEPARATOR_GRADE)).otherwise(C("__grade")).alias("grade"),
+        F.when(sep, F.lit(SEPARATOR_COUNTRY)).otherwise(C("__country")).alias("country"),
+        F.when(sep, F.lit(SEPARATOR_VALUE)).otherwise(arrays.slot_value("__arr", C("seq"))).alias("value"))
 
 
 def assignments(link: DataFrame, link_key: str, keys: DataFrame, key_col: str,
