@@ -67,3 +67,23 @@ def test_spans_on_bucketed_corpus_need_no_shuffle(spark):
     assert "Exchange" not in plan_of(spans)
     plain = text.find_spans(docs, "doc_id", "text", "th")
     assert spans.exceptAll(plain).count() == 0 and plain.exceptAll(spans).count() == 0
+
+
+def test_shuffled_plans_have_no_cartesian_or_nested_loop(spark):
+    """The plans the queries get at scale, with broadcasts off: every join is
+    still an equi-join on keys (sort-merge), never a cartesian product or a
+    nested loop, and no Python node appears."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        bad = {}
+        for name, fn in entry.queries().items():
+            p = plan_of(fn(spark, SF_SMALL))
+            hit = [f for f in FORBIDDEN if f in p]
+            if hit:
+                bad[name] = hit
+        assert bad == {}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
