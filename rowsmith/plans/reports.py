@@ -47,15 +47,20 @@ def org_chart(units: DataFrame, managers: DataFrame, staff: DataFrame) -> DataFr
     (NULL for a root), the manager's name and job or ``--TBH--`` and '' when
     the unit has none, and the head count (0 for an empty unit).
     """
-    with_parent = joins.join_parent(units, "node", "parent", ["name"], prefix="head_")
-    with_mgr = with_parent.join(managers, with_parent["node"] == managers["dept_no"], "left").drop("dept_no")
-    looked = joins.join_lookup_default(with_mgr, staff.select("emp_no", "full_name", "job_code"),
+    # joins keyed by the unit first (head count, manager link): one
+    # partitioning on the unit key serves both; outer joins are not reordered
+    # by the optimizer, so the order here is the plan's order
+    counted = aggregates.count_with_zero(units, "node", staff.select("dept_no"), "dept_no", "emp_cnt")
+    with_mgr = counted.join(managers, counted["node"] == managers["dept_no"], "left").drop("dept_no")
+    heads = units.select(C("node").alias("__head_key"), C("name").alias("head_dept"))
+    with_head = (with_mgr.join(heads, with_mgr["parent"] == heads["__head_key"], "left")
+                         .drop("__head_key"))
+    looked = joins.join_lookup_default(with_head, staff.select("emp_no", "full_name", "job_code"),
                                        "mngr_no", "emp_no",
                                        {"mngr_name": ("full_name", NO_MANAGER), "title": ("job_code", "")})
-    counted = aggregates.count_with_zero(looked, "node", staff.select("dept_no"), "dept_no", "emp_cnt")
-    return (counted.select(C("node").alias("dept_no"), C("head_name").alias("head_dept"),
-                           C("name").alias("department"), "mngr_name", "title", "emp_cnt")
-                   .orderBy("dept_no"))
+    return (looked.select(C("node").alias("dept_no"), "head_dept", C("name").alias("department"),
+                          "mngr_name", "title", "emp_cnt")
+                  .orderBy("dept_no"))
 
 
 def mail_label_lines(customer: Column, first: Column, last: Column, addr1: Column, addr2: Column,
