@@ -88,3 +88,22 @@ def test_audit_old_zero_gives_null_percent(spark):
     old = spark.createDataFrame([(1, 0.0)], "k int, s double")
     new = spark.createDataFrame([(1, 5.0)], "k int, s double")
     assert audit.audit_changes(old, new, ["k"], "s", dt.datetime(2000, 1, 1), "u").first()["percent_change"] is None
+
+
+def test_audit_update_equals_snapshot_diff_without_shuffle(spark):
+    import contextlib
+    import io
+    from rowsmith.plans import standins as si
+    from rowsmith.sources.tables import Catalog
+    old = si.orders_keyed(Catalog(spark, "/root/testdata/sf0.001"))
+    steps = si.price_update_steps()
+    new, trig = audit.audit_update(old, ["o_orderkey"], "price", steps, si.AS_OF, "auditor")
+    diff = audit.audit_changes(old, changes.update_sequence(old, steps), ["o_orderkey"], "price", si.AS_OF,
+                               "auditor")
+    assert trig.count() == diff.count() > 0
+    assert trig.exceptAll(diff).count() == 0 and diff.exceptAll(trig).count() == 0
+    assert new.columns == old.columns
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        trig.explain()
+    assert "Exchange" not in buf.getvalue() and "Join" not in buf.getvalue()
