@@ -79,14 +79,18 @@ def _pad_sql(expr: str, w: int) -> str:
 
 
 @query("fixed_width_report", "S5", f"""
-SELECT 0 AS line_no, {_pad_sql("'NAME'", 20)} || ' ' || {_pad_sql("'SEGMENT'", 15)} || ' ' || 'NATION' AS line
+SELECT CAST(0 AS BIGINT) AS line_no,
+       {_pad_sql("'NAME'", 20)} || ' ' || {_pad_sql("'SEGMENT'", 15)} || ' ' || 'NATION' AS line
 UNION ALL
-SELECT 1 AS line_no, {_pad_sql("coalesce(c_name, '')", 20)} || ' ' || {_pad_sql("coalesce(c_mktsegment, '')", 15)}
+SELECT row_number() OVER (ORDER BY c_name, c_custkey) AS line_no,
+       {_pad_sql("coalesce(c_name, '')", 20)} || ' ' || {_pad_sql("coalesce(c_mktsegment, '')", 15)}
        || ' ' || coalesce(CAST(c_nationkey AS VARCHAR), '') AS line
 FROM customer""")
 def fixed_width_report(spark, base):
+    """The customer listing as fixed-width text lines, heading first, data
+    lines numbered in name order."""
     c = tables.scan(spark, base, "customer")
-    return report_text.fixed_width_report(c, REPORT_COLS, REPORT_WIDTHS, REPORT_HEAD)
+    return report_text.fixed_width_report(c, REPORT_COLS, REPORT_WIDTHS, REPORT_HEAD, order_by=["c_name", "c_custkey"])
 
 
 # ============================================================================ F

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsmith.operators.positions import with_position
+
 
 def pad_right(c: Column, width: int) -> Column:
     """``%-Ns``: pad with blanks to ``width``; longer values are kept whole
@@ -26,22 +28,30 @@ def fixed_width_line(cols: Sequence[Column], widths: Sequence[int | None], sep:
 
 
 def fixed_width_report(df: DataFrame, columns: Sequence[str], widths: Sequence[int | None],
-                       heading: Sequence[str] | None = None, line_col: str = "line") -> DataFrame:
-    """Lines of the report, heading first. ``line_no`` is 0 for the heading
-    and 1 for every data line: the data lines keep no order of their own
-    (sort ``df`` and number it with ``positions.with_position`` if a
-    numbered listing is wanted)."""
-    body = df.select(F.lit(1).alias("line_no"),
-                     fixed_width_line([F.col(c) for c in columns], widths).alias(line_col))
+                       heading: Sequence[str] | None = None, line_col: str = "line",
+                       order_by: Sequence[Column | str] | None = None) -> DataFrame:
+    """Lines of the report: (line_no, line). The heading is line 0. With
+    ``order_by`` (a total order) the data lines are numbered 1..n in that
+    order by the distributed numbering of ``positions.with_position``;
+    without it every data line has line_no 1 and no order."""
+    line = fixed_width_line([F.col(c) for c in columns], widths).alias(line_col)
+    if order_by:
+        body = with_position(df, order_by, "__line_no", start=1).select(F.col("__line_no").alias("line_no"), line)
+    else:
+        body = df.select(F.lit(1).cast("long").alias("line_no"), line)
     if heading is None:
         return body
     spark = df.sparkSession
     head_row = spark.range(1).select(
-        F.lit(0).alias("line_no"),
+        F.lit(0).cast("long").alias("line_no"),
         fixed_width_line([F.lit(h) for h in heading], widths).alias(line_col))
     return head_row.unionByName(body)
 
 
-def write_text_report(lines: DataFrame, path: str, line_col: str = "line") -> None:
-    """Sink: one text line per row (``DataFrame.write.text``), overwriting."""
+def write_text_report(lines: DataFrame, path: str, line_col: str = "line", order_col: str = "line_no") -> None:
+    """Sink: one text line per row (``DataFrame.write.text``), overwriting.
+    Rows are range-sorted on ``order_col`` first, so the part files, read in
+    name order, give the report in order (no single-task merge)."""
+    if order_col in lines.columns:
+        lines = lines.orderBy(order_col)
     lines.select(line_col).write.mode("overwrite").text(path)

@@ -130,3 +130,16 @@ def test_stream_running_while_the_table_grows(spark):
         assert rows(new_rows.read_notices(spark, f"{root}/notices", "event_type")) == [("click", 2), ("error", 1)]
     finally:
         q.stop()
+
+
+def test_ordered_report_written_in_order(spark):
+    rows_in = [(f"name{i:03d}", f"seg{i % 3}", str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows_in, "last string, first string, ext string").repartition(5)
+    lines = report_text.fixed_width_report(df, ["last", "first", "ext"], [20, 15, None], ["LAST", "FIRST", "EXT"],
+                                           order_by=["last"])
+    assert sorted(r["line_no"] for r in lines.collect()) == list(range(201))
+    out = scratch_path(spark, "test-report-ordered")
+    report_text.write_text_report(lines, out)
+    text = "".join(open(f).read() for f in sorted(glob.glob(local_path(out) + "/part-*")))
+    got = text.splitlines()
+    assert got[0].startswith("LAST") and [g[:7] for g in got[1:]] == [f"name{i:03d}" for i in range(200)]
