@@ -45,7 +45,8 @@ def test_self_reference(spark):
 
 
 def test_range_violations_no_match_is_unknown(spark):
-    df = spark.createDataFrame([(1, "a", 5.0), (2, "a", 50.0), (3, "b", 1.0), (4, "a", None)], "id int, k string, v double")
+    df = spark.createDataFrame([(1, "a", 5.0), (2, "a", 50.0), (3, "b", 1.0), (4, "a", None)],
+                               "id int, k string, v double")
     ranges = spark.createDataFrame([("a", 1.0, 10.0)], "k string, lo double, hi double")
     assert rows(rules.range_violations(df, ranges, ["k"], "v", "lo", "hi"), "id") == [(2,)]
 

@@ -92,7 +92,8 @@ def test_load_computed_columns(spark):
     df = spark.createDataFrame([("Lee", "Ann", "1994-01-01", "1994-01-11")],
                                "last string, first string, ordered string, shipped string")
     schema = T.StructType([T.StructField("last", T.StringType()), T.StructField("first", T.StringType()),
-                           T.StructField("ordered", T.TimestampNTZType()), T.StructField("shipped", T.TimestampNTZType())])
+                           T.StructField("ordered", T.TimestampNTZType()),
+                           T.StructField("shipped", T.TimestampNTZType())])
     out = tables.load_with_defaults(df, schema, computed={
         "full_name": scalars.concat_null(F.col("last"), ", ", F.col("first")),
         "aged": dates.days_between("ordered", "shipped")}).first()
