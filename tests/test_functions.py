@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rowsmith.functions import arrays, dates, scalars
@@ -95,3 +97,17 @@ def test_days_between_ignores_session_time_zone(spark):
         assert [r[0] for r in df.select(dates.days_between("a", "b")).collect()] == [1.0, 1.0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.dates(min_value=dt.date(1950, 1, 1), max_value=dt.date(2049, 12, 31)), min_size=1, max_size=30),
+       st.lists(st.text(alphabet="0123456789/ x", max_size=10), max_size=10))
+def test_parse_mdy_round_trip_and_garbage(spark, days, junk):
+    """Every date of the pivot window survives MM/dd/yy and back; any other
+    text gives a valid date or NULL, never an error."""
+    df = spark.createDataFrame([(dt.datetime(d.year, d.month, d.day),) for d in days], "ts timestamp_ntz")
+    out = df.select("ts", dates.parse_mdy(dates.format_mdy("ts"), pivot=50).alias("back")).collect()
+    assert all(r["ts"] == r["back"] for r in out)
+    g = spark.createDataFrame([(j,) for j in junk] or [("",)], "t string")
+    parsed = [r[0] for r in g.select(dates.parse_mdy("t")).collect()]
+    assert all(p is None or isinstance(p, dt.datetime) for p in parsed)
