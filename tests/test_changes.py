@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rowsmith.operators import audit, changes, rules
@@ -107,3 +109,41 @@ def test_audit_update_equals_snapshot_diff_without_shuffle(spark):
     with contextlib.redirect_stdout(buf):
         trig.explain()
     assert "Exchange" not in buf.getvalue() and "Join" not in buf.getvalue()
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(1, 500)), st.text(alphabet="abc", min_size=1, max_size=4)),
+                min_size=1, max_size=40, unique_by=lambda t: (t[0] if t[0] is not None else object(), t[1])))
+def test_assign_keys_properties(spark, recs):
+    given_keys = [k for k, _ in recs if k is not None]
+    if len(set(given_keys)) != len(given_keys):
+        return  # keys must be unique where given (a primary key)
+    names = [n for _, n in recs]
+    recs = [(k, f"{n}-{i}") for i, (k, n) in enumerate(recs)]  # names unique: a total order
+    df = spark.createDataFrame(recs, "k long, name string")
+    out = dict((r["name"], r["k"]) for r in changes.assign_keys(df, "k", ["name"]).collect())
+    mark = max(given_keys, default=0)
+    missing = sorted(n for k, n in recs if k is None)
+    assert [out[n] for n in missing] == list(range(mark + 1, mark + 1 + len(missing)))
+    assert all(out[n] == k for k, n in recs if k is not None)
+    assert len(set(out.values())) == len(out) == len(names)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.sets(st.integers(1, 30), min_size=1, max_size=15), st.sets(st.integers(1, 40), max_size=15),
+       st.lists(st.integers(1, 40), max_size=20), st.lists(st.integers(1, 40), max_size=20))
+def test_cascade_delete_properties(spark, parent_keys, wanted, blocker_refs, child_refs):
+    parent = spark.createDataFrame([(k,) for k in sorted(parent_keys)], "k int")
+    keys = spark.createDataFrame([(k,) for k in sorted(wanted)] or [(None,)], "k int").where("k IS NOT NULL")
+    blockers = spark.createDataFrame([(b,) for b in blocker_refs] or [(None,)], "b int")
+    child = spark.createDataFrame([(i, c) for i, c in enumerate(child_refs)] or [(0, None)], "id int, k int")
+    new_parent, kids, refused, accepted = changes.cascade_delete(
+        parent, "k", keys, "k", blockers, "b", {"child": (child, "k", "delete"), "soft": (child, "k", "nullify")})
+    ref = {r[0] for r in refused.collect()}
+    acc = {r[0] for r in accepted.collect()}
+    assert ref | acc == set(wanted) and not (ref & acc)
+    assert ref == set(wanted) & set(blocker_refs)
+    assert {r[0] for r in new_parent.collect()} == set(parent_keys) - acc
+    assert not ({r["k"] for r in kids["child"].collect()} & acc)
+    assert not ({r["k"] for r in kids["soft"].collect()} & acc)
+    assert kids["soft"].count() == child.count()
