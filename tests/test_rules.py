@@ -1,5 +1,7 @@
 """C1-C10 integrity checks (N5: only FALSE violates)."""
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rowsmith.operators import rules
@@ -76,3 +78,29 @@ def test_domains_length_check_and_not_null(spark):
     assert DOMAINS["budget"].default == 50000 and DOMAINS["prodtype"].default == "software"
     num = spark.createDataFrame([(1992,), (1993,), (None,)], "y int")
     assert rules.rule_counts(num, [column_rule("y", "fiscal_year")]).first()[1:] == (1, 1)
+
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-5, 5)), st.one_of(st.none(), st.integers(-5, 5))),
+                min_size=1, max_size=40),
+       st.integers(-5, 5), st.integers(-5, 5))
+def test_rules_match_three_valued_logic(spark, data, t1, t2):
+    """Counts and offending rows against Python: a rule on NULL is unknown,
+    unknown passes, only FALSE violates."""
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(data)], "id int, a int, b int")
+    rs = [Rule("a_gt", F.col("a") > t1), Rule("a_lt_b", F.col("a") < F.col("b")), Rule("b_ne", F.col("b") != t2)]
+
+    def ev(name, a, b):
+        if name == "a_gt":
+            return None if a is None else a > t1
+        if name == "a_lt_b":
+            return None if a is None or b is None else a < b
+        return None if b is None else b != t2
+
+    want_counts = sorted((n, sum(ev(n, a, b) is False for a, b in data), sum(ev(n, a, b) is None for a, b in data))
+                         for n in ("a_gt", "a_lt_b", "b_ne"))
+    assert rows(rules.rule_counts(df, rs)) == want_counts
+    want_rows = sorted((i, n) for i, (a, b) in enumerate(data) for n in ("a_gt", "a_lt_b", "b_ne")
+                       if ev(n, a, b) is False)
+    assert rows(rules.violations(df, rs, ["id"])) == want_rows
