@@ -111,7 +111,7 @@ def test_audit_update_equals_snapshot_diff_without_shuffle(spark):
     assert "Exchange" not in buf.getvalue() and "Join" not in buf.getvalue()
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(1, 500)), st.text(alphabet="abc", min_size=1, max_size=4)),
                 min_size=1, max_size=40, unique_by=lambda t: (t[0] if t[0] is not None else object(), t[1])))
 def test_assign_keys_properties(spark, recs):
@@ -129,7 +129,7 @@ def test_assign_keys_properties(spark, recs):
     assert len(set(out.values())) == len(out) == len(names)
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.sets(st.integers(1, 30), min_size=1, max_size=15), st.sets(st.integers(1, 40), max_size=15),
        st.lists(st.integers(1, 40), max_size=20), st.lists(st.integers(1, 40), max_size=20))
 def test_cascade_delete_properties(spark, parent_keys, wanted, blocker_refs, child_refs):

@@ -90,7 +90,7 @@ def test_deep_chain_and_branches(spark):
     assert sorted(got) == brute_rollup(data)
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.one_of(st.none(), st.integers(0, 12).map(lambda x: x / 4))),
                 min_size=1, max_size=40))
 def test_random_forests_match_walk(spark, links):
