@@ -218,7 +218,9 @@ def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     Kinds: not_null (C1), primary_key (C2), unique (C3), foreign_key (C4/C5;
     a self reference is C6), check (domain, column and row rules, C7/C8;
-    unknown passes), salary_range (C9), on_hold (C10). A reference to a
+    unknown passes), salary_range (C9), on_hold (C10). ``n_violations``
+    counts NULL values for not_null, duplicated key values for primary_key
+    and unique, and offending rows for every other kind. A reference to a
     table that is not given is skipped.
     """
     parts: list[DataFrame] = []
