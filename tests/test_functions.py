@@ -44,9 +44,10 @@ def test_percent_change(spark):
 
 
 def test_int_functions_widen_before_overflow(spark):
-    df = spark.createDataFrame([(6, 2), (2147483647, 1), (-3, None)], "k int, l int")
+    df = spark.createDataFrame([(6, 2), (2147483647, 1), (-3, None), (0, 0), (-2147483648, 1)], "k int, l int")
     got = df.select(scalars.int_add("k", "l"), scalars.int_sub("k", "l"), scalars.int_double("k")).collect()
-    assert [tuple(r) for r in got] == [(8, 4, 12), (2147483648, 2147483646, 4294967294), (None, None, -6)]
+    assert [tuple(r) for r in got] == [(8, 4, 12), (2147483648, 2147483646, 4294967294), (None, None, -6),
+                                       (0, 0, 0), (-2147483647, -2147483649, -4294967296)]
 
 
 def test_parse_mdy_pivot(spark):
