@@ -173,6 +173,8 @@ SELECT o.o_orderkey,
               AND r.o_orderpriority = o.o_orderpriority AND r.o_year = o.o_year) AS DOUBLE) AS max_price
 FROM okeyed o"""))
 def scalar_subquery(spark, base):
+    """Each order's allowed price range by its (status, priority, year) key, as a
+    correlated scalar look-up (NULL where the key has no range row)."""
     cat = Catalog(spark, base)
     out = predicates.scalar_lookup(si.orders_keyed(cat), si.price_ranges(cat),
                                    ["o_orderstatus", "o_orderpriority", "o_year"], ["min_price", "max_price"])
@@ -237,6 +239,8 @@ SELECT m.dept_no,
        CASE WHEN m.mngr_no IS NULL THEN '' ELSE s.job_code END AS title
 FROM managers m LEFT JOIN staff s ON s.emp_no = m.mngr_no"""))
 def join_lookup_default(spark, base):
+    """Each unit's manager name and job, or the fallback when it has no
+    manager; a manager id with no employee row gives NULL."""
     cat = Catalog(spark, base)
     return joins.join_lookup_default(managers(cat), staff(cat), "mngr_no", "emp_no",
                                      {"mngr_name": ("full_name", "--TBH--"), "title": ("job_code", "")}) \
@@ -248,6 +252,7 @@ SELECT o.o_orderkey, o.o_year, CAST(r.min_price AS DOUBLE) AS min_price, CAST(r.
 FROM okeyed o JOIN ranges r
   ON r.o_orderstatus = o.o_orderstatus AND r.o_orderpriority = o.o_orderpriority AND r.o_year = o.o_year"""))
 def join_composite(spark, base):
+    """Orders joined to their price range on the three-part key."""
     cat = Catalog(spark, base)
     out = joins.join_composite(si.orders_keyed(cat), si.price_ranges(cat),
                                ["o_orderstatus", "o_orderpriority", "o_year"])
@@ -297,6 +302,8 @@ SELECT parent,
        count(value) AS n_values
 FROM ctree WHERE parent IS NOT NULL GROUP BY parent"""))
 def agg_sub_totals(spark, base):
+    """Total, average, smallest and largest balance of the children of every
+    parent in the customer tree (all parents at once)."""
     t = si.customer_tree(Catalog(spark, base)).where(F.col("parent").isNotNull())
     return aggregates.sub_totals(t, "parent", "value")
 
@@ -317,6 +324,7 @@ FROM (SELECT DISTINCT source FROM documents) s
 LEFT JOIN (SELECT d.source, count(*) AS n FROM labels l JOIN documents d ON d.doc_id = l.doc_id
            WHERE l.toxic = 1 GROUP BY d.source) n ON n.source = s.source""")
 def agg_count_with_zero(spark, base):
+    """Toxic labels per document source; sources without any show 0."""
     cat = Catalog(spark, base)
     docs = cat.documents.select("doc_id", "source")
     toxic = cat.labels.where(F.col("toxic") == 1).join(docs, "doc_id").select("source")
@@ -335,6 +343,8 @@ SELECT a.node, CAST(CAST(a.value AS DECIMAL(12,2)) AS DOUBLE) AS own_value,
 FROM closure c JOIN ptree a ON a.node = c.anc JOIN ptree d ON d.node = c.node
 GROUP BY a.node, a.value""")
 def agg_tree_rollup(spark, base):
+    """Every part's own value plus the values of all parts below it in the
+    part tree."""
     return hierarchy.tree_rollup(si.part_tree(Catalog(spark, base)), "node", "parent", "value")
 
 
@@ -386,6 +396,8 @@ FROM (SELECT o_orderkey, o_orderdate, strftime(o_orderdate, '%m/%d/%y') AS txt,
              CAST(split_part(strftime(o_orderdate, '%m/%d/%y'), '/', 3) AS INTEGER) AS yy
       FROM orders) t""")
 def fn_parse_date(spark, base):
+    """Order dates written as MM/dd/yy text and read back with the year pivot;
+    ``round_trip`` says the parsed date equals the original."""
     o = tables.scan(spark, base, "orders").select("o_orderkey", "o_orderdate",
                                                   dates.format_mdy("o_orderdate").alias("order_date_text"))
     parsed = dates.parse_mdy("order_date_text", pivot=50)
@@ -436,6 +448,8 @@ FROM (SELECT o_orderkey, price,
              CAST(round(price * CAST('1.075' AS DECIMAL(9,4)), 2) AS DECIMAL(12,2)) AS raised
       FROM okeyed) t"""))
 def fn_decimal_math(spark, base):
+    """Prices raised by 7.5% in exact decimals (rounded half up), and the
+    percent change between old and new."""
     o = si.orders_keyed(Catalog(spark, base))
     raised = scalars.raise_by_percent("price", "7.5")
     o = o.select("o_orderkey", "price", raised.alias("raised"))
@@ -476,6 +490,8 @@ SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[64] A
        CAST(embedding[65] AS DOUBLE) AS value_65
 FROM embeddings""")
 def array_element(spark, base):
+    """1-based subscripts of each embedding: the first, the last, and one past
+    the end (NULL)."""
     e = tables.scan(spark, base, "embeddings")
     return e.select("vec_id", arrays.element("embedding", 1).cast("double").alias("first_value"),
                     arrays.element("embedding", 64).cast("double").alias("value_64"),
@@ -487,5 +503,6 @@ SELECT p_partkey, CAST(s.slot AS INTEGER) AS slot,
        CASE WHEN trim(words[s.slot]) = '' THEN 'NULL' ELSE words[s.slot] END AS value
 FROM pwords, (SELECT unnest(range(1, 6)) AS slot) s"""))
 def array_slots(spark, base):
+    """The five name-word slots of every part as rows."""
     w = si.part_words(Catalog(spark, base)).select("p_partkey", "words")
     return arrays.array_slots(w, "words", 5)
