@@ -24,6 +24,7 @@ SELECT c_custkey, c_name, c_acctbal,
        CASE WHEN c_acctbal < 0 THEN 'ON HOLD' ELSE c_mktsegment END AS c_mktsegment
 FROM customer""")
 def update_where(spark, base):
+    """Customers with a negative balance have their segment set to ON HOLD."""
     c = tables.scan(spark, base, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     return changes.update_where(c, "c_mktsegment", C("c_acctbal") < 0, "ON HOLD")
 
@@ -31,6 +32,8 @@ def update_where(spark, base):
 @query("update_sequence", "M2", with_ctes(si.ORDERS_KEYED_SQL, si.PRICE_UPDATES_SQL, body="""
 SELECT o_orderkey, CAST(price AS DOUBLE) AS price FROM s4"""))
 def update_sequence(spark, base):
+    """The four ordered price updates over all orders; later steps read the
+    prices earlier steps wrote."""
     o = si.orders_keyed(Catalog(spark, base))
     new = changes.update_sequence(o, si.price_update_steps())
     return new.select("o_orderkey", C("price").cast("double").alias("price"))
@@ -158,6 +161,7 @@ LI_GAPS_SQL = """li AS (
 @query("check_not_null", "C1", with_ctes(LI_GAPS_SQL, body="\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM li" for c in LINEITEM_COLS)))
 def check_not_null(spark, base):
+    """NULL count of every lineitem column, in one pass."""
     return rules.null_counts(lineitem_with_gaps(Catalog(spark, base)), LINEITEM_COLS)
 
 
@@ -165,6 +169,7 @@ def check_not_null(spark, base):
 SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def check_primary_key(spark, base):
+    """(order, line number) values held by more than one lineitem row."""
     return rules.duplicate_keys(tables.scan(spark, base, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
@@ -201,6 +206,7 @@ SELECT o_orderkey, o_orderstatus, o_orderpriority, o_year FROM okeyed o
 WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.o_orderstatus = o.o_orderstatus
                   AND r.o_orderpriority = o.o_orderpriority AND r.o_year = o.o_year)"""))
 def check_foreign_key_composite(spark, base):
+    """Orders whose (status, priority, year) key has no price-range row."""
     cat = Catalog(spark, base)
     keys = ["o_orderstatus", "o_orderpriority", "o_year"]
     return rules.orphans(si.orders_keyed(cat), keys, si.price_ranges(cat), keys) \
@@ -321,6 +327,8 @@ FROM okeyed o JOIN ranges r
   ON r.o_orderstatus = o.o_orderstatus AND r.o_orderpriority = o.o_orderpriority AND r.o_year = o.o_year
 WHERE NOT coalesce(o.price BETWEEN r.min_price AND r.max_price, true)"""))
 def check_lookup_range(spark, base):
+    """Orders priced outside the range of their key (no range row: unknown,
+    not a violation)."""
     cat = Catalog(spark, base)
     out = rules.range_violations(si.orders_keyed(cat), si.price_ranges(cat),
                                  ["o_orderstatus", "o_orderpriority", "o_year"], "price", "min_price", "max_price")
@@ -332,6 +340,7 @@ SELECT s.o_orderkey, s.o_custkey FROM sales s
 WHERE s.order_status = 'shipped'
   AND EXISTS (SELECT 1 FROM cust c WHERE c.c_custkey = s.o_custkey AND c.on_hold = '*')"""))
 def check_cross_table(spark, base):
+    """Shipped orders of customers on hold."""
     cat = Catalog(spark, base)
     s = si.sales(cat)
     held = si.held_customers(cat)

@@ -38,6 +38,8 @@ LEFT JOIN managers m ON m.dept_no = d.node
 LEFT JOIN staff s ON s.emp_no = m.mngr_no
 ORDER BY d.node"""))
 def report_org_chart(spark, base):
+    """One row per unit of the customer tree: parent name, unit, manager or
+    the fallback, title, head count."""
     cat = Catalog(spark, base)
     units = si.customer_tree(cat).select("node", "parent", "name")
     return reports.org_chart(units, managers(cat), staff(cat))
@@ -92,6 +94,7 @@ SELECT c_custkey,
        CASE WHEN coalesce(country = 'USA', false) THEN '' ELSE country || '    ' || postal_code END AS line6
 FROM contacts"""))
 def report_mail_labels(spark, base):
+    """The six mailing-label lines of every customer."""
     return reports.mail_labels(mail_contacts(Catalog(spark, base)), "c_custkey")
 
 
@@ -105,6 +108,7 @@ SELECT s.o_orderkey, s.o_custkey,
             ELSE '{reports.SHIP}' END AS decision
 FROM sales s LEFT JOIN cust c ON c.c_custkey = s.o_custkey"""))
 def report_ship_decision(spark, base):
+    """The ship decision for every order, as of the fixed date."""
     cat = Catalog(spark, base)
     return reports.ship_decisions(si.sales(cat), si.held_customers(cat).select("c_custkey", "on_hold"), si.AS_OF)
 
@@ -118,6 +122,7 @@ SELECT p_partkey, 6, '{reports.SEPARATOR_CODE}', '{reports.SEPARATOR_GRADE}', '{
        '{reports.SEPARATOR_VALUE}'
 FROM pwords"""))
 def report_slots_with_separators(spark, base):
+    """The five name-word slots of every part with a separator row after each."""
     w = si.part_words(Catalog(spark, base))
     return reports.slots_with_separators(w, "p_partkey", C("p_partkey").cast("string"), C("p_type"), C("p_brand"),
                                          "words") \
@@ -153,6 +158,7 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS match_no,
             + (i - 1) * {len(NEEDLE)} + {len(NEEDLE)} AS BIGINT) AS "end"
 FROM p WHERE i < n""")
 def text_find_spans(spark, base):
+    """Every match of the needle in every document, as character spans."""
     docs = tables.scan(spark, base, "documents", ["doc_id", "text"])
     return text.find_spans(docs, "doc_id", "text", NEEDLE)
 
@@ -160,6 +166,7 @@ def text_find_spans(spark, base):
 @query("text_highlight", "T2", f"""
 SELECT doc_id, replace(text, '{NEEDLE}', '{text.MARK_OPEN}{NEEDLE}{text.MARK_CLOSE}') AS marked FROM documents""")
 def text_highlight(spark, base):
+    """Every document with each match wrapped in the marks."""
     docs = tables.scan(spark, base, "documents", ["doc_id", "text"])
     return docs.select("doc_id", text.highlight("text", NEEDLE).alias("marked"))
 
