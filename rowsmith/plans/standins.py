@@ -26,7 +26,6 @@ from rowsmith.sources.tables import Catalog
 # Fixed parameters of the stand-ins and of the jobs run on them.
 AS_OF = dt.datetime(2000, 1, 1)
 AS_OF_SQL = "TIMESTAMP '2000-01-01 00:00:00'"
-STATUS_NAMES = {"F": "shipped", "O": "open", "P": "waiting"}
 UNPAID_PRIORITIES = ("4-NOT SPECIFIED", "5-LOW")
 UNMANAGED_SEGMENT = "MACHINERY"
 LOST_PARENT_SEGMENT = "AUTOMOBILE"
