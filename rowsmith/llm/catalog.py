@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from rowsmith.llm.mixing import OP5_SQL, op5_mixing
 from rowsmith.llm.quality_rules import op10_quality_rules
+from rowsmith.llm.reply_trees import OP6_SQL, op6_reply_trees
+from rowsmith.llm.url_rules import OP3_SQL, op3_url_rules
+from rowsmith.llm.vector_packing import op2_vector_packing
 
 QUERIES = {
+    "op2_vector_packing": op2_vector_packing,
+    "op3_url_rules": op3_url_rules,
+    "op5_mixing": op5_mixing,
+    "op6_reply_trees": op6_reply_trees,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_rules": OP3_SQL,
+    "op5_mixing": OP5_SQL,
+    "op6_reply_trees": OP6_SQL,
+}

@@ -1,4 +1,12 @@
 import os
+import random
 import sys
 
+import pytest
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture()
+def rng():
+    return random.Random(7)

@@ -1,0 +1,63 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+
+from conftest_llm import SMALL, documents, words
+from rowsmith.llm.vector_packing import op2_vector_packing, pack, place
+
+
+def gapless(rows):
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return slots
+
+
+def test_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    rows = op2_vector_packing(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    gapless(rows)
+    load = defaultdict(int)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        assert 0 <= r.shard < 16
+        load[r.shard] += r.size
+    largest = max(r.size for r in rows)
+    assert max(load.values()) - min(load.values()) <= largest
+
+
+def test_groups_stay_together_unless_hot(spark, rng):
+    twins = [words(rng, 40) for _ in range(30)]
+    hot = words(rng, 60)
+    docs = documents(spark, [words(rng, rng.randint(1, 80)) for _ in range(3000)] + twins + twins + [hot] * 2000)
+    rows = pack(docs, 4, ["doc_id", "text"]).collect()
+    slots = gapless(rows)
+    shards = defaultdict(set)
+    load = defaultdict(int)
+    for r in rows:
+        shards[r.text].add(r.shard)
+        load[r.shard] += r.size
+    assert all(len(shards[t]) == 1 for t in twins) and len(shards[hot]) == 4
+    assert max(load.values()) - min(load.values()) <= 0.001 * sum(load.values())
+    assert max(map(len, slots.values())) < 1.1 * min(map(len, slots.values()))
+
+
+def test_edges(spark):
+    docs = documents(spark, [(1, None), (1, None), (2, ""), (3, "ü"), (None, "x"), (None, "x"), (7, "long " * 50_000)])
+    rows = pack(docs, 3, docs.columns).collect()
+    assert len(rows) == 7 and sorted(r["size"] for r in rows) == [1, 1, 1, 2, 2, 3, 250_001]
+    gapless(rows)
+    assert pack(docs.limit(0), 3, ["doc_id"]).count() == 0
+
+
+def test_dot_product_balances_all_dimensions():
+    rng = np.random.default_rng(1)
+    items = np.stack([rng.lognormal(5, 1, 4000), rng.lognormal(3, 1, 4000), np.ones(4000)], axis=1)
+    shard = place(items, 8)
+    for d in range(3):
+        load = np.bincount(shard, weights=items[:, d], minlength=8)
+        assert load.max() < 1.02 * load.min()
