@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from rowsmith.llm.decontaminate import OP8_SQL, op8_decontaminate
+from rowsmith.llm.language_id import op1_language_id
 from rowsmith.llm.mixing import OP5_SQL, op5_mixing
+from rowsmith.llm.quality_classifier import op9_quality_classifier
 from rowsmith.llm.quality_rules import op10_quality_rules
 from rowsmith.llm.reply_trees import OP6_SQL, op6_reply_trees
 from rowsmith.llm.url_rules import OP3_SQL, op3_url_rules
 from rowsmith.llm.vector_packing import op2_vector_packing
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_vector_packing": op2_vector_packing,
     "op3_url_rules": op3_url_rules,
     "op5_mixing": op5_mixing,
     "op6_reply_trees": op6_reply_trees,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -20,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_rules": OP3_SQL,
     "op5_mixing": OP5_SQL,
     "op6_reply_trees": OP6_SQL,
+    "op8_decontaminate": OP8_SQL,
 }
