@@ -38,26 +38,36 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Depth (1 at the root) and path score of every message, and the pointer tables: the k-th leads 2^k messages up."""
+    """Depth (1 at the root) and path score of every message, and the pointer tables: the k-th leads 2^k messages up.
+
+    Only messages whose pointer has not passed the root take part in a round; the others are settled.
+    """
     n = nodes.count()
-    state = stored(nodes.select("conv", "id", "parent", F.lit(1).cast("long").alias("depth"),
-                                F.col("score").alias("total")), "reply_state")
-    pointers, reach = [], 1
+    state = nodes.select("conv", "id", "parent", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    settled, pointers, reach = [], [], 1
     while True:
-        live = state.where(F.col("parent").isNotNull()).select("conv", "id", "parent")
+        settled.append(state.where(F.col("parent").isNull()))
+        live = state.where(F.col("parent").isNotNull())
         if live.isEmpty():
-            return state.select("conv", "id", "depth", "total"), pointers
+            return _union(settled).select("conv", "id", "depth", "total"), pointers
         if reach > n:
             raise ValueError("replies run in a circle")
-        pointers.append(live)
-        up = state.select(F.col("conv").alias("up_conv"), F.col("id").alias("up_id"), F.col("parent").alias("up_parent"),
-                          F.col("depth").alias("up_depth"), F.col("total").alias("up_total"))
-        moved = (state.where(F.col("parent").isNotNull())
-                 .join(up, F.col("conv").eqNullSafe(F.col("up_conv")) & (F.col("parent") == F.col("up_id")))
-                 .select("conv", "id", F.col("up_parent").alias("parent"), (F.col("depth") + F.col("up_depth")).alias("depth"),
-                         (F.col("total") + F.col("up_total")).alias("total")))
-        state = stored(state.where(F.col("parent").isNull()).unionByName(moved), "reply_state")
+        pointers.append(live.select("conv", "id", "parent"))
+        up = _union([*settled, live]).select(
+            F.col("conv").alias("up_conv"), F.col("id").alias("up_id"), F.col("parent").alias("up_parent"),
+            F.col("depth").alias("up_depth"), F.col("total").alias("up_total"))
+        state = stored(live.join(up, F.col("conv").eqNullSafe(F.col("up_conv")) & (F.col("parent") == F.col("up_id")))
+                       .select("conv", "id", F.col("up_parent").alias("parent"),
+                               (F.col("depth") + F.col("up_depth")).alias("depth"),
+                               (F.col("total") + F.col("up_total")).alias("total")), "reply_state")
         reach *= 2
 
 
@@ -81,15 +91,16 @@ def chosen_paths(nodes: DataFrame, n_paths: int | None) -> DataFrame:
     if n_paths is not None:
         best = Window.partitionBy("conv").orderBy(F.desc("total"), F.desc("depth"), "id")
         leaves = leaves.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n_paths)
-    # one row for each step up; the bits of the number of steps say which pointers to follow
-    rows = leaves.select("conv", F.col("id").alias("leaf"), "id", "depth",
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("depth") - 1)).alias("steps"))
-    for k, pointer in enumerate(pointers):
-        to = pointer.select(F.col("conv").alias("p_conv"), F.col("id").alias("p_id"), F.col("parent").alias("to"))
-        on = (F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("id") == F.col("p_id"))
-              & (F.shiftright("steps", k).bitwiseAND(F.lit(1)) == 1))
-        rows = rows.join(to, on, "left").select("conv", "leaf", F.coalesce("to", "id").alias("id"), "depth", "steps")
-    return rows.select("conv", "leaf", "id", (F.col("depth") - F.col("steps")).alias("pos"))
+    leaves = stored(leaves.select("conv", "id", "depth"), "reply_leaves")
+    # from the longest pointers to the shortest: each round adds the messages 2^k above those known, each once
+    parts = [leaves.select("conv", F.col("id").alias("leaf"), "id", "depth", F.lit(0).cast("long").alias("steps"))]
+    for k in reversed(range(len(pointers))):
+        to = pointers[k].select(F.col("conv").alias("p_conv"), F.col("id").alias("p_id"), F.col("parent").alias("to"))
+        below = _union(parts).where(F.col("steps") + (1 << k) < F.col("depth"))
+        parts.append(stored(
+            below.join(to, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("id") == F.col("p_id")))
+            .select("conv", "leaf", F.col("to").alias("id"), "depth", (F.col("steps") + (1 << k)).alias("steps")), "reply_paths"))
+    return _union(parts).select("conv", "leaf", "id", (F.col("depth") - F.col("steps")).alias("pos"))
 
 
 def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: str, role_col: str, text_col: str,
