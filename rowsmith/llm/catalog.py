@@ -5,6 +5,7 @@ from __future__ import annotations
 from rowsmith.llm.decontaminate import OP8_SQL, op8_decontaminate
 from rowsmith.llm.language_id import op1_language_id
 from rowsmith.llm.mixing import OP5_SQL, op5_mixing
+from rowsmith.llm.ngram_jaccard import op7_ngram_jaccard
 from rowsmith.llm.quality_classifier import op9_quality_classifier
 from rowsmith.llm.quality_rules import op10_quality_rules
 from rowsmith.llm.reply_trees import OP6_SQL, op6_reply_trees
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_url_rules": op3_url_rules,
     "op5_mixing": op5_mixing,
     "op6_reply_trees": op6_reply_trees,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
