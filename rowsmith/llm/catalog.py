@@ -9,6 +9,7 @@ from rowsmith.llm.ngram_jaccard import op7_ngram_jaccard
 from rowsmith.llm.quality_classifier import op9_quality_classifier
 from rowsmith.llm.quality_rules import op10_quality_rules
 from rowsmith.llm.reply_trees import OP6_SQL, op6_reply_trees
+from rowsmith.llm.suffix_dedup import op4_suffix_dedup
 from rowsmith.llm.url_rules import OP3_SQL, op3_url_rules
 from rowsmith.llm.vector_packing import op2_vector_packing
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_vector_packing": op2_vector_packing,
     "op3_url_rules": op3_url_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mixing": op5_mixing,
     "op6_reply_trees": op6_reply_trees,
     "op7_ngram_jaccard": op7_ngram_jaccard,

@@ -1,0 +1,140 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from conftest_llm import SMALL, documents, words
+from rowsmith.llm import suffix_dedup
+from rowsmith.llm.suffix_dedup import _gaps, anchors_of, op4_suffix_dedup, remove
+from rowsmith.llm.suffix_runs import common, front_code, merge, read_run, sorted_ranges
+
+
+def brute(rows, length):
+    """(id, kept, bytes, removed bytes, removed runs) of each row."""
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    times = Counter(b[p:p + length] for _, b in raw for p in range(len(b) - length + 1))
+    out = []
+    for i, b in raw:
+        gone = [False] * len(b)
+        for p in range(len(b) - length + 1):
+            if times[b[p:p + length]] > 1:
+                gone[p:p + length] = [True] * length
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, bytes(x for x, g in zip(b, gone) if not g), len(b), sum(gone), runs))
+    return sorted(out, key=str)
+
+
+def found(docs, **how):
+    return sorted(((r.id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in remove(docs, **how).collect()), key=str)
+
+
+def test_query_matches_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = [(i, n, gone, runs, hashlib.sha256(kept).hexdigest()) for i, kept, n, gone, runs in brute(rows, 400)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op4_suffix_dedup(spark, SMALL).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def hard_texts(rng, n=60):
+    """Texts of pieces that meet at all offsets: shared passages, edits, periods, copies, parts of copies."""
+    piece = [words(rng, rng.randint(3, 20), 200) for _ in range(8)] + ["ab" * 40, "x" * 70, "é" * 30]
+    texts = []
+    for _ in range(n):
+        t = "".join(rng.choice(piece)[rng.randint(0, 15):] + words(rng, rng.randint(0, 3)) for _ in range(rng.randint(1, 5)))
+        texts.append(t)
+        if rng.random() < 0.3:
+            a, b = sorted(rng.choices(range(len(t) + 1), k=2))
+            texts.append(t[a:b] + rng.choice(["", "!", t[a:b]]))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hard_texts_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = list(enumerate(hard_texts(rng)))
+    for length, gram, size in ((24, 4, 60_000), (33, 8, 9)):
+        assert found(documents(spark, rows), length=length, gram=gram, range_size=size) == brute(rows, length)
+
+
+def test_edges(spark, rng):
+    passage = words(rng, 12, 10_000)
+    rows = [(1, None), (2, None), (3, ""), (4, "short"), (4, "short"), (None, passage), (None, "a" + passage), (5, "z" * 100),
+            (6, words(rng, 2000, 10 ** 6) + passage), (7, "é" * 40), (7, "é" * 40), (8, "x" * 29), (9, "y" * 31)]
+    assert found(documents(spark, rows), length=30, gram=8) == brute(rows, 30)
+    assert found(documents(spark, rows).limit(0)) == []
+    with pytest.raises(ValueError):
+        remove(documents(spark, rows), length=30, gram=7)
+
+
+def test_many_copies_and_a_common_passage(spark, rng):
+    passage = words(rng, 30, 10_000)
+    rows = list(enumerate([passage + " end"] * 200 + [words(rng, rng.randint(1, 9)) + passage + words(rng, 4) for _ in range(100)]))
+    assert found(documents(spark, rows).repartition(5), length=60, gram=8, range_size=20) == brute(rows, 60)
+
+
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice([97, 98, 32], n).astype(np.uint8)) for n in (0, 10, 39, 40, 41, 700, 3000)] + [b"a" * 500, b"ab" * 300]
+    plain = [[x.tolist() for x in s] for s in anchors_of(texts, 40, 8)]
+    assert plain == [[x.tolist() for x in s] for s in anchors_of(texts, 40, 8, chunk=1)]
+    monkeypatch.setattr(suffix_dedup, "_LOW", 8)
+    monkeypatch.setattr(suffix_dedup, "_MASK", np.uint64(255))
+    blocks = [[x.tolist() for x in next(iter(anchors_of([t], 40, 8)))] for t in texts]
+    for t, (first, anchor, last, _) in zip(texts, blocks):
+        assert first == ([0] + [x + 1 for x in last[:-1]] if first else []) and (not first or last[-1] == len(t) - 40)
+        assert all(a - 32 <= x and f <= a for f, a, x in zip(first, anchor, last))
+
+
+keys = st.lists(st.binary(max_size=12).map(lambda b: bytes(x % 3 for x in b)), max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(keys, min_size=1, max_size=9))
+def test_loser_tree_merges_and_knows_prefixes(runs):
+    tagged = [sorted((k, bytes([i, j])) for j, k in enumerate(run)) for i, run in enumerate(runs)]
+    assert [[(k, t) for k, t, _ in read_run(front_code(r))] for r in tagged] == tagged
+    out = list(merge([front_code(r) for r in tagged]))
+    assert [(k, t) for k, t, _ in out] == sorted(x for r in tagged for x in r)
+    last = b""
+    for k, _, n in out:
+        assert n == len(last[:n]) and last[:n] == k[:n] and last[n:n + 1] != k[n:n + 1] or last == k
+        last = k
+
+
+def test_loser_tree_compares_little(monkeypatch):
+    from rowsmith.llm import suffix_runs
+    rng = random.Random(2)
+    base = b"p" * 300
+    runs = [sorted((base + bytes(rng.choices(b"abcd", k=20)), b"") for _ in range(50)) for _ in range(8)]
+    blocks = [front_code(r) for r in runs]
+    seen = []
+    monkeypatch.setattr(suffix_runs, "common", lambda a, b, at=0: seen.append(n := common(a, b, at)) or seen.append(-at) or n)
+    assert len(list(suffix_runs.merge(blocks))) == 400
+    assert sum(seen) <= 400 * 60 + 8 * 330  # bytes passed over by comparisons: not 300 for each
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=200), st.binary(max_size=200), st.integers(0, 150))
+def test_common(a, b, n):
+    a, b = a[:n] + a, a[:n] + b
+    want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common(a, b) == want == common(a, b, want // 2)
+
+
+def test_ranges_meet_at_their_cuts(spark, rng):
+    data = sorted({words(rng, 2, 30).encode() for _ in range(300)})
+    rows = spark.createDataFrame([(bytearray(k), bytearray(k[:1])) for k in data], "key binary, tag binary").repartition(4)
+    parts = {}
+    for r in sorted_ranges(rows, "key", "tag", len(data), range_size=40, run_size=25).collect():
+        parts.setdefault(r.part, []).append(bytes(r.block))
+    merged = [[k for k, _, _ in merge(parts[p])] for p in sorted(parts)]
+    assert len(merged) > 3 and all(a[-1] == b[0] for a, b in zip(merged, merged[1:]))
+    assert merged[0] + [k for m in merged[1:] for k in m[1:]] == data
+
+
+def test_gaps():
+    assert _gaps(3, 9, []) == [3, 9] and _gaps(5, 4, []) == []
+    assert _gaps(3, 9, [5, 6, 1, 3]) == [4, 4, 7, 9] and _gaps(3, 9, [0, 20]) == []
