@@ -396,7 +396,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, n (size of its set), vertex (null: empty set), component (a vertex; null: empty set)."""
+    """Per document: id, text_hash, n (size of its set), vertex (null: empty set), component (a vertex; null: empty set)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     vertices = stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices")
     lists = stored(_lists(vertices), "jaccard_lists")
@@ -408,8 +408,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     more = stored(_checked(rest, sets, percent), "jaccard_links")
     if not more.isEmpty():
         comps = stored(components(links.unionByName(more)), "jaccard_components")
-    return (vertices.select("id", "n", "vertex").join(comps, "vertex", "left")
-            .select("id", "n", "vertex", F.coalesce("component", "vertex").alias("component")))
+    return (vertices.select("id", "text_hash", "n", "vertex").join(comps, "vertex", "left")
+            .select("id", "text_hash", "n", "vertex", F.coalesce("component", "vertex").alias("component")))
 
 
 def with_smallest_id(joined: DataFrame) -> DataFrame:
@@ -420,6 +420,25 @@ def with_smallest_id(joined: DataFrame) -> DataFrame:
             .select("id", "n", "vertex", F.coalesce("smallest", "id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, unchanged, without those that are linked with a row that stays.
+
+    Of each component the row with the smallest id stays (null ids last, then by a hash of the text; of rows equal in
+    both, one). Rows without words are linked with nothing and stay.
+    """
+    joined = join(docs, id_col, text_col, size, percent).where("component is not null")
+    first = (joined.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("doc"))
+             .select("doc.*").distinct())
+    key = lambda id_, hash_: [F.xxhash64(id_, id_.isNull()).alias("k1"), hash_.alias("k2")]
+    first = first.select(*key(F.col("id"), F.col("text_hash")), F.lit(True).alias("stays"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct("*").alias("row"), *key(F.col(id_col), F.xxhash64(text)),
+                       F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("has_words"))
+    left = rows.join(first, ["k1", "k2"], "left").where("stays OR NOT has_words")
+    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("has_words"))
+    return left.withColumn("place", place).where("NOT has_words OR place = 1").select("row.*")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
     out = with_smallest_id(join(table(spark, sf_dir, "documents")))
