@@ -44,7 +44,11 @@ def main(argv: list[str] | None = None) -> int:
         print("give --out PATH or --show N", file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession
-    spark = SparkSession.builder.appName(f"rowsmith-{a.query}").getOrCreate()
+    from rowsmith.session import DEFAULT_CONF
+    builder = SparkSession.builder.appName(f"rowsmith-{a.query}")
+    for k, v in DEFAULT_CONF.items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     df = specs[a.query].run(spark, a.tables)
     if a.show:
         df.show(a.show, truncate=False)

@@ -17,11 +17,19 @@ def element(arr: Column | str, index: int | Column) -> Column:
 
 
 def fixed_slots(arr: Column | str, n: int, fill: str = " ") -> Column:
-    """An array cut or padded with ``fill`` to exactly ``n`` slots; NULL stays
-    NULL (the array type of a fixed-length ``VARCHAR(15)[5]`` column)."""
+    """An array padded with ``fill`` to exactly ``n`` slots; NULL stays NULL
+    (the array type of a fixed-length ``VARCHAR(15)[5]`` column). An array of
+    more than ``n`` elements breaks the type and raises; ``fits_slots`` is the
+    rule that reports such rows."""
     a = _c(arr)
     pad = F.array_repeat(F.lit(fill), F.greatest(F.lit(n) - F.size(a), F.lit(0)))
-    return F.when(a.isNotNull(), F.slice(F.concat(a, pad), 1, n))
+    too_long = F.raise_error(F.concat(F.lit(f"array of more than {n} slots: "), F.size(a).cast("string")))
+    return F.when(a.isNotNull(), F.when(F.size(a) > n, too_long.cast("array<string>")).otherwise(F.concat(a, pad)))
+
+
+def fits_slots(arr: Column | str, n: int) -> Column:
+    """TRUE for an array of at most ``n`` elements, unknown for NULL: the CHECK of a fixed-length array column."""
+    return F.when(_c(arr).isNotNull(), F.size(_c(arr)) <= n)
 
 
 def slot_value(arr: Column | str, slot: Column, blank_as: str = "NULL") -> Column:
@@ -36,9 +44,12 @@ def array_slots(df: DataFrame, arr: str, n: int = 5, slot_col: str = "slot",
     """R2: every row turned into exactly ``n`` rows, one per slot (1-based).
 
     A slot holding only blanks reads as the text ``blank_as``; a NULL array
-    gives ``n`` rows with a NULL value (not the text).
+    gives ``n`` rows with a NULL value (not the text); one of more than ``n``
+    elements raises.
     """
     idx = F.sequence(F.lit(1), F.lit(n))
     rest = [c for c in df.columns if c != arr]
-    out = df.select(*rest, F.col(arr).alias("__arr"), F.explode(idx).alias(slot_col))
+    checked = F.when(F.size(arr) > n, F.raise_error(F.lit(f"array of more than {n} slots")).cast(df.schema[arr].dataType)) \
+               .otherwise(F.col(arr))
+    out = df.select(*rest, checked.alias("__arr"), F.explode(idx).alias(slot_col))
     return out.withColumn(value_col, slot_value("__arr", F.col(slot_col), blank_as)).drop("__arr")

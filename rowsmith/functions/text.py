@@ -6,15 +6,15 @@ last match ended, so ``aa`` occurs twice in ``aaaa``), offsets counted in
 characters (code points), 0-based, end exclusive. An empty needle finds
 nothing. Whole texts are searched.
 
-T1 runs on the JVM: ``split`` on the quoted needle cuts every text at its
-matches; ``posexplode`` of the piece lengths and a running sum per document
-give each match's start. The running sum is a window keyed by document, so
-the only shuffle carries (doc, piece no, piece length) triples, never texts.
+T1 runs row by row in Arrow batches, after the JVM has dropped the texts
+without a match: plain string search gives each text's matches in one linear
+pass, whatever their number, and nothing is shuffled. Rows are independent, so
+repeated ids do no harm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The marks placed around a highlighted match.
@@ -31,26 +31,29 @@ def quote_pattern(needle: str) -> str:
 def find_spans(df: DataFrame, id_col: str, text_col: str, needle: str) -> DataFrame:
     """Every match of ``needle`` in every text, as
     (``id_col``, match_no, start, end); match_no counts from 0 per text."""
-    spark = df.sparkSession
-    if not needle:
-        return spark.createDataFrame([], f"{id_col} long, match_no int, start long, end long")
+    import pyarrow as pa
+
     width = len(needle)
-    split = (df.where(F.col(text_col).contains(needle))
-               .select(F.col(id_col), F.split(F.col(text_col), quote_pattern(needle), -1).alias("__parts")))
-    # n pieces <-> n - 1 matches; match i follows piece i, so the last piece is
-    # never needed and is dropped before the shuffle.
-    # the outer generator: the optimizer adds no inferred ``size(split(..)) > 0``
-    # filter for it, which would split every text a second time; the filter
-    # below drops the NULL row it adds for an empty array
-    pieces = (split.select(id_col, F.size("__parts").alias("__n"),
-                           F.posexplode_outer("__parts").alias("__i", "__piece"))
-                   .where(F.col("__i") < F.col("__n") - 1)
-                   .select(id_col, "__i", F.length("__piece").cast("long").alias("__len")))
-    w = Window.partitionBy(id_col).orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # match i starts after pieces 0..i and after the i matches before it
-    spans = pieces.select(id_col, F.col("__i").alias("match_no"),
-                          (F.sum("__len").over(w) + F.col("__i") * F.lit(width)).alias("start"))
-    return spans.withColumn("end", F.col("start") + F.lit(width))
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, match_no int, start long, end long"
+    if not needle:
+        return df.sparkSession.createDataFrame([], schema)
+
+    def spans(batches, block=100_000):  # rows of one batch out, at most, but for one text's
+        for batch in batches:
+            rows, numbers, starts = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                text, at, n = text.as_py(), -width, 0
+                while (at := text.find(needle, at + width)) >= 0:
+                    rows.append(i), numbers.append(n), starts.append(at)
+                    n += 1
+                if len(rows) >= block or i == batch.num_rows - 1 and rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()),
+                         pa.array([s + width for s in starts], pa.int64())], [id_col, "match_no", "start", "end"])
+                    rows, numbers, starts = [], [], []
+
+    return df.where(F.col(text_col).contains(needle)).select(id_col, text_col).mapInArrow(spans, schema)
 
 
 def highlight(text: Column | str, needle: str, open_mark: str = MARK_OPEN,

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.operators.positions import with_position
+from rowsmith.session import require_unique
 
 
 def update_where(df: DataFrame, column: str, predicate: Column, value: Column | object) -> DataFrame:
@@ -37,7 +38,8 @@ def update_by_mapping(df: DataFrame, key: str, mapping: DataFrame, mapping_key:
     """M3: ``UPDATE t SET col = m.val WHERE t.key = m.key`` for a whole table
     of (key, value) pairs. ``assignments`` maps a target column to a mapping
     column. Rows with no mapping row keep their values; a mapping row whose
-    value is NULL does write NULL. ``mapping`` must be unique on its key."""
+    value is NULL does write NULL. A ``mapping`` that holds a key twice raises."""
+    require_unique(mapping, [mapping_key], "the mapping")
     m = mapping.select(F.col(mapping_key).alias("__mk"), F.lit(True).alias("__hit"),
                        *[F.col(src).alias("__m_" + dst) for dst, src in assignments.items()])
     joined = df.join(m, df[key] == m["__mk"], "left")
@@ -49,13 +51,19 @@ def update_by_mapping(df: DataFrame, key: str, mapping: DataFrame, mapping_key:
 def null_out_references(df: DataFrame, ref_col: str, removed: DataFrame, removed_key: str,
                         changed_col: str | None = None) -> DataFrame:
     """M4: set ``ref_col`` to NULL where it points at a removed key. With
-    ``changed_col``, a boolean column marks the rows this job cleared."""
-    r = removed.select(F.col(removed_key).alias("__rk")).distinct().withColumn("__gone", F.lit(True))
-    out = (df.join(r, df[ref_col] == r["__rk"], "left")
-             .withColumn(ref_col, F.when(F.col("__gone"), F.lit(None)).otherwise(F.col(ref_col))))
+    ``changed_col``, a boolean column marks the rows this job cleared.
+
+    Rows without a reference pass by the join; the others are split by a semi
+    and an anti join, which ignore repeats in ``removed``, so no aggregate
+    stands under a join and a hot key can be split at runtime."""
+    r = removed.select(F.col(removed_key).alias("__rk"))
+    on = df[ref_col] == r["__rk"]
+    null = F.lit(None).cast(df.schema[ref_col].dataType)
+    hit = df.join(r, on, "left_semi").withColumn(ref_col, null)
+    rest = df.where(F.col(ref_col).isNull()).unionByName(df.where(F.col(ref_col).isNotNull()).join(r, on, "left_anti"))
     if changed_col:
-        out = out.withColumn(changed_col, F.coalesce(F.col("__gone"), F.lit(False)))
-    return out.drop("__rk", "__gone")
+        hit, rest = hit.withColumn(changed_col, F.lit(True)), rest.withColumn(changed_col, F.lit(False))
+    return rest.unionByName(hit)
 
 
 def cascade_delete(parent: DataFrame, parent_key: str, keys: DataFrame, key_col: str,
@@ -91,40 +99,57 @@ def cascade_delete(parent: DataFrame, parent_key: str, keys: DataFrame, key_col:
     return new_parent, new_children, refused, accepted.select(F.col("__k").alias(key_col))
 
 
-def insert_checked(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame, str]],
-                   existing: DataFrame | None = None, key: Sequence[str] | None = None):
-    """M6: split rows to insert into accepted and rejected (with a reason).
+def insert_tagged(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame, str]],
+                  existing: DataFrame | None = None, key: Sequence[str] | None = None,
+                  order_by: Sequence[Column | str] | None = None) -> DataFrame:
+    """M6: the rows to insert with ``status``: ``accepted`` or the reason of refusal.
 
     ``parents`` maps a reason suffix to (reference column, parent frame,
-    parent key); a non-NULL reference with no parent row rejects the row
-    with ``unknown_<suffix>``. When ``existing`` and ``key`` are given, a row
-    whose key is already present, or present twice among the new rows, is
-    rejected with ``duplicate_key``. The first failing test gives the reason.
-    Returns (accepted, rejected).
+    parent key); a non-NULL reference with no parent row gives
+    ``unknown_<suffix>``. With ``existing`` and ``key``, rows are inserted one
+    by one in ``order_by`` order (all columns by default): the first row of a
+    key that passes the parent tests and is not present yet is accepted, later
+    ones give ``duplicate_key``. A row refused for its parent does not block
+    others of its key. A key with a NULL part is never a duplicate.
+
+    A parent key that occurs twice raises: so every test is one left join with
+    a plain table, and a hot key can be split at runtime.
     """
-    tagged = new_rows
-    reasons = []
+    tagged, failed = new_rows, F.lit(None).cast("string")
     for suffix, (ref, parent, pkey) in parents.items():
-        flag = f"__ok_{suffix}"
-        p = parent.select(F.col(pkey).alias(f"__p_{suffix}")).distinct().withColumn(flag, F.lit(True))
-        tagged = tagged.join(p, tagged[ref] == p[f"__p_{suffix}"], "left").drop(f"__p_{suffix}")
-        reasons.append((F.col(ref).isNotNull() & F.col(flag).isNull(), f"unknown_{suffix}"))
+        require_unique(parent, [pkey], f"the parent table of {suffix}")
+        p = parent.select(F.col(pkey).alias("__p"), F.lit(True).alias("__ok"))
+        tagged = tagged.join(p, tagged[ref] == p["__p"], "left")
+        failed = F.coalesce(failed, F.when(F.col(ref).isNotNull() & F.col("__ok").isNull(), F.lit(f"unknown_{suffix}")))
+        tagged = tagged.withColumn("__failed", failed).drop("__p", "__ok")
+        failed = F.col("__failed")
+    tagged = tagged.withColumn("__failed", failed)
+    status = F.col("__failed")
     if existing is not None and key:
         key = list(key)
-        # one aggregate over both key sets: present already? how many new rows?
-        stats = (existing.select(*key, F.lit(1).alias("__o"), F.lit(0).alias("__n"))
-                 .unionByName(new_rows.select(*key, F.lit(0).alias("__o"), F.lit(1).alias("__n")))
-                 .groupBy(*key).agg(F.max("__o").alias("__dup_old"), F.sum("__n").alias("__dup_new")))
-        tagged = tagged.join(stats, on=key, how="left")  # a NULL key part never matches: never a duplicate
-        reasons.append(((F.col("__dup_old") == 1) | (F.col("__dup_new") > 1), "duplicate_key"))
-    reason = None
-    for cond, text in reasons:
-        reason = F.when(cond, F.lit(text)) if reason is None else reason.when(cond, F.lit(text))
-    tagged = tagged.withColumn("reason", reason if reason is not None else F.lit(None).cast("string"))
-    out_cols = list(new_rows.columns)
-    accepted = tagged.where(F.col("reason").isNull()).select(*out_cols)
-    rejected = tagged.where(F.col("reason").isNotNull()).select(*out_cols, "reason")
-    return accepted, rejected
+        require_unique(existing, key, "the table")
+        have = existing.select(*key, F.lit(True).alias("__have"))
+        tagged = tagged.join(have, on=key, how="left")
+        whole = F.lit(True)
+        for k in key:
+            whole = whole & F.col(k).isNotNull()
+        # rows without a whole key are never compared: they are dealt out by all their columns
+        apart = F.when(~whole, F.xxhash64(*new_rows.columns))
+        first = Window.partitionBy(*key, F.col("__failed").isNull(), apart).orderBy(
+            *(order_by or [F.col(c) for c in new_rows.columns]))
+        again = whole & (F.coalesce(F.col("__have"), F.lit(False)) | (F.row_number().over(first) > 1))
+        tagged = tagged.withColumn("__again", again)
+        status = F.coalesce(status, F.when(F.col("__again"), F.lit("duplicate_key")))
+    return tagged.select(*new_rows.columns, F.coalesce(status, F.lit("accepted")).alias("status"))
+
+
+def insert_checked(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame, str]],
+                   existing: DataFrame | None = None, key: Sequence[str] | None = None,
+                   order_by: Sequence[Column | str] | None = None):
+    """M6 as two frames: (accepted rows, rejected rows with ``reason``). See ``insert_tagged``."""
+    tagged = insert_tagged(new_rows, parents, existing, key, order_by)
+    return (tagged.where(F.col("status") == "accepted").drop("status"),
+            tagged.where(F.col("status") != "accepted").withColumnRenamed("status", "reason"))
 
 
 def assign_keys(df: DataFrame, key: str, order_by: Sequence[Column | str],

@@ -35,7 +35,7 @@ class Domain:
         SQL CHECK, unless the domain is NOT NULL."""
         parts = []
         if self.max_length is not None:
-            parts.append(F.length(c) <= self.max_length)
+            parts.append(c.isNull() | (F.length(c) <= self.max_length))
         if self.check is not None:
             parts.append(self.check(c))
         if self.not_null:

@@ -27,7 +27,9 @@ one three times, so an unchecked plan would triple per round) and a lost
 executor re-reads the last round. The number of rows still pointing
 somewhere, the stop test, is an ``Observation`` collected by that same
 checkpoint job. On a cycle pointers never run out; the loop stops with an
-error once the reach passes ``max_depth``.
+error once the reach passes the number of nodes.
+
+Rows whose pointer has run out skip the pointer join: only live rows move up.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rowsmith.operators.aggregates import MONEY, MONEY_SUM
-from rowsmith.session import checkpoint_root
+from rowsmith.operators.aggregates import WIDE, exact, handed_out
+from rowsmith.session import checkpoint_root, require_unique
 
 _MEASURES = ("__sum", "__vals", "__nulls", "__nodes")
 
@@ -53,21 +55,26 @@ def _observed_checkpoint(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str,
-                max_depth: int = 1 << 20) -> DataFrame:
+                max_depth: int | None = None, wide: str = WIDE) -> DataFrame:
     """A4: for every node, its own value plus the values of all descendants.
 
-    Output: ``node_col``, ``own_value`` (double), ``subtree_total`` (double;
-    NULL values count as 0), ``subtree_values`` (non-NULL values in the
-    subtree), ``subtree_nodes`` (nodes in the subtree, itself included),
-    ``has_null`` (some value in the subtree is NULL). Money is summed as
-    decimal(12,2) values, exactly. A node whose parent is not in the table
-    is the top of its own tree. ``nodes`` must be unique on ``node_col``.
+    Output: ``node_col``, ``own_value``, ``subtree_total`` (NULL values count
+    as 0), ``subtree_values`` (non-NULL values in the subtree),
+    ``subtree_nodes`` (nodes in the subtree, itself included), ``has_null``
+    (some value in the subtree is NULL). Values are summed exactly (see
+    ``aggregates.exact``). A node whose parent is not in the table is the top
+    of its own tree. A node held twice raises. ``max_depth`` defaults to the
+    number of nodes: pointers still live beyond it mean a cycle.
     """
     checkpoint_root(nodes.sparkSession)
-    v = F.col(value_col).cast(MONEY)
+    require_unique(nodes, [node_col], "the tree")
+    if max_depth is None:
+        max_depth = max(1, nodes.count())
+    v = exact(nodes, value_col, wide)
+    total = nodes.agg(F.sum(v).alias("t")).schema["t"].dataType
     state = nodes.select(  # round 0: read straight from the scan, no write
         F.col(node_col).alias("__node"),
-        F.coalesce(v, F.lit(0).cast(MONEY)).cast(MONEY_SUM).alias("__sum"),
+        F.coalesce(v.cast(total), F.lit(0).cast(total)).alias("__sum"),
         F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("__vals"),
         F.when(v.isNull(), 1).otherwise(0).cast("long").alias("__nulls"),
         F.lit(1).cast("long").alias("__nodes"),
@@ -84,21 +91,21 @@ def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str
                         .agg(*[F.sum(m).alias("__c" + m) for m in _MEASURES]))
         # and its pointer doubles: the pointer of the node it points at
         up = state.select(F.col("__node").alias("__mid"), F.col("__anc").alias("__up"))
-        nxt = (state.join(contrib, "__node", "left")
-                    .join(up, F.col("__anc") == F.col("__mid"), "left")
-                    .select("__node",
-                            *[(F.col(m) + F.coalesce(F.col("__c" + m), F.lit(0))).alias(m) for m in _MEASURES],
-                            F.col("__up").alias("__anc"))
-                    .withColumn("__sum", F.col("__sum").cast(MONEY_SUM)))
+        added = state.join(contrib, "__node", "left").select(
+            "__node", *[(F.col(m) + F.coalesce(F.col("__c" + m), F.lit(0))).alias(m) for m in _MEASURES], "__anc") \
+            .withColumn("__sum", F.col("__sum").cast(total))
+        nxt = (added.where(F.col("__anc").isNotNull()).join(up, F.col("__anc") == F.col("__mid"), "left")
+                    .select("__node", *_MEASURES, F.col("__up").alias("__anc"))
+                    .unionByName(added.where(F.col("__anc").isNull())))
         state, active = _observed_checkpoint(nxt, f"tree_rollup_round_{rnd}")
         if active == 0:
             break
         reach *= 2
 
-    own = nodes.select(F.col(node_col), v.cast("double").alias("own_value"))
+    own = nodes.select(F.col(node_col), handed_out(nodes, value_col, v).alias("own_value"))
     return (own.join(state, own[node_col] == state["__node"], "inner")
                .select(node_col, "own_value",
-                       F.col("__sum").cast("double").alias("subtree_total"),
+                       handed_out(nodes, value_col, F.col("__sum")).alias("subtree_total"),
                        F.col("__vals").alias("subtree_values"),
                        F.col("__nodes").alias("subtree_nodes"),
                        (F.col("__nulls") > 0).alias("has_null")))

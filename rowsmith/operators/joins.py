@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsmith.session import require_unique
+
 
 def join_inner(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Inner equi-join (the comma-and-WHERE join)."""
@@ -38,8 +40,9 @@ def join_lookup_default(left: DataFrame, lookup: DataFrame, left_key: str, looku
 
     ``values`` maps an output column to (lookup column, fallback). When the
     left key is NULL the fallback is used; when the key is set but has no
-    lookup row the value is NULL (not the fallback). ``lookup`` must be
-    unique on its key, as a single-row look-up is."""
+    lookup row the value is NULL (not the fallback). A ``lookup`` that holds
+    a key twice raises, as a single-row look-up does."""
+    require_unique(lookup, [lookup_key], "the look-up")
     lk = "__lookup_key"
     right = lookup.select(F.col(lookup_key).alias(lk), *[F.col(src).alias("__v_" + out)
                                                          for out, (src, _) in values.items()])

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsmith.session import require_unique
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -93,6 +95,7 @@ def filter_where(df: DataFrame, predicate: Column) -> DataFrame:
 def scalar_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str],
                   values: Sequence[str]) -> DataFrame:
     """correlated scalar subquery on a (composite) key, decorrelated as a
-    left join. ``lookup`` must be unique on ``keys`` (a scalar subquery that
-    returns two rows is an error in SQL); rows with no match get NULL."""
+    left join. A ``lookup`` that holds a key twice raises (as a scalar subquery
+    that returns two rows does); rows with no match get NULL."""
+    require_unique(lookup, list(keys), "the look-up")
     return df.join(lookup.select(*keys, *values), on=list(keys), how="left")

@@ -82,11 +82,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], null_is_distinct: bool =
 def orphans(child: DataFrame, child_keys: Sequence[str], parent: DataFrame,
             parent_keys: Sequence[str]) -> DataFrame:
     """Child rows whose foreign key has no parent row. A key with
-    any NULL part is not checked (MATCH SIMPLE)."""
+    any NULL part is not checked (MATCH SIMPLE). The parent keys go into the
+    anti join as they are: repeats do no harm there, and without an aggregate
+    under the join adaptive execution can split a hot key."""
     cond = F.lit(True)
     for k in child_keys:
         cond = cond & F.col(k).isNotNull()
-    pk = parent.select(*[F.col(p).alias(f"__pk{i}") for i, p in enumerate(parent_keys)]).distinct()
+    pk = parent.select(*[F.col(p).alias(f"__pk{i}") for i, p in enumerate(parent_keys)])
     on = None
     for i, k in enumerate(child_keys):
         e = F.col(k) == F.col(f"__pk{i}")
@@ -98,7 +100,7 @@ def self_reference(nodes: DataFrame, node_col: str, parent_col: str) -> DataFram
     """A parent link inside one table. Returns (node, parent, status)
     with status ``missing_parent`` (the parent key names no row) or ``root``
     (no parent at all, the top of a tree). Every other row is fine."""
-    keys = nodes.select(F.col(node_col).alias("__pk")).distinct()
+    keys = nodes.select(F.col(node_col).alias("__pk"))
     missing = (nodes.where(F.col(parent_col).isNotNull())
                     .join(keys, F.col(parent_col) == F.col("__pk"), "left_anti")
                     .select(node_col, parent_col, F.lit("missing_parent").alias("status")))

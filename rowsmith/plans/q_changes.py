@@ -10,6 +10,7 @@ from rowsmith.operators.aggregates import MONEY, MONEY_SUM
 from rowsmith.operators.rules import Rule
 from rowsmith.plans import standins as si
 from rowsmith.plans.registry import query, with_ctes
+from rowsmith.session import stored
 from rowsmith.sources import tables
 from rowsmith.sources.tables import Catalog
 from rowsmith.streaming import new_rows
@@ -90,10 +91,10 @@ def cascade_delete(spark, base):
     cust, orders = cat.customer, cat.orders
     wanted = cust.where(C("c_acctbal") < 0).select("c_custkey")
     blockers = orders.where(C("o_orderstatus") == "O").select("o_custkey")
-    new_cust, kids, refused, _ = changes.cascade_delete(
+    _, kids, refused, accepted = changes.cascade_delete(
         cust, "c_custkey", wanted, "c_custkey", blockers, "o_custkey",
         {"orders": (orders.select("o_orderkey", "o_custkey"), "o_custkey", "nullify")})
-    deleted = cust.select("c_custkey").join(new_cust, "c_custkey", "left_anti").select(
+    deleted = cust.select("c_custkey").join(accepted, "c_custkey", "left_semi").select(
         F.lit("customer").alias("table_name"), C("c_custkey").alias("key"), F.lit("deleted").alias("action"))
     cleared = (kids["orders"].where(C("cleared"))
                .select(F.lit("orders").alias("table_name"), C("o_orderkey").alias("key"),
@@ -106,25 +107,55 @@ def cascade_delete(spark, base):
 @query("insert_checked", "M6", """
 WITH parents AS (SELECT doc_id FROM documents WHERE lang <> 'es'),
 existing AS (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 1),
-counted AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)
-SELECT l.doc_id, l.quality, l.toxic,
-       CASE WHEN l.doc_id IS NOT NULL AND l.doc_id NOT IN (SELECT doc_id FROM parents) THEN 'unknown_document'
-            WHEN l.doc_id IN (SELECT doc_id FROM existing)
-                 OR (SELECT n FROM counted c WHERE c.doc_id = l.doc_id) > 1 THEN 'duplicate_key'
+incoming AS (SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, 1 - quality, toxic FROM labels WHERE quality = 0),
+tested AS (SELECT *, doc_id IN (SELECT doc_id FROM parents) AS known FROM incoming)
+SELECT doc_id, quality, toxic,
+       CASE WHEN NOT known THEN 'unknown_document'
+            WHEN doc_id IN (SELECT doc_id FROM existing)
+                 OR row_number() OVER (PARTITION BY doc_id, known ORDER BY quality, toxic) > 1 THEN 'duplicate_key'
             ELSE 'accepted' END AS status
-FROM labels l""")
+FROM tested""")
 def insert_checked(spark, base):
-    """Insert all labels into a label table that already holds the toxic
-    good-quality ones, whose parent table has lost the Spanish documents:
-    each row comes out accepted or with its reason."""
+    """Insert all labels, those of bad quality a second time as good ones,
+    into a label table that already holds the toxic good-quality ones, whose
+    parent table has lost the Spanish documents: each row comes out accepted
+    or with its reason."""
     cat = Catalog(spark, base)
-    new = cat.labels
+    new = cat.labels.unionByName(cat.labels.where(C("quality") == 0).withColumn("quality", F.lit(1)))
     parents = cat.documents.where(C("lang") != "es").select("doc_id")
     existing = cat.labels.where((C("quality") == 1) & (C("toxic") == 1))
-    acc, rej = changes.insert_checked(new, {"document": ("doc_id", parents, "doc_id")},
-                                      existing=existing, key=["doc_id"])
-    return (acc.withColumn("status", F.lit("accepted"))
-               .unionByName(rej.withColumnRenamed("reason", "status")))
+    return changes.insert_tagged(new, {"document": ("doc_id", parents, "doc_id")}, existing=existing, key=["doc_id"])
+
+
+@query("guarded_delete", "M5", f"""
+WITH accepted AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = '{si.LOST_PARENT_SEGMENT}'
+                  AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')),
+gone AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT k FROM accepted))
+SELECT 'orders' AS table_name, o_orderkey AS key, 'deleted' AS action FROM gone
+UNION ALL
+SELECT 'customer', node, 'reference_cleared' FROM ctree WHERE parent IN (SELECT k FROM accepted)
+UNION ALL
+SELECT 'customer', k, 'deleted' FROM accepted""".replace("WITH accepted", "WITH " + si.CUST_TREE_SQL + ",\naccepted"))
+def guarded_delete(spark, base):
+    """Delete the customers of one segment that have no order in progress:
+    their orders go with them, customers below them in the tree stay with the
+    reference cleared. Result: the change log."""
+    cat = Catalog(spark, base)
+    cust, orders = cat.customer, cat.orders
+    wanted = cust.where(C("c_mktsegment") == si.LOST_PARENT_SEGMENT).select("c_custkey")
+    busy = orders.where(C("o_orderstatus") == "P").select("o_custkey")
+    tree = si.customer_tree(cat).select("node", "parent")
+    _, kids, _, accepted = changes.cascade_delete(
+        cust, "c_custkey", wanted, "c_custkey", busy, "o_custkey",
+        {"orders": (orders.select("o_orderkey", "o_custkey"), "o_custkey", "delete"), "tree": (tree, "parent", "nullify")})
+    left = kids["orders"].select(C("o_orderkey").alias("__left"))
+    gone = orders.select("o_orderkey").join(left, C("o_orderkey") == C("__left"), "left_anti")
+
+    def logged(df, table, key, action):
+        return df.select(F.lit(table).alias("table_name"), C(key).alias("key"), F.lit(action).alias("action"))
+    return (logged(gone, "orders", "o_orderkey", "deleted")
+            .unionByName(logged(kids["tree"].where("cleared"), "customer", "node", "reference_cleared"))
+            .unionByName(logged(accepted, "customer", "c_custkey", "deleted")))
 
 
 @query("assign_keys", "M7", """
@@ -209,7 +240,7 @@ def check_foreign_key_composite(spark, base):
     """Orders whose (status, priority, year) key has no price-range row."""
     cat = Catalog(spark, base)
     keys = ["o_orderstatus", "o_orderpriority", "o_year"]
-    return rules.orphans(si.orders_keyed(cat), keys, si.price_ranges(cat), keys) \
+    return rules.orphans(si.orders_keyed(cat), keys, si.range_table(cat), keys) \
                 .select("o_orderkey", *keys)
 
 
@@ -251,14 +282,16 @@ def _domain_checks(cat: Catalog):
     return [(li, li_rules), (part, part_rules), (sales, sales_rules), (cust, [col_r("on_hold", "on_hold")])]
 
 
+# The CHECK rules as the schema declares them. The length of a
+# VARCHAR(n) is the type's, not a CHECK: it says nothing of NULL.
 _DOMAIN_CHECKS_SQL = [
     ("li", [
         ("jobgrade(l_linenumber)", "l_linenumber BETWEEN 0 AND 6"),
         ("custno(l_partkey)", "l_partkey > 1000"),
         ("budget(l_extendedprice)", "CAST(l_extendedprice AS DECIMAL(12,2)) > 10000 "
                                     "AND CAST(l_extendedprice AS DECIMAL(12,2)) <= 2000000"),
-        ("deptno(l_returnflag)", "length(l_returnflag) <= 3 AND (l_returnflag = '000' OR "
-                                 "(l_returnflag > '0' AND l_returnflag <= '999') OR l_returnflag IS NULL)"),
+        ("deptno(l_returnflag)", "(l_returnflag = '000' OR (l_returnflag > '0' AND l_returnflag <= '999') "
+                                 "OR l_returnflag IS NULL) AND coalesce(length(l_returnflag), 0) <= 3"),
         ("qty_ordered(l_quantity)", "l_quantity >= 1"),
         ("discount(l_discount)", "l_discount >= 0 AND l_discount <= 1"),
         ("discount(l_tax)", "l_tax >= 0 AND l_tax <= 1"),
@@ -330,7 +363,7 @@ def check_lookup_range(spark, base):
     """Orders priced outside the range of their key (no range row: unknown,
     not a violation)."""
     cat = Catalog(spark, base)
-    out = rules.range_violations(si.orders_keyed(cat), si.price_ranges(cat),
+    out = rules.range_violations(si.orders_keyed(cat), si.range_table(cat),
                                  ["o_orderstatus", "o_orderpriority", "o_year"], "price", "min_price", "max_price")
     return out.select("o_orderkey", *[C(c).cast("double").alias(c) for c in ("price", "min_price", "max_price")])
 
@@ -342,7 +375,7 @@ WHERE s.order_status = 'shipped'
 def check_cross_table(spark, base):
     """Shipped orders of customers on hold."""
     cat = Catalog(spark, base)
-    s = si.sales(cat)
+    s = si.sales(cat, status="F")  # shipped, tested on the stored letter so that the scan sees it
     held = si.held_customers(cat)
     out = rules.cross_table(s, C("order_status") == "shipped", held, C("on_hold") == "*",
                             s["o_custkey"] == held["c_custkey"])
@@ -360,9 +393,24 @@ SELECT o.o_orderkey, {si.AS_OF_SQL} AS change_date, 'auditor' AS updater_id,
 FROM okeyed o JOIN s4 n ON n.o_orderkey = o.o_orderkey
 WHERE o.price <> n.price"""))
 def audit_changes(spark, base):
-    """Audit rows between orders before and after the ordered price updates."""
-    old = si.orders_keyed(Catalog(spark, base))
-    new = changes.update_sequence(old, si.price_update_steps())
+    """Audit rows of the ordered price updates, in trigger form: old and new
+    value of a row are seen together, without a join."""
+    return audit.audit_update(si.orders_keyed(Catalog(spark, base)), ["o_orderkey"], "price", si.price_update_steps(),
+                              si.AS_OF, "auditor")[1]
+
+
+@query("audit_snapshots", "D1", with_ctes(si.ORDERS_KEYED_SQL, si.PRICE_UPDATES_SQL, body=f"""
+SELECT o.o_orderkey, {si.AS_OF_SQL} AS change_date, 'auditor' AS updater_id,
+       CAST(o.price AS DOUBLE) AS old_value, CAST(n.price AS DOUBLE) AS new_value,
+       (CAST(n.price AS DOUBLE) - CAST(o.price AS DOUBLE)) * CAST(100.0 AS DOUBLE)
+         / nullif(CAST(o.price AS DOUBLE), 0) AS percent_change
+FROM okeyed o JOIN s4 n ON n.o_orderkey = o.o_orderkey
+WHERE o.price <> n.price"""))
+def audit_snapshots(spark, base):
+    """Audit rows between two stored snapshots of orders, before and after the
+    ordered price updates."""
+    old = stored(si.orders_keyed(Catalog(spark, base)), "snapshot")
+    new = stored(changes.update_sequence(old, si.price_update_steps()), "snapshot")
     return audit.audit_changes(old, new, ["o_orderkey"], "price", si.AS_OF, "auditor")
 
 
@@ -371,5 +419,4 @@ SELECT event_type, count(*) AS n_new FROM events GROUP BY event_type""")
 def stream_new_rows(spark, base):
     """The events table as a growing file source: the stream's notices,
     read back, must count every row once (the SQL is that batch count)."""
-    return new_rows.new_row_counts(spark, base, tables.SCHEMAS["events"], "event_type",
-                                   file_glob="events.parquet")
+    return new_rows.new_row_counts(spark, tables.table_path(base, "events"), tables.SCHEMAS["events"], "event_type")

@@ -36,11 +36,13 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
        'software' AS item_type, CAST(NULL AS VARCHAR) AS sales_rep
 FROM orders""")
 def load_with_defaults(spark, base):
-    """Orders loaded into a wider sales schema: the absent columns take their
-    DEFAULT (or NULL), the explicit NULL priorities stay NULL."""
-    incoming = tables.scan(spark, base, "orders").withColumn(
-        "o_orderpriority", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")))
-    return tables.load_with_defaults(incoming, LOAD_SCHEMA, LOAD_DEFAULTS)
+    """Orders, their dates written as MM/DD/YY text, loaded into a wider sales
+    schema: the dates are read with the year pivot, the absent columns take
+    their DEFAULT (or NULL), the explicit NULL priorities stay NULL."""
+    incoming = (tables.scan(spark, base, "orders")
+                .withColumn("o_orderpriority", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")))
+                .withColumn("o_orderdate", dates.format_mdy("o_orderdate")))
+    return tables.load_with_defaults(incoming, LOAD_SCHEMA, LOAD_DEFAULTS, mdy_pivot=50)
 
 
 def order_contacts(cat: Catalog):
@@ -176,7 +178,7 @@ def scalar_subquery(spark, base):
     """Each order's allowed price range by its (status, priority, year) key, as a
     correlated scalar look-up (NULL where the key has no range row)."""
     cat = Catalog(spark, base)
-    out = predicates.scalar_lookup(si.orders_keyed(cat), si.price_ranges(cat),
+    out = predicates.scalar_lookup(si.orders_keyed(cat), si.range_table(cat),
                                    ["o_orderstatus", "o_orderpriority", "o_year"], ["min_price", "max_price"])
     return out.select("o_orderkey", F.col("min_price").cast("double").alias("min_price"),
                       F.col("max_price").cast("double").alias("max_price"))
@@ -211,7 +213,7 @@ MANAGERS_SQL = f"""managers AS (
     ON m.o_custkey = c.c_custkey),
 staff AS (
   SELECT o_orderkey AS emp_no, o_custkey AS dept_no, o_orderstatus || ', ' || o_orderpriority AS full_name,
-         substr(o_orderpriority, 3, 5) AS job_code
+         o_orderpriority AS job_code
   FROM orders)"""
 
 
@@ -230,7 +232,7 @@ def staff(cat: Catalog):
     return cat.orders.select(F.col("o_orderkey").alias("emp_no"), F.col("o_custkey").alias("dept_no"),
                              scalars.concat_null(F.col("o_orderstatus"), ", ", F.col("o_orderpriority"))
                              .alias("full_name"),
-                             F.substring("o_orderpriority", 3, 5).alias("job_code"))
+                             F.col("o_orderpriority").alias("job_code"))
 
 
 @query("join_lookup_default", "J3", with_ctes(MANAGERS_SQL, body="""
@@ -254,7 +256,7 @@ FROM okeyed o JOIN ranges r
 def join_composite(spark, base):
     """Orders joined to their price range on the three-part key."""
     cat = Catalog(spark, base)
-    out = joins.join_composite(si.orders_keyed(cat), si.price_ranges(cat),
+    out = joins.join_composite(si.orders_keyed(cat), si.range_table(cat),
                                ["o_orderstatus", "o_orderpriority", "o_year"])
     return out.select("o_orderkey", "o_year", F.col("min_price").cast("double").alias("min_price"),
                       F.col("max_price").cast("double").alias("max_price"))
@@ -282,11 +284,12 @@ def join_anti(spark, base):
     return joins.join_anti(cat.documents.select("doc_id", "source"), cat.labels, "doc_id", "doc_id")
 
 
-@query("join_lateral", "J7", with_ctes(si.PART_WORDS_SQL, body="""
+@query("join_lateral", "J7", with_ctes(si.PART_WORD_LIST_SQL, body="""
 SELECT p_partkey, CAST(generate_subscripts(words, 1) AS INTEGER) AS slot, unnest(words) AS value
 FROM pwords WHERE words IS NOT NULL"""))
 def join_lateral(spark, base):
-    w = si.part_words(Catalog(spark, base)).select("p_partkey", "words")
+    """Every word of every part name with its place."""
+    w = si.part_word_list(Catalog(spark, base))
     return joins.join_lateral_explode(w, "words", keep_empty=False).select("p_partkey", "slot", "value")
 
 

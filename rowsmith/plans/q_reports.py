@@ -113,6 +113,22 @@ def report_ship_decision(spark, base):
     return reports.ship_decisions(si.sales(cat), si.held_customers(cat).select("c_custkey", "on_hold"), si.AS_OF)
 
 
+@query("ship_orders", "B4", with_ctes(si.SALES_SQL, si.CUST_SQL, body=f"""
+, judged AS (
+  SELECT s.*, s.order_status <> 'shipped' AND NOT coalesce(c.on_hold = '*', false)
+         AND NOT EXISTS (SELECT 1 FROM sales x WHERE x.o_custkey = s.o_custkey AND x.order_status = 'shipped'
+                         AND x.paid = 'n' AND x.ship_date < {si.AS_OF_SQL} - INTERVAL 60 DAY) AS ships
+  FROM sales s LEFT JOIN cust c ON c.c_custkey = s.o_custkey)
+SELECT o_orderkey, o_custkey, CASE WHEN ships THEN 'shipped' ELSE order_status END AS order_status,
+       CASE WHEN ships THEN {si.AS_OF_SQL} ELSE ship_date END AS ship_date, paid
+FROM judged""").replace(")\n\n, judged", "),\njudged"))
+def ship_orders(spark, base):
+    """The sales after every order that may be shipped has been."""
+    cat = Catalog(spark, base)
+    out = reports.shipped_sales(si.sales(cat), si.held_customers(cat).select("c_custkey", "on_hold"), si.AS_OF)
+    return out.select("o_orderkey", "o_custkey", "order_status", "ship_date", "paid")
+
+
 @query("report_slots_with_separators", "B5", with_ctes(si.PART_WORDS_SQL, body=f"""
 SELECT p_partkey AS group_key, CAST(s.seq AS INTEGER) AS seq, CAST(p_partkey AS VARCHAR) AS code, p_type AS grade,
        p_brand AS country, CASE WHEN trim(words[s.seq]) = '' THEN 'NULL' ELSE words[s.seq] END AS value

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rowsmith.functions import arrays, dates
 from rowsmith.functions.scalars import case_chain, concat_null
 from rowsmith.operators import aggregates, joins, predicates
+from rowsmith.session import stored
 
 C = F.col
 
@@ -96,22 +97,46 @@ def ship_decisions(sales: DataFrame, customers: DataFrame, as_of: dt.datetime, g
     shipped before ``as_of - grace_days``); else ship.
 
     ``sales``: (o_orderkey, o_custkey, order_status, ship_date, paid);
-    ``customers``: (c_custkey, on_hold). The overdue customers are one
-    distinct key set (map-side combined) joined back, not a look-up per order.
+    ``customers``: (c_custkey, on_hold), each once. What is known of a customer
+    (on hold, overdue) is one small row, map-side combined and stored; orders
+    not shipped yet are joined with it once, a join that can be split for a hot
+    customer. Shipped orders need no join.
     An order whose customer is not in ``customers`` is judged on its own
     status (it cannot be on hold); a per-order look-up through an inner join
     would see no status at all for it. A NULL ship date is never overdue.
     """
+    shipped = C("order_status").eqNullSafe("shipped")
+    status = _customer_status(sales, customers, as_of, grace_days)
+    waiting = sales.where(~shipped)
+    judged = waiting.join(status, waiting["o_custkey"] == status["__ck"], "left").withColumn(
+        "decision", case_chain([(C("__held"), ON_HOLD), (C("__overdue"), OVERDUE)], SHIP))
+    done = sales.where(shipped).withColumn("decision", F.lit(ALREADY_SHIPPED))
+    return (judged.select("o_orderkey", "o_custkey", "decision")
+            .unionByName(done.select("o_orderkey", "o_custkey", "decision")))
+
+
+def _customer_status(sales: DataFrame, customers: DataFrame, as_of: dt.datetime, grace_days: int) -> DataFrame:
     cutoff = dates.minus_days(as_of, grace_days)
     overdue = (sales.where((C("order_status") == "shipped") & (C("paid") == "n") & (C("ship_date") < cutoff))
-                    .select(C("o_custkey").alias("__od")).distinct().withColumn("__overdue", F.lit(True)))
-    held = customers.select(C("c_custkey").alias("__hk"), C("on_hold"))
-    j = (sales.join(held, sales["o_custkey"] == held["__hk"], "left")
-              .join(overdue, C("o_custkey") == C("__od"), "left"))
-    decision = case_chain([(C("order_status") == "shipped", ALREADY_SHIPPED),
-                           (C("on_hold") == "*", ON_HOLD),
-                           (C("__overdue"), OVERDUE)], SHIP)
-    return j.select("o_orderkey", "o_custkey", decision.alias("decision"))
+                    .select(C("o_custkey").alias("__ck"), F.lit(False).alias("__held"), F.lit(True).alias("__overdue")))
+    held = (customers.where(C("on_hold") == "*")
+                     .select(C("c_custkey").alias("__ck"), F.lit(True).alias("__held"), F.lit(False).alias("__overdue")))
+    known = held.unionByName(overdue).groupBy("__ck").agg(F.max("__held").alias("__held"), F.max("__overdue").alias("__overdue"))
+    return stored(known, "customer_status")
+
+
+def shipped_sales(sales: DataFrame, customers: DataFrame, as_of: dt.datetime, grace_days: int = 60) -> DataFrame:
+    """B4, the write half: the new snapshot of ``sales`` after shipping every
+    order the decision allows. Such an order becomes shipped with ``as_of`` as
+    its ship date; all others keep their row. The same one join decides."""
+    shipped = C("order_status").eqNullSafe("shipped")
+    status = _customer_status(sales, customers, as_of, grace_days)
+    waiting = sales.where(~shipped)
+    stays = F.coalesce(C("__held") | C("__overdue"), F.lit(False))
+    changed = (waiting.join(status, waiting["o_custkey"] == status["__ck"], "left")
+               .withColumn("ship_date", F.when(stays, C("ship_date")).otherwise(dates.ntz_literal(as_of)))
+               .withColumn("order_status", F.when(stays, C("order_status")).otherwise("shipped")))
+    return changed.select(*sales.columns).unionByName(sales.where(shipped))
 
 
 def slots_with_separators(df: DataFrame, group_key: str, code: Column, grade: Column, country: Column,
@@ -137,5 +162,8 @@ def slots_with_separators(df: DataFrame, group_key: str, code: Column, grade: Co
 def assignments(link: DataFrame, link_key: str, keys: DataFrame, key_col: str,
                 columns: Sequence[str]) -> DataFrame:
     """The link-table rows of the given keys (a semi join with the key
-    set, of any size), distinct on ``columns``."""
-    return joins.join_semi(link, keys.select(C(key_col).alias(link_key)), [link_key]).select(*columns).distinct()
+    set, of any size), distinct on ``columns``. Rows are made distinct, map-side
+    combined, before the join, so a hot key sends few rows to it."""
+    wanted = list(dict.fromkeys([link_key, *columns]))
+    found = joins.join_semi(link.select(*wanted).distinct(), keys.select(C(key_col).alias(link_key)), [link_key])
+    return found.select(*columns) if set(wanted) == set(columns) else found.select(*columns).distinct()

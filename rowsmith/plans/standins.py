@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.operators.aggregates import MONEY
+from rowsmith.session import small, stored
 from rowsmith.sources.tables import Catalog
 
 # Fixed parameters of the stand-ins and of the jobs run on them.
@@ -35,13 +36,16 @@ NO_RANGE_KEY = ("P", 1998)  # (status, order year) with no range row
 # ----------------------------------------------------------------------------
 # sales: orders with a ship date (latest line shipped), a paid flag, a status
 # name and a decimal value
-def sales(cat: Catalog) -> DataFrame:
+def sales(cat: Catalog, status: str | None = None) -> DataFrame:
+    """All sales, or those of one stored status letter (the test then reaches the scan of orders)."""
     o, li = cat.orders, cat.lineitem
+    if status is not None:
+        o = o.where(F.col("o_orderstatus") == status)
     ship = li.groupBy(F.col("l_orderkey").alias("__ok")).agg(F.max("l_shipdate").alias("ship_date"))
-    status = F.when(F.col("o_orderstatus") == "F", "shipped").when(F.col("o_orderstatus") == "O", "open") \
+    named = F.when(F.col("o_orderstatus") == "F", "shipped").when(F.col("o_orderstatus") == "O", "open") \
               .otherwise("waiting")
     return (o.join(ship, o["o_orderkey"] == ship["__ok"], "left")
-             .select("o_orderkey", "o_custkey", "o_orderstatus", status.alias("order_status"),
+             .select("o_orderkey", "o_custkey", "o_orderstatus", named.alias("order_status"),
                      "o_orderdate", "ship_date", "o_orderpriority",
                      F.when(F.col("o_orderpriority").isin(*UNPAID_PRIORITIES), "n").otherwise("y").alias("paid"),
                      F.col("o_totalprice").cast(MONEY).alias("total_value")))
@@ -116,6 +120,12 @@ def price_ranges(cat: Catalog) -> DataFrame:
                         (digit * 20000 + 300000).cast(MONEY).alias("max_price")))
 
 
+def range_table(cat: Catalog) -> DataFrame:
+    """The price ranges as the small table they are: written once to the
+    shared folder, counted, and marked for broadcast when small enough."""
+    return small(stored(price_ranges(cat), "price_ranges"))
+
+
 RANGES_SQL = f"""ranges AS (
   SELECT o_orderstatus, o_orderpriority, o_year,
          CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 1000 AS DECIMAL(12,2)) AS min_price,
@@ -177,6 +187,15 @@ def part_words(cat: Catalog) -> DataFrame:
                     F.when(F.col("p_size") != 1, fixed_slots(F.split("p_name", " "), 5)).alias("words"))
 
 
+def part_word_list(cat: Catalog) -> DataFrame:
+    """All words of a part name, however many (NULL for size 1)."""
+    return cat.part.select("p_partkey", F.when(F.col("p_size") != 1, F.split("p_name", " ")).alias("words"))
+
+
+PART_WORD_LIST_SQL = """pwords AS (
+  SELECT p_partkey, CASE WHEN p_size <> 1 THEN string_split(p_name, ' ') END AS words FROM part)"""
+
+
 PART_WORDS_SQL = """pwords AS (
   SELECT p_partkey, p_type, p_brand,
          CASE WHEN p_size <> 1 THEN

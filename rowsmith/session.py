@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+log = logging.getLogger(__name__)
 
 # Settings every job here relies on: adaptive execution re-plans joins and
 # shuffle sizes at runtime (skew splitting included), the session clock is UTC
@@ -56,7 +61,11 @@ def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 <<
     adaptive execution uses measured shuffle sizes. Both thresholds are
     stated explicitly (32 MB).
     """
-    parts = min(max_partitions, max(2 * total_cores, -(-input_bytes // partition_bytes)))
+    wanted = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    parts = min(max_partitions, wanted)
+    if parts < wanted:
+        log.warning("%d shuffle partitions instead of %d: a shuffle of the whole input has %d MB in each",
+                    parts, wanted, input_bytes // parts >> 20)
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.enabled": "true",
@@ -76,8 +85,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Folder for reliable checkpoints and job outputs.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used. Only when it is unset (unit tests, a laptop) is a scratch folder of
-    our own made, so ``DataFrame.checkpoint()`` always has somewhere to write.
+    used. Only when it is unset and the master is local (unit tests, a laptop)
+    is a scratch folder of our own made; on a cluster, where executors could
+    not see it, that is an error.
     On a Spark Connect session (no SparkContext on the client) the server's
     ``spark.checkpoint.dir`` is what ``checkpoint()`` uses; it is returned.
     """
@@ -92,21 +102,70 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="rowsmith-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """``'folder'``, ``'file'`` or None (nothing there), in whatever store the path names."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return None
+    return "folder" if fs.getFileStatus(target).isDirectory() else "file"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        fs, target = _file_system(spark, path)
+        fs.delete(target, True)
+    except Exception:  # noqa: BLE001 - the application is ending, its JVM may be gone already
+        pass
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A fresh sub-folder of the checkpoint root, one per call."""
+    """A fresh sub-folder of the checkpoint root, one per call. It belongs to
+    this application and is deleted when the application ends."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{kind}/{uuid.uuid4().hex}"
+    path = f"{root}/{kind}/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    This cuts the lineage: a lost executor re-reads files instead of redoing
+    the job, and several readers do not redo it either. A stored table also
+    has a shuffle of its own in a later join, which adaptive execution can
+    split for a hot key; an aggregate right under the join has not."""
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most
+    ``max_rows`` rows; unmarked otherwise. For stored tables of short rows."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme, for code that lists a local folder in tests."""
-    return path[len("file:"):] if path.startswith("file:") else path
+def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``df``, checked to hold no key twice (one map-side combined count; keys
+    with a NULL part match nothing and are not checked)."""
+    rows = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    if not rows.isEmpty():
+        raise ValueError(f"{what} holds a key more than once: {', '.join(keys)}")
+    return df
 
 
-__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path", "scale_conf", "DEFAULT_CONF"]
+__all__ = ["build_session", "checkpoint_root", "path_kind", "require_unique", "scratch_path", "scale_conf", "small",
+           "stored", "DEFAULT_CONF"]

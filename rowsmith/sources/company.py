@@ -188,7 +188,7 @@ COMPANY: dict[str, Table] = {t.name: t for t in (
 
 def load(df: DataFrame, table: str, as_of: dt.datetime) -> DataFrame:
     """S2 for a company table: declared types, DEFAULTs for absent columns
-    (``NOW`` is ``as_of``), computed columns added."""
+    (``NOW`` is ``as_of``), ``MM/DD/YY`` date text read, computed columns added."""
     t = COMPANY[table]
     defaults = t.defaults(as_of)
     cols = {c.name for c in t.columns}
@@ -197,7 +197,7 @@ def load(df: DataFrame, table: str, as_of: dt.datetime) -> DataFrame:
         if name not in df.columns and isinstance(value, dt.datetime):
             frame = frame.withColumn(name, ntz_literal(value))
     return load_with_defaults(frame, t.schema(), {k: v for k, v in defaults.items() if k in cols},
-                              {name: build() for name, build in t.computed.items()})
+                              {name: build() for name, build in t.computed.items()}, mdy_pivot=50)
 
 
 def phone_list(employee: DataFrame, department: DataFrame) -> DataFrame:
@@ -221,12 +221,12 @@ def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     unknown passes), salary_range (C9), on_hold (C10). ``n_violations``
     counts NULL values for not_null, duplicated key values for primary_key
     and unique, and offending rows for every other kind. A reference to a
-    table that is not given is skipped.
+    table that is not given has the kind ``not_checked`` and no count.
     """
     parts: list[DataFrame] = []
     for name, df in tables.items():
         t = COMPANY[name]
-        nn = [c.name for c in t.columns if c.not_null]
+        nn = [c.name for c in t.columns if c.not_null or c.domain and DOMAINS[c.domain].not_null]
         if nn:
             parts.append(rules.null_counts(df, nn).select(
                 F.lit(name).alias("table_name"), F.lit("not_null").alias("kind"),
@@ -236,8 +236,12 @@ def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
         for u in t.unique:
             parts.append(_count("unique", name, ",".join(u), rules.duplicate_keys(df, u, null_is_distinct=True)))
         for cols, ref, ref_cols in t.references:
-            if ref in tables:
-                label = f"{','.join(cols)} -> {ref}"
+            label = f"{','.join(cols)} -> {ref}"
+            if ref not in tables:
+                parts.append(df.sparkSession.range(1).select(
+                    F.lit(name).alias("table_name"), F.lit("not_checked").alias("kind"), F.lit(label).alias("constraint_name"),
+                    F.lit(None).cast("long").alias("n_violations")))
+            else:
                 parts.append(_count("foreign_key", name, label,
                                     rules.orphans(df, list(cols), tables[ref], list(ref_cols))))
         checks = []

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowsmith.functions.dates import parse_mdy
+
 L, I, D, S, TS = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
 
 
@@ -87,9 +89,27 @@ class Catalog:
         return scan(self.spark, self.base, name, fmt=self.fmt)
 
 
+def _is_mdy_text(df: DataFrame, field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)) \
+        and isinstance(df.schema[field.name].dataType, T.StringType)
+
+
+def _read_date(column: str, pivot: int) -> Column:
+    """``MM/DD/YY`` text, or ISO text, as a zone-less timestamp; NULL for any other."""
+    return F.coalesce(parse_mdy(column, pivot), F.col(column).try_cast("timestamp_ntz"))
+
+
+def unreadable_dates(df: DataFrame, schema: T.StructType, keep: list[str], mdy_pivot: int = 50) -> DataFrame:
+    """(keep..., column_name, value): the texts that a load with ``mdy_pivot`` would refuse."""
+    named = [f.name for f in schema.fields if f.name in df.columns and _is_mdy_text(df, f)]
+    bad = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & _read_date(c, mdy_pivot).isNull(),
+                                           F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))) for c in named]))
+    return df.select(*keep, F.explode_outer(bad).alias("__bad")).where("__bad is not null").select(*keep, "__bad.*")
+
+
 def load_with_defaults(df: DataFrame, schema: T.StructType,
                        defaults: Mapping[str, object] | None = None,
-                       computed: Mapping[str, Column] | None = None) -> DataFrame:
+                       computed: Mapping[str, Column] | None = None, mdy_pivot: int | None = None) -> DataFrame:
     """Shape ``df`` to ``schema``.
 
     Present columns are cast to the declared type (ANSI casts: a value that
@@ -97,12 +117,25 @@ def load_with_defaults(df: DataFrame, schema: T.StructType,
     NULL when it has none. A column present but NULL keeps NULL; the default
     does not fill it (a NOT NULL rule then reports it, see ``rules``).
     ``computed`` adds derived columns after the load (computed-by columns).
+    A column of ``df`` that the schema does not know raises.
+
+    With ``mdy_pivot``, text for a timestamp column is read as ``MM/DD/YY``
+    (two-digit years from the pivot on are 19yy) or as ISO text; text that is
+    no such date raises, with ANSI on or off. ``unreadable_dates`` lists such rows.
     """
     defaults = dict(defaults or {})
     have = set(df.columns)
+    unknown = have - {f.name for f in schema.fields}
+    if unknown:
+        raise ValueError(f"columns that the schema does not have: {', '.join(sorted(unknown))}")
     cols = []
     for f in schema.fields:
-        if f.name in have:
+        if f.name in have and mdy_pivot is not None and _is_mdy_text(df, f):
+            day = _read_date(f.name, mdy_pivot)
+            bad = F.raise_error(F.concat(F.lit(f"{f.name} is no MM/DD/YY date: "), F.col(f.name)))
+            cols.append(F.when(F.col(f.name).isNotNull() & day.isNull(), bad.cast("timestamp_ntz")).otherwise(day)
+                         .cast(f.dataType).alias(f.name))
+        elif f.name in have:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             value = defaults.get(f.name)

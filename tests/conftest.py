@@ -26,6 +26,11 @@ def spark():
     s.stop()
 
 
+def local_path(path: str) -> str:
+    """Strip a ``file:`` scheme, to list a local folder."""
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
 def rows(df, *cols):
     """Sorted list of tuples (of ``cols`` or all columns) for comparisons."""
     sel = df.select(*cols) if cols else df

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,9 +59,49 @@ def test_insert_checked_reasons(spark):
                                 "id int, proj string")
     acc, rej = changes.insert_checked(new, {"employee": ("id", parents, "id")}, existing=existing,
                                       key=["id", "proj"])
-    assert rows(acc) == [(2, "y"), (None, "n")] or rows(acc) == [(None, "n"), (2, "y")]
-    assert rows(rej) == [(1, "p", "duplicate_key"), (1, "p", "duplicate_key"), (2, "x", "duplicate_key"),
-                         (5, "z", "unknown_employee")]
+    assert rows(acc) == [(1, "p"), (2, "y"), (None, "n")]  # the first of a repeated key is inserted
+    assert rows(rej) == [(1, "p", "duplicate_key"), (2, "x", "duplicate_key"), (5, "z", "unknown_employee")]
+
+
+def test_insert_is_one_by_one(spark):
+    parents = spark.createDataFrame([(10,), (11,)], "id int")
+    new = spark.createDataFrame([(2, 10), (2, 99), (3, 11), (3, 10), (3, None), (None, 10), (None, 10)], "k int, ref int")
+    got = rows(changes.insert_tagged(new, {"unit": ("ref", parents, "id")}, new.limit(0), ["k"], [C("ref").asc_nulls_last()]))
+    assert got == [(2, 10, "accepted"), (2, 99, "unknown_unit"), (3, 10, "accepted"), (3, 11, "duplicate_key"),
+                   (3, None, "duplicate_key"), (None, 10, "accepted"), (None, 10, "accepted")]
+    with pytest.raises(ValueError):
+        changes.insert_tagged(new, {"unit": ("ref", parents.unionByName(parents), "id")})
+
+
+def test_look_ups_with_a_key_twice_raise(spark):
+    from rowsmith.operators import hierarchy, joins, predicates
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, w string")
+    for job in (lambda: predicates.scalar_lookup(df, twice, ["k"], ["w"]),
+                lambda: joins.join_lookup_default(df, twice, "k", "k", {"o": ("w", "-")}),
+                lambda: changes.update_by_mapping(df, "k", twice, "k", {"v": "w"}),
+                lambda: hierarchy.tree_rollup(spark.createDataFrame([(1, 0, 5), (1, 0, 6)], "n int, p int, v int"), "n", "p", "v")):
+        with pytest.raises(ValueError):
+            job()
+
+
+def test_sums_keep_the_values(spark):
+    from decimal import Decimal
+    from rowsmith.operators import aggregates, hierarchy
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            d = spark.createDataFrame([(1, 1, 0.004), (2, 1, 0.004), (3, 1, 0.004), (4, 2, 1e12), (5, 2, 2e10)], "n int, g int, v double")
+            assert [tuple(r)[:2] for r in aggregates.sub_totals(d, "g", "v").orderBy("g").collect()] == [(1, 0.012), (2, 1.02e12)]
+            e = spark.createDataFrame([(1, None, Decimal("1.2345")), (2, 1, Decimal("0.0005"))], "n int, p int, v decimal(18,4)")
+            assert aggregates.sub_totals(e, "p", "v").where("p is null").first()["total"] == Decimal("1.2345")
+            assert {r["n"]: r["subtree_total"] for r in hierarchy.tree_rollup(e, "n", "p", "v").collect()} == \
+                {1: Decimal("1.2350"), 2: Decimal("0.0005")}
+            with pytest.raises(Exception, match="does not fit"):
+                aggregates.sub_totals(spark.createDataFrame([(1, 1e30)], "g int, v double"), "g", "v").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
 
 
 def test_assign_keys_from_high_water_mark(spark):

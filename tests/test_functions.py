@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def test_element_out_of_range_is_null(spark):
 
 
 def test_array_slots_five_rows_blank_and_null(spark):
-    df = spark.createDataFrame([(1, ["en", " ", "fr"]), (2, None), (3, ["a", "b", "c", "d", "e", "f"])],
+    df = spark.createDataFrame([(1, ["en", " ", "fr"]), (2, None), (3, ["a", "b", "c", "d", "e"])],
                                "k int, langs array<string>")
     out = rows(arrays.array_slots(df, "langs", 5), "k", "slot", "value")
     assert [r for r in out if r[0] == 1] == [(1, 1, "en"), (1, 2, "NULL"), (1, 3, "fr"), (1, 4, None),
@@ -81,6 +82,18 @@ def test_array_slots_five_rows_blank_and_null(spark):
     assert [r[2] for r in out if r[0] == 3] == ["a", "b", "c", "d", "e"]
 
 
+def test_arrays_over_the_slots_are_reported_not_cut(spark):
+    from rowsmith.operators import joins, rules
+    df = spark.createDataFrame([(1, list("abcdef")), (2, ["a"]), (3, None)], "k int, a array<string>")
+    broken = rules.violations(df, [rules.Rule("five", arrays.fits_slots("a", 5))], ["k"])
+    assert rows(broken) == [(1, "five")]
+    for cut in (df.select(arrays.fixed_slots("a", 5).alias("a")), arrays.array_slots(df, "a", 5)):
+        with pytest.raises(Exception, match="more than 5 slots"):
+            cut.collect()
+    every = joins.join_lateral_explode(df, "a", keep_empty=False)
+    assert rows(every.where("k = 1"), "slot", "value") == list(enumerate("abcdef", 1))
+
+
 def test_fixed_slots(spark):
     df = spark.createDataFrame([(["a", "b"],), (None,)], "a array<string>")
     assert [r[0] for r in df.select(arrays.fixed_slots("a", 4)).collect()] == [["a", "b", " ", " "], None]

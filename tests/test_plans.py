@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as entry
+from rowsmith.plans.catalog import all_queries
 
 from conftest import SF_SMALL
 
@@ -22,7 +22,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(fn(spark, SF_SMALL)) for name, fn in entry.queries().items()}
+    return {name: plan_of(spec.run(spark, SF_SMALL)) for name, spec in all_queries().items()}
 
 
 def test_no_cartesian_or_python_nodes(plans):
@@ -44,9 +44,19 @@ def test_columns_are_pruned(plans):
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_discount:double>" in plans["filter_between"]
 
 
-def test_span_window_is_keyed_by_document(plans):
-    p = plans["text_find_spans"]
-    assert "Window" in p and "hashpartitioning(doc_id" in p and "SinglePartition" not in p
+def test_spans_and_audit_need_no_shuffle(plans):
+    assert "Exchange" not in plans["text_find_spans"] and "MapInArrow" in plans["text_find_spans"]
+    assert "Contains(text,th)" in plans["text_find_spans"].replace("StringContains", "Contains")
+    assert "Exchange" not in plans["audit_changes"]
+
+
+def test_orders_are_not_shuffled_for_the_range_table(plans):
+    for name in ("scalar_subquery", "join_composite", "check_foreign_key_composite", "check_lookup_range"):
+        assert "hashpartitioning" not in plans[name] and "BuildRight" in plans[name], name
+
+
+def test_status_tests_reach_the_scan(plans):
+    assert "EqualTo(o_orderstatus,F)" in plans["check_cross_table"]
 
 
 def test_no_single_partition_window(plans):
@@ -57,18 +67,6 @@ def test_no_single_partition_window(plans):
             assert "SinglePartition" not in p, name
 
 
-def test_spans_on_bucketed_corpus_need_no_shuffle(spark):
-    from rowsmith.functions import text
-    from rowsmith.session import scratch_path
-    from rowsmith.sources import tables
-    docs = tables.scan(spark, SF_SMALL, "documents", ["doc_id", "text"])
-    bucketed = tables.write_bucketed(docs, scratch_path(spark, "bucketed"), "docs_by_id", 4, "doc_id")
-    spans = text.find_spans(bucketed, "doc_id", "text", "th")
-    assert "Exchange" not in plan_of(spans)
-    plain = text.find_spans(docs, "doc_id", "text", "th")
-    assert spans.exceptAll(plain).count() == 0 and plain.exceptAll(spans).count() == 0
-
-
 def test_shuffled_plans_have_no_cartesian_or_nested_loop(spark):
     """The plans the queries get at scale, with broadcasts off: every join is
     still an equi-join on keys (sort-merge), never a cartesian product or a
@@ -78,8 +76,8 @@ def test_shuffled_plans_have_no_cartesian_or_nested_loop(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         bad = {}
-        for name, fn in entry.queries().items():
-            p = plan_of(fn(spark, SF_SMALL))
+        for name, spec in all_queries().items():
+            p = plan_of(spec.run(spark, SF_SMALL))
             hit = [f for f in FORBIDDEN if f in p]
             if hit:
                 bad[name] = hit

@@ -1,6 +1,8 @@
 """Session helpers: the checkpoint folder comes from the session; scale sizing."""
 
-from rowsmith.session import checkpoint_root, scale_conf, scratch_path
+import pytest
+
+from rowsmith.session import checkpoint_root, path_kind, require_unique, scale_conf, scratch_path, small, stored
 
 
 def test_checkpoint_root_is_the_sessions(spark):
@@ -10,8 +12,40 @@ def test_checkpoint_root_is_the_sessions(spark):
     assert a != b and a.startswith(root.rstrip("/") + "/x/")
 
 
-def test_scale_conf():
+def test_cluster_without_a_shared_folder_raises():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+        getCheckpointDir = getConf = lambda self: None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    Context.getConf = lambda self: Conf()
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session())
+
+
+def test_stored_small_and_unique(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "k int, v string")
+    kept = stored(df, "test")
+    assert kept.schema == df.schema and kept.exceptAll(df).count() == 0 and kept.count() == 4
+    assert path_kind(spark, kept.inputFiles()[0]) == "file" and path_kind(spark, "/nowhere/at/all") is None
+    assert require_unique(df, ["k"], "t") is df
+    with pytest.raises(ValueError):
+        require_unique(df.unionByName(df), ["k"], "t")
+    assert "broadcast" in small(df)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in small(df, 3)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_scale_conf(caplog):
     big = scale_conf(100 * 2**40, 8000)
+    assert "instead of 409600" in caplog.text  # a shuffle of the whole input would be larger a partition than asked
     assert big["spark.sql.shuffle.partitions"] == "200000"
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = scale_conf(1 << 30, 64)
@@ -23,10 +57,10 @@ def test_scale_conf():
 def test_cli_list_and_run(spark, capsys):
     import glob
     from rowsmith.__main__ import main
-    from rowsmith.session import local_path
+    from conftest import local_path
     assert main(["list"]) == 0
     listed = capsys.readouterr().out.splitlines()
-    assert len(listed) == 66 and any(line.endswith("report_phone_list") for line in listed)
+    assert len(listed) == 69 and any(line.endswith("report_phone_list") for line in listed)
     out = scratch_path(spark, "cli")
     assert main(["run", "report_phone_list", "--tables", "/root/testdata/sf0.001", "--out", out]) == 0
     assert spark.read.parquet(out).count() == 342

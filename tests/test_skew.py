@@ -69,3 +69,49 @@ def test_orphans_and_ship_decisions_hot_customer(spark):
     want = collections.Counter("already_shipped" if i % 2 == 0 else
                                ("overdue" if k in shipped_custs else "ship") for i, k, _ in data)
     assert out == dict(want)
+
+
+@contextlib.contextmanager
+def skew_limits(spark):
+    """Every join a shuffled one, a partition of twice the median and 10 kB is skewed."""
+    new = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark):
+    """The joins of the checks and changes take the form that adaptive execution splits."""
+    from rowsmith.operators import changes
+    n = 60_000
+    with skew_limits(spark):
+        child = (spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).cast("long").alias("k"),
+                                       F.sha2(F.col("id").cast("string"), 256).alias("pad")).repartition(8))
+        parent = spark.range(1, 4000).select(F.col("id").alias("p"), F.sha2(F.col("id").cast("string"), 256).alias("v")).repartition(4)
+        jobs = {
+            "orphans": rules.orphans(child, ["k"], parent, ["p"]),
+            "self_reference": rules.self_reference(child.select(F.col("id").alias("n"), F.col("k").alias("up"), "pad"), "n", "up"),
+            "null_out": changes.null_out_references(child, "k", spark.range(0, 9).withColumnRenamed("id", "r").repartition(4), "r"),
+            "insert": changes.insert_tagged(child, {"x": ("k", parent, "p")}),
+        }
+        for name, job in jobs.items():
+            assert "skew=true" in final_plan(job), name
+        sales = child.select(F.col("id").alias("o_orderkey"), F.col("k").alias("o_custkey"), F.lit("open").alias("order_status"),
+                             F.lit(None).cast("timestamp_ntz").alias("ship_date"), F.lit("y").alias("paid"), "pad")
+        customers = parent.select(F.col("p").alias("c_custkey"), F.lit("*").alias("on_hold"))
+        decided = reports.ship_decisions(sales, customers, "2000-01-01 00:00:00")
+        assert "skew=true" in final_plan(decided)
+        assert decided.where("decision = 'on_hold'").count() == sales.where("o_custkey between 1 and 3999").count()

@@ -5,13 +5,15 @@ import tempfile
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import types as T
 
-from rowsmith.session import local_path, scratch_path
+from rowsmith.plans.catalog import all_queries
+from rowsmith.session import scratch_path
 from rowsmith.sources import report_text, tables
 from rowsmith.streaming import new_rows
 
-from conftest import SF_SMALL, rows
+from conftest import SF_SMALL, local_path, rows
 
 
 def test_scan_uses_declared_schema(spark):
@@ -68,9 +70,38 @@ def test_stream_counts_each_new_row_once(spark):
 
 
 def test_stream_equals_batch_count(spark):
-    df = new_rows.new_row_counts(spark, SF_SMALL, tables.SCHEMAS["events"], "event_type", "events.parquet")
     batch = tables.scan(spark, SF_SMALL, "events").groupBy("event_type").count()
+    df = new_rows.new_row_counts(spark, f"{SF_SMALL}/events.parquet", tables.SCHEMAS["events"], "event_type")
     assert rows(df) == rows(batch)
+    # the same table as a folder of part files, by name and by a path template
+    root = scratch_path(spark, "test-stream-folder")
+    tables.scan(spark, SF_SMALL, "events").repartition(3).write.parquet(f"{root}/events.parquet")
+    query = all_queries()["stream_new_rows"].run
+    assert rows(query(spark, root)) == rows(batch)
+    tables.scan(spark, SF_SMALL, "events").repartition(2).write.parquet(f"{root}/by/events/now")
+    assert rows(query(spark, root + "/by/{table}/now")) == rows(batch)
+    with pytest.raises(FileNotFoundError):
+        new_rows.new_row_counts(spark, f"{root}/wrong", tables.SCHEMAS["events"], "event_type")
+
+
+def test_load_refuses_what_it_cannot_keep(spark):
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("day", T.TimestampNTZType())])
+    good = spark.createDataFrame([("1", "12/28/88"), ("2", None), ("3", "1/2/2031"), ("4", "06/05/49")], "id string, day string")
+    bad = spark.createDataFrame([("1", "12/28/88"), ("2", "13/01/88"), ("3", "soon")], "id string, day string")
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            days = [r["day"] and r["day"].date().isoformat() for r in
+                    tables.load_with_defaults(good, schema, mdy_pivot=50).orderBy("id").collect()]
+            assert days == ["1988-12-28", None, "2031-01-02", "2049-06-05"]
+            with pytest.raises(Exception, match="no MM/DD/YY date"):
+                tables.load_with_defaults(bad, schema, mdy_pivot=50).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+    assert rows(tables.unreadable_dates(bad, schema, ["id"])) == [("2", "day", "13/01/88"), ("3", "day", "soon")]
+    with pytest.raises(ValueError, match="extra"):
+        tables.load_with_defaults(good.withColumn("extra", good["id"]), schema, mdy_pivot=50)
 
 
 def test_stream_backlog_in_bounded_batches(spark):
