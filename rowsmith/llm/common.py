@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsmith.session import scratch_path
+from rowsmith.session import stored  # noqa: F401  (the operators cut their lineage with it)
 
-# UTF-8 bytes that separate words: space and \x09-\x0D, exactly what bytes.split() splits at.
+# UTF-8 bytes that separate words: space and \\x09-\\x0D, exactly what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -17,27 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        sc = spark.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the application is ending, its JVM may be gone already
-        pass
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder (``spark.checkpoint.dir``) and read it back.
-
-    This cuts the lineage: a lost executor re-reads files instead of redoing
-    the job, and several readers do not redo it either. The folder belongs to
-    the running application and is deleted when that ends.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, kind)
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of a few rows, so that few of their texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def codepoints(text: str) -> np.ndarray:

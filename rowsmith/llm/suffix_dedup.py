@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowsmith.llm.common import stored, table
+from rowsmith.llm.common import slices, stored, table
 from rowsmith.llm.suffix_runs import RANGE_SIZE, common, merge, sorted_ranges
 
 LENGTH = 400
@@ -127,7 +127,7 @@ def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         seen: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             docs, raw = [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[d] = seen.get(d, 0) + 1
@@ -140,7 +140,7 @@ def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 out[1].append(first), out[2].append(anchor), out[3].append(last), out[4].append(h.view(np.int64))
                 digest = xxhash.xxh3_128_digest
                 out[5] += [digest(t[a:b + length], seed=x - a) for a, x, b in zip(first.tolist(), anchor.tolist(), last.tolist())]
-                if len(out[0]) > 200_000:
+                if len(out[0]) > 20_000:
                     yield batch_of(out)
                     out = [[] for _ in names]
             if out[0]:
@@ -161,7 +161,7 @@ def _edges(texts: DataFrame, picked: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         done = set()  # equal texts
-        for batch in batches:
+        for batch in slices(batches, 64):
             out: list[list] = [[] for _ in names]
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 if doc in done:
@@ -321,7 +321,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     names = ["id", "kept", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept, counts = [], []
             for text, runs in zip(batch.column(1), batch.column(2)):
                 text = text.as_py()
