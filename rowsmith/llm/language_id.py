@@ -48,7 +48,11 @@ def letters_only(points: np.ndarray) -> np.ndarray:
     global _folded
     if _folded is None:
         _folded = np.array([ord(chr(i).lower()[0]) if chr(i).isalpha() else 32 for i in range(0x10000)], dtype=np.uint32)
-    c = np.where(points < 0x10000, _folded[np.minimum(points, 0xFFFF)], points)
+    c = _folded[np.minimum(points, 0xFFFF)]
+    high = np.flatnonzero(points >= 0x10000)
+    if len(high):  # beyond the basic plane: letters of rare scripts, and signs
+        kinds, place = np.unique(points[high], return_inverse=True)
+        c[high] = np.array([ord(chr(p).lower()[0]) if chr(p).isalpha() else 32 for p in kinds], dtype=np.uint32)[place]
     space = c == 32
     keep = np.ones(len(c), dtype=bool)
     keep[1:] = ~(space[1:] & space[:-1])

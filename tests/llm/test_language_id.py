@@ -76,7 +76,7 @@ def test_edges_and_rejection(spark):
     docs = documents(spark, [(i, EN[i:] + EN * 3) for i in range(40)], "en").unionByName(
         documents(spark, [(100 + i, DE[i:] + DE * 3) for i in range(40)], "de")).unionByName(documents(spark, [(300, EN)], None))
     model = learn(docs)
-    texts = [None, "", "123 !? \n", "a", "Ä", "the dogs and the river", "der hund und der fluss", "щука бобёр мышь " * 30, EN * 5000]
+    texts = [None, "", "123 !? \U0001f600\n", "a", "Ä", "the dogs and the river", "der hund und der fluss", "щука бобёр мышь " * 30, EN * 5000]
     out = {r.doc_id: r for r in identify(documents(spark, texts), model).collect()}
     assert [out[i].lang_pred for i in range(3)] == ["und"] * 3 and out[0].score == 0
     assert out[3].lang_pred in ("en", "de") and out[4].lang_pred in ("en", "de")
@@ -87,6 +87,11 @@ def test_edges_and_rejection(spark):
     assert {r.lang_pred for r in identify(docs, nothing).collect()} == {"und"}
 
 
+def test_letters():
+    fold = lambda t: letters_only(codepoints(t)).tobytes().decode("utf-32-le")
+    assert fold("Ab-1 É\U0001f600\U00010400!") == "   ab é \U00010428 " and fold("?") == "    "
+
+
 def test_hash_separates_orders():
     c = np.array([97, 97, 97], dtype=np.uint32)
     assert hashes(c, 1)[0] != hashes(c, 2)[0] and len(hashes(c, 2)) == 2
