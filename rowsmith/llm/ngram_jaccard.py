@@ -38,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rowsmith.llm.common import stored, table
+from rowsmith.llm.common import slices, stored, table
 from rowsmith.llm.components import components
+from rowsmith.session import small
 
 SHINGLE = 5
 PERCENT = 80
@@ -49,6 +50,8 @@ LIST_LIMIT = 20_000
 #: Frequent shingles that are moved to the end of the order (8 bytes each).
 FREQUENT = 200_000
 BLOCK = 64
+#: Rows (id and two hashes) up to which the documents of checked vertices go to every task.
+MAX_BROADCAST_ROWS = 200_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -132,8 +135,23 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of ``BITS`` hash cells."""
-    return np.packbits((np.bincount((s >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of elements in each hash cell; the cells are a power of two from twice the elements on."""
+    cells = max(BITS, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(7)).astype(np.int64) % cells, minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they would be with fewer cells."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of different cells of bitmap ``a`` and each row of ``b``, at the size of the smaller."""
+    words = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(axis=-1, dtype=np.int64)
 
 
 def needed(nx, ny, percent: int = PERCENT):
@@ -155,7 +173,7 @@ def _frequent(docs: DataFrame, size: int, at_least: int = 4) -> np.ndarray:
             often = counts >= at_least
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for s in sets_of(batch.column(0).to_pylist(), size):
                 held.append(s)
                 total += len(s)
@@ -171,25 +189,27 @@ def _frequent(docs: DataFrame, size: int, at_least: int = 4) -> np.ndarray:
 
 
 def _vertices(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(id, text_hash, n, vertex, prefix) of every document; the prefix only at the first document of its set in a task."""
+    """(id, text_hash, n, vertex, bits, prefix) of every document; bitmap and prefix only at the first document of its set
+    in a task."""
     order = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
     schema = docs.select("id").schema
-    names = ["id", "text_hash", "n", "vertex", "prefix"]
+    names = ["id", "text_hash", "n", "vertex", "bits", "prefix"]
 
     def run(batches):
         keys, rank = sent.value
         known = set()
-        for batch in batches:
-            ns, vertices, prefixes = [], [], []
+        for batch in slices(batches):
+            ns, vertices, bits, prefixes = [], [], [], []
             for s in sets_of(batch.column(2).to_pylist(), size):
                 v = set_name(s)
                 ns.append(len(s))
                 vertices.append(v if len(s) else None)
                 if not len(s) or v in known:
-                    prefixes.append(None)
+                    bits.append(None), prefixes.append(None)
                     continue
                 known.add(v)
+                bits.append(bitmap(s))
                 p = prefix_length(len(s), percent)
                 if len(keys):
                     i = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
@@ -200,53 +220,63 @@ def _vertices(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
                     head = s[:p]
                 prefixes.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(vertices, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names)
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(vertices, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.array(prefixes, pa.list_(pa.int64()))], names)
 
     return docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"id {schema['id'].dataType.simpleString()}, text_hash long, n long, vertex long, prefix array<long>")
+        run, f"id {schema['id'].dataType.simpleString()}, text_hash long, n long, vertex long, bits binary, prefix array<long>")
 
 
 def _lists(vertices: DataFrame) -> DataFrame:
-    """(list, members, vertex, n, pos): lists with different vertices, one of those with equal members; pos is that of
-    the first shingle that the members share."""
-    entries = vertices.where("prefix is not null").select("vertex", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
+    """(list, members, vertex, pos, shared): lists with different vertices, one of those with equal members; pos is that of
+    the first shingle that the members share, shared their number."""
+    entries = vertices.where("prefix is not null").select("vertex", F.posexplode("prefix").alias("pos", "shingle"))
     own = Window.partitionBy("shingle")
     shared = (entries.withColumn("low", F.min("vertex").over(own)).withColumn("high", F.max("vertex").over(own))
               .where("low < high")
               .withColumn("members", F.count("*").over(own))
               .withColumn("list", F.sum(F.xxhash64("vertex").bitwiseAND(F.lit((1 << 38) - 1))).over(own) * 31 + F.col("members")))
-    return shared.groupBy("list", "low", "high", "members", "vertex", "n").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"))
+    return shared.groupBy("list", "low", "high", "members", "vertex").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"))
 
 
-def _sets(docs: DataFrame, vertices: DataFrame, lists: DataFrame, size: int) -> DataFrame:
-    """(vertex, n, bits, shingles) of the vertices in lists, each from one of its documents."""
-    wanted = lists.select("vertex").distinct()
-    pick = (vertices.where("prefix is not null").join(wanted, "vertex", "left_semi")
-            .groupBy("vertex").agg(F.min(F.struct("id", "text_hash")).alias("doc")).select("vertex", "doc.*"))
+def _sets(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(vertex, shingles) of the vertices in pairs, each from one of its documents."""
+    wanted = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
+    pick = stored(vertices.where("prefix is not null").join(wanted, "vertex", "left_semi")
+                  .groupBy("vertex").agg(F.min(F.struct("id", "text_hash")).alias("doc")).select("vertex", "doc.*"), "jaccard_wanted")
 
     def run(batches):
         done = set()  # repeated rows of one document
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for v, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist(), size)):
                 if v not in done and set_name(s) == v:
                     done.add(v)
                     found.append((v, s))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v for v, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
-                 pa.array([bitmap(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                ["vertex", "n", "bits", "shingles"])
+                [pa.array([v for v, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())],
+                ["vertex", "shingles"])
 
     texts = docs.select(F.col("id").alias("doc"), F.xxhash64("text").alias("hash"), "text")
-    rows = pick.join(texts, (F.col("text_hash") == F.col("hash")) & F.col("id").eqNullSafe(F.col("doc"))).select("vertex", "text")
-    return rows.mapInArrow(run, "vertex long, n long, bits binary, shingles binary")
+    # without a shuffle of all texts where the wanted ones are counted to be few
+    rows = texts.join(small(pick, MAX_BROADCAST_ROWS), (F.col("text_hash") == F.col("hash")) & F.col("id").eqNullSafe(F.col("doc")))
+    return rows.select("vertex", "text").mapInArrow(run, "vertex long, shingles binary")
 
 
 class _Answers:
     """Bitmap distances from one set to the members of a list, by blocks; a set close to an earlier one reuses its answers."""
 
-    def __init__(self, n, pos, bits, percent):
-        self.n, self.pos, self.bits, self.percent = n, pos, bits, percent
+    def __init__(self, n, pos, bitmaps, percent):
+        self.n, self.pos, self.percent = n, pos, percent
+        fine = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps]
+        self.words = np.array([len(f) for f in fine])
+        self.place = np.empty(len(n), dtype=np.int64)  # of a member among those with bitmaps of its size
+        self.fine = {}
+        for w in np.unique(self.words):
+            own = np.flatnonzero(self.words == w)
+            self.place[own] = np.arange(len(own))
+            self.fine[w] = np.stack([fine[i] for i in own])
+        self.bits = np.stack([folded(f, BITS // 64) for f in fine])
         self.edges = np.arange(0, len(n), BLOCK)
         self.low_n, self.high_n = np.minimum.reduceat(n, self.edges), np.maximum.reduceat(n, self.edges)
         self.left = np.maximum.reduceat(n - pos, self.edges)  # most that a member of the block has from its position on
@@ -265,40 +295,46 @@ class _Answers:
               & (np.minimum(n[x] - self.pos[x], n[y] - self.pos[y]) >= need)]
         limit = n[x] + n[y] - 2 * needed(n[x], n[y], percent)
         if self.pivot is not None and len(y):
-            apart = int(np.bitwise_count(self.bits[x] ^ self.bits[self.pivot]).sum())
-            near = self.pivot_distance[y] - apart <= limit  # the others are beyond the limit whatever x has
-            y, limit = y[near], limit[near]
-        out = []
+            near = self.pivot_distance[y] - int(apart(self.bits[x], self.bits[self.pivot])) <= limit
+            y, limit = y[near], limit[near]  # the others are beyond the limit whatever x has
+        out = [y[:0]]
         for at in range(0, len(y), 4096):  # bounded memory
-            part = y[at:at + 4096]
-            out.append(part[np.bitwise_count(self.bits[part] ^ self.bits[x]).sum(axis=1, dtype=np.int64) <= limit[at:at + 4096]])
-        return np.concatenate(out) if out else y
+            part, bound = y[at:at + 4096], limit[at:at + 4096]
+            near = apart(self.bits[x], self.bits[part]) <= bound
+            part, bound = part[near], bound[near]
+            for w in np.unique(self.words[part]):  # long sets: by their larger bitmaps
+                same = self.words[part] == w
+                if min(w, self.words[x]) > BITS // 64:
+                    mine = self.fine[self.words[x]][self.place[x]]
+                    same[same] = apart(mine, self.fine[w][self.place[part[same]]]) <= bound[same]
+                out.append(part[same])
+        return np.sort(np.concatenate(out))
 
     def answer_all(self, x: int) -> None:
         """Make x the set whose answers others reuse."""
         out = np.empty(len(self.n), dtype=np.int64)
         for at in range(0, len(out), 4096):
-            out[at:at + 4096] = np.bitwise_count(self.bits[at:at + 4096] ^ self.bits[x]).sum(axis=1)
+            out[at:at + 4096] = apart(self.bits[x], self.bits[at:at + 4096])
         self.pivot, self.pivot_distance = x, out
 
 
-def list_pairs(vertex, n, pos, shared, comp, side, bits, first_round: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+def list_pairs(vertex, n, pos, central, comp, side, bits, first_round: bool, percent: int = PERCENT) -> np.ndarray:
     """Pairs of a list that must be checked. comp: component so far; side: 0 and 1 for a list's two blocks (only pairs
     across are wanted), 2 where all pairs are. In the first round, pairs that tie the list together; else all pairs that are left."""
     by = np.lexsort((vertex, pos, n))
-    vertex, n, pos, shared, comp, side, bits = (a[by] for a in (vertex, n, pos, shared, comp, side, bits))
-    answers = _Answers(n, pos, bits, percent)
+    vertex, n, pos, central, comp, side = (a[by] for a in (vertex, n, pos, central, comp, side))
+    answers = _Answers(n, pos, [bits[i] for i in by], percent)
     group = np.unique(comp, return_inverse=True)[1]
-    pairs = []
-    # sets that share most go first: a centre answers for its copies
-    todo = np.lexsort((vertex, -shared))
+    pairs = [np.zeros((0, 2), dtype=np.int64)]
+    # sets that share most go first: a centre answers for its copies, the same one in all lists
+    todo = np.lexsort((vertex, -central))
     if len(n) > BLOCK:
         answers.answer_all(int(todo[0]))
     if not first_round:
         for x in todo:
             y = answers.partners(x, np.flatnonzero((group != group[x]) & (vertex > vertex[x]) & ((side == 2) | (side != side[x]))))
-            pairs += [(int(vertex[x]), int(vertex[k])) for k in y]
-        return pairs
+            pairs.append(np.stack((np.full(len(y), vertex[x]), vertex[y]), axis=1))
+        return np.concatenate(pairs)
     done = np.zeros(len(n), dtype=bool)
     for x in todo:
         if done[x]:
@@ -308,17 +344,24 @@ def list_pairs(vertex, n, pos, shared, comp, side, bits, first_round: bool, perc
         while queue:
             x = queue.pop()
             y = answers.partners(x, np.flatnonzero((group != group[x]) & ((side == 2) | (side != side[x]))))
-            for k in y:
-                if group[k] != group[x]:  # not tied meanwhile
-                    pairs.append((int(min(vertex[x], vertex[k])), int(max(vertex[x], vertex[k]))))
-                    group[group == group[k]] = group[x]
+            y = y[np.lexsort((vertex[y], -central[y]))]
+            tied, first = np.unique(group[y], return_index=True)  # one pair for each group that is tied now
+            k = y[np.sort(first)]
+            pairs.append(np.stack((np.minimum(vertex[x], vertex[k]), np.maximum(vertex[x], vertex[k])), axis=1))
+            group[np.isin(group, tied)] = group[x]
             new = y[~done[y]]
             done[new] = True
             queue.extend(new.tolist())
-    return pairs
+    return np.concatenate(pairs)
+
+
+def _bitmaps(vertices: DataFrame, lists: DataFrame) -> DataFrame:
+    """(vertex, n, bits, central) of the vertices in lists, each once; central is the number of prefix shingles it shares."""
+    central = lists.groupBy("vertex").agg(F.sum("shared").alias("central"))
+    return (vertices.where("bits is not null").select("vertex", "n", "bits").join(central, "vertex").dropDuplicates(["vertex"]))
 
 
-def _candidates(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, first_round: bool, percent: int) -> DataFrame:
+def _candidates(lists: DataFrame, bitmaps: DataFrame, comps: DataFrame | None, first_round: bool, percent: int) -> DataFrame:
     """Distinct pairs (a, b) to check, over all lists whose members are not all connected yet."""
     if comps is None:
         rows = lists.withColumn("comp", F.col("vertex"))
@@ -335,7 +378,7 @@ def _candidates(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, firs
             .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
             .withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("i"), 0).otherwise(1)))
     key = ["list", "low", "high", "members", "i", "j"]
-    rows = rows.join(sets.select("vertex", "bits"), "vertex").select(*key, "vertex", "n", "pos", "shared", "comp", "side", "bits")
+    rows = rows.join(bitmaps, "vertex").select(*key, "vertex", "n", "pos", "central", "comp", "side", "bits")
 
     def run(batches):
         held, last = [], None
@@ -344,17 +387,18 @@ def _candidates(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, firs
             col = lambda c, t: part.column(c).to_numpy(zero_copy_only=False).astype(t)
             vertex = col("vertex", np.int64)
             if len(vertex) < 2:
-                return []
-            if len(vertex) == 2:  # the common case, without more ado
-                if vertex[0] == vertex[1] or part["comp"][0].as_py() == part["comp"][1].as_py():
-                    return []
-            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(len(vertex), -1)
-            return list_pairs(vertex, col("n", np.int64), col("pos", np.int64), col("shared", np.int64), col("comp", np.int64),
-                              col("side", np.int8), bits, first_round, percent)
+                return np.zeros((0, 2), dtype=np.int64)
+            return list_pairs(vertex, col("n", np.int64), col("pos", np.int64), col("central", np.int64), col("comp", np.int64),
+                              col("side", np.int8), part.column("bits").to_pylist(), first_round, percent)
+
+        sent = set()  # of the last lists; lists of one cluster ask for the same pairs again and again
 
         def out(pairs):
-            pairs = list(dict.fromkeys(pairs))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            if len(sent) > 500_000:
+                sent.clear()
+            new = [p for p in dict.fromkeys(map(tuple, np.concatenate(pairs).tolist())) if p not in sent]
+            sent.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
 
         for batch in batches:  # sorted by key: a list may go on in the next batch
             if not batch.num_rows:
@@ -366,21 +410,26 @@ def _candidates(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, firs
             for a, b in zip(cuts[:-1], cuts[1:]):
                 k = tuple(keys[a].tolist())
                 if held and k != last:
-                    found += pairs_of(pa.concat_tables(held).combine_chunks())
+                    found.append(pairs_of(pa.concat_tables(held).combine_chunks()))
                     held = []
+                    if sum(map(len, found)) > 20_000:
+                        yield out(found)
+                        found = []
                 held.append(whole.slice(a, b - a))
                 last = k
             if found:
                 yield out(found)
         if held:
-            yield out(pairs_of(pa.concat_tables(held).combine_chunks()))
+            yield out([pairs_of(pa.concat_tables(held).combine_chunks())])
 
     rows = rows.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with their exact overlap that are linked."""
+def _checked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose exact overlap makes a link."""
+    sets = stored(_sets(docs, vertices, pairs, size), "jaccard_sets")
+
     def run(batches):
         for batch in batches:
             keep = []
@@ -400,12 +449,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     vertices = stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices")
     lists = stored(_lists(vertices), "jaccard_lists")
-    sets = stored(_sets(docs, vertices, lists, size), "jaccard_sets")
-    first = stored(_candidates(lists, sets, None, True, percent), "jaccard_pairs")
-    links = stored(_checked(first, sets, percent), "jaccard_links")
+    bitmaps = stored(_bitmaps(vertices, lists), "jaccard_bitmaps")
+    first = stored(_candidates(lists, bitmaps, None, True, percent), "jaccard_pairs")
+    links = stored(_checked(first, docs, vertices, size, percent), "jaccard_links")
     comps = stored(components(links), "jaccard_components")
-    rest = _candidates(lists, sets, comps, False, percent).join(first, ["a", "b"], "left_anti")
-    more = stored(_checked(rest, sets, percent), "jaccard_links")
+    rest = stored(_candidates(lists, bitmaps, comps, False, percent).join(first, ["a", "b"], "left_anti"), "jaccard_pairs")
+    more = stored(_checked(rest, docs, vertices, size, percent), "jaccard_links")
     if not more.isEmpty():
         comps = stored(components(links.unionByName(more)), "jaccard_components")
     return (vertices.select("id", "text_hash", "n", "vertex").join(comps, "vertex", "left")

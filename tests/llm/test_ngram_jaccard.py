@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from conftest_llm import SMALL, documents, words
 from rowsmith.llm import ngram_jaccard
 from rowsmith.llm.components import components
-from rowsmith.llm.ngram_jaccard import (bitmap, list_pairs, needed, op7_ngram_jaccard, prefix_length, set_name, sets_of, shingles_of,
+from rowsmith.llm.ngram_jaccard import (apart, bitmap, folded, list_pairs, needed, op7_ngram_jaccard, prefix_length, set_name, sets_of, shingles_of,
                                         with_smallest_id, words_of)
 
 
@@ -122,9 +122,9 @@ def test_list_pairs_lose_nothing(first):
         s[rng.choice(99, k, replace=False) + 1] = rng.integers(0, 2 ** 63, k).astype(np.uint64)
         sets.append(np.unique(s))
     n = np.array([len(s) for s in sets])
-    bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(len(sets), -1)
+    bits = list(map(bitmap, sets))
     vertex = np.arange(150)
-    pairs = list_pairs(vertex, n, np.zeros(150, int), np.ones(150, int), vertex.copy(), np.full(150, 2), bits, first)
+    pairs = list(map(tuple, list_pairs(vertex, n, np.zeros(150, int), np.ones(150, int), vertex.copy(), np.full(150, 2), bits, first).tolist()))
     linked = [(a, b) for a, b in combinations(range(150), 2)
               if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
     if not first:
@@ -141,6 +141,16 @@ def test_list_pairs_lose_nothing(first):
     assert len(pairs) < 150 and all(find(a) == find(b) for a, b in linked)
 
 
+def test_bitmaps_never_exceed_the_distance():
+    rng = np.random.default_rng(9)
+    for n in (3, 500, 513, 3000, 5000):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: int(0.9 * n)], rng.integers(0, 2 ** 63, n // 3 + 1).astype(np.uint64))))
+        x, y = (np.frombuffer(bitmap(s), np.uint64) for s in (a, b))
+        far = len(np.setxor1d(a, b))
+        assert 0.5 * far < int(apart(x, y[None])[0]) <= far and int(apart(folded(x, 16), folded(y, 16))) <= far
+
+
 def test_needed_and_prefix():
     for nx in range(1, 60):
         for ny in range(1, 60):
