@@ -8,6 +8,16 @@ reference with the Jensen-Shannon distance (base 2, so it lies in 0..1). A
 distance is judged only where the document is long enough for it to mean
 something; shorter documents pass that test.
 
+The references of the main languages (those with a share of all words) are
+few and are held against documents of every judged language. A language below
+that share that has enough words of its own has a reference too; these may be
+many, so they stay in a table that is joined to the documents of their
+language, and only those documents are held against them. The same goes for a
+word reference without any common word: it is near to all texts without
+common words, in whatever language. A document whose language has no
+reference, or that has no language, passes both distance tests, because other
+languages' shares say nothing about it.
+
 A null text has no words and an empty one neither: both fail the base rule
 (fewer than ``min_words`` words). Repeated rows are judged row by row. An
 empty table gives an empty result. ``keep_documents`` returns the input's own
@@ -55,9 +65,14 @@ class Limits:
 
 @dataclass(frozen=True)
 class References:
-    """Per language: shares of the classes, the common words, and their shares (last: all other words)."""
+    """Per main language: shares of the classes, the common words, and their shares (last: all other words).
+
+    ``others`` has a row (lang, total, found) for each further language with a reference, ``found`` being its class
+    and common word counts; None if there is none.
+    """
     classes: dict[str, np.ndarray] = field(default_factory=dict)
     words: dict[str, tuple[list[str], np.ndarray]] = field(default_factory=dict)
+    others: DataFrame | None = None
 
 
 _class_table: np.ndarray | None = None
@@ -132,15 +147,29 @@ def _reference_counts(max_letters: int, flush_at: int = 200_000):
     return run
 
 
+def _shares(total: int, found) -> tuple[np.ndarray, tuple[list[str], np.ndarray]]:
+    """Class shares, and common words with their shares, from a language's rows (kind, key, n)."""
+    classes = np.zeros(len(CLASSES))
+    for kind, key, n in found:
+        if kind == "class":
+            classes[int(key)] = n
+    words = sorted((key, n) for kind, key, n in found if kind == "word")
+    p = np.array([n for _, n in words], dtype=float) / total
+    return classes / classes.sum(), ([w for w, _ in words], np.append(p, max(0.0, 1 - p.sum())))
+
+
 def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_letters: int = 5,
-                     min_share: float = 0.005, min_language_share: float = 0.001) -> References:
+                     min_share: float = 0.005, min_language_share: float = 0.001,
+                     min_language_words: int = 10_000) -> References:
     """Language references from all documents.
 
     Common words are words of at most ``max_letters`` letters that make up at
-    least ``min_share`` of their language's words; languages with under
-    ``min_language_share`` of all words give no reference. Both bounds follow
-    from shares, so at most 1 / share of each can exist and the rows brought
-    to the driver are few at any input size.
+    least ``min_share`` of their language's words. Main languages have at
+    least ``min_language_share`` of all words. Both bounds follow from shares,
+    so at most 1 / share of each can exist and the rows brought to the driver
+    are few at any input size. The references of all other languages of at
+    least ``min_language_words`` words stay in a stored table, with at most
+    ``len(CLASSES)`` + 1 / ``min_share`` counts a language.
     """
     counts = (docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
               .mapInArrow(_reference_counts(max_letters), "lang string, kind string, key string, n long")
@@ -148,25 +177,22 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     counts = stored(counts, "quality_references")
     totals = counts.where("kind = 'words'").select("lang", F.col("n").alias("total"))
     everything = totals.agg(F.sum("total")).first()[0] or 0
-    totals = totals.where(F.col("total") >= max(1.0, min_language_share * everything))
-    rows = (counts.where("kind <> 'words'").join(F.broadcast(totals), "lang")
-            .where((F.col("kind") == "class") | (F.col("n") >= min_share * F.col("total")))
+    is_main = F.col("total") >= max(1.0, min_language_share * everything)
+    wanted = (F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= min_share * F.col("total")))
+    rows = (counts.join(F.broadcast(totals.where(is_main)), "lang").where(wanted)
             .select("lang", "kind", "key", "n", "total").collect())
-    classes: dict[str, np.ndarray] = {}
-    words: dict[str, list] = {}
-    total: dict[str, int] = {}
+    found: dict[str, list] = {}
     for r in rows:
-        total[r.lang] = r.total
-        if r.kind == "class":
-            classes.setdefault(r.lang, np.zeros(len(CLASSES)))[int(r.key)] = r.n
-        else:
-            words.setdefault(r.lang, []).append((r.key, r.n))
-    shares = {}
-    for lang, found in words.items():
-        found.sort()
-        p = np.array([n for _, n in found], dtype=float) / total[lang]
-        shares[lang] = ([w for w, _ in found], np.append(p, max(0.0, 1 - p.sum())))
-    return References({k: v / v.sum() for k, v in classes.items() if v.sum()}, shares)
+        found.setdefault(r.lang, [r.total]).append((r.kind, r.key, r.n))
+    main = {lang: _shares(total, counted) for lang, (total, *counted) in found.items()}
+    further = totals.where(~is_main & (F.col("total") >= max(1, min_language_words)))
+    others = None
+    if not further.isEmpty():
+        # without the main languages no key of the join has more than a small share of the rows
+        others = stored(counts.where(~F.col("lang").isin(list(main))).join(further, "lang").where(wanted)
+                        .groupBy("lang", "total").agg(F.collect_list(F.struct("kind", "key", "n")).alias("found")),
+                        "quality_other_references")
+    return References({k: v[0] for k, v in main.items()}, {k: v[1] for k, v in main.items()}, others)
 
 
 def _base(text: str) -> tuple[int, int, int, int, int]:
@@ -198,20 +224,24 @@ def _base(text: str) -> tuple[int, int, int, int, int]:
     return n, word_chars, n_symbols, n_dup_lines, repeated
 
 
-def judge_text(text: str | None, refs: References, limits: Limits):
-    """The base counts, base_failed, the two distances (None where not judged) and the verdict of one text."""
+def judge_text(text: str | None, lang: str | None, refs: References, limits: Limits, own=None):
+    """The base counts, base_failed, the two distances (None where not judged) and the verdict of one text.
+
+    ``own`` is the reference of a language that is none of the main ones.
+    """
     text = text or ""
     n, word_chars, symbols, dup_lines, repeated = _base(text)
     base_failed = n < limits.min_words or 100 * repeated > limits.max_repeat_percent * n
     class_distance = word_distance = None
-    if len(text) >= limits.min_chars and refs.classes:
+    has_reference = own is not None or lang in refs.classes
+    if has_reference and len(text) >= limits.min_chars:
         p = class_counts(text) / len(text)
-        class_distance = min(distance(p, q) for q in refs.classes.values())
-    found = letter_words(text)
-    if len(found) >= limits.min_hist_words and refs.words:
+        class_distance = min(distance(p, q) for q in [*refs.classes.values(), *([own[0]] if own else [])])
+    found = letter_words(text) if has_reference else []
+    if len(found) >= limits.min_hist_words:
         counts = Counter(found)
         best = []
-        for words, q in refs.words.values():
+        for words, q in [*(v for k, v in refs.words.items() if v[0] or k == lang), *([own[1]] if own else [])]:
             c = np.array([counts.get(w, 0) for w in words] + [0], dtype=float)
             c[-1] = len(found) - c.sum()
             best.append(distance(c / len(found), q))
@@ -225,32 +255,71 @@ JUDGED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
           "base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
+OTHERS = "array<struct<kind: string, key: string, n: long>>"
+
+
+def _with_references(docs: DataFrame, cols: list, lang_col: str, refs: References) -> DataFrame:
+    """The columns ``cols`` as a struct row, with lang, and with total and found of a language in ``refs.others``."""
+    rows = docs.select(F.struct(*cols).alias("row"), F.col(lang_col).cast("string").alias("lang"))
+    plain = rows.withColumns({"total": F.lit(None).cast("long"), "found": F.lit(None).cast(OTHERS)})
+    if refs.others is None:
+        return plain
+    # rows of the main languages, and those without one, stay where they are
+    is_main = F.coalesce(F.col("lang").isin(list(refs.classes)), F.lit(True))
+    return plain.where(is_main).unionByName(rows.where(~is_main).join(refs.others, "lang", "left").select(plain.columns))
+
+
+def _verdicts(refs: References, limits: Limits, at: int):
+    """A function that gives the verdict of each row of a batch (row, lang, total, found), the text being field ``at``."""
+    own: dict[str, tuple] = {}
+
+    def run(batch):
+        text = batch.column(0).field(at)
+        for i, (lang, total) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if total is not None and lang not in own:
+                if len(own) > 1000:
+                    own.clear()
+                own[lang] = _shares(total, [(x["kind"], x["key"], x["n"]) for x in batch.column(3)[i].as_py()])
+            yield judge_text(text[i].as_py(), lang, refs, limits, None if total is None else own[lang])
+    return run
+
+
+JUDGED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+          "base_failed boolean, class_distance double, word_distance double, kept boolean")
+
+
 def judge(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text",
-          limits: Limits = Limits()) -> DataFrame:
+          limits: Limits = Limits(), lang_col: str = "lang") -> DataFrame:
     """One row per document: the id, the base counts, the distances and the verdict."""
     names = [x.split()[0] for x in JUDGED.split(", ")]
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+    main = References(refs.classes, refs.words)  # tasks cannot hold the table
 
     def run(batches):
+        verdicts = _verdicts(main, limits, 1)
         for batch in batches:
-            rows = [judge_text(t.as_py(), refs, limits) for t in batch.column(1)]
-            cols = list(zip(*rows)) if rows else [[]] * len(names)
+            cols = list(zip(*verdicts(batch))) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array(c, t) for c, t in zip(cols, types)], [id_col, *names])
+                [batch.column(0).field(0)] + [pa.array(c, t) for c, t in zip(cols, types)], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, {JUDGED}")
+    rows = _with_references(docs, [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")], lang_col, refs)
+    return rows.select("row", "lang", "total", "found").mapInArrow(run, f"`{id_col}` {kind}, {JUDGED}")
 
 
-def keep_documents(docs: DataFrame, refs: References, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+def keep_documents(docs: DataFrame, refs: References, text_col: str = "text", limits: Limits = Limits(),
+                   lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, unchanged, whose text is kept."""
-    at = docs.columns.index(text_col)
+    names, main = docs.columns, References(refs.classes, refs.words)
 
     def run(batches):
+        verdicts = _verdicts(main, limits, names.index(text_col))
         for batch in batches:
-            yield batch.filter(pa.array([judge_text(t.as_py(), refs, limits)[-1] for t in batch.column(at)], pa.bool_()))
+            left = batch.column(0).filter(pa.array([v[-1] for v in verdicts(batch)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(left.flatten(), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = _with_references(docs, names, lang_col, refs)
+    return rows.select("row", "lang", "total", "found").mapInArrow(run, docs.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

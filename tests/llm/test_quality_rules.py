@@ -69,3 +69,54 @@ def test_empty_table_and_null_language(spark):
     refs = learn_references(docs)
     assert not refs.classes and judge(docs, refs).count() == 0 and keep_documents(docs, refs).count() == 0
     assert not learn_references(documents(spark, ["a b c"], lang=None)).classes
+
+
+def corpus_of_languages(spark, rng):
+    """Clean texts of a large language, of a small one (under 0.1 % of all words), of one without common short
+    words and of one too small for a reference; ids 9000 on are odd texts."""
+    def texts(common, rest, n, length=300):
+        vocab = [*common] * 4 + [f"{a}{b}{rest}" for a in "bcdfgh" for b in "aeiou"]
+        return [" ".join(rng.choice(vocab, length)) for _ in range(n)]
+    far = lambda end, n: [" ".join(f"{x}{end}" for x in rng.choice([f"{a}{b}" for a in "klmnpr" for b in "aeiou"], 300))
+                          for _ in range(n)]
+    groups = {"main": texts(["the", "of", "and", "to", "in"], "ing", 100), "small": texts(["jo", "ku", "vi"], "ska", 8),
+              "long": far("xxxxxx", 20), "tiny": far("zzzzzz", 2), None: far("qqqqqq", 2)}
+    rows = [(lang, t) for lang, found in groups.items() for t in found]
+    rows = [(i, lang, t) for i, (lang, t) in enumerate(rows)]
+    rows += [(9000, "main", far("wwwwww", 1)[0]), (9001, "small", far("vvvvvv", 1)[0]), (9002, "small", "#%& " * 200),
+             (9003, "long", "#%& 12 " * 200)]
+    return spark.createDataFrame([(i, t, lang, "x", 1) for i, lang, t in rows],
+                                 "doc_id long, text string, lang string, total string, found long")
+
+
+def test_every_language_is_held_against_its_own(spark):
+    docs = corpus_of_languages(spark, np.random.default_rng(3))
+    free = Limits(max_repeat_percent=100)
+    # of some 40,000 words "small" has 6 %, "long" 16 %, "tiny" under 2 %: main here is what has over 10 %
+    refs = learn_references(docs, min_language_share=0.1, min_language_words=1000)
+    assert set(refs.classes) == {"main", "long"} and refs.words["long"][0] == []
+    assert [r.lang for r in refs.others.collect()] == ["small"]
+    out = {r.doc_id: r for r in judge(docs, refs, limits=free).collect()}
+    assert {i for i, r in out.items() if not r.kept} == {9000, 9001, 9002, 9003}
+    for r in docs.collect():
+        judged = r.lang in ("main", "long", "small")
+        assert (out[r.doc_id].class_distance is not None) == judged
+    # a reference without common words, or of a small language, is no way out for other languages
+    assert out[9000].word_distance > 0.32 and out[9001].word_distance > 0.32
+    left = keep_documents(docs, refs, limits=free)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted((tuple(r) for r in docs.where("doc_id < 9000").collect()), key=str)
+
+
+def test_language_below_a_thousandth_keeps_its_documents(spark):
+    main = ("the of and to in " * 20 + "reading writing walking ") * 60
+    small = [" ".join(f"{a}{b}{c}kkkk" for a in "klmnp" for b in "aeiou" for c in "rstv") + f" end{i}" for i in range(2)]
+    docs = spark.createDataFrame([(i, main, "en") for i in range(60)] + [(100 + i, t, "xx") for i, t in enumerate(small)],
+                                 "doc_id long, text string, lang string")
+    refs = learn_references(docs)
+    assert "xx" not in refs.classes and refs.others is None
+    kept = keep_documents(docs, refs, limits=Limits(max_repeat_percent=100))
+    assert {r.doc_id for r in kept.collect()} >= {100, 101}
+    refs = learn_references(docs, min_language_words=100)
+    assert refs.others.count() == 1
+    assert {r.doc_id for r in keep_documents(docs, refs).collect()} == {100, 101}
