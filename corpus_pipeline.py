@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowsmith.llm.common import stored, table
-from rowsmith.llm.decontaminate import drop_contaminated, word_windows
+from rowsmith.llm.decontaminate import clean
 from rowsmith.llm.mixing import mix_documents
 from rowsmith.llm.ngram_jaccard import keep_one
 from rowsmith.llm.quality_rules import keep_documents, learn_references
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which a 10-word window of a benchmark item occurs."""
-    return drop_contaminated(docs, word_windows(table(spark, sf_dir, "benchmark")))
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

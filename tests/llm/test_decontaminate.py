@@ -71,3 +71,36 @@ def test_bound_raises(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_WORDS", 3)
     with pytest.raises(ValueError):
         word_windows(bench(spark, [(1, "a b c d")]))
+
+
+@pytest.mark.parametrize("bound", [1, 25, 60])
+def test_benchmark_above_the_bound_is_done_in_blocks(spark, rng, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_WORDS", bound)
+    long_item, other = words(rng, 80, 10_000), words(rng, 30, 10_000)
+    items = [(1, long_item), (2, "Short Question?"), (3, None), (4, ""), (6, long_item), (7, other), (8, "short question")]
+    w, v = long_item.split(), other.split()
+    texts = [None, "", "!!", "a SHORT,  question here", " ".join(w), "x " + ", ".join(w[20:45]).upper() + " y " + " ".join(v[3:13]),
+             "no id", " ".join(w[5:14]), " ".join(v + w)]
+    benchmark = bench(spark, items)
+    blocks = list(decontaminate.window_blocks(benchmark))
+    assert len(blocks) > 1 and len({k for b in blocks for k in b}) == 71 + 21 + 1
+    assert all(len(b) <= max(1, bound) for b in blocks)
+    docs = documents(spark, [*enumerate(texts), (4, texts[4]), (4, None), (None, texts[3])]).repartition(3)
+    found = decontaminate.hits(docs, benchmark)
+    assert found.columns == scan(docs, {}).columns
+    key = lambda rows: sorted(map(str, rows))
+    rows = docs.collect()
+    assert key((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()) == \
+        key((r.doc_id, *brute(r.text, items)) for r in rows)
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns and key(map(tuple, kept.collect())) == key(tuple(r) for r in rows if not brute(r.text, items)[-1])
+    # as with one automaton, with spans that several passes found parts of and an item without an id
+    benchmark = bench(spark, [*items, (None, "no id")])
+    blocks = key(map(tuple, decontaminate.hits(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_WORDS", 500_000)
+    assert blocks == key(map(tuple, decontaminate.hits(docs, benchmark).collect()))
+
+
+def test_query_in_blocks_matches_sql(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_WORDS", 300)
+    assert same_as_sql(spark, "op8_decontaminate") == 200
