@@ -1,12 +1,14 @@
 """Sharding by vector bin packing.
 
 Rows fall into groups of equal texts. A group that holds more than a small
-share of all bytes, tokens or rows is split into pieces; all other groups are
-joined by hash into cells. Cells and pieces are the items that are packed: a
-bounded number of (bytes, tokens, rows) vectors. Items are placed largest
-first, each into the shard where the dot product of its vector with the
-shard's residual capacity is highest; moves of small items then even out what
-greedy placing left over. Rows never pass through the driver, only the items.
+share of all bytes, tokens or rows is numbered in pieces; all other groups are
+joined by hash into cells. Cells and pieces are a bounded number of (bytes,
+tokens, rows) vectors. The pieces of a group go to one shard, unless the group
+is over ``WHOLE`` of a shard's capacity: then its pieces are placed one by one.
+What is placed goes largest first, each into the shard where the dot product
+of its vector with the shard's residual capacity is highest; moves of small
+items then even out the bytes that greedy placing left over, as far as tokens
+and rows allow. Rows never pass through the driver, only the vectors.
 
 Inside a shard the rows get gapless slots: each item has a start slot, and
 its rows are numbered from there, so no task ever sees a whole shard.
@@ -26,14 +28,19 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from rowsmith.llm.common import WORD_PATTERN, stored, table
 
 DIMENSIONS = ("bytes", "tokens", "rows")
+#: Share of a shard's capacity up to which a group of equal texts stays in one shard.
+WHOLE = 0.5
 
 
-def place(items: np.ndarray, n_shards: int, tolerance: float = 0.001, moves: int = 20_000) -> np.ndarray:
+def place(items: np.ndarray, n_shards: int, tolerance: float = 0.001, moves: int = 20_000,
+          slack: float = 0.005) -> np.ndarray:
     """Shard of each item. ``items``: one row (bytes, tokens, rows) each.
 
     Every dimension is scaled so that a shard's capacity is 1 in each; bytes
     are then evened out by moving items from the fullest to the emptiest shard
-    until the two differ by at most ``tolerance`` of a shard.
+    until the two differ by at most ``tolerance`` of a shard. A move is taken only
+    if it leaves both shards, in each other dimension, within ``slack`` of the
+    capacity or no farther from it than the worse of them was.
     """
     capacity = np.maximum(items.sum(axis=0) / n_shards, 1e-9)
     scaled = items / capacity
@@ -46,6 +53,13 @@ def place(items: np.ndarray, n_shards: int, tolerance: float = 0.001, moves: int
         residual[s] -= scaled[i]
     size = items[:, 0]
     load = np.bincount(shard, weights=size, minlength=n_shards)
+    others = np.stack([np.bincount(shard, weights=w, minlength=n_shards) for w in scaled[:, 1:].T], axis=1) - 1
+
+    def fits(change):
+        """Which changes (scaled, one row each) of the other dimensions from hi to lo are within the bound."""
+        worst = np.maximum(slack, np.maximum(np.abs(others[hi]), np.abs(others[lo]))) + 1e-12
+        return ((np.abs(others[hi] - change) <= worst) & (np.abs(others[lo] + change) <= worst)).all(axis=1)
+
     for _ in range(moves):
         hi, lo = int(np.argmax(load)), int(np.argmin(load))
         gap = load[hi] - load[lo]
@@ -53,6 +67,7 @@ def place(items: np.ndarray, n_shards: int, tolerance: float = 0.001, moves: int
             break
         here = np.flatnonzero(shard == hi)
         fit = here[(size[here] > 0) & (size[here] < gap)]
+        fit = fit[fits(scaled[fit, 1:])]
         best, gain = None, 0.0
         if len(fit):  # one item moved: best if it is half the gap
             k = fit[np.argmin(np.abs(size[fit] - gap / 2))]
@@ -61,7 +76,7 @@ def place(items: np.ndarray, n_shards: int, tolerance: float = 0.001, moves: int
         if len(there) and len(here):  # two items exchanged
             back = there[np.argsort(size[there], kind="stable")]
             at = np.clip(np.searchsorted(size[back], size[here] - gap / 2), 0, len(back) - 1)
-            left = np.abs(gap - 2 * (size[here] - size[back[at]]))
+            left = np.where(fits(scaled[here, 1:] - scaled[back[at], 1:]), np.abs(gap - 2 * (size[here] - size[back[at]])), np.inf)
             k = int(np.argmin(left))
             if gap - left[k] > gain:
                 best, gain = (here[k], back[at[k]]), gap - left[k]
@@ -72,6 +87,8 @@ def place(items: np.ndarray, n_shards: int, tolerance: float = 0.001, moves: int
                 shard[k] = to
                 load[lo] += sign * size[k]
                 load[hi] -= sign * size[k]
+                others[lo] += sign * scaled[k, 1:]
+                others[hi] -= sign * scaled[k, 1:]
     return shard
 
 
@@ -80,7 +97,7 @@ def pack(docs: DataFrame, n_shards: int, keep: list[str], text_col: str = "text"
     """The columns ``keep`` of every row with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
     A group of over 1 / (64 ``n_shards``) of all bytes, tokens or rows is
-    split, so there are under 3 * 64 * ``n_shards`` such groups. The number of
+    numbered in pieces, so there are under 3 * 64 * ``n_shards`` such groups. The number of
     cells grows with the rows, to keep a cell's rows at most about
     ``rows_per_cell``.
     """
@@ -102,7 +119,8 @@ def pack(docs: DataFrame, n_shards: int, keep: list[str], text_col: str = "text"
     share = F.greatest(*[F.col(d) * pieces_of_all / float(max(1, total[d] or 0)) for d in DIMENSIONS])
     hot = sorted(tuple(r) for r in keyed.groupBy("hash", "crc").agg(*sums).withColumn("share", share)
                  .where((F.col("share") > 1) & (F.col("rows") > 1))
-                 .select("hash", "crc", F.least(F.ceil("share"), F.col("rows")).cast("int").alias("pieces")).collect())
+                 .select("hash", "crc", F.least(F.ceil("share"), F.col("rows")).cast("int").alias("pieces"),
+                         (F.col("share") <= WHOLE * pieces_of_all / n_shards).alias("whole")).collect())
     spark = docs.sparkSession
     starts = np.cumsum([cells, *[h[2] for h in hot]]).tolist()
     cut = spark.createDataFrame([(h[0], h[1], h[2], s) for h, s in zip(hot, starts)],
@@ -113,7 +131,15 @@ def pack(docs: DataFrame, n_shards: int, keep: list[str], text_col: str = "text"
 
     found = placed.groupBy("item").agg(*sums).orderBy("item").toPandas()
     vectors = found[list(DIMENSIONS)].to_numpy(dtype=float)
-    shard = place(vectors, n_shards) if len(found) else np.zeros(0, dtype=np.int64)
+    # the pieces of a group that stays whole are placed as one
+    unit = found["item"].to_numpy().copy()
+    if hot:
+        group = np.searchsorted(starts[:-1], unit, side="right") - 1
+        whole = (group >= 0) & np.array([h[3] for h in hot])[group]
+        unit[whole] = np.array(starts)[group[whole]]
+    unit = np.unique(unit, return_inverse=True)[1]
+    units = np.stack([np.bincount(unit, weights=w) for w in vectors.T], axis=1)
+    shard = place(units, n_shards)[unit] if len(found) else np.zeros(0, dtype=np.int64)
     start = np.zeros(len(found), dtype=np.int64)
     for s in range(n_shards):
         mine = np.flatnonzero(shard == s)

@@ -61,3 +61,27 @@ def test_dot_product_balances_all_dimensions():
     for d in range(3):
         load = np.bincount(shard, weights=items[:, d], minlength=8)
         assert load.max() < 1.02 * load.min()
+
+
+def test_groups_below_half_a_shard_stay_whole(spark, rng):
+    twins = [words(rng, 40) for _ in range(30)]
+    large = words(rng, 40)  # a third of a shard's rows
+    docs = documents(spark, [words(rng, rng.randint(30, 50)) for _ in range(440)] + twins + twins + [large] * 42)
+    rows = pack(docs, 4, ["doc_id", "text"]).collect()
+    gapless(rows)
+    shards, load = defaultdict(set), defaultdict(int)
+    for r in rows:
+        shards[r.text].add(r.shard)
+        load[r.shard] += r.size
+    assert len(rows) == 542 and all(len(shards[t]) == 1 for t in [*twins, large])
+    assert max(load.values()) - min(load.values()) <= 0.01 * sum(load.values())
+
+
+def test_moves_keep_tokens_and_rows_even():
+    rng = np.random.default_rng(2)
+    n = 400
+    items = np.stack([rng.lognormal(5, 1.5, n), rng.lognormal(3, 1.5, n), np.ones(n)], axis=1)
+    far = lambda shard, d: np.abs(np.bincount(shard, weights=items[:, d], minlength=8) * 8 / items[:, d].sum() - 1).max()
+    before, after = place(items, 8, moves=0), place(items, 8)
+    assert far(after, 0) <= far(before, 0)
+    assert all(far(after, d) <= max(0.005, far(before, d)) + 1e-9 for d in (1, 2))
