@@ -6,8 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -24,15 +22,3 @@ def spark():
     checkpoint_root(s)  # the session's shared folder, or a scratch one when unset
     yield s
     s.stop()
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme, to list a local folder."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def rows(df, *cols):
-    """Sorted list of tuples (of ``cols`` or all columns) for comparisons."""
-    sel = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in sel.collect()),
-                  key=lambda t: tuple((x is None, 0 if x is None else x) for x in t))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.operators import audit, changes, rules
 
-from conftest import rows
+from helpers import rows
 
 C = F.col
 

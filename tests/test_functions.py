@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions import arrays, dates, scalars
 
-from conftest import rows
+from helpers import rows
 
 C = F.col
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from rowsmith.operators import hierarchy, positions
 
-from conftest import rows
+from helpers import rows
 
 # node, parent, value: a root, four levels, a NULL value, a node whose parent
 # is not in the table, a second root

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from rowsmith.plans.catalog import all_queries
 from tools.check_oracle import digest, duck
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 # the relational queries; the corpus operators have their own tests
 QUERIES = {name: spec.run for name, spec in all_queries().items()}

@@ -7,7 +7,7 @@ import pytest
 
 from rowsmith.plans.catalog import all_queries
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")

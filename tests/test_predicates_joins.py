@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.operators import joins, predicates
 
-from conftest import rows
+from helpers import rows
 
 C = F.col
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.plans import reports
 
-from conftest import rows
+from helpers import rows
 
 C = F.col
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rowsmith.operators import rules
 from rowsmith.operators.rules import Rule
 
-from conftest import rows
+from helpers import rows
 
 
 def test_unknown_passes_and_is_counted(spark):

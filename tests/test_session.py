@@ -57,7 +57,7 @@ def test_scale_conf(caplog):
 def test_cli_list_and_run(spark, capsys):
     import glob
     from rowsmith.__main__ import main
-    from conftest import local_path
+    from helpers import local_path
     assert main(["list"]) == 0
     listed = capsys.readouterr().out.splitlines()
     assert len(listed) == 69 and any(line.endswith("report_phone_list") for line in listed)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowsmith.operators import aggregates, rules
 from rowsmith.plans import reports
 
-from conftest import rows
+from helpers import rows
 
 N = 3000
 

@@ -13,7 +13,7 @@ from rowsmith.session import scratch_path
 from rowsmith.sources import report_text, tables
 from rowsmith.streaming import new_rows
 
-from conftest import SF_SMALL, local_path, rows
+from helpers import SF_SMALL, local_path, rows
 
 
 def test_scan_uses_declared_schema(spark):

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from rowsmith.functions import text
 
-from conftest import rows
+from helpers import rows
 
 
 def scan_spans(s, needle):
