@@ -31,7 +31,7 @@ def same_as_sql(spark, name, sf_dir=SMALL, views=None):
 
     from rowsmith.llm.catalog import ORACLE_SQL, QUERIES
     con = duckdb.connect()
-    for t in "documents pages benchmark labels conversations".split():
+    for t in "documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet{'/*.parquet' if views else ''}')")
     found = QUERIES[name](spark, sf_dir)
     names = sorted(found.columns)
