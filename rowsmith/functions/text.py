@@ -6,14 +6,18 @@ last match ended, so ``aa`` occurs twice in ``aaaa``), offsets counted in
 characters (code points), 0-based, end exclusive. An empty needle finds
 nothing. Whole texts are searched.
 
-T1 runs row by row in Arrow batches, after the JVM has dropped the texts
-without a match: plain string search gives each text's matches in one linear
-pass, whatever their number, and nothing is shuffled. Rows are independent, so
-repeated ids do no harm.
+T1 splits each text at the needle, and a match ends where the pieces before it
+and the needles between them end: a running sum over the pieces' lengths. It
+is summed in blocks, whose totals are summed the same way (``running_sums``),
+so its cost is in proportion to the matches, dense needles included. All of it
+is one expression of the JVM on each row: nothing is shuffled, rows are
+independent, and repeated ids do no harm.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +32,53 @@ def quote_pattern(needle: str) -> str:
     return "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+#: Numbers that are summed one by one, each sum appended to an array (a copy of at most this length).
+BLOCK = 32
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda a Column used twice is evaluated twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(numbers: Column, levels: int = 2) -> Column:
+    """The running sums of an array of numbers, as array<bigint>.
+
+    Blocks of ``BLOCK`` numbers get running sums of their own, then the sums of
+    the block totals (by the same rule, ``levels`` deep) are added to
+    them. With two levels the one-by-one part has at most one number for every 1024.
+    """
+    if not levels:
+        def append(sums, x):
+            return F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0).cast("long")) + x)
+        return F.aggregate(numbers, F.array().cast("array<bigint>"), append)
+
+    def from_blocks(blocks):
+        before = F.array_insert(running_sums(F.transform(blocks, lambda b: F.element_at(b, -1)), levels - 1), 1, F.lit(0).cast("long"))
+        return F.flatten(_bound(before, lambda sums: F.transform(
+            blocks, lambda b, i: _bound(F.get(sums, i), lambda more: F.transform(b, lambda x: x + more)))))
+
+    def in_blocks(all_numbers):
+        return F.transform(F.sequence(F.lit(1), F.size(all_numbers), F.lit(BLOCK)),
+                           lambda at: running_sums(F.slice(all_numbers, at, F.lit(BLOCK)), 0))
+    return _bound(numbers, lambda n: F.when(F.size(n) == 0, F.array().cast("array<bigint>")).otherwise(_bound(in_blocks(n), from_blocks)))
+
+
 def find_spans(df: DataFrame, id_col: str, text_col: str, needle: str) -> DataFrame:
     """Every match of ``needle`` in every text, as
     (``id_col``, match_no, start, end); match_no counts from 0 per text."""
-    import pyarrow as pa
-
     width = len(needle)
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, match_no int, start long, end long"
     if not needle:
-        return df.sparkSession.createDataFrame([], schema)
-
-    def spans(batches, block=100_000):  # rows of one batch out, at most, but for one text's
-        for batch in batches:
-            rows, numbers, starts = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                text, at, n = text.as_py(), -width, 0
-                while (at := text.find(needle, at + width)) >= 0:
-                    rows.append(i), numbers.append(n), starts.append(at)
-                    n += 1
-                if len(rows) >= block or i == batch.num_rows - 1 and rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()),
-                         pa.array([s + width for s in starts], pa.int64())], [id_col, "match_no", "start", "end"])
-                    rows, numbers, starts = [], [], []
-
-    return df.where(F.col(text_col).contains(needle)).select(id_col, text_col).mapInArrow(spans, schema)
+        kind = df.schema[id_col].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"`{id_col}` {kind}, match_no int, start long, end long")
+    pieces = F.split(F.col(text_col), quote_pattern(needle), -1)
+    # the last piece ends at the end of the text, all others at a match
+    ends = running_sums(_bound(pieces, lambda all_pieces: F.transform(
+        F.slice(all_pieces, F.lit(1), F.size(all_pieces) - 1), lambda p: (F.length(p) + width).cast("long"))))
+    # every text left has a match, so the outer generator adds no rows; it gets no inferred filter that splits again
+    return (df.where(F.col(text_col).contains(needle))
+            .select(F.col(id_col), F.posexplode_outer(ends).alias("match_no", "end"))
+            .select(id_col, "match_no", (F.col("end") - width).alias("start"), "end"))
 
 
 def highlight(text: Column | str, needle: str, open_mark: str = MARK_OPEN,

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.operators.positions import with_position
-from rowsmith.session import require_unique
+from rowsmith.operators.skew import join_unique, split_by_keys
+from rowsmith.session import require_unique, stored
 
 
 def update_where(df: DataFrame, column: str, predicate: Column, value: Column | object) -> DataFrame:
@@ -79,23 +80,26 @@ def cascade_delete(parent: DataFrame, parent_key: str, keys: DataFrame, key_col:
     in a boolean column ``cleared``.
 
     Returns (new parent, {name: new child}, refused keys with reason,
-    accepted keys). The key sets are distinct and map-side combined; the
-    children are changed with anti or outer joins against the accepted set.
+    accepted keys). The key sets are distinct and map-side combined. The
+    accepted set is the result of a join, so it is stored, and each child's hot
+    references are measured and changed without a shuffle (``skew.split_by_keys``):
+    children that mostly refer to one parent do not meet in one task.
     """
     wanted = keys.select(F.col(key_col).alias("__k")).distinct()
     blocked = blockers.select(F.col(blocker_key).alias("__k")).distinct()
     refused = (wanted.join(blocked, "__k", "left_semi")
                      .select(F.col("__k").alias(key_col), F.lit("has_blocking_rows").alias("reason")))
-    accepted = wanted.join(blocked, "__k", "left_anti")
+    accepted = stored(wanted.join(blocked, "__k", "left_anti"), "accepted_keys")
     new_parent = parent.join(accepted, parent[parent_key] == accepted["__k"], "left_anti")
     new_children = {}
     for name, (frame, ref, action) in children.items():
-        if action == "delete":
-            new_children[name] = frame.join(accepted, frame[ref] == accepted["__k"], "left_anti")
-        elif action == "nullify":
-            new_children[name] = null_out_references(frame, ref, accepted, "__k", changed_col="cleared")
-        else:
+        if action not in ("delete", "nullify"):
             raise ValueError(f"unknown action {action!r}")
+        hit, rest = split_by_keys(frame, accepted.withColumnRenamed("__k", ref), [ref])
+        if action == "nullify":
+            hit = hit.withColumn(ref, F.lit(None).cast(frame.schema[ref].dataType)).withColumn("cleared", F.lit(True))
+            rest = rest.withColumn("cleared", F.lit(False)).unionByName(hit)
+        new_children[name] = rest.select(*frame.columns, *(["cleared"] if action == "nullify" else []))
     return new_parent, new_children, refused, accepted.select(F.col("__k").alias(key_col))
 
 
@@ -113,7 +117,11 @@ def insert_tagged(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame,
     others of its key. A key with a NULL part is never a duplicate.
 
     A parent key that occurs twice raises: so every test is one left join with
-    a plain table, and a hot key can be split at runtime.
+    a plain table, and a hot key can be split at runtime. The first row of each
+    key is a map-side combined minimum, so a key with a third of the rows sends
+    one row a task; rows then find their key's first one by ``skew.join_unique``.
+    Names in ``order_by`` are ascending with NULLs first, Columns may carry
+    another direction; rows equal in all of them come in no stated order.
     """
     tagged, failed = new_rows, F.lit(None).cast("string")
     for suffix, (ref, parent, pkey) in parents.items():
@@ -133,13 +141,20 @@ def insert_tagged(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame,
         whole = F.lit(True)
         for k in key:
             whole = whole & F.col(k).isNotNull()
-        # rows without a whole key are never compared: they are dealt out by all their columns
-        apart = F.when(~whole, F.xxhash64(*new_rows.columns))
-        first = Window.partitionBy(*key, F.col("__failed").isNull(), apart).orderBy(
-            *(order_by or [F.col(c) for c in new_rows.columns]))
-        again = whole & (F.coalesce(F.col("__have"), F.lit(False)) | (F.row_number().over(first) > 1))
-        tagged = tagged.withColumn("__again", again)
-        status = F.coalesce(status, F.when(F.col("__again"), F.lit("duplicate_key")))
+        # a number of their own tells equal rows apart; the stored table fixes it for both reads below
+        tagged = stored(tagged.select(*new_rows.columns, "__failed", F.coalesce("__have", F.lit(False)).alias("__have"),
+                                      F.monotonically_increasing_id().alias("__row")), "insert_rows")
+        valid = tagged.where(whole & F.col("__failed").isNull() & ~F.col("__have"))
+        if all(isinstance(c, str) for c in order_by or []):
+            least = F.struct(*(order_by or new_rows.columns), "__row")
+            first = valid.groupBy(*key).agg(F.min(least).alias("__o")).select(*key, F.col("__o.__row").alias("__first"))
+        else:  # a Column may carry a sort direction, which a minimum cannot follow: each task keeps one row a key
+            rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order_by, "__row"))
+            first = valid.withColumn("__n", rank).where("__n = 1").select(*key, F.col("__row").alias("__first"))
+        tagged = join_unique(tagged.where(whole), first, key, "left").unionByName(
+            tagged.where(~whole).withColumn("__first", F.col("__row")))
+        again = F.col("__have") | (F.col("__row") != F.col("__first"))
+        status = F.coalesce(status, F.when(again, F.lit("duplicate_key")))
     return tagged.select(*new_rows.columns, F.coalesce(status, F.lit("accepted")).alias("status"))
 
 

@@ -59,4 +59,22 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
             .unionByName(left.join(hot, keys, "left_anti").join(right, keys, how)))
 
 
-__all__ = ["HOT_ROWS", "HOT_SHARE", "hot_keys", "join_unique"]
+def split_by_keys(left: DataFrame, right: DataFrame, keys: list[str],
+                  share: float = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``left`` whose key is in ``right``, the other ones, NULL keys included), by ``join_unique``'s rules.
+
+    ``right`` has the columns ``keys``; a key held there several times does no harm. The hot keys are measured once for both parts.
+    """
+    whole = left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    apart = left.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    right = right.select(*keys)
+    hot = hot_keys(left, keys, share)
+    if hot is None:
+        return whole.join(right, keys, "left_semi"), apart.unionByName(whole.join(right, keys, "left_anti"))
+    many, rest = whole.join(hot, keys, "left_semi"), whole.join(hot, keys, "left_anti")
+    few = F.broadcast(hot.join(right, keys, "left_semi"))
+    return (many.join(few, keys, "left_semi").unionByName(rest.join(right, keys, "left_semi")),
+            apart.unionByName(many.join(few, keys, "left_anti")).unionByName(rest.join(right, keys, "left_anti")))
+
+
+__all__ = ["HOT_ROWS", "HOT_SHARE", "hot_keys", "join_unique", "split_by_keys"]

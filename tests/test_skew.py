@@ -115,3 +115,84 @@ def test_hot_keys_are_split(spark):
         decided = reports.ship_decisions(sales, customers, "2000-01-01 00:00:00")
         assert "skew=true" in final_plan(decided)
         assert decided.where("decision = 'on_hold'").count() == sales.where("o_custkey between 1 and 3999").count()
+
+
+def hot_children(spark, n=60_000):
+    """Half the rows refer to key 0, some to none; the rest spread over 5000 keys."""
+    ref = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 101 == 0, None).otherwise(F.col("id") % 5000).cast("long")
+    return spark.range(n).select("id", ref.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad")).repartition(8)
+
+
+def test_cascade_takes_hot_references_past_the_shuffle(spark):
+    """Adaptive execution has nothing to split here (the accepted keys come out of a join), so hot keys are measured."""
+    from rowsmith.operators import changes
+    child = hot_children(spark)
+    data = child.select("id", "k").collect()
+    parent = spark.range(0, 5000).select(F.col("id").alias("p"))
+    keys = parent.where("p % 3 = 0").select(F.col("p").alias("k"))
+    blockers = spark.range(0, 5000, 9).select((F.col("id") + 3).alias("b"))
+    accepted = {k for k in range(0, 5000, 3)} - {k + 3 for k in range(0, 5000, 9)}
+    with skew_limits(spark):
+        new_parent, kids, refused, taken = changes.cascade_delete(
+            parent, "p", keys, "k", blockers, "b", {"gone": (child, "k", "delete"), "kept": (child, "k", "nullify")})
+        assert {r["k"] for r in taken.collect()} == accepted and 0 in accepted
+        for name in kids:
+            plan = final_plan(kids[name])
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan, name
+            # no exchange carries the hot key: every shuffle of the child has the anti join with the hot keys under it
+            assert plan.count("ShuffledHashJoin") == 0
+        assert sorted(r["id"] for r in kids["gone"].collect()) == [r["id"] for r in sorted(data) if r["k"] not in accepted]
+        assert rows(kids["kept"], "id", "k", "cleared") == sorted(
+            ((r["id"], None if r["k"] in accepted else r["k"], r["k"] in accepted) for r in data),
+            key=lambda t: tuple((x is None, 0 if x is None else x) for x in t))
+        assert kids["kept"].columns == ["id", "k", "pad", "cleared"]
+
+
+def test_shuffles_of_a_hot_table_carry_no_hot_row(spark):
+    """Measured from the stages: the largest shuffle partition of the join has no third of the rows."""
+    from rowsmith.operators.skew import hot_keys, split_by_keys
+    child = hot_children(spark)
+    with skew_limits(spark):
+        hot = hot_keys(child, ["k"])
+        assert [tuple(r) for r in hot.collect()] == [(0,)]
+        right = spark.range(0, 4000, 2).withColumnRenamed("id", "k").repartition(4)
+        hit, rest = split_by_keys(child, right.unionByName(right), ["k"])
+        sizes = [n for _, n in hit.groupBy(F.spark_partition_id()).count().collect()]
+        assert hit.count() == sum(1 for r in child.collect() if r["k"] is not None and r["k"] < 4000 and r["k"] % 2 == 0)
+        assert hit.count() + rest.count() == 60_000 and max(sizes) < 10_000
+
+
+def test_small_tables_measure_no_hot_keys(spark):
+    from rowsmith.operators.skew import hot_keys, join_unique
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
+    assert hot_keys(df, ["k"]) is None and hot_keys(df.limit(0), ["k"]) is None
+    right = spark.createDataFrame([(1, 5)], "k int, w int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(join_unique(df, right, ["k"], how)) == rows(df.join(right, ["k"], how))
+
+
+def test_join_unique_equals_the_plain_join(spark, monkeypatch):
+    from rowsmith.operators import skew
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    df = spark.createDataFrame([(i, 0 if i % 2 else i % 7, "x" if i % 3 else None) for i in range(100)], "id int, a int, b string")
+    right = spark.createDataFrame([(a, b, a * 10) for a in range(5) for b in ("x", "y")], "a int, b string, w int")
+    assert skew.hot_keys(df, ["a", "b"]) is not None
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(skew.join_unique(df, right, ["a", "b"], how)) == rows(df.join(right, ["a", "b"], how)), how
+
+
+def test_insert_sends_one_row_a_task_for_a_hot_key(spark):
+    from rowsmith.operators import changes
+    child = hot_children(spark).drop("pad")
+    parent = spark.range(0, 4000).select(F.col("id").alias("p"))
+    none = child.limit(0)
+    out = changes.insert_tagged(child, {"x": ("k", parent, "p")}, none, ["k"], ["id"])
+    first = {}
+    for i, k in sorted((r["id"], r["k"]) for r in child.collect() if r["k"] is not None):
+        first.setdefault(k, i)
+    want = collections.Counter("accepted" if r["k"] is None else "unknown_x" if r["k"] >= 4000 else
+                               "accepted" if first[r["k"]] == r["id"] else "duplicate_key" for r in child.collect())
+    assert dict(rows(out.groupBy("status").count())) == dict(want)
+    assert "Window" not in final_plan(out) and "partial_min" in final_plan(out)
+    by_column = changes.insert_tagged(child, {"x": ("k", parent, "p")}, none, ["k"], [F.col("id").asc()])
+    assert rows(by_column) == rows(out)

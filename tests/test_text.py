@@ -3,6 +3,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from rowsmith.functions import text
 
 from helpers import rows
@@ -92,3 +94,19 @@ def test_text_holding_marks_does_not_round_trip(spark):
     df = spark.createDataFrame([(1, "a <mark>th</mark> b th")], "doc_id long, text string")
     r = df.select(text.clear_marks(text.highlight("text", "th")).alias("c"), "text").first()
     assert r["c"] == "a th b th" and r["c"] != r["text"]
+
+
+def test_dense_needle_and_long_texts(spark):
+    docs = ["t" * 5000, "th" * 40_000, "word the other " * 7000, "é𝒳" * 3000 + "t"]
+    for needle in ("t", "th", "é"):
+        assert spark_spans(spark, docs, needle) == brute(docs, needle), needle
+
+
+def test_running_sums_over_block_edges(spark, monkeypatch):
+    for block in (2, 3, 32):
+        monkeypatch.setattr(text, "BLOCK", block)
+        data = [(n, [(i * 7) % 5 for i in range(n)]) for n in (0, 1, 2, 3, 4, 8, 9, 27, 31, 32, 33, 64, 65, 1024, 1025, 1500)]
+        df = spark.createDataFrame(data, "n int, a array<bigint>")
+        for levels in (0, 1, 2, 3):
+            out = dict(rows(df.select("n", text.running_sums(F.col("a"), levels).alias("s"))))
+            assert out == {n: [sum(a[:i + 1]) for i in range(n)] for n, a in data}, (block, levels)
