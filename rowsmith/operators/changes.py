@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowsmith.operators.generator import KeyGenerator
 from rowsmith.operators.positions import with_position
 from rowsmith.operators.skew import join_unique, split_by_keys
 from rowsmith.session import require_unique, stored
@@ -167,19 +168,29 @@ def insert_checked(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame,
             tagged.where(F.col("status") != "accepted").withColumnRenamed("status", "reason"))
 
 
-def assign_keys(df: DataFrame, key: str, order_by: Sequence[Column | str],
-                start_after: int | None = None) -> DataFrame:
+def assign_keys(df: DataFrame, key: str, order_by: Sequence[Column | str], start_after: int | None = None,
+                generator: KeyGenerator | None = None, run: str | None = None) -> DataFrame:
     """M7: fill a NULL key from a sequence: ``mark + 1``, ``mark + 2``, ... in
     ``order_by`` order among the NULL-key rows; a key already given is kept.
 
-    ``mark`` is ``start_after`` when given, else the high-water mark
-    ``max(key)`` of the rows that have one (0 if none). The numbering is the
+    With a ``generator`` the keys are a range that it reserves for ``run``:
+    a key is never given twice, also when the rows that held the highest keys
+    are gone by the next load, and a load that is run again under its name gives
+    the same keys. Keys of ``df`` above the generator's mark move it first.
+    Without one, ``mark`` is ``start_after`` when given, else the high-water mark
+    ``max(key)`` of the rows that have a key (0 if none). The numbering is the
     distributed one of ``positions.with_position``."""
     have = df.where(F.col(key).isNotNull())
     missing = df.where(F.col(key).isNull())
     if start_after is None:
-        # one scalar (the high-water mark) comes to the driver, no rows
-        start_after = have.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
+        # two scalars (the high-water mark and the number of keys wanted) come to the driver, no rows
+        mark, wanted = df.agg(F.coalesce(F.max(key), F.lit(0)).cast("long"), F.count_if(F.col(key).isNull())).first()
+        start_after = mark
+        if generator is not None:
+            generator.advance_to(mark)
+            start_after = generator.reserve(wanted, run) - 1
+    elif generator is not None:
+        raise ValueError("start_after and a generator cannot both give the keys")
     numbered = with_position(missing, order_by, "__pos", start=int(start_after) + 1)
     filled = numbered.withColumn(key, F.col("__pos").cast(df.schema[key].dataType)).drop("__pos")
     return have.unionByName(filled)

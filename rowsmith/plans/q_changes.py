@@ -5,15 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowsmith.operators import audit, changes, rules
+from rowsmith.operators import audit, changes, constraints as cs, rules
 from rowsmith.operators.aggregates import MONEY, MONEY_SUM
+from rowsmith.operators.generator import KeyGenerator
 from rowsmith.operators.rules import Rule
 from rowsmith.plans import standins as si
 from rowsmith.plans.registry import query, with_ctes
-from rowsmith.session import stored
+from rowsmith.session import scratch_path, stored
 from rowsmith.sources import tables
 from rowsmith.sources.tables import Catalog
 from rowsmith.streaming import new_rows
+from rowsmith.streaming.audit_stream import audit_files
 
 C = F.col
 
@@ -172,6 +174,27 @@ def assign_keys(spark, base):
     return changes.assign_keys(incoming, "c_custkey", ["c_name"])
 
 
+@query("assign_keys_again", "M7", """
+WITH marks AS (SELECT max(c_custkey) FILTER (c_mktsegment <> 'FURNITURE') AS mark, count(*) FILTER (c_mktsegment = 'FURNITURE') AS n FROM customer),
+first AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'FURNITURE' UNION ALL
+    SELECT mark + row_number() OVER (ORDER BY c_name), c_name FROM customer, marks WHERE c_mktsegment = 'FURNITURE'),
+kept AS (SELECT * FROM first WHERE c_custkey < (SELECT max(c_custkey) FROM first))
+SELECT 1 AS load, CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM kept UNION ALL
+SELECT 2, CAST(greatest(mark + n, mark) + row_number() OVER (ORDER BY s_name) AS BIGINT), s_name FROM supplier, marks""")
+def assign_keys_again(spark, base):
+    """Two loads from one key generator: customers of one segment get keys,
+    the customer with the highest key is deleted, and suppliers that become
+    customers get keys after the mark, not the deleted one."""
+    c = tables.scan(spark, base, "customer")
+    incoming = c.select(F.when(C("c_mktsegment") != "FURNITURE", C("c_custkey")).alias("c_custkey"), "c_name")
+    keys = KeyGenerator(spark, scratch_path(spark, "generator"))
+    first = stored(changes.assign_keys(incoming, "c_custkey", ["c_name"], generator=keys, run="first"), "customers")
+    kept = first.where(C("c_custkey") < F.lit(first.agg(F.max("c_custkey")).first()[0]))
+    new = tables.scan(spark, base, "supplier").select(F.lit(None).cast("long").alias("c_custkey"), C("s_name").alias("c_name"))
+    second = changes.assign_keys(new, "c_custkey", ["c_name"], generator=keys, run="second")
+    return kept.select(F.lit(1).alias("load"), "*").unionByName(second.select(F.lit(2).alias("load"), "*"))
+
+
 # ============================================================================ C
 
 LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -382,6 +405,56 @@ def check_cross_table(spark, base):
     return out.select("o_orderkey", "o_custkey")
 
 
+CONSTRAINTS = (
+    ("lineitem", "not_null", "l_returnflag"), ("lineitem", "primary_key", "l_orderkey,l_linenumber"),
+    ("lineitem", "foreign_key", "l_orderkey -> orders"), ("lineitem", "check", "l_discount <= 0.08"),
+    ("orders", "primary_key", "o_orderkey"), ("orders", "foreign_key", "o_custkey -> customer"),
+    ("orders", "foreign_key", "price key -> ranges"), ("orders", "price_range", "price within its range"),
+    ("orders", "on_hold", "shipped to a customer on hold"), ("customer", "unique", "c_name"),
+    ("customer", "unique", "c_nationkey,c_mktsegment"))
+
+
+def order_constraints():
+    """The constraints named in ``CONSTRAINTS``."""
+    a, customer = iter(CONSTRAINTS), ("customer", ("c_custkey",))
+    key = ("o_orderstatus", "o_orderpriority", "o_year")
+    return [cs.NotNull(*next(a), "l_returnflag"), cs.Key(*next(a), ("l_orderkey", "l_linenumber")),
+            cs.Reference(*next(a), ("l_orderkey",), "orders", ("o_orderkey",)), cs.Check(*next(a), C("l_discount") <= 0.08),
+            cs.Key(*next(a), ("o_orderkey",)), cs.Reference(*next(a), ("o_custkey",), *customer),
+            cs.Reference(*next(a), key, "ranges", key), cs.InRange(*next(a), key, "price", "ranges", key, "min_price", "max_price"),
+            cs.Conflict(*next(a), ("o_custkey",), C("o_orderstatus") == "F", *customer, C("on_hold") == "*"),
+            cs.Key(*next(a), ("c_name",), null_is_distinct=True), cs.Key(*next(a), ("c_nationkey", "c_mktsegment"), null_is_distinct=True)]
+
+
+def _label(n: int) -> str:
+    return "'{}' AS table_name, '{}' AS kind, '{}' AS constraint_name".format(*CONSTRAINTS[n])
+
+
+@query("constraint_report", "C1", with_ctes(si.ORDERS_KEYED_SQL, si.RANGES_SQL, si.CUST_SQL, f"""
+kept AS (SELECT * FROM cust WHERE c_mktsegment <> '{si.LOST_PARENT_SEGMENT}')""", body=f"""
+SELECT {_label(0)}, count(*) AS n_violations FROM lineitem WHERE nullif(l_returnflag, 'R') IS NULL
+UNION ALL SELECT {_label(1)}, count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+UNION ALL SELECT {_label(2)}, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM okeyed)
+UNION ALL SELECT {_label(3)}, count(*) FROM lineitem WHERE l_discount > CAST(0.08 AS DOUBLE)
+UNION ALL SELECT {_label(4)}, count(*) FROM (SELECT 1 FROM okeyed GROUP BY o_orderkey HAVING count(*) > 1)
+UNION ALL SELECT {_label(5)}, count(*) FROM okeyed WHERE o_custkey NOT IN (SELECT c_custkey FROM kept)
+UNION ALL SELECT {_label(6)}, count(*) FROM okeyed o WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.o_orderstatus = o.o_orderstatus
+    AND r.o_orderpriority = o.o_orderpriority AND r.o_year = o.o_year)
+UNION ALL SELECT {_label(7)}, count(*) FROM okeyed JOIN ranges USING (o_orderstatus, o_orderpriority, o_year)
+    WHERE price NOT BETWEEN min_price AND max_price
+UNION ALL SELECT {_label(8)}, count(*) FROM okeyed WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM kept WHERE on_hold = '*')
+UNION ALL SELECT {_label(9)}, count(*) FROM (SELECT 1 FROM kept GROUP BY c_name HAVING count(*) > 1)
+UNION ALL SELECT {_label(10)}, count(*) FROM (SELECT 1 FROM kept GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1)"""))
+def constraint_report(spark, base):
+    """Keys, references, ranges, rules and a rule across tables over four
+    tables at once: one scan and one shuffle of each."""
+    cat = Catalog(spark, base)
+    lines = cat.lineitem.withColumn("l_returnflag", F.nullif(C("l_returnflag"), F.lit("R")))
+    customers = si.held_customers(cat).where(C("c_mktsegment") != si.LOST_PARENT_SEGMENT)
+    return cs.report({"lineitem": lines, "orders": si.orders_keyed(cat), "customer": customers, "ranges": si.price_ranges(cat)},
+                     order_constraints())
+
+
 # ============================================================================ D
 
 
@@ -414,6 +487,25 @@ def audit_snapshots(spark, base):
     return audit.audit_changes(old, new, ["o_orderkey"], "price", si.AS_OF, "auditor")
 
 
+@query("audit_stream", "D1", with_ctes(si.ORDERS_KEYED_SQL, si.PRICE_UPDATES_SQL, body=f"""
+SELECT o_orderkey, {si.AS_OF_SQL} AS change_date, 'auditor' AS updater_id, old AS old_value, new AS new_value,
+       (new - old) * CAST(100.0 AS DOUBLE) / nullif(old, 0) AS percent_change
+FROM (SELECT o.o_orderkey, CAST(o.price AS DOUBLE) AS old, CAST(m.price AS DOUBLE) AS new
+        FROM okeyed o JOIN s2 m ON m.o_orderkey = o.o_orderkey
+      UNION ALL
+      SELECT m.o_orderkey, CAST(m.price AS DOUBLE), CAST(n.price AS DOUBLE) FROM s2 m JOIN s4 n ON n.o_orderkey = m.o_orderkey) t
+WHERE old <> new"""))
+def audit_stream(spark, base):
+    """Three versions of all orders arrive as files, before, between and after
+    the ordered price updates; the stream audits each change as it sees it."""
+    path, orders, steps = scratch_path(spark, "order_versions"), si.orders_keyed(Catalog(spark, base)), si.price_update_steps()
+    for version, done in enumerate((0, 2, 4)):
+        (changes.update_sequence(orders, steps[:done]).select("o_orderkey", "price", F.lit(version).alias("version"))
+         .write.mode("append").parquet(path))
+    schema = spark.read.parquet(path).schema
+    return audit_files(spark, path, schema, ["o_orderkey"], "price", "version", si.AS_OF, "auditor", max_files_per_trigger=1)
+
+
 @query("stream_new_rows", "D2", """
 SELECT event_type, count(*) AS n_new FROM events GROUP BY event_type""")
 def stream_new_rows(spark, base):

@@ -10,15 +10,20 @@ from rowsmith.functions import arrays, dates, scalars
 from rowsmith.operators import aggregates, hierarchy, joins, positions, predicates
 from rowsmith.plans import standins as si
 from rowsmith.plans.registry import query, with_ctes
-from rowsmith.sources import report_text, tables
+from rowsmith.session import scratch_path
+from rowsmith.sources import quarantine, report_text, tables
 from rowsmith.sources.tables import Catalog
 
 # ============================================================================ S
 
 
-@query("scan_table", "S1", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("scan_table", "S1", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'""")
 def scan_table(spark, base):
-    return tables.scan(spark, base, "nation")
+    """Four columns of the largest table, for one range of dates: column list
+    and filter reach the file scan."""
+    return (tables.scan(spark, base, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"])
+            .where(F.col("l_shipdate") >= dates.ntz_literal("1998-01-01 00:00:00")))
 
 
 LOAD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
@@ -45,8 +50,42 @@ def load_with_defaults(spark, base):
     return tables.load_with_defaults(incoming, LOAD_SCHEMA, LOAD_DEFAULTS, mdy_pivot=50)
 
 
+@query("load_quarantine", "S2", """
+WITH lines AS (SELECT o_orderkey,
+    CASE o_orderpriority WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%m/%d/%y') END AS o_orderdate,
+    CASE o_orderstatus WHEN 'P' THEN 'n/a' ELSE '12' END AS qty_ordered FROM orders),
+bad AS (SELECT *, o_orderdate LIKE '____/%' AS bad_date, qty_ordered = 'n/a' AS bad_qty FROM lines),
+counts AS (SELECT count(*) FILTER (NOT bad_date AND NOT bad_qty) AS n_loaded, count(*) FILTER (bad_date OR bad_qty) AS n_refused FROM bad)
+SELECT part, o_orderkey, column_name, value, n_loaded::BIGINT AS n_loaded, n_refused::BIGINT AS n_refused FROM (
+  SELECT 'loaded' AS part, o_orderkey, 'o_orderdate' AS column_name, strftime(strptime(o_orderdate, '%m/%d/%y'), '%Y-%m-%d') AS value
+    FROM bad WHERE NOT bad_date AND NOT bad_qty
+  UNION ALL SELECT 'refused', o_orderkey, 'o_orderdate', o_orderdate FROM bad WHERE bad_date
+  UNION ALL SELECT 'refused', o_orderkey, 'qty_ordered', qty_ordered FROM bad WHERE bad_qty) t, counts""")
+def load_quarantine(spark, base):
+    """Orders as text lines, some with dates in another form and some without
+    a quantity, loaded in one pass: the rows that fit, the refused ones with
+    each value that could not be read, and the counts of both."""
+    o = tables.scan(spark, base, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"])
+    other_form = F.date_format("o_orderdate", "yyyy/MM/dd")
+    lines = o.select(
+        "o_orderkey",
+        F.when(F.col("o_orderpriority") == "3-MEDIUM", other_form).otherwise(dates.format_mdy("o_orderdate")).alias("o_orderdate"),
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise("12").alias("qty_ordered"))
+    schema = T.StructType([LOAD_SCHEMA["o_orderkey"], LOAD_SCHEMA["o_orderdate"], LOAD_SCHEMA["paid"], LOAD_SCHEMA["qty_ordered"]])
+    load = quarantine.load_apart(lines, schema, scratch_path(spark, "load"), LOAD_DEFAULTS, mdy_pivot=50)
+    counts = [F.lit(load.n_loaded).cast("long").alias("n_loaded"), F.lit(load.n_refused).cast("long").alias("n_refused")]
+    good = load.loaded.select(F.lit("loaded").alias("part"), "o_orderkey", F.lit("o_orderdate").alias("column_name"),
+                              F.date_format("o_orderdate", "yyyy-MM-dd").alias("value"), *counts)
+    bad = load.refused.select(F.lit("refused").alias("part"), F.col("o_orderkey").cast("long").alias("o_orderkey"),
+                              F.inline("problems"), *counts)
+    return good.unionByName(bad)
+
+
 def order_contacts(cat: Catalog):
-    o, c = cat.orders, cat.customer
+    return contacts_of(cat.orders, cat.customer)
+
+
+def contacts_of(o, c):
     return (joins.join_inner(o, c, "o_custkey", "c_custkey")
                  .select("o_orderkey", "c_name", "o_orderpriority", "o_orderstatus",
                          F.col("c_mktsegment").alias("location"), "c_nationkey"))
@@ -95,6 +134,24 @@ def fixed_width_report(spark, base):
     return report_text.fixed_width_report(c, REPORT_COLS, REPORT_WIDTHS, REPORT_HEAD, order_by=["c_name", "c_custkey"])
 
 
+@query("report_file", "S5", f"""
+SELECT CAST(0 AS BIGINT) AS line_no,
+       {_pad_sql("'NAME'", 20)} || ' ' || {_pad_sql("'SEGMENT'", 15)} || ' ' || 'NATION' AS line
+UNION ALL
+SELECT row_number() OVER (ORDER BY c_name, c_custkey) AS line_no,
+       {_pad_sql("coalesce(c_name, '')", 20)} || ' ' || {_pad_sql("coalesce(c_mktsegment, '')", 15)}
+       || ' ' || coalesce(CAST(c_nationkey AS VARCHAR), '') AS line
+FROM customer""")
+def report_file(spark, base):
+    """The customer listing written as text files and read back: the lines by
+    their place in the files, which is the report's order."""
+    c = tables.scan(spark, base, "customer")
+    lines = report_text.fixed_width_report(c, REPORT_COLS, REPORT_WIDTHS, REPORT_HEAD, order_by=["c_name", "c_custkey"])
+    path = scratch_path(spark, "report_file")
+    report_text.write_text_report(lines, path, in_order=True)
+    return report_text.read_text_report(spark, path)
+
+
 # ============================================================================ F
 
 

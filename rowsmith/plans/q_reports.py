@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from rowsmith.functions import text
 from rowsmith.plans import reports
 from rowsmith.plans import standins as si
-from rowsmith.plans.q_relational import MANAGERS_SQL, ORDER_CONTACTS_SQL, managers, order_contacts, staff
+from rowsmith.plans.q_relational import MANAGERS_SQL, ORDER_CONTACTS_SQL, contacts_of, managers, order_contacts, staff
 from rowsmith.plans.registry import query, with_ctes
+from rowsmith.session import scratch_path
 from rowsmith.sources import tables
 from rowsmith.sources.tables import Catalog
 
 C = F.col
 
+# Buckets of the catalogued bucketed tables; at scale one for some hundred MB of the larger table.
+BUCKETS = 8
+
 # ============================================================================ B
 
 
@@ -27,6 +31,21 @@ def report_phone_list(spark, base):
                               ["c_name", "o_orderpriority", "o_orderkey"])
 
 
+@query("phone_list_bucketed", "B1", with_ctes(ORDER_CONTACTS_SQL, body="""
+SELECT c_name, o_orderpriority, o_orderkey FROM order_contacts WHERE location = 'BUILDING'
+ORDER BY c_name, o_orderpriority, o_orderkey"""))
+def phone_list_bucketed(spark, base):
+    """The same report over orders and customers written once as tables
+    bucketed on the customer key: bucket meets bucket, and nothing is shuffled
+    before the sort."""
+    cat, root = Catalog(spark, base), scratch_path(spark, "bucketed")
+    orders = tables.write_bucketed(cat.orders, f"{root}/orders", "rowsmith_orders_by_customer", BUCKETS, "o_custkey")
+    customer = tables.write_bucketed(cat.customer, f"{root}/customer", "rowsmith_customer_by_key", BUCKETS, "c_custkey")
+    view = contacts_of(orders, customer.hint("merge"))
+    return reports.phone_list(view, "BUILDING", ["c_name", "o_orderpriority", "o_orderkey"],
+                              ["c_name", "o_orderpriority", "o_orderkey"])
+
+
 @query("report_org_chart", "B2", with_ctes(si.CUST_TREE_SQL, MANAGERS_SQL, body=f"""
 SELECT d.node AS dept_no, h.name AS head_dept, d.name AS department,
        CASE WHEN m.mngr_no IS NULL THEN '{reports.NO_MANAGER}' ELSE s.full_name END AS mngr_name,

@@ -12,7 +12,7 @@ declarations become checks.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from rowsmith.functions.dates import days_between, ntz_literal
 from rowsmith.functions.scalars import concat_null
-from rowsmith.operators import rules
+from rowsmith.operators import constraints as cs
 from rowsmith.operators.domains import COLUMN_RULES, DOMAINS
 from rowsmith.sources.tables import load_with_defaults
 
@@ -206,15 +206,36 @@ def phone_list(employee: DataFrame, department: DataFrame) -> DataFrame:
                     .select("emp_no", "first_name", "last_name", "phone_ext", "location", "phone_no"))
 
 
-def _count(kind: str, table: str, name: str, violating: DataFrame) -> DataFrame:
-    return violating.agg(F.count(F.lit(1)).alias("n_violations")).select(
-        F.lit(table).alias("table_name"), F.lit(kind).alias("kind"), F.lit(name).alias("constraint_name"),
-        "n_violations")
+def declared_constraints(names: Iterable[str]) -> list[cs.Constraint]:
+    """Every declared constraint of the named tables, in declaration order, then the two rules across tables."""
+    out: list[cs.Constraint] = []
+    names = list(names)
+    for name in names:
+        t = COMPANY[name]
+        out += [cs.NotNull(name, "not_null", c.name, c.name) for c in t.columns
+                if c.not_null or c.domain and DOMAINS[c.domain].not_null]
+        out.append(cs.Key(name, "primary_key", ",".join(t.primary_key), t.primary_key))
+        out += [cs.Key(name, "unique", ",".join(u), u, null_is_distinct=True) for u in t.unique]
+        out += [cs.Reference(name, "foreign_key", f"{','.join(cols)} -> {ref}", cols, ref, ref_cols) for cols, ref, ref_cols in t.references]
+        for c in t.columns:
+            if c.domain:
+                out.append(cs.Check(name, "check", f"{c.name}:{c.domain}", DOMAINS[c.domain].predicate(C(c.name))))
+            if c.rule:
+                out.append(cs.Check(name, "check", f"{c.name}:{c.rule}", COLUMN_RULES[c.rule](C(c.name))))
+        out += [cs.Check(name, "check", label, build()) for label, build in t.row_rules]
+    if {"employee", "job"} <= set(names):
+        keys = ("job_code", "job_grade", "job_country")
+        out.append(cs.InRange("employee", "salary_range", "salary within job range", keys, "salary", "job", keys, "min_salary", "max_salary"))
+    if {"sales", "customer"} <= set(names):
+        out.append(cs.Conflict("sales", "on_hold", "shipped to a customer on hold", ("cust_no",), C("order_status") == "shipped",
+                               "customer", ("cust_no",), C("on_hold") == "*"))
+    return out
 
 
 def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Every declared constraint of the given tables, checked: one row
-    (table_name, kind, constraint_name, n_violations) per constraint.
+    (table_name, kind, constraint_name, n_violations) per constraint, with one
+    scan and one shuffle a table (``operators.constraints``).
 
     Kinds: not_null (C1), primary_key (C2), unique (C3), foreign_key (C4/C5;
     a self reference is C6), check (domain, column and row rules, C7/C8;
@@ -223,47 +244,4 @@ def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     and unique, and offending rows for every other kind. A reference to a
     table that is not given has the kind ``not_checked`` and no count.
     """
-    parts: list[DataFrame] = []
-    for name, df in tables.items():
-        t = COMPANY[name]
-        nn = [c.name for c in t.columns if c.not_null or c.domain and DOMAINS[c.domain].not_null]
-        if nn:
-            parts.append(rules.null_counts(df, nn).select(
-                F.lit(name).alias("table_name"), F.lit("not_null").alias("kind"),
-                C("column_name").alias("constraint_name"), C("n_null").alias("n_violations")))
-        parts.append(_count("primary_key", name, ",".join(t.primary_key),
-                            rules.duplicate_keys(df, t.primary_key)))
-        for u in t.unique:
-            parts.append(_count("unique", name, ",".join(u), rules.duplicate_keys(df, u, null_is_distinct=True)))
-        for cols, ref, ref_cols in t.references:
-            label = f"{','.join(cols)} -> {ref}"
-            if ref not in tables:
-                parts.append(df.sparkSession.range(1).select(
-                    F.lit(name).alias("table_name"), F.lit("not_checked").alias("kind"), F.lit(label).alias("constraint_name"),
-                    F.lit(None).cast("long").alias("n_violations")))
-            else:
-                parts.append(_count("foreign_key", name, label,
-                                    rules.orphans(df, list(cols), tables[ref], list(ref_cols))))
-        checks = []
-        for c in t.columns:
-            if c.domain:
-                checks.append(rules.Rule(f"{c.name}:{c.domain}", DOMAINS[c.domain].predicate(C(c.name))))
-            if c.rule:
-                checks.append(rules.Rule(f"{c.name}:{c.rule}", COLUMN_RULES[c.rule](C(c.name))))
-        checks += [rules.Rule(label, build()) for label, build in t.row_rules]
-        if checks:
-            parts.append(rules.rule_counts(df, checks).select(
-                F.lit(name).alias("table_name"), F.lit("check").alias("kind"),
-                C("rule").alias("constraint_name"), "n_violations"))
-    if "employee" in tables and "job" in tables:
-        keys = ["job_code", "job_grade", "job_country"]
-        parts.append(_count("salary_range", "employee", "salary within job range", rules.range_violations(
-            tables["employee"], tables["job"], keys, "salary", "min_salary", "max_salary")))
-    if "sales" in tables and "customer" in tables:
-        s, c = tables["sales"], tables["customer"]
-        parts.append(_count("on_hold", "sales", "shipped to a customer on hold", rules.cross_table(
-            s, C("order_status") == "shipped", c, C("on_hold") == "*", ["cust_no"])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return cs.report(tables, declared_constraints(tables))

@@ -107,6 +107,12 @@ def unreadable_dates(df: DataFrame, schema: T.StructType, keep: list[str], mdy_p
     return df.select(*keep, F.explode_outer(bad).alias("__bad")).where("__bad is not null").select(*keep, "__bad.*")
 
 
+def refuse_unknown_columns(df: DataFrame, schema: T.StructType) -> None:
+    unknown = set(df.columns) - {f.name for f in schema.fields}
+    if unknown:
+        raise ValueError(f"columns that the schema does not have: {', '.join(sorted(unknown))}")
+
+
 def load_with_defaults(df: DataFrame, schema: T.StructType,
                        defaults: Mapping[str, object] | None = None,
                        computed: Mapping[str, Column] | None = None, mdy_pivot: int | None = None) -> DataFrame:
@@ -121,19 +127,18 @@ def load_with_defaults(df: DataFrame, schema: T.StructType,
 
     With ``mdy_pivot``, text for a timestamp column is read as ``MM/DD/YY``
     (two-digit years from the pivot on are 19yy) or as ISO text; text that is
-    no such date raises, with ANSI on or off. ``unreadable_dates`` lists such rows.
+    no such date raises, with ANSI on or off. ``unreadable_dates`` lists such
+    rows; ``quarantine.load_apart`` loads the good ones and keeps the others.
     """
     defaults = dict(defaults or {})
     have = set(df.columns)
-    unknown = have - {f.name for f in schema.fields}
-    if unknown:
-        raise ValueError(f"columns that the schema does not have: {', '.join(sorted(unknown))}")
+    refuse_unknown_columns(df, schema)
     cols = []
     for f in schema.fields:
         if f.name in have and mdy_pivot is not None and _is_mdy_text(df, f):
-            day = _read_date(f.name, mdy_pivot)
+            # each form is read once a row, and only where the one before it gave nothing
             bad = F.raise_error(F.concat(F.lit(f"{f.name} is no MM/DD/YY date: "), F.col(f.name)))
-            cols.append(F.when(F.col(f.name).isNotNull() & day.isNull(), bad.cast("timestamp_ntz")).otherwise(day)
+            cols.append(F.coalesce(_read_date(f.name, mdy_pivot), F.when(F.col(f.name).isNotNull(), bad.cast("timestamp_ntz")))
                          .cast(f.dataType).alias(f.name))
         elif f.name in have:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
@@ -167,9 +172,10 @@ def write_bucketed(df: DataFrame, path: str, table_name: str, buckets: int, key:
     """Sink: write ``df`` as a table bucketed (hash-partitioned) on ``key``
     at ``path`` and register it as ``table_name``; returns the table. A scan
     of it reports that partitioning, so later joins, aggregates and windows
-    keyed by ``key`` need no shuffle (T1's running sum over a corpus bucketed
-    by document runs without any exchange)."""
-    (df.write.bucketBy(buckets, key).sortBy(*(sort_by or [key])).option("path", path)
+    keyed by ``key`` need no shuffle; two tables with the same number of
+    buckets on their join keys are joined bucket by bucket. The one shuffle is
+    paid here, and leaves one file a bucket instead of one a task and bucket."""
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*(sort_by or [key])).option("path", path)
        .mode("overwrite").saveAsTable(table_name))
     return df.sparkSession.table(table_name)
 

@@ -6,7 +6,7 @@ import tempfile
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from rowsmith.plans.catalog import all_queries
 from rowsmith.session import scratch_path
@@ -175,3 +175,45 @@ def test_ordered_report_written_in_order(spark):
     text = "".join(open(f).read() for f in sorted(glob.glob(local_path(out) + "/part-*")))
     got = text.splitlines()
     assert got[0].startswith("LAST") and [g[:7] for g in got[1:]] == [f"name{i:03d}" for i in range(200)]
+
+
+def test_numbered_report_is_written_as_it_is(spark):
+    """One range shuffle for numbering and file order; the files, read back by their numbers, are the report."""
+    import glob
+    from rowsmith.session import scratch_path
+    from rowsmith.sources import report_text
+    names = spark.range(20_000).select(F.sha1(F.col("id").cast("string")).alias("name"), F.col("id").cast("int").alias("n")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for heading in (["NAME", "N"], None):
+        lines = report_text.fixed_width_report(names, ["name", "n"], [42, None], heading, order_by=["name"])
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "hashpartitioning" not in plan  # already in order: nothing is left to shuffle
+        path = scratch_path(spark, "report")
+        report_text.write_text_report(lines, path, in_order=True)
+        files = sorted(glob.glob(local_path(path) + "/part-*"))
+        assert len(files) > 2
+        text = [line.rstrip("\n") for f in files for line in open(f)]
+        want = [r["line"] for r in lines.orderBy("line_no").collect()]
+        assert text == want
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            for size in (old, "20000"):  # the second cuts every file into several splits
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                back = rows(report_text.read_text_report(spark, path))
+                assert back == list(enumerate(want))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_bucketed_phone_list_has_no_exchange_before_its_sort(spark):
+    from rowsmith.plans.catalog import all_queries
+    for name in ("rowsmith_orders_by_customer", "rowsmith_customer_by_key"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    out = all_queries()["phone_list_bucketed"].run(spark, SF_SMALL)
+    assert rows(out) == rows(all_queries()["report_phone_list"].run(spark, SF_SMALL))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "hashpartitioning" not in plan and plan.count("Exchange") == plan.count("rangepartitioning")
+    assert "SelectedBucketsCount: 8 out of 8" in plan
+    # run again over tables that exist
+    assert all_queries()["phone_list_bucketed"].run(spark, SF_SMALL).count() == out.count()
