@@ -123,10 +123,21 @@ def path_kind(spark: SparkSession, path: str) -> str | None:
     return "folder" if fs.getFileStatus(target).isDirectory() else "file"
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds (none if it does not exist)."""
+    fs, target = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all in it."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        fs, target = _file_system(spark, path)
-        fs.delete(target, True)
+        delete_path(spark, path)
     except Exception:  # noqa: BLE001 - the application is ending, its JVM may be gone already
         pass
 
@@ -167,5 +178,5 @@ def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     return df
 
 
-__all__ = ["build_session", "checkpoint_root", "path_kind", "require_unique", "scratch_path", "scale_conf", "small",
+__all__ = ["build_session", "checkpoint_root", "delete_path", "list_names", "path_kind", "require_unique", "scratch_path", "scale_conf", "small",
            "stored", "DEFAULT_CONF"]

@@ -1,92 +1,110 @@
-"""D1 on a stream: audit rows as new values of a table's rows arrive.
+"""D1 on a stream: audit rows as new versions of a table's rows arrive.
 
 The AFTER UPDATE trigger that compares the old and the new value of a row
-becomes a stateful stream: the state keeps, for each key, the last value and
-where in the order of changes it stood. A new row that differs from it leaves an audit row,
-as ``operators.audit.audit_changes`` would between two snapshots, and becomes
-the last value. State and output are committed with the stream's checkpoint, so
-a stopped stream goes on where it was, and no audit row comes twice.
-
-The state holds one value a key. Its store keeps it on the executors' disks when the session
-uses the RocksDB provider (``session.scale_conf`` does), in their memory otherwise.
+becomes a file stream with keyed state. The state is a table of the last value of
+each key and where in the order of changes it stood. A micro-batch puts
+its rows behind the state's row of their key (one shuffle by key); a row that differs from
+the one before it leaves an audit row, as ``operators.audit.audit_changes``
+would between two snapshots, and the last row of each key is the next state.
+
+Batch ``n`` reads the state that an earlier batch left, and writes a state and audit rows under its own
+number. A batch that runs again after a failure starts from the same
+state and overwrites what it had written, so a stopped stream goes on where it
+was and no audit row comes twice. The last two states are kept.
+
+A batch costs one pass over the state, all of it on the JVM side; the trigger
+should make batches that are large against it. Versions of one key in
+one batch are compared in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from rowsmith.functions.dates import ntz_literal
 from rowsmith.functions.scalars import percent_change
-from rowsmith.session import scratch_path
+from rowsmith.session import delete_path, list_names, path_kind, scratch_path
 
+_OLD, _AT, _VALUE, _KEPT = "__old", "__at", "__value", "__kept"
 
-def _differences(keys: list[str], key_fields: list[T.StructField]):
-    """The state function: rows of one key and batch in, (key, old value, new value) of each change out."""
-    names = [*keys, "old", "new"]
 
-    def step(key, frames, state):
-        import pandas as pd
+def follow(state: DataFrame | None, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``batch`` that changed a value, and the last row of every key of both.
 
-        # the rows of one key in one batch, which the trigger bounds
-        rows = sorted((r for f in frames for r in zip(f["__at"], f["__value"])), key=lambda r: r[0])
-        at, last = state.get if state.exists else (None, None)
-        out = []
-        for when, value in rows:
-            value = None if value is None or value != value else float(value)
-            if at is not None and when < at:
-                continue  # late: a newer value of the key has been seen
-            if at is not None and last is not None and value is not None and value != last:
-                out.append((*key, last, value))
-            at, last = when, value
-        state.update((at, last))
-        yield pd.DataFrame(out, columns=names)
-
-    output = T.StructType([*key_fields, T.StructField("old", T.DoubleType()), T.StructField("new", T.DoubleType())])
-    kept = T.StructType([T.StructField("at", T.LongType()), T.StructField("last", T.DoubleType())])
-    return step, output, kept
-
-
-def audit_rows(changes: DataFrame, keys: Sequence[str], value: str, order: str, as_of, user: str) -> DataFrame:
-    """The audit rows of a streaming frame of row versions, in ``audit_changes``'s columns.
-
-    Versions of a key are compared in the order of the integer column ``order``; a version older than one seen in an earlier batch is
-    late and says nothing, and of equal ones the later arrival counts. A NULL before or after is not a change. Values are compared as doubles.
-    A row without an ``order`` or with a NULL in its key is left out.
+    Both frames have ``keys``, ``__at`` and ``__value``. Out: these, ``__old`` (the value before) and the flags
+    ``changed`` and ``last``. A row older than the state's row of its key is late and says nothing; of equal ones the batch's row
+    comes later. A NULL before or after is not a change.
     """
-    keys = list(keys)
-    step, output, kept = _differences(keys, [changes.schema[k] for k in keys])
-    rows = (changes.dropna(subset=[*keys, order])
-            .select(*keys, F.col(order).cast("long").alias("__at"), F.col(value).cast("double").alias("__value")))
-    changed = rows.groupBy(*keys).applyInPandasWithState(step, output, kept, "append", GroupStateTimeout.NoTimeout)
-    return changed.select(*keys, ntz_literal(as_of).alias("change_date"), F.lit(user).alias("updater_id"),
-                          F.col("old").alias("old_value"), F.col("new").alias("new_value"),
-                          percent_change(F.col("old"), F.col("new")).alias("percent_change"))
+    columns = [*keys, _AT, _VALUE]
+    rows = batch.select(*columns, F.lit(False).alias(_KEPT))
+    if state is not None:
+        rows = rows.unionByName(state.select(*columns, F.lit(True).alias(_KEPT)))
+    key = Window.partitionBy(*keys)
+    order = key.orderBy(_AT, F.desc(_KEPT), _VALUE)
+    seen = F.max(F.when(F.col(_KEPT), F.col(_AT))).over(key)
+    rows = rows.withColumn("__seen", seen).where(F.col(_KEPT) | F.col("__seen").isNull() | (F.col(_AT) >= F.col("__seen")))
+    rows = rows.withColumn(_OLD, F.lag(_VALUE).over(order)).withColumn("last", F.lead(_AT).over(order).isNull())
+    changed = ~F.col(_KEPT) & F.coalesce(F.col(_OLD) != F.col(_VALUE), F.lit(False))
+    return rows.withColumn("changed", changed).where("changed or last").select(*columns, _OLD, "changed", "last")
 
 
 def start_audit(spark: SparkSession, source_dir: str, schema: T.StructType, keys: Sequence[str], value: str, order: str,
-                out_dir: str, checkpoint_dir: str, as_of, user: str, max_files_per_trigger: int | None = None):
-    """Audit the Parquet files that are in ``source_dir`` now and were not seen before; returns the ``StreamingQuery``.
-
-    ``out_dir`` receives the audit rows through the file sink, whose log lists each batch's files once.
+                out_dir: str, checkpoint_dir: str, as_of, user: str, max_files_per_trigger: int | None = None,
+                available_now: bool = True, every: str = "1 minute"):
+    """Audit the Parquet files of ``source_dir`` as they come; returns the ``StreamingQuery``.
+
+    Versions of a key are compared in the order of the integer column ``order``. A row without an ``order`` or with a NULL in
+    its key is left out. ``out_dir`` receives ``audit_changes``'s columns under ``rows/batch_id=<n>`` and the states under
+    ``state``; it belongs to the stream as its checkpoint does. A stream that is not ``available_now`` keeps running, with a batch ``every``
+    so often.
     """
+    keys = list(keys)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = audit_rows(reader.parquet(source_dir), keys, value, order, as_of, user)
-    return (rows.writeStream.format("parquet").outputMode("append").option("path", out_dir)
-            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    versions = (reader.parquet(source_dir).dropna(subset=[*keys, order])
+                .select(*keys, F.col(order).cast("long").alias(_AT), F.col(value).alias(_VALUE)))
+    states = f"{out_dir}/state"
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        done = sorted(int(n) for n in list_names(session, states) if n.isdigit() and int(n) < batch_id
+                      and path_kind(session, f"{states}/{n}/_SUCCESS"))
+        before = session.read.parquet(f"{states}/{done[-1]}").where("last") if done else None
+        here = f"{states}/{batch_id}"
+        followed = follow(before, batch, keys)
+        followed.write.mode("overwrite").parquet(here)
+        changes = session.read.schema(followed.schema).parquet(here).where("changed")
+        (changes.select(*keys, ntz_literal(as_of).alias("change_date"), F.lit(user).alias("updater_id"),
+                        F.col(_OLD).cast("double").alias("old_value"), F.col(_VALUE).cast("double").alias("new_value"),
+                        percent_change(F.col(_OLD), F.col(_VALUE)).alias("percent_change"))
+         .write.mode("overwrite").parquet(f"{out_dir}/rows/batch_id={batch_id}"))
+        for n in done[:-1]:
+            delete_path(session, f"{states}/{n}")
+
+    writer = versions.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
+    return writer.start()
+
+
+def read_audit(spark: SparkSession, out_dir: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """All audit rows written so far, in ``audit_changes``'s columns."""
+    fields = [schema[k] for k in keys] + [
+        T.StructField("change_date", T.TimestampNTZType()), T.StructField("updater_id", T.StringType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("old_value", "new_value", "percent_change")]]
+    if path_kind(spark, f"{out_dir}/rows") is None:  # no batch has run yet
+        return spark.createDataFrame([], T.StructType(fields))
+    return spark.read.schema(T.StructType(fields)).parquet(f"{out_dir}/rows").select([f.name for f in fields])
 
 
 def audit_files(spark: SparkSession, source_dir: str, schema: T.StructType, keys: Sequence[str], value: str, order: str,
                 as_of, user: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Run the stream over all files of ``source_dir`` and return the audit rows that it wrote."""
     root = scratch_path(spark, "audit_stream")
-    query = start_audit(spark, source_dir, schema, keys, value, order, f"{root}/rows", f"{root}/_checkpoint", as_of, user,
-                        max_files_per_trigger)
+    query = start_audit(spark, source_dir, schema, keys, value, order, root, f"{root}/_checkpoint", as_of, user, max_files_per_trigger)
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(f"stream failed: {query.exception()}")
-    return spark.read.parquet(f"{root}/rows")
+    return read_audit(spark, root, schema, keys)

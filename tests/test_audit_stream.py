@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from helpers import local_path, rows
 from rowsmith.operators import audit
-from rowsmith.session import scratch_path
-from rowsmith.streaming.audit_stream import audit_files, start_audit
+from rowsmith.session import delete_path, list_names, scratch_path
+from rowsmith.streaming.audit_stream import audit_files, follow, read_audit, start_audit
 
 AS_OF = "2000-01-01 00:00:00"
 SCHEMA = "k long, v double, version int"
@@ -19,10 +19,10 @@ def arrive(spark, folder, data, schema=SCHEMA):
 
 def run(spark, folder, root, **kw):
     schema = spark.createDataFrame([], SCHEMA).schema
-    q = start_audit(spark, folder, schema, ["k"], "v", "version", f"{root}/rows", f"{root}/_cp", AS_OF, "me", **kw)
+    q = start_audit(spark, folder, schema, ["k"], "v", "version", root, f"{root}/_cp", AS_OF, "me", **kw)
     q.awaitTermination()
     assert q.exception() is None
-    return rows(spark.read.parquet(f"{root}/rows"), "k", "old_value", "new_value")
+    return rows(read_audit(spark, root, schema, ["k"]), "k", "old_value", "new_value")
 
 
 def test_arrivals_in_batches_and_after_a_restart(spark):
@@ -36,6 +36,7 @@ def test_arrivals_in_batches_and_after_a_restart(spark):
     want = [(1, 10.0, 11.0), (1, 11.0, 11.5), (1, 11.5, 12.0), (3, 5.0, 6.0), (4, 0.0, 1.0), (5, 1.0, 2.0), (5, 2.0, 3.0)]
     assert run(spark, folder, root, max_files_per_trigger=1) == want
     assert run(spark, folder, root) == want  # nothing new, nothing twice
+    assert len([n for n in list_names(spark, f"{root}/state")]) == 2
     zero = spark.read.parquet(f"{root}/rows").where("k = 4").first()
     assert zero["percent_change"] is None and zero["updater_id"] == "me"
 
@@ -52,3 +53,37 @@ def test_equals_the_snapshot_diff(spark):
     got = audit_files(spark, folder, schema, ["k"], "v", "version", AS_OF, "me", max_files_per_trigger=2)
     assert got.columns == audit.audit_changes(old, new, ["k"], "v", AS_OF, "me").columns
     assert rows(got) == want and len(want) > 900
+
+
+def test_a_batch_that_runs_again_writes_the_same(spark):
+    """A batch dies after its state and rows are written, before the stream's commit: the next start runs it again."""
+    folder, root = scratch_path(spark, "in"), scratch_path(spark, "out")
+    for version in range(3):
+        arrive(spark, folder, [(k, float(k * version), version) for k in range(4)])
+        want = run(spark, folder, root)
+    commits = sorted(int(n) for n in list_names(spark, f"{root}/_cp/commits") if n.isdigit())
+    delete_path(spark, f"{root}/_cp/commits/{commits[-1]}")
+    delete_path(spark, f"{root}/_cp/commits/.{commits[-1]}.crc")
+    delete_path(spark, f"{root}/state/{commits[-1]}/_SUCCESS")
+    assert run(spark, folder, root) == want and len(want) == 6
+
+
+def test_follow_equals_a_plain_walk(spark):
+    import random
+    rng = random.Random(3)
+    state, kept, audits = None, {}, []
+    for batch in range(4):
+        data = [(rng.randrange(12), rng.randrange(6 * (batch + 1)), rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(40)]
+        out = follow(state, spark.createDataFrame(data, "k int, __at long, __value double"), ["k"]).collect()
+        state = spark.createDataFrame([tuple(r)[:3] for r in out if r["last"]], "k int, __at long, __value double")
+        seen, want = dict(kept), []
+        for k, at, v in sorted(data, key=lambda r: (r[0], r[1], (r[2] is not None, r[2] or 0))):
+            if k in seen and at < seen[k][0]:
+                continue
+            if k in kept and None not in (v, kept[k][1]) and v != kept[k][1]:
+                want.append((k, kept[k][1], v))
+            kept[k] = (at, v)
+        assert sorted((r["k"], r["__old"], r["__value"]) for r in out if r["changed"]) == sorted(want)
+        assert {r["k"]: (r["__at"], r["__value"]) for r in out if r["last"]} == kept
+        audits += want
+    assert len(audits) > 40
