@@ -130,7 +130,7 @@ def facts(tables: Mapping[str, DataFrame], constraints: Sequence[Constraint]) ->
         of = [f for i, c in enumerate(constraints) for f in _facts(i, c, name)]
         if of:
             # an outer generator gets no inferred filter, which would evaluate every rule twice
-            rows = df.select(F.explode_outer(F.array_compact(F.array(*of))).alias("f")).where("f is not null").select("f.*")
+            rows = df.select(F.explode_outer(F.array(*of)).alias("f")).where("f is not null").select("f.*")
             said = rows if said is None else said.unionByName(rows)
     return (said.groupBy("c", "key", "value")
             .agg(F.sum("held").alias("held"), F.sum("offered").alias("offered"), F.min("low").alias("low"), F.max("high").alias("high")))
