@@ -5,18 +5,25 @@ of anything else become one space). Counts of the longest n-grams come from a
 bounded sample of labelled rows; shorter orders use continuation counts (in
 how many different contexts an n-gram follows). Each order subtracts its own
 discount and passes the freed mass to the next shorter one. All this is done
-with DataFrame aggregates; what reaches the driver is one row an n-gram and
-language, bounded by the sample.
-
-The models are stored as one array of sorted 64-bit hashes for each order,
-with a row of log-probabilities (one a language) for every n-gram that any
-language has seen. A text is scored by looking up the hashes of its n-grams;
-those unknown to all languages fall back to shorter ones. The language with
-the lowest cross-entropy a character wins. A part of the sample that gave no
-counts calibrates the confidence and, for each language, the cross-entropy
-above which a text is rejected as none of the learned languages.
-
-A null text, or one without a letter, is ``und`` with score 0. Rows without a
+with DataFrame aggregates. All languages that have labelled rows are learned.
+
+Models are built in groups of languages. A group has one array of sorted
+64-bit hashes for each order, with a row of log-probabilities (one a language) for
+every n-gram that any of its languages has seen, and takes languages until
+these rows reach ``GROUP_BYTES``; so the driver and each task hold a bounded
+model at a time, however many languages there are. A text is scored by
+looking up the hashes of its n-grams; those unknown to all languages of the group fall back
+to shorter ones. The language with the lowest cross-entropy a character
+wins. With one group that is one pass over the texts without a shuffle; with
+more, each group takes a pass and the cross-entropies meet by row.
+
+A part of the sample that gave no counts calibrates the confidence and, for
+each language, the cross-entropy above which a text is rejected as none of the
+learned languages. A language with fewer than ``CALIBRATE_FROM`` labelled rows
+gives all of them to its counts, and has no such limit.
+
+A null text, or one without a letter, is ``und`` with score 0. Very long texts are read
+whole, scored in blocks. Rows without a
 language are never learned from. If nothing can be learned every row is
 ``und``. Repeated rows and ties (the first language in order wins) give equal
 results. Only the id and the text are read for a prediction.
@@ -30,13 +37,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowsmith.llm.common import codepoints, stored, table
+from rowsmith.llm.common import codepoints, slices, stored, table
+from rowsmith.session import small
 
 ORDER = 4
 PAD = " " * (ORDER - 1)
-#: Labelled rows a language that a model is fitted on, and languages at most (the most frequent).
+#: Labelled rows a language that a model is fitted on.
 ROWS_PER_LANGUAGE = 1500
-MAX_LANGUAGES = 200
+#: Labelled rows a language from which on a fifth of them calibrates.
+CALIBRATE_FROM = 24
+#: Log-probabilities and back-off weights of a group of languages; one language at least.
+GROUP_BYTES = 64 << 20
 UNDETERMINED = "und"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,8 +94,6 @@ class Model:
     logp: list[np.ndarray]
     back: list[np.ndarray]
     unseen: np.ndarray  # log-probability of a character that no text had
-    limits: np.ndarray | None = None  # cross-entropy above which a language is rejected
-    sharpness: float = 1.0
 
     def _at(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.keys[n - 1]
@@ -123,16 +132,37 @@ class Model:
             n += len(pick)
         return total / max(1, n), n
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, confidence in 0..1, and whether the text is rejected as none of the languages."""
-        points = codepoints(text) if text else np.zeros(0, np.uint32)
-        folded = letters_only(points)
+    def of_text(self, text: str | None) -> tuple[np.ndarray, int]:
+        """``cross_entropy`` of a text; no characters where it has no letter."""
+        folded = letters_only(codepoints(text) if text else np.zeros(0, np.uint32))
         if len(folded) <= ORDER or not self.languages:
-            return UNDETERMINED, 0.0, True
-        h, n = self.cross_entropy(folded)
-        best = int(np.argmin(h))
-        score = float(1 / np.exp(-self.sharpness * np.minimum(n, 200) * (h - h[best])).sum())
-        return self.languages[best], score, bool(self.limits is not None and h[best] > self.limits[best])
+            return np.zeros(len(self.languages)), 0
+        return self.cross_entropy(folded)
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The prediction of this group alone, not calibrated."""
+        return decide(self.languages, *self.of_text(text), None, 1.0)
+
+
+def decide(languages: list[str], h: np.ndarray, n: int, limits: np.ndarray | None, sharpness: float) -> tuple[str, float, bool]:
+    """Language, confidence in 0..1, and whether the text is rejected as none of the languages."""
+    if not n or not languages:
+        return UNDETERMINED, 0.0, True
+    best = int(np.argmin(h))
+    score = float(1 / np.exp(-sharpness * np.minimum(n, 200) * (h - h[best])).sum())
+    return languages[best], score, bool(limits is not None and h[best] > limits[best])
+
+
+@dataclass
+class Fitted:
+    """All languages, in groups; ``limits`` and ``sharpness`` are of the languages of all groups, in their order."""
+    groups: list[Model]
+    limits: np.ndarray | None = None  # cross-entropy above which a language is rejected
+    sharpness: float = 1.0
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for g in self.groups for x in g.languages]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -145,14 +175,12 @@ def _bucket(doc_id: Column, salt: int) -> Column:
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int) -> DataFrame:
     """About ``rows_per_language`` rows (text, lang, calibrate) of each language, chosen by a hash of the id."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
-    rate = F.lit(0)
-    for lang, n in ((r[0], r[1]) for r in counts):
-        rate = F.when(F.col(lang_col) == lang, int(min(1.0, rows_per_language / n) * (1 << 20))).otherwise(rate)
-    return usable.where(_bucket(F.col(id_col), 1) < rate).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
-        (_bucket(F.col(id_col), 2) < (1 << 20) // 5).alias("calibrate"))
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = small(stored(usable.groupBy("lang").agg(F.count("*").alias("n")), "language_rows"))
+    rate = F.least(F.lit(1.0), rows_per_language / F.col("n")) * (1 << 20)
+    held = (F.col("n") >= CALIBRATE_FROM) & (_bucket(F.col("id"), 2) < (1 << 20) // 5)
+    return usable.join(counts, "lang").where(_bucket(F.col("id"), 1) < rate).select("text", "lang", held.alias("calibrate"))
 
 
 def _count_grams(batches):
@@ -166,8 +194,8 @@ def _count_grams(batches):
                  pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "c"])
 
 
-def kneser_ney(sample: DataFrame) -> tuple[list[str], list]:
-    """Languages, and for each order a pandas frame (lang, gram, logp, back): back is null unless gram is a history."""
+def gram_levels(sample: DataFrame) -> list[DataFrame]:
+    """For each order a stored table (lang, gram, p, history, free): ``free`` is the mass that goes to the shorter order."""
     level = stored(sample.where("not calibrate").select("text", "lang").mapInArrow(_count_grams, "lang string, gram string, c long")
                    .groupBy("lang", "gram").agg(F.sum("c").alias("c")), "language_counts")
     levels = [level]
@@ -192,9 +220,36 @@ def kneser_ney(sample: DataFrame) -> tuple[list[str], list]:
                                (F.col("lang") == F.col("l")) & (F.expr("substr(gram, 2)") == F.col("shorter")))
         prob = found.withColumn("p", (F.col("c") - F.col("d")) / F.col("total") + F.col("free") * F.col("lower"))
         prob = stored(prob.select("lang", "gram", "p", "history", "free"), "language_model")
-        rows.append(prob.toPandas())
-    langs = sorted(rows[0]["lang"].unique()) if len(rows[0]) else []
-    return langs, rows
+        rows.append(prob)
+    return rows
+
+
+def language_groups(levels: list[DataFrame]) -> list[list[str]]:
+    """The languages in order, cut where the cells (n-grams of the group times its languages) would exceed ``GROUP_BYTES``."""
+    sizes: dict[str, int] = {}
+    for level in levels:  # an n-gram has a log-probability and a back-off weight of 4 bytes, and may come as a history too
+        for lang, n in level.groupBy("lang").count().collect():
+            sizes[lang] = sizes.get(lang, 0) + n
+    groups: list[list[str]] = []
+    grams = 0
+    for lang in sorted(sizes):
+        if groups and (grams + sizes[lang]) * 8 * (len(groups[-1]) + 1) <= GROUP_BYTES:
+            groups[-1].append(lang)
+            grams += sizes[lang]
+        else:
+            groups.append([lang])
+            grams = sizes[lang]
+    return groups
+
+
+def kneser_ney(sample: DataFrame) -> tuple[list[str], list]:
+    """Languages, and for each order a pandas frame (lang, gram, p, history, free), of a sample of few languages."""
+    levels = gram_levels(sample)
+    return _frames(levels, sorted(r[0] for r in levels[0].select("lang").distinct().collect()))
+
+
+def _frames(levels: list[DataFrame], languages: list[str]) -> tuple[list[str], list]:
+    return languages, [level.where(F.col("lang").isin(languages)).toPandas() for level in levels]
 
 
 def build(languages: list[str], rows: list) -> Model:
@@ -229,66 +284,89 @@ def build(languages: list[str], rows: list) -> Model:
     return model
 
 
-def _calibration_rows(model: Model):
+def entropies(rows: DataFrame, groups: list[Model], keep: list[str]) -> DataFrame:
+    """(keep, n, h: the cross-entropies under all languages) of every row of (text, keep)."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+
+    def scored(frame: DataFrame, model: Model, names: list[str], schema: str) -> DataFrame:
+        # bounded by GROUP_BYTES; plain arrays, because a broadcast value is unpickled without this module
+        sent = frame.sparkSession.sparkContext.broadcast([getattr(model, f.name) for f in fields(model)])
+
+        def run(batches):
+            fitted = Model(*sent.value)
+            for batch in slices(batches):
+                found = [fitted.of_text(t.as_py()) for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[1:], pa.array([n for _, n in found], pa.int64()),
+                     pa.array([h.tolist() for h, _ in found], pa.list_(pa.float64()))], [*names, "n", "h"])
+
+        return frame.mapInArrow(run, f"{schema}, n long, h array<double>")
+
+    if len(groups) == 1:
+        return scored(rows.select("text", *keep), groups[0], keep, kinds)
+    numbered = stored(rows.select("text", *keep, F.monotonically_increasing_id().alias("__row")), "language_rows")
+    parts = None
+    for i, model in enumerate(groups):  # one group's model at a time on the tasks
+        part = stored(scored(numbered.select("text", "__row"), model, ["__row"], "__row long").withColumn("group", F.lit(i)), "language_entropies")
+        parts = part if parts is None else parts.unionByName(part)
+    every = parts.groupBy("__row").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("group", "h"))).alias("hs"))
+    return (numbered.drop("text").join(every, "__row")
+            .select(*keep, "n", F.flatten(F.transform("hs", lambda x: x["h"])).alias("h")))
+
+
+def calibrate(groups: list[Model], sample: DataFrame, slack: float = 0.25) -> Fitted:
+    """Sharpness of the confidence by likelihood, and limits a little above all but the last 0.2 % of own cross-entropies."""
+    fitted = Fitted(groups)
+    fitted.limits = np.full(len(fitted.languages), np.inf)
+    place = {x: i for i, x in enumerate(fitted.languages)}
+    grid = 2.0 ** np.arange(-6, 2)
+
     def run(batches):
         for batch in batches:
-            langs, own, n, gaps = [], [], [], []
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                folded = letters_only(codepoints(text))
-                if len(folded) <= ORDER or lang not in model.languages:
-                    continue
-                h, k = model.cross_entropy(folded)
-                i = model.languages.index(lang)
-                langs.append(i), own.append(float(h[i])), n.append(k), gaps.append((h - h[i]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.int32()), pa.array(own, pa.float64()), pa.array(n, pa.int64()),
-                                              pa.array(gaps, pa.list_(pa.float64()))], ["lang", "own", "n", "gaps"])
-    return run
-
-
-def calibrate(model: Model, sample: DataFrame, slack: float = 0.25) -> Model:
-    """Sharpness of the confidence by likelihood, and limits a little above all but the last 0.2 % of own cross-entropies."""
-    rows = (sample.where("calibrate").select("text", "lang")
-            .mapInArrow(_calibration_rows(model), "lang int, own double, n long, gaps array<double>").toPandas())
-    model.limits = np.full(len(model.languages), np.inf)
+            kept = [(place[x], n, np.array(h)) for x, n, h in zip(*(c.to_pylist() for c in batch.columns)) if n]
+            losses = [np.log(np.exp(np.minimum(-grid[:, None] * min(n, 200) * (h - h[i]), 50)).sum(axis=1)).tolist() for i, n, h in kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _, _ in kept], pa.int32()), pa.array([float(h[i]) for i, _, h in kept], pa.float64()),
+                 pa.array([n for _, n, _ in kept], pa.int64()), pa.array(losses, pa.list_(pa.float64()))], ["lang", "own", "n", "losses"])
+
+    # a few numbers a calibration row come to the driver
+    rows = (entropies(sample.where("calibrate"), groups, ["lang"])
+            .mapInArrow(run, "lang int, own double, n long, losses array<double>").toPandas())
     if len(rows):
-        gaps, n = np.array(rows["gaps"].tolist()), np.minimum(rows["n"].to_numpy(), 200)[:, None]
-        grid = 2.0 ** np.arange(-6, 2)
-        loss = [np.log(np.exp(np.minimum(-g * n * gaps, 50)).sum(axis=1)).sum() for g in grid]
-        model.sharpness = float(grid[int(np.argmin(loss))])
-        for i in range(len(model.languages)):
-            own = rows["own"][(rows["lang"] == i) & (rows["n"] >= 50)]
-            if len(own):
-                model.limits[i] = own.quantile(0.998) + slack
-    return model
+        fitted.sharpness = float(grid[int(np.argmin(np.array(rows["losses"].tolist()).sum(axis=0)))])
+        for i, own in rows[rows["n"] >= 50].groupby("lang")["own"]:
+            fitted.limits[i] = own.quantile(0.998) + slack
+    return fitted
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """A model of the languages of ``docs`` from a bounded sample of its rows."""
+          rows_per_language: int = ROWS_PER_LANGUAGE) -> Fitted:
+    """Models of all languages of ``docs`` from a bounded sample of each one's rows."""
     sample = stored(labelled_sample(docs, id_col, text_col, lang_col, rows_per_language), "language_sample")
-    languages, rows = kneser_ney(sample)
-    if not languages:
-        return Model([], [], [], [], np.zeros(0))
-    return calibrate(build(languages, rows), sample)
+    levels = gram_levels(sample)
+    groups = [build(*_frames(levels, languages)) for languages in language_groups(levels)]
+    return calibrate(groups, sample) if groups else Fitted([])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the id, lang_pred, score, and rejected (no learned language fits well)."""
-    names = ["lang_pred", "score", "rejected"]
-    # bounded by the sample; plain arrays, because a broadcast value is unpickled without this module
-    sent = docs.sparkSession.sparkContext.broadcast([getattr(model, f.name) for f in fields(model)])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not fitted.groups:
+        return rows.select(F.col("id").alias(id_col), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"),
+                           F.lit(True).alias("rejected"))
+    languages, limits, sharpness = fitted.languages, fitted.limits, fitted.sharpness
 
     def run(batches):
-        fitted = Model(*sent.value)
         for batch in batches:
-            out = [fitted.predict(t.as_py()) for t in batch.column(1)]
+            out = [decide(languages, np.array(h), n, limits, sharpness) for n, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             cols = list(zip(*out)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_()))], [id_col, *names])
+                [batch.column(0)] + [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_()))],
+                ["id", "lang_pred", "score", "rejected"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(
-        run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    kind = rows.schema["id"].dataType.simpleString()
+    return (entropies(rows, fitted.groups, ["id"]).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
+            .withColumnRenamed("id", id_col))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ classes, the vector is brought to unit length, and a linear hinge-loss model is
 coordinate descent. Margins from cross-validation turn the margin into a
 probability.
 
-The fit uses a bounded sample of labelled rows (``max_rows``), chosen by a
-hash of the id; the sample's ids are few enough to send to all tasks, so no
-text is shuffled. Scoring reads every whole text.
+The fit uses a bounded sample of labelled rows (``max_rows``): of all labels,
+chosen by a hash of the id, and of the documents with these ids, chosen by a hash of
+the text where an id is held by many. The sample's ids are few enough to send to
+all tasks, so no text is shuffled. Scoring reads every whole text, very long ones in
+blocks.
 
 A null text counts as empty; an empty text has no features and its score is
 that of the bias alone. Ids labelled more than once count once for each
-label; a null label or id is not learned from. If only one class is labelled
+label, and an id that several documents hold once for each different text; a null label or id is not learned from. If only one class is labelled
 every score is that class, and without labels it is 0.5. Repeated rows get
 equal scores, an empty table gives an empty result. Only id and text are read
 for a score.
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowsmith.llm.common import stored, table
+from rowsmith.llm.common import slices, stored, table
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most.
@@ -196,21 +198,37 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
-    """(found: indices, label) of at most ``max_rows`` labels (the first by a hash of the id) with their texts."""
+    """(found: indices, label) of at most ``max_rows`` labelled documents.
+
+    The first ``max_rows`` labels by a hash of the id; if several documents hold one of these ids, the first ``max_rows`` of all of
+    them, by a hash of id, text and label, different texts counted once.
+    """
     order = F.xxhash64(id_col, F.lit(11))
     few = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
            .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), order.alias("o"))
            .orderBy("o", "id", "label").limit(max_rows).select("id", "label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(few), "id").select("text", "label")
+    # a hash of the text stands for it, so no text is shuffled
+    texts = texts.withColumn("t", F.xxhash64("text", F.lit(13)))
+    keys = (texts.join(F.broadcast(few), "id").select("id", "t", "label").distinct()
+            .orderBy(F.xxhash64("id", "t", "label", F.lit(12)), "id", "t", "label").limit(max_rows))
+    keys = stored(keys, "quality_keys")
+    rows = texts.join(F.broadcast(keys), ["id", "t"]).select("id", "t", "label", "text")
 
     def run(batches):
-        seen = np.zeros(1 << BITS, dtype=bool)
-        for batch in batches:
-            found = [features(t.as_py(), seen).astype(np.int32) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)],
-                                             ["found", "label"])
-    return rows.mapInArrow(run, "found array<int>, label int")
+        seen, done = np.zeros(1 << BITS, dtype=bool), set()
+        for batch in slices(batches):
+            at = []  # one row of each key: a task sends max_rows at most, however often a row is repeated
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if key not in done:
+                    done.add(key)
+                    at.append(i)
+            one = batch.take(pa.array(at, pa.int32()))
+            found = [features(t.as_py(), seen).astype(np.int32) for t in one.column(3)]
+            yield pa.RecordBatch.from_arrays([*one.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["id", "t", "label", "found"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, t long, label int, found array<int>").dropDuplicates(["id", "t", "label"]).select("found", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",

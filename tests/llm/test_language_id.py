@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from conftest_llm import crc, documents
+from rowsmith.llm import language_id
 from rowsmith.llm.common import codepoints
 from rowsmith.llm.language_id import ORDER, Model, build, hashes, identify, kneser_ney, learn, letters_only, op1_language_id
 
@@ -96,3 +97,55 @@ def test_hash_separates_orders():
     c = np.array([97, 97, 97], dtype=np.uint32)
     assert hashes(c, 1)[0] != hashes(c, 2)[0] and len(hashes(c, 2)) == 2
     assert isinstance(Model([], [], [], [], np.zeros(0)).predict("abc"), tuple)
+
+
+def invented(rng, n):
+    """A text of an invented language: words of its own letters."""
+    letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèçñßøåæœğışčřžł", 9)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(30)]
+    return [" ".join(rng.choice(words) for _ in range(60)) for _ in range(n)]
+
+
+def test_every_language_is_learned(spark, rng, monkeypatch):
+    """250 languages, each of two rows, and one of a single row; with models in several groups as with one."""
+    texts = {f"x{i:03d}": invented(rng, 3) for i in range(250)} | {"only": invented(rng, 2)}
+    rows = [(i, t, x) for i, (x, t) in enumerate((x, t) for x, ts in texts.items() for t in ts[:-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = spark.createDataFrame([(i, texts[x][-1], x) for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "GROUP_BYTES", 6 << 20)
+    fitted = learn(docs)
+    assert fitted.languages == sorted(texts) and len(fitted.groups) > 2
+    out = {r.doc_id: r for r in identify(held, fitted).collect()}
+    right = sum(out[i].lang_pred == x for i, x in enumerate(texts))
+    assert len(out) == 251 and right >= 245 and out[250].lang_pred == "only"
+
+
+def test_groups_give_what_one_model_gives(spark, monkeypatch):
+    docs = documents(spark, [(i, EN[i:] + EN * 3) for i in range(70)], "en").unionByName(
+        documents(spark, [(100 + i, DE[i:] + DE * 3) for i in range(70)], "de"))
+    texts = documents(spark, [None, "", "the dogs", "der hund", EN, DE, "щука", (4, EN), (None, DE), "x " * 3000])
+    one = learn(docs)
+    monkeypatch.setattr(language_id, "GROUP_BYTES", 1)
+    two = learn(docs)
+    assert (len(one.groups), len(two.groups)) == (1, 2) and one.sharpness == two.sharpness
+    assert np.allclose(one.limits, two.limits, atol=1e-5) and np.isfinite(one.limits).all()
+    a, b = ([(r.doc_id, r.lang_pred, round(r.score, 4), r.rejected) for r in identify(texts, m).collect()] for m in (one, two))
+    assert sorted(a, key=str) == sorted(b, key=str) and len(a) == 10
+
+
+def test_predictions_match_the_definition(spark, rng):
+    """Every text's language is the one with the lowest cross-entropy by the definition's own probabilities."""
+    texts = {x: invented(rng, 4) for x in ("aa", "bb", "cc")}
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)],
+                                 "doc_id long, text string, lang string")
+    fitted = learn(docs)
+    models = {x: brute(ts) for x, ts in texts.items()}
+    known = {x: Counter(letters_only(codepoints(" ".join(ts))).tobytes().decode("utf-32-le")) for x, ts in texts.items()}
+    tried = [" ".join(rng.sample(" ".join(texts[x] + texts[y]).split(), 25)) for x in texts for y in texts]
+    out = {r.doc_id: r.lang_pred for r in identify(documents(spark, tried), fitted).collect()}
+    for i, t in enumerate(tried):
+        s = letters_only(codepoints(t)).tobytes().decode("utf-32-le")
+        h = {x: np.mean([-math.log(p(s[k:k + ORDER])) if s[k + ORDER - 1] in known[x] else math.log((len(known[x]) + 1) * 50.0)
+                         for k in range(len(s) - ORDER + 1)]) for x, p in models.items()}
+        first, second = sorted(h.values())[:2]
+        assert second - first < 0.05 or out[i] == min(h, key=h.get), (t, h)

@@ -1,7 +1,7 @@
 import numpy as np
 
 from conftest_llm import crc, documents, words
-from rowsmith.llm.quality_classifier import (BITS, dual_coordinate_descent, features, fit, fit_sigmoid, learn, log_count_ratios,
+from rowsmith.llm.quality_classifier import (BITS, dual_coordinate_descent, features, fit, fit_sigmoid, labelled_rows, learn, log_count_ratios,
                                              op9_quality_classifier, score, word_shapes)
 
 
@@ -84,3 +84,49 @@ def test_edges(spark, rng):
 
 def test_fit_without_rows():
     assert fit([], np.zeros(0)).score(np.zeros(0, int)) == 0.5
+
+
+def test_sample_is_bounded_where_one_id_is_held_by_many(spark, rng):
+    many = spark.range(15_000).selectExpr("7L AS doc_id", "concat('text ', id % 9000, ' of many') AS text")
+    docs = many.unionByName(spark.createDataFrame([(8, "other"), (9, None)], "doc_id long, text string")).repartition(6)
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (9, 0, 1), (10, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = labelled_rows(docs, labels, "doc_id", "text", "quality", 100).collect()
+    assert len(rows) == 100
+    rows = labelled_rows(docs, labels, "doc_id", "text", "quality", 20_000).collect()
+    assert len(rows) == 9002 and sum(r.label for r in rows) == 9000  # equal texts of one id count once
+    again = labelled_rows(docs.repartition(3), labels, "doc_id", "text", "quality", 20_000).collect()
+    key = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert key(again) == key(rows)
+
+
+def brute_features(text):
+    """The indicators by a plain loop, as (kind, content) pairs without a hash."""
+    raw = (text or "").encode()
+    out = {("bytes", raw[i:i + n]) for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+    shapes, last = [], None
+    for w in raw.split():
+        kinds = 0
+        for b in w:
+            kinds |= 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 8 if chr(b) in ".,;:'\"()-?" else 16
+        shapes.append(kinds + 32 * (65 <= w[0] <= 90 and len(w) > 1 and kinds & 1 > 0) + 64 * (w == last))
+        last = w
+    return out | {("shapes", tuple(shapes[i:i + n])) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)}
+
+
+def test_scores_match_the_definition(spark, rng):
+    """The query's scores against the model's formula over plainly listed indicators."""
+    docs = [(i, words(rng, 20) if i % 2 else words(rng, 20).upper() + "!") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in docs], "doc_id long, quality int, toxic int")
+    frame = documents(spark, docs + [(100, None), (101, "a B 9 ?")])
+    model = learn(frame, labels)
+    seen = np.zeros(1 << BITS, dtype=bool)
+    place = {}
+    for _, t in docs:  # where each indicator is hashed to, from texts that hold it
+        assert len(features(t, seen)) <= len(brute_features(t)) <= len(features(t, seen)) + 5
+        place[t] = features(t, seen)
+    for r in score(frame, model).collect():
+        t = dict(docs).get(r.doc_id)
+        if t is not None:
+            x = model.scales[place[t]]
+            margin = float(model.weights[place[t]].sum() / np.sqrt((x ** 2).sum())) + model.bias
+            assert abs(r.score - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-9
