@@ -42,16 +42,16 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                share: float = HOT_SHARE) -> DataFrame:
+                share: float = HOT_SHARE, hot: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which holds no key twice, on equal ``keys``.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of hot keys of ``left`` meet a broadcast of the right side's
     rows of those keys (at most one a key), all others a shuffled join. ``left`` is read twice, and once more for its
-    keys, so it should be a scan or a stored table.
+    keys unless ``hot``, a frame of at most 1 / ``share`` keys, names the hot ones already; so it should be a scan or a stored table.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join_unique does not do {how} joins")
-    hot = hot_keys(left, keys, share)
+    hot = hot_keys(left, keys, share) if hot is None else F.broadcast(hot.limit(int(1 / share)))
     if hot is None:
         return left.join(right, keys, how)
     few = F.broadcast(right.join(hot, keys, "left_semi"))
