@@ -1,8 +1,9 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document is the set of its distinct word shingles (64-bit hashes). Documents
-of equal sets are one vertex, named by the hash of the set. The join finds the links between vertices
-by prefix lists:
+of equal sets are one vertex. Two 64-bit hashes of a set tell sets apart; the first one alone names
+the vertex, and where different sets are found to share it, both together do.
+The join finds the links between vertices by prefix lists:
 
 1. One pass counts shingles that are frequent within a task's documents. The
    most frequent come last in the global order of shingles; the order decides
@@ -13,13 +14,15 @@ by prefix lists:
    the same members become one.
 3. Inside a list, members are kept in blocks by size and position. A block is
    skipped where no member can share enough with the set at hand. For the
-   others a parity bitmap of each set bounds the overlap from above. A set
-   that is very similar to one already answered derives its answers from
-   that one's: distances of bitmaps differ by no more than the two sets'
-   own distance, so only members near the limit are looked at again.
+   others a parity bitmap of each set bounds the overlap from above. In long lists
+   a set that is unlike all sets answered so far is answered against the whole list, up to
+   ``PIVOTS`` times. Every other set derives its answers from those: distances of bitmaps differ by no more
+   than the two sets' own distance, so only members at about the same distance
+   from each answered set are looked at again.
 4. A first round checks, against the whole sets, only pairs that would tie a
-   list together; connected sets need no more pairs among them. The second
-   round checks every pair left between sets that are still not connected.
+   list together; connected sets need no more pairs among them. A set without
+   any such pair has no partner, and takes no further part. The second round
+   checks every pair left between sets that are still not connected.
 
 So all links are found, and copies and near copies cost a link or a few each
 instead of all pairs. A list with more than ``LIST_LIMIT`` members is split
@@ -40,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rowsmith.llm.common import slices, stored, table
 from rowsmith.llm.components import components
+from rowsmith.operators import skew
 from rowsmith.session import small
 
 SHINGLE = 5
@@ -50,6 +54,8 @@ LIST_LIMIT = 20_000
 #: Frequent shingles that are moved to the end of the order (8 bytes each).
 FREQUENT = 200_000
 BLOCK = 64
+#: Sets of a list whose answers others reuse, at most.
+PIVOTS = 12
 #: Rows (id and two hashes) up to which the documents of checked vertices go to every task.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -130,6 +136,14 @@ def set_name(s: np.ndarray) -> int:
     return int(_mix(np.array([h.sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def set_check(s: np.ndarray) -> int:
+    """A second hash of a set, independent of its name."""
+    if not len(s):
+        return 0
+    h = _mix((s ^ _K3) * _K2 + np.arange(len(s), dtype=np.uint64) * _K1)
+    return int(_mix(np.array([np.bitwise_xor.reduce(h) * _K1 + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -189,22 +203,23 @@ def _frequent(docs: DataFrame, size: int, at_least: int = 4) -> np.ndarray:
 
 
 def _vertices(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(id, text_hash, n, vertex, bits, prefix) of every document; bitmap and prefix only at the first document of its set
-    in a task."""
+    """(id, text_hash, n, vertex, check, bits, prefix) of every document; bitmap and prefix only at the first document of its
+    set in a task."""
     order = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
     schema = docs.select("id").schema
-    names = ["id", "text_hash", "n", "vertex", "bits", "prefix"]
+    names = ["id", "text_hash", "n", "vertex", "check", "bits", "prefix"]
 
     def run(batches):
         keys, rank = sent.value
         known = set()
         for batch in slices(batches):
-            ns, vertices, bits, prefixes = [], [], [], []
+            ns, vertices, checks, bits, prefixes = [], [], [], [], []
             for s in sets_of(batch.column(2).to_pylist(), size):
-                v = set_name(s)
+                v = set_name(s), set_check(s)
                 ns.append(len(s))
-                vertices.append(v if len(s) else None)
+                vertices.append(v[0] if len(s) else None)
+                checks.append(v[1] if len(s) else None)
                 if not len(s) or v in known:
                     bits.append(None), prefixes.append(None)
                     continue
@@ -220,22 +235,35 @@ def _vertices(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
                     head = s[:p]
                 prefixes.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(vertices, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names)
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(vertices, pa.int64()), pa.array(checks, pa.int64()),
+                 pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names)
 
     return docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"id {schema['id'].dataType.simpleString()}, text_hash long, n long, vertex long, bits binary, prefix array<long>")
+        run, f"id {schema['id'].dataType.simpleString()}, text_hash long, n long, vertex long, check long, bits binary, prefix array<long>")
+
+
+def _told_apart(vertices: DataFrame) -> DataFrame:
+    """``vertices`` with a name for each set: sets that differ in their check but share a name get names of both hashes."""
+    shared = (vertices.where("vertex is not null").groupBy("vertex").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+              .where("a < b").select("vertex"))
+    # by chance n^2 / 2^65 names for n sets: some hundred for 10^11
+    names = [r[0] for r in shared.collect()]
+    if not names:
+        return vertices
+    return vertices.withColumn("vertex", F.when(F.col("vertex").isin(names), F.xxhash64("vertex", "check")).otherwise(F.col("vertex")))
 
 
 def _lists(vertices: DataFrame) -> DataFrame:
     """(list, members, vertex, pos, shared): lists with different vertices, one of those with equal members; pos is that of
     the first shingle that the members share, shared their number."""
     entries = vertices.where("prefix is not null").select("vertex", F.posexplode("prefix").alias("pos", "shingle"))
-    own = Window.partitionBy("shingle")
-    shared = (entries.withColumn("low", F.min("vertex").over(own)).withColumn("high", F.max("vertex").over(own))
-              .where("low < high")
-              .withColumn("members", F.count("*").over(own))
-              .withColumn("list", F.sum(F.xxhash64("vertex").bitwiseAND(F.lit((1 << 38) - 1))).over(own) * 31 + F.col("members")))
+    # counted in every task first: a shingle that a third of all sets begin with sends one row a task
+    member = F.xxhash64("vertex").bitwiseAND(F.lit((1 << 38) - 1))
+    shingles = stored(entries.groupBy("shingle").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high"), F.count("*").alias("members"),
+                                                     F.sum(member).alias("list")).where("low < high")
+                      .withColumn("list", F.col("list") * 31 + F.col("members")), "jaccard_shingles")
+    hot = shingles.where(F.col("members") > skew.HOT_ROWS).orderBy(F.desc("members")).limit(int(1 / skew.HOT_SHARE)).select("shingle")
+    shared = skew.join_unique(entries, shingles, ["shingle"], hot=hot)
     return shared.groupBy("list", "low", "high", "members", "vertex").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"))
 
 
@@ -243,14 +271,14 @@ def _sets(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, size: int) ->
     """(vertex, shingles) of the vertices in pairs, each from one of its documents."""
     wanted = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
     pick = stored(vertices.where("prefix is not null").join(wanted, "vertex", "left_semi")
-                  .groupBy("vertex").agg(F.min(F.struct("id", "text_hash")).alias("doc")).select("vertex", "doc.*"), "jaccard_wanted")
+                  .groupBy("vertex").agg(F.min(F.struct("id", "text_hash", "check")).alias("doc")).select("vertex", "doc.*"), "jaccard_wanted")
 
     def run(batches):
         done = set()  # repeated rows of one document
         for batch in slices(batches):
             found = []
-            for v, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist(), size)):
-                if v not in done and set_name(s) == v:
+            for v, check, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets_of(batch.column(1).to_pylist(), size)):
+                if v not in done and set_check(s) == check:
                     done.add(v)
                     found.append((v, s))
             yield pa.RecordBatch.from_arrays(
@@ -260,11 +288,11 @@ def _sets(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, size: int) ->
     texts = docs.select(F.col("id").alias("doc"), F.xxhash64("text").alias("hash"), "text")
     # without a shuffle of all texts where the wanted ones are counted to be few
     rows = texts.join(small(pick, MAX_BROADCAST_ROWS), (F.col("text_hash") == F.col("hash")) & F.col("id").eqNullSafe(F.col("doc")))
-    return rows.select("vertex", "text").mapInArrow(run, "vertex long, shingles binary")
+    return rows.select("vertex", "text", "check").mapInArrow(run, "vertex long, shingles binary")
 
 
 class _Answers:
-    """Bitmap distances from one set to the members of a list, by blocks; a set close to an earlier one reuses its answers."""
+    """Bitmap distances from one set to the members of a list, by blocks; sets reuse the answers of pivots."""
 
     def __init__(self, n, pos, bitmaps, percent):
         self.n, self.pos, self.percent = n, pos, percent
@@ -280,7 +308,8 @@ class _Answers:
         self.edges = np.arange(0, len(n), BLOCK)
         self.low_n, self.high_n = np.minimum.reduceat(n, self.edges), np.maximum.reduceat(n, self.edges)
         self.left = np.maximum.reduceat(n - pos, self.edges)  # most that a member of the block has from its position on
-        self.pivot, self.pivot_distance = None, None
+        self.pivots: list[np.ndarray] = []  # the distances of each answered set to all members
+        self.own_limit = 2 * n - 2 * needed(n, n, percent)
 
     def partners(self, x: int, among: np.ndarray) -> np.ndarray:
         """Of the members ``among`` (sorted), those that may be linked with member x."""
@@ -294,8 +323,8 @@ class _Answers:
         y = y[(100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
               & (np.minimum(n[x] - self.pos[x], n[y] - self.pos[y]) >= need)]
         limit = n[x] + n[y] - 2 * needed(n[x], n[y], percent)
-        if self.pivot is not None and len(y):
-            near = self.pivot_distance[y] - int(apart(self.bits[x], self.bits[self.pivot])) <= limit
+        for distance in self.pivots:
+            near = np.abs(distance[y] - distance[x]) <= limit
             y, limit = y[near], limit[near]  # the others are beyond the limit whatever x has
         out = [y[:0]]
         for at in range(0, len(y), 4096):  # bounded memory
@@ -311,11 +340,13 @@ class _Answers:
         return np.sort(np.concatenate(out))
 
     def answer_all(self, x: int) -> None:
-        """Make x the set whose answers others reuse."""
-        out = np.empty(len(self.n), dtype=np.int64)
+        """Make x a set whose answers others reuse, unless one like it is there already or there are enough."""
+        if len(self.n) <= BLOCK or len(self.pivots) >= PIVOTS or any(d[x] <= self.own_limit[x] for d in self.pivots):
+            return
+        out = np.empty(len(self.n), dtype=np.int32)
         for at in range(0, len(out), 4096):
             out[at:at + 4096] = apart(self.bits[x], self.bits[at:at + 4096])
-        self.pivot, self.pivot_distance = x, out
+        self.pivots.append(out)
 
 
 def list_pairs(vertex, n, pos, central, comp, side, bits, first_round: bool, percent: int = PERCENT) -> np.ndarray:
@@ -328,10 +359,9 @@ def list_pairs(vertex, n, pos, central, comp, side, bits, first_round: bool, per
     pairs = [np.zeros((0, 2), dtype=np.int64)]
     # sets that share most go first: a centre answers for its copies, the same one in all lists
     todo = np.lexsort((vertex, -central))
-    if len(n) > BLOCK:
-        answers.answer_all(int(todo[0]))
     if not first_round:
         for x in todo:
+            answers.answer_all(x)
             y = answers.partners(x, np.flatnonzero((group != group[x]) & (vertex > vertex[x]) & ((side == 2) | (side != side[x]))))
             pairs.append(np.stack((np.full(len(y), vertex[x]), vertex[y]), axis=1))
         return np.concatenate(pairs)
@@ -343,6 +373,7 @@ def list_pairs(vertex, n, pos, central, comp, side, bits, first_round: bool, per
         done[x] = True
         while queue:
             x = queue.pop()
+            answers.answer_all(x)
             y = answers.partners(x, np.flatnonzero((group != group[x]) & ((side == 2) | (side != side[x]))))
             y = y[np.lexsort((vertex[y], -central[y]))]
             tied, first = np.unique(group[y], return_index=True)  # one pair for each group that is tied now
@@ -447,13 +478,16 @@ def _checked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, size: int,
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: id, text_hash, n (size of its set), vertex (null: empty set), component (a vertex; null: empty set)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    vertices = stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices")
+    vertices = _told_apart(stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices"))
     lists = stored(_lists(vertices), "jaccard_lists")
     bitmaps = stored(_bitmaps(vertices, lists), "jaccard_bitmaps")
     first = stored(_candidates(lists, bitmaps, None, True, percent), "jaccard_pairs")
     links = stored(_checked(first, docs, vertices, size, percent), "jaccard_links")
     comps = stored(components(links), "jaccard_components")
-    rest = stored(_candidates(lists, bitmaps, comps, False, percent).join(first, ["a", "b"], "left_anti"), "jaccard_pairs")
+    # a set that could be linked at all has a pair in the first round
+    active = stored(first.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "jaccard_active")
+    left = lists.join(active, "vertex", "left_semi")
+    rest = stored(_candidates(left, bitmaps, comps, False, percent).join(first, ["a", "b"], "left_anti"), "jaccard_pairs")
     more = stored(_checked(rest, docs, vertices, size, percent), "jaccard_links")
     if not more.isEmpty():
         comps = stored(components(links.unionByName(more)), "jaccard_components")

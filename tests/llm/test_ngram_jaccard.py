@@ -173,3 +173,42 @@ def test_components(spark, rng):
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for v in parent if any(v in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame(edges, "a long, b long").limit(0)).count() == 0
+
+
+def test_sets_that_share_a_name_stay_apart(spark, rng, monkeypatch):
+    """With names of a few bits every name is shared; both hashes then tell the sets apart."""
+    rows = near_copies(rng)[:150] + [(900, "a b"), (901, "b a"), (902, "A B"), (903, "")]
+    monkeypatch.setattr(ngram_jaccard, "set_name", lambda s: len(s) % 4)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_hot_shingles_and_pivots_do_not_matter(spark, rng, monkeypatch):
+    from rowsmith.operators import skew
+    rows = near_copies(rng)
+    want = brute(rows)
+    for name, value in (("HOT_ROWS", 3), ("HOT_SHARE", 0.01)):
+        monkeypatch.setattr(skew, name, value)
+    for pivots, block in ((0, 4), (2, 4), (100, 2)):
+        monkeypatch.setattr(ngram_jaccard, "PIVOTS", pivots)
+        monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+        assert found(spark, rows) == want, (pivots, block)
+
+
+def test_clusters_of_a_list_get_pivots_of_their_own():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(4):
+        base = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
+        for _ in range(50):
+            s = base.copy()
+            s[rng.choice(200, 4, replace=False)] = rng.integers(0, 2 ** 63, 4).astype(np.uint64)
+            sets.append(np.unique(s))
+    n = np.array([len(s) for s in sets])
+    answers = ngram_jaccard._Answers(n, np.zeros(200, int), list(map(bitmap, sets)), 80)
+    for x in range(200):
+        answers.answer_all(x)
+    assert len(answers.pivots) == 4
+    for x in (0, 60, 199):
+        y = answers.partners(x, np.arange(200))
+        linked = [i for i in range(200) if 100 * len(np.intersect1d(sets[x], sets[i])) >= 80 * len(np.union1d(sets[x], sets[i]))]
+        assert set(linked) <= set(y.tolist()) <= set(range(x // 50 * 50, x // 50 * 50 + 50))
