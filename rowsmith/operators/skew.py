@@ -41,17 +41,23 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
     return F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
 
 
+def hot_of(counts: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE) -> DataFrame | None:
+    """``hot_keys`` from counts that are known already: the at most 1 / ``share`` largest with more than ``HOT_ROWS`` in column ``n``."""
+    top = counts.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(int(1 / share)).select(*keys).collect()
+    return F.broadcast(counts.sparkSession.createDataFrame(top, counts.select(*keys).schema)) if top else None
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                share: float = HOT_SHARE, hot: DataFrame | None = None) -> DataFrame:
+                share: float = HOT_SHARE, counts: tuple[DataFrame, str] | None = None) -> DataFrame:
     """``left`` joined with ``right``, which holds no key twice, on equal ``keys``.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of hot keys of ``left`` meet a broadcast of the right side's
     rows of those keys (at most one a key), all others a shuffled join. ``left`` is read twice, and once more for its
-    keys unless ``hot``, a frame of at most 1 / ``share`` keys, names the hot ones already; so it should be a scan or a stored table.
+    keys unless ``counts``, a stored frame of its keys and the name of their count, tells the hot ones; so it should be a scan or a stored table.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join_unique does not do {how} joins")
-    hot = hot_keys(left, keys, share) if hot is None else F.broadcast(hot.limit(int(1 / share)))
+    hot = hot_keys(left, keys, share) if counts is None else hot_of(counts[0], keys, counts[1], share)
     if hot is None:
         return left.join(right, keys, how)
     few = F.broadcast(right.join(hot, keys, "left_semi"))
@@ -77,4 +83,4 @@ def split_by_keys(left: DataFrame, right: DataFrame, keys: list[str],
             apart.unionByName(many.join(few, keys, "left_anti")).unionByName(rest.join(right, keys, "left_anti")))
 
 
-__all__ = ["HOT_ROWS", "HOT_SHARE", "hot_keys", "join_unique", "split_by_keys"]
+__all__ = ["HOT_ROWS", "HOT_SHARE", "hot_keys", "hot_of", "join_unique", "split_by_keys"]
