@@ -262,8 +262,7 @@ def _lists(vertices: DataFrame) -> DataFrame:
     shingles = stored(entries.groupBy("shingle").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high"), F.count("*").alias("members"),
                                                      F.sum(member).alias("list")).where("low < high")
                       .withColumn("list", F.col("list") * 31 + F.col("members")), "jaccard_shingles")
-    hot = shingles.where(F.col("members") > skew.HOT_ROWS).orderBy(F.desc("members")).limit(int(1 / skew.HOT_SHARE)).select("shingle")
-    shared = skew.join_unique(entries, shingles, ["shingle"], hot=hot)
+    shared = skew.join_unique(entries, shingles, ["shingle"], counts=(shingles, "members"))
     return shared.groupBy("list", "low", "high", "members", "vertex").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"))
 
 

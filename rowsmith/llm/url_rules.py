@@ -8,8 +8,9 @@ rules indexed under them, and only for those the regular expression runs. A
 rule without a literal is indexed under the empty token, which every URL has.
 
 Only DataFrame functions are used. The final look-up joins on host + path, so
-texts of pages never move; equal URLs are judged once. A null URL, or one
-without ``://``, has an empty host and path and is judged as such. Repeated
+texts of pages never move; equal URLs are judged once. Rows of a URL that very many
+pages have meet its verdict by broadcast (``operators.skew``), all others by a shuffle. A null URL, or one
+without ``://``, has an empty host and path and is judged as such. Very long URLs are read whole. Repeated
 rows give repeated rows, an empty table an empty result. Of rules that match,
 host rules go before patterns, then the longest text wins, then the rule's
 text in order.
@@ -22,7 +23,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowsmith.llm.common import table
+from rowsmith.llm.common import stored, table
+from rowsmith.operators.skew import join_unique
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules go to every task; their index has one row a rule.
@@ -116,17 +118,19 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id
     spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
-    subjects = rows.select(F.concat("host", "path").alias("subject")).distinct()
+    # every different URL is judged once; how often it comes tells which ones may not meet in one task
+    counted = stored(rows.groupBy(F.concat("host", "path").alias("subject")).agg(F.count("*").alias("times")), "url_subjects")
+    subjects = counted.select("subject")
     index = rarest_token_index(subjects, rule_table(spark, rules))
     if len(rules) <= MAX_BROADCAST_RULES:
         index = F.broadcast(index)
-    best = (subjects.select("subject", F.explode(_tokens(F.col("subject"))).alias("token"))
+    best = stored(subjects.select("subject", F.explode(_tokens(F.col("subject"))).alias("token"))
             .join(index, "token").where(F.regexp_like("subject", F.col("regex")))
             .groupBy("subject")
             # the smallest of (pattern before host: no, length descending, text) by negated keys
             .agg(F.min(F.struct((~F.col("is_host")).alias("by_pattern"), (-F.col("n")).alias("longer"),
-                                "rule", "verdict")).alias("best")))
-    return (rows.withColumn("subject", F.concat("host", "path")).join(best, "subject", "left")
+                                "rule", "verdict")).alias("best")), "url_best")
+    return (join_unique(rows.withColumn("subject", F.concat("host", "path")), best, ["subject"], "left", counts=(counted, "times"))
             .select(id_col, "host", "path", F.col("best.rule").alias("rule"),
                     F.coalesce(~F.col("best.by_pattern"), F.lit(False)).alias("by_host_rule"),
                     F.coalesce("best.verdict", F.lit(default)).alias("verdict")))

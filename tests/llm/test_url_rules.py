@@ -48,3 +48,26 @@ def test_rarest_literal_is_the_index_key(spark):
 def test_literals_are_whole_tokens():
     assert Rule("block", "", "/ads/*banner-x1.").literals() == ["ads", "x1"]
     assert Rule("block", "h.org", "/a/b").literals() == ["a", "h", "org"]
+
+
+def test_hot_urls_are_not_shuffled_to_one_task(spark, monkeypatch):
+    """Half of all pages without a URL, a sixth with one URL: both are hot, and meet their verdict by broadcast."""
+    from pyspark.sql import functions as F
+    from rowsmith.operators import skew
+    monkeypatch.setattr(skew, "HOT_ROWS", 1000)
+    url = F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 3 == 0, "http://example.com/en/x").otherwise(
+        F.concat(F.lit("http://h"), F.col("id") % 700, F.lit(".net/es/")))
+    pages = spark.range(12_000).select(F.col("id").alias("page_id"), url.alias("url")).repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        judged = judge_urls(pages, HOST_RULES)
+        out = {r.page_id: r for r in judged.collect()}
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    assert len(out) == 12_000 and all(out[i].host == "" and out[i].rule is None and out[i].verdict == "allow" for i in range(0, 12_000, 2))
+    assert all((out[i].rule, out[i].verdict) == ("example.com/en/", "block") for i in range(3, 12_000, 6))
+    assert all((out[i].rule, out[i].verdict) == ("net/es/", "block") for i in range(1, 12_000, 6))
