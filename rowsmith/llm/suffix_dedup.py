@@ -23,9 +23,10 @@ what is exchanged well below the text itself; a suffix array of all positions
 would take several times the text.
 
 Texts are UTF-8 bytes; a null text is an empty one. Texts shorter than
-``length`` lose nothing. Matches never cross documents. Repeated rows are
+``length`` lose nothing, very long ones are worked through in blocks. Matches never cross documents. Repeated rows are
 places of their own, so their common strings go. Rows with equal texts get
-equal results. An empty table gives an empty result. Of the input only id and
+equal results; a text that very many rows have meets its result by broadcast (``operators.skew``). ``n_bytes`` is the length
+of the input text, whatever is removed; ``n_removed`` and ``n_spans`` say what was. An empty table gives an empty result. Of the input only id and
 text are read.
 """
 
@@ -38,6 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowsmith.llm.common import slices, stored, table
 from rowsmith.llm.suffix_runs import RANGE_SIZE, common, merge, sorted_ranges
+from rowsmith.operators import skew
+from rowsmith.operators.skew import join_unique
 
 LENGTH = 400
 GRAM = 32
@@ -153,7 +156,12 @@ def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "doc binary, first long, anchor long, last long, gram_hash long, segment binary")
 
 
-def _edges(texts: DataFrame, picked: DataFrame, length: int) -> DataFrame:
+def _copies(texts: DataFrame) -> DataFrame:
+    """(doc, n): the texts that very many rows have."""
+    return stored(texts.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > skew.HOT_ROWS), "suffix_copies")
+
+
+def _edges(texts: DataFrame, picked: DataFrame, copies: DataFrame, length: int) -> DataFrame:
     """(segment, gram_hash, low, high, right, left): both sides of the anchor of each picked segment, and its range of
     window offsets (bytes before the anchor)."""
     lists = picked.groupBy("doc").agg(F.collect_list(F.struct("segment", "gram_hash", "first", "anchor", "last")).alias("segments"))
@@ -177,8 +185,10 @@ def _edges(texts: DataFrame, picked: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary())] + [pa.array(c, pa.int64()) for c in out[1:4]]
                                                  + [pa.array(c, pa.binary()) for c in out[4:]], names)
 
-    rows = texts.select(F.col("doc").alias("d"), "text").join(lists, F.col("d") == F.col("doc")).select("doc", "text", "segments")
-    return rows.mapInArrow(run, "segment binary, gram_hash long, low long, high long, right binary, left binary")
+    rows = join_unique(texts.select("doc", "text"), lists, ["doc"], counts=(copies, "n")).select("doc", "text", "segments")
+    found = rows.mapInArrow(run, "segment binary, gram_hash long, low long, high long, right binary, left binary")
+    # a hot text is not gathered in one task, so several tasks may have it
+    return found if copies.isEmpty() else found.dropDuplicates(["segment", "low", "high"])
 
 
 def _neighbours(edges: DataFrame, n_rows: int, length: int, backwards: bool, range_size: int) -> DataFrame:
@@ -291,7 +301,7 @@ def _settle(edges: DataFrame, length: int, range_size: int) -> DataFrame:
     return known.select("segment", "spans").where(F.size("spans") > 0).unionByName(more)
 
 
-def repeated_windows(texts: DataFrame, length: int, gram: int, range_size: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, copies: DataFrame, length: int, gram: int, range_size: int) -> DataFrame:
     """(doc, first, last): runs of starts of repeated windows, of every different text."""
     segments = stored(_segments(texts, length, gram), "suffix_segments")
     whole = stored(segments.groupBy("segment").agg(F.count("*").alias("n"), F.min("gram_hash").alias("gram_hash"),
@@ -300,7 +310,7 @@ def repeated_windows(texts: DataFrame, length: int, gram: int, range_size: int)
     unsettled = (whole.groupBy("gram_hash").agg(F.count("*").alias("m"), F.min("n").alias("n")).where("m > 1 AND n = 1")
                  .select("gram_hash"))
     picked = whole.join(unsettled, "gram_hash", "left_semi").select("segment", "gram_hash", "at.*")
-    edges = stored(_edges(texts, picked, length), "suffix_edges")
+    edges = stored(_edges(texts, picked, copies, length), "suffix_edges")
     spans = _settle(edges, length, range_size)
     single = whole.where("n = 1").select("segment", F.col("at.doc").alias("doc"), F.col("at.anchor").alias("anchor"))
     at_edges = (spans.join(single, "segment")
@@ -312,12 +322,13 @@ def repeated_windows(texts: DataFrame, length: int, gram: int, range_size: int)
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
            range_size: int = RANGE_SIZE) -> DataFrame:
-    """Per document: id, kept (the bytes left), n_bytes, n_removed, n_spans."""
+    """Per document: id, kept (the bytes left), n_bytes (of the input text), n_removed, n_spans."""
     if gram & (gram - 1) or not 1 <= gram <= length:
         raise ValueError("gram must be a power of two of at most length")
     texts = _texts(docs, id_col, text_col)
-    found = (repeated_windows(texts, length, gram, range_size).groupBy("doc")
-             .agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("doc", "d"))
+    copies = _copies(texts)
+    found = stored(repeated_windows(texts, copies, length, gram, range_size).groupBy("doc")
+                   .agg(F.collect_list(F.struct("first", "last")).alias("runs")), "suffix_found")
     names = ["id", "kept", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches):
@@ -343,7 +354,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())] + [pa.array(c, pa.int64()) for c in cols], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (texts.join(found, F.col("doc") == F.col("d"), "left").select("id", "text", "runs")
+    return (join_unique(texts, found, ["doc"], "left", counts=(copies, "n")).select("id", "text", "runs")
             .mapInArrow(run, f"id {kind}, kept binary, n_bytes long, n_removed long, n_spans long"))
 
 

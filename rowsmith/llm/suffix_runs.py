@@ -10,7 +10,11 @@ equal, and only from there on. The lengths that come out with the winners are
 the common prefixes of neighbours.
 
 Ranges are cut at keys that occur; such a key is sent to both its ranges, so
-every pair of neighbours meets in one of them.
+every pair of neighbours meets in one of them. The driver cuts at most
+``MAX_RANGES`` ranges from a sample of bounded size, and tasks know only these cuts.
+Where such a range holds more than ``RANGE_SIZE`` suffixes, it is cut again by
+keys sampled on the executors; its blocks are split there, and the parts
+exchanged once more.
 """
 
 from __future__ import annotations
@@ -22,9 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rowsmith.llm.common import stored
+
 #: Suffixes of a sorted run, and of a key range, that a task holds at once.
 RUN_SIZE = 40_000
 RANGE_SIZE = 60_000
+#: Ranges that the driver cuts, and keys of its sample for each.
+MAX_RANGES = 2_000
+SAMPLE = 20
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -127,27 +136,35 @@ def merge(blocks: list[bytes]):
             node //= 2
 
 
+def _split(names: list[bytes], cuts: list[bytes]):
+    """(number of the range, first, end) of each range that sorted ``names`` have a share in; a cut key is in both its ranges."""
+    for part in range(len(cuts) + 1):
+        a = bisect_left(names, cuts[part - 1]) if part else 0
+        b = bisect_right(names, cuts[part]) if part < len(cuts) else len(names)
+        if b > a:
+            yield part, a, b
+
+
+def _even_cuts(keys: list[bytes], parts: int) -> list[bytes]:
+    """At most ``parts`` - 1 different keys that cut sorted ``keys`` evenly."""
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+
+
 def sorted_ranges(rows: DataFrame, key: str, tag: str, n_rows: int, range_size: int = RANGE_SIZE,
                   run_size: int = RUN_SIZE) -> DataFrame:
     """(part, block) front-coded runs of ``rows`` (binary key and tag), cut into key ranges of about ``range_size``."""
-    parts = max(1, -(-n_rows // range_size))
+    wanted = max(1, -(-n_rows // range_size))
+    parts = min(wanted, MAX_RANGES)
     cuts: list[bytes] = []
-    if parts > 1:  # from some 40 keys a range, chosen by a hash of the tag
-        few = rows.where(F.pmod(F.xxhash64(tag), F.lit(1 << 30)) < int(min(1.0, 40 * parts / n_rows) * (1 << 30)))
-        found = sorted({bytes(r[0]) for r in few.select(key).toLocalIterator()})
-        cuts = sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+    if parts > 1:  # keys chosen by a hash of the tag: some SAMPLE for each range
+        few = rows.where(F.pmod(F.xxhash64(tag), F.lit(1 << 30)) < int(min(1.0, SAMPLE * parts / n_rows) * (1 << 30)))
+        cuts = _even_cuts(sorted({bytes(r[0]) for r in few.select(key).toLocalIterator()}), parts)
 
     def run(batches):
         def blocks(held):
             held.sort()
-            names = [h[0] for h in held]
-            out = []
-            for part in range(len(cuts) + 1):
-                a = bisect_left(names, cuts[part - 1]) if part else 0
-                b = bisect_right(names, cuts[part]) if part < len(cuts) else len(held)
-                if b > a:
-                    out.append((part, front_code(held[a:b])))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "block"])
+            out = [(part, front_code(held[a:b])) for part, a, b in _split([h[0] for h in held], cuts)]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["part", "block"])
 
         held: list = []
         for batch in batches:
@@ -158,4 +175,46 @@ def sorted_ranges(rows: DataFrame, key: str, tag: str, n_rows: int, range_size:
         if held:
             yield blocks(held)
 
-    return rows.select(key, tag).mapInArrow(run, "part int, block binary")
+    runs = rows.select(key, tag).mapInArrow(run, "part long, block binary")
+    return runs if wanted <= MAX_RANGES else _cut_again(stored(runs, "suffix_runs"), n_rows, range_size)
+
+
+def _cut_again(runs: DataFrame, n_rows: int, range_size: int) -> DataFrame:
+    """``runs`` with every range cut into ranges of about ``range_size`` by keys of its own, all on the executors."""
+    every = max(1, range_size // SAMPLE)
+
+    def sample(batches):
+        for batch in batches:
+            parts, keys, sizes = [], [], []
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names = [k for k, _, _ in read_run(block.as_py())]
+                own = names[len(names) // 2 % every::every]
+                parts += [part] * (len(own) + 1)
+                keys += [*own, None]
+                sizes += [0] * len(own) + [len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())],
+                                             ["part", "key", "n"])
+
+    def choose(batches):
+        for batch in batches:
+            cuts = [_even_cuts(keys, -(-n // range_size)) for keys, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.binary()))], ["part", "cuts"])
+
+    # a range's sample: SAMPLE keys for each range that it is cut into
+    cuts = (runs.mapInArrow(sample, "part long, key binary, n long").groupBy("part")
+            .agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sum("n").alias("n"))
+            .mapInArrow(choose, "part long, cuts array<binary>"))
+    cuts = stored(cuts, "suffix_cuts")
+    most = cuts.agg(F.max(F.size("cuts"))).first()[0] or 0
+
+    def cut(batches):
+        for batch in batches:
+            parts, blocks = [], []
+            for part, block, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                held = [(k, t) for k, t, _ in read_run(block.as_py())]
+                for i, a, b in _split([k for k, _ in held], cuts):
+                    parts.append(part * (most + 1) + i)
+                    blocks.append(front_code(held[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+    return runs.join(cuts, "part").select("part", "block", "cuts").mapInArrow(cut, "part long, block binary")

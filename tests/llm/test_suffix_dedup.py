@@ -138,3 +138,39 @@ def test_ranges_meet_at_their_cuts(spark, rng):
 def test_gaps():
     assert _gaps(3, 9, []) == [3, 9] and _gaps(5, 4, []) == []
     assert _gaps(3, 9, [5, 6, 1, 3]) == [4, 4, 7, 9] and _gaps(3, 9, [0, 20]) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ranges_cut_twice_match_brute_force(spark, seed, monkeypatch):
+    """The driver cuts two ranges; all others are cut on the executors."""
+    from rowsmith.llm import suffix_runs
+    monkeypatch.setattr(suffix_runs, "MAX_RANGES", 2)
+    monkeypatch.setattr(suffix_runs, "SAMPLE", 3)
+    rows = list(enumerate(hard_texts(random.Random(40 + seed))))
+    assert found(documents(spark, rows), length=24, gram=4, range_size=9) == brute(rows, 24)
+
+
+def test_second_cut_keeps_neighbours_together(spark, monkeypatch):
+    from rowsmith.llm import suffix_runs
+    rng = random.Random(8)
+    data = [(bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))), i.to_bytes(4, "big")) for i in range(900)]
+    rows = spark.createDataFrame([(bytearray(k), bytearray(t)) for k, t in data], "key binary, tag binary").repartition(4)
+    for most in (1, 2, 5):
+        monkeypatch.setattr(suffix_runs, "MAX_RANGES", most)
+        parts = {}
+        for r in sorted_ranges(rows, "key", "tag", len(data), range_size=30, run_size=50).collect():
+            parts.setdefault(r.part, []).append(bytes(r.block))
+        merged = {p: list(merge(b)) for p, b in parts.items()}
+        assert len(merged) > 8 and {(k, t) for m in merged.values() for k, t, _ in m} == set(data)
+        keys = sorted({k for k, _ in data})
+        pairs = {(a[0], b[0]) for m in merged.values() for a, b in zip(m, m[1:]) if a[0] != b[0]}
+        assert pairs == set(zip(keys, keys[1:])), most  # every two neighbours meet, and only they
+
+
+def test_hot_texts_are_not_gathered(spark, rng, monkeypatch):
+    from rowsmith.operators import skew
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    passage = words(rng, 30, 10_000)
+    hot = passage + " and the end " + words(rng, 20, 10_000)
+    rows = list(enumerate([hot] * 90 + [words(rng, rng.randint(1, 9)) + passage + words(rng, 4) for _ in range(60)] + [None] * 30))
+    assert found(documents(spark, rows).repartition(6), length=60, gram=8) == brute(rows, 60)
