@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rowsmith.operators.generator import KeyGenerator
 from rowsmith.operators.positions import with_position
 from rowsmith.operators.skew import join_unique, split_by_keys
-from rowsmith.session import require_unique, stored
+from rowsmith.session import require_all_unique, require_unique, stored
 
 
 def update_where(df: DataFrame, column: str, predicate: Column, value: Column | object) -> DataFrame:
@@ -125,8 +125,11 @@ def insert_tagged(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame,
     another direction; rows equal in all of them come in no stated order.
     """
     tagged, failed = new_rows, F.lit(None).cast("string")
+    unique = [(parent, [pkey], f"the parent table of {suffix}") for suffix, (_, parent, pkey) in parents.items()]
+    if existing is not None and key:
+        unique.append((existing, list(key), "the table"))
+    require_all_unique(unique)
     for suffix, (ref, parent, pkey) in parents.items():
-        require_unique(parent, [pkey], f"the parent table of {suffix}")
         p = parent.select(F.col(pkey).alias("__p"), F.lit(True).alias("__ok"))
         tagged = tagged.join(p, tagged[ref] == p["__p"], "left")
         failed = F.coalesce(failed, F.when(F.col(ref).isNotNull() & F.col("__ok").isNull(), F.lit(f"unknown_{suffix}")))
@@ -136,7 +139,6 @@ def insert_tagged(new_rows: DataFrame, parents: dict[str, tuple[str, DataFrame,
     status = F.col("__failed")
     if existing is not None and key:
         key = list(key)
-        require_unique(existing, key, "the table")
         have = existing.select(*key, F.lit(True).alias("__have"))
         tagged = tagged.join(have, on=key, how="left")
         whole = F.lit(True)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowsmith.operators.aggregates import WIDE, exact, handed_out
-from rowsmith.session import checkpoint_root, require_unique
+from rowsmith.session import checkpoint_root, key_counts
 
 _MEASURES = ("__sum", "__vals", "__nulls", "__nodes")
 
@@ -67,9 +67,11 @@ def tree_rollup(nodes: DataFrame, node_col: str, parent_col: str, value_col: str
     number of nodes: pointers still live beyond it mean a cycle.
     """
     checkpoint_root(nodes.sparkSession)
-    require_unique(nodes, [node_col], "the tree")
+    n, most = key_counts(nodes, [node_col])
+    if most > 1:
+        raise ValueError(f"the tree holds a key more than once: {node_col}")
     if max_depth is None:
-        max_depth = max(1, nodes.count())
+        max_depth = max(1, n)
     v = exact(nodes, value_col, wide)
     total = nodes.agg(F.sum(v).alias("t")).schema["t"].dataType
     state = nodes.select(  # round 0: read straight from the scan, no write

@@ -48,15 +48,22 @@ def hot_of(counts: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE)
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                share: float = HOT_SHARE, counts: tuple[DataFrame, str] | None = None) -> DataFrame:
+                share: float = HOT_SHARE, counts: tuple[DataFrame, str] | None = None, nulls_apart: bool = False) -> DataFrame:
     """``left`` joined with ``right``, which holds no key twice, on equal ``keys``.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of hot keys of ``left`` meet a broadcast of the right side's
     rows of those keys (at most one a key), all others a shuffled join. ``left`` is read twice, and once more for its
     keys unless ``counts``, a stored frame of its keys and the name of their count, tells the hot ones; so it should be a scan or a stored table.
+    With ``nulls_apart`` rows with a NULL in their key, which match nothing, are not shuffled to one task but pass by the join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join_unique does not do {how} joins")
+    if nulls_apart:
+        whole = left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+        joined = join_unique(whole, right, keys, how, share, counts)
+        if how in ("inner", "left_semi"):
+            return joined
+        return joined.unionByName(left.where(" OR ".join(f"`{k}` IS NULL" for k in keys)), allowMissingColumns=True)
     hot = hot_keys(left, keys, share) if counts is None else hot_of(counts[0], keys, counts[1], share)
     if hot is None:
         return left.join(right, keys, how)

@@ -236,7 +236,7 @@ def scalar_subquery(spark, base):
     correlated scalar look-up (NULL where the key has no range row)."""
     cat = Catalog(spark, base)
     out = predicates.scalar_lookup(si.orders_keyed(cat), si.range_table(cat),
-                                   ["o_orderstatus", "o_orderpriority", "o_year"], ["min_price", "max_price"])
+                                   ["o_orderstatus", "o_orderpriority", "o_year"], ["min_price", "max_price"], known_unique=True)
     return out.select("o_orderkey", F.col("min_price").cast("double").alias("min_price"),
                       F.col("max_price").cast("double").alias("max_price"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.operators.aggregates import MONEY
-from rowsmith.session import small, stored
+from rowsmith.session import stored_lookup
 from rowsmith.sources.tables import Catalog
 
 # Fixed parameters of the stand-ins and of the jobs run on them.
@@ -122,8 +122,9 @@ def price_ranges(cat: Catalog) -> DataFrame:
 
 def range_table(cat: Catalog) -> DataFrame:
     """The price ranges as the small table they are: written once to the
-    shared folder, counted, and marked for broadcast when small enough."""
-    return small(stored(price_ranges(cat), "price_ranges"))
+    shared folder, counted and checked for unique keys by that job, and marked
+    for broadcast when small enough."""
+    return stored_lookup(price_ranges(cat), ["o_orderstatus", "o_orderpriority", "o_year"], "price_ranges")
 
 
 RANGES_SQL = f"""ranges AS (

@@ -7,7 +7,7 @@ import logging
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -169,14 +169,55 @@ def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def key_counts(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(rows, rows of the most frequent key) in one job, map-side combined; a key with a NULL part counts as no key."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(whole).alias("__whole"))
+    rows, most = counts.agg(F.sum("__n"), F.max(F.when(F.col("__whole"), F.col("__n")))).first()
+    return rows or 0, most or 0
+
+
 def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     """``df``, checked to hold no key twice (one map-side combined count; keys
     with a NULL part match nothing and are not checked)."""
-    rows = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    if not rows.isEmpty():
+    return require_all_unique([(df, keys, what)])[0]
+
+
+def require_all_unique(tables: list[tuple[DataFrame, list[str], str]]) -> list[DataFrame]:
+    """The frames of (frame, keys, what), each checked by ``require_unique``'s rule, all in one job."""
+    if not tables:
+        return []
+    parts = [df.dropna(subset=keys).select(F.lit(i).alias("__t"), F.array(*[F.col(k).cast("string") for k in keys]).alias("__k"))
+             if len(tables) > 1 else df.dropna(subset=keys).select(F.lit(0).alias("__t"), F.struct(*keys).alias("__k"))
+             for i, (df, keys, _) in enumerate(tables)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    again = rows.groupBy("__t", "__k").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__t").limit(1).collect()
+    if again:
+        _, keys, what = tables[again[0][0]]
         raise ValueError(f"{what} holds a key more than once: {', '.join(keys)}")
-    return df
+    return [df for df, _, _ in tables]
 
 
-__all__ = ["build_session", "checkpoint_root", "delete_path", "list_names", "path_kind", "require_unique", "scratch_path", "scale_conf", "small",
-           "stored", "DEFAULT_CONF"]
+def stored_lookup(df: DataFrame, keys: list[str], kind: str, max_rows: int = 100_000) -> DataFrame:
+    """``df`` as a stored look-up: ``small(stored(df))`` whose ``keys`` were checked to be unique.
+
+    Rows and the most frequent key are observed by the job that writes the table, so neither costs a job of its own.
+    A key held twice raises; a key with a NULL part is no key.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    seen = Observation()
+    counted = df.withColumn("__n", F.count(F.when(whole, 1)).over(Window.partitionBy(*keys)))
+    out = stored(counted.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("__n").alias("most")).drop("__n"), kind)
+    if (seen.get["most"] or 0) > 1:
+        raise ValueError(f"the look-up holds a key more than once: {', '.join(keys)}")
+    return F.broadcast(out) if seen.get["rows"] <= max_rows else out
+
+
+__all__ = ["build_session", "checkpoint_root", "delete_path", "list_names", "key_counts", "path_kind", "require_all_unique",
+           "require_unique", "scratch_path", "scale_conf", "small", "stored", "stored_lookup", "DEFAULT_CONF"]

@@ -58,10 +58,27 @@ def test_cli_list_and_run(spark, capsys):
     import glob
     from rowsmith.__main__ import main
     from helpers import local_path
+    from rowsmith.plans.catalog import all_queries
     assert main(["list"]) == 0
     listed = capsys.readouterr().out.splitlines()
-    assert len(listed) == 69 and any(line.endswith("report_phone_list") for line in listed)
+    assert len(listed) == len(all_queries()) >= 69 and any(line.endswith("report_phone_list") for line in listed)
     out = scratch_path(spark, "cli")
     assert main(["run", "report_phone_list", "--tables", "/root/testdata/sf0.001", "--out", out]) == 0
     assert spark.read.parquet(out).count() == 342
     assert glob.glob(local_path(out) + "/*.parquet")
+
+
+def test_uniqueness_is_counted_in_the_jobs_that_run_anyway(spark):
+    import pytest
+    from rowsmith import session
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "b"), (None, "b")], "k int, v string")
+    assert session.key_counts(df, ["k"]) == (4, 1) and session.key_counts(df, ["v"]) == (4, 3)
+    assert session.key_counts(df.limit(0), ["k"]) == (0, 0) and session.require_all_unique([]) == []
+    assert session.require_all_unique([(df, ["k"], "x"), (df.where("v = 'a'"), ["v"], "y")])[0] is df
+    with pytest.raises(ValueError, match="y holds a key more than once: v"):
+        session.require_all_unique([(df, ["k"], "x"), (df, ["v"], "y")])
+    assert session.stored_lookup(df, ["k"], "t").count() == 4  # a NULL is no key
+    assert session.stored_lookup(df, ["k"], "t", max_rows=3).count() == 4
+    assert session.stored_lookup(df.limit(0), ["k"], "t").columns == ["k", "v"]
+    with pytest.raises(ValueError, match="more than once: v"):
+        session.stored_lookup(df, ["v"], "t")

@@ -178,7 +178,9 @@ def test_join_unique_equals_the_plain_join(spark, monkeypatch):
     right = spark.createDataFrame([(a, b, a * 10) for a in range(5) for b in ("x", "y")], "a int, b string, w int")
     assert skew.hot_keys(df, ["a", "b"]) is not None
     for how in ("inner", "left", "left_semi", "left_anti"):
-        assert rows(skew.join_unique(df, right, ["a", "b"], how)) == rows(df.join(right, ["a", "b"], how)), how
+        for apart in (False, True):
+            got = skew.join_unique(df, right, ["a", "b"], how, nulls_apart=apart)
+            assert got.columns == df.join(right, ["a", "b"], how).columns and rows(got) == rows(df.join(right, ["a", "b"], how)), how
 
 
 def test_insert_sends_one_row_a_task_for_a_hot_key(spark):
