@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from rowsmith.llm.common import slices, stored, table
 from rowsmith.llm.components import components
 from rowsmith.operators import skew
+from rowsmith.operators.skew import join_unique
 from rowsmith.session import small
 
 SHINGLE = 5
@@ -242,15 +243,20 @@ def _vertices(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
         run, f"id {schema['id'].dataType.simpleString()}, text_hash long, n long, vertex long, check long, bits binary, prefix array<long>")
 
 
-def _told_apart(vertices: DataFrame) -> DataFrame:
-    """``vertices`` with a name for each set: sets that differ in their check but share a name get names of both hashes."""
-    shared = (vertices.where("vertex is not null").groupBy("vertex").agg(F.min("check").alias("a"), F.max("check").alias("b"))
-              .where("a < b").select("vertex"))
+def _told_apart(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``vertices`` with a name for each set, and the names that very many rows have (vertex, times).
+
+    Sets that differ in their check but share a name get names of both hashes.
+    """
+    names = (vertices.where("vertex is not null").groupBy("vertex")
+             .agg(F.min("check").alias("a"), F.max("check").alias("b"), F.count("*").alias("times")))
+    names = stored(names.where((F.col("a") < F.col("b")) | (F.col("times") > skew.HOT_ROWS)), "jaccard_names")
     # by chance n^2 / 2^65 names for n sets: some hundred for 10^11
-    names = [r[0] for r in shared.collect()]
-    if not names:
-        return vertices
-    return vertices.withColumn("vertex", F.when(F.col("vertex").isin(names), F.xxhash64("vertex", "check")).otherwise(F.col("vertex")))
+    shared = [r[0] for r in names.where("a < b").select("vertex").collect()]
+    if shared:
+        own = F.when(F.col("vertex").isin(shared), F.xxhash64("vertex", "check")).otherwise(F.col("vertex"))
+        vertices = vertices.withColumn("vertex", own)
+    return vertices, names.where("a = b").select("vertex", "times")
 
 
 def _lists(vertices: DataFrame) -> DataFrame:
@@ -262,7 +268,7 @@ def _lists(vertices: DataFrame) -> DataFrame:
     shingles = stored(entries.groupBy("shingle").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high"), F.count("*").alias("members"),
                                                      F.sum(member).alias("list")).where("low < high")
                       .withColumn("list", F.col("list") * 31 + F.col("members")), "jaccard_shingles")
-    shared = skew.join_unique(entries, shingles, ["shingle"], counts=(shingles, "members"))
+    shared = join_unique(entries, shingles, ["shingle"], counts=(shingles, "members"))
     return shared.groupBy("list", "low", "high", "members", "vertex").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"))
 
 
@@ -477,7 +483,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, size: int,
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: id, text_hash, n (size of its set), vertex (null: empty set), component (a vertex; null: empty set)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    vertices = _told_apart(stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices"))
+    vertices, copies = _told_apart(stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices"))
     lists = stored(_lists(vertices), "jaccard_lists")
     bitmaps = stored(_bitmaps(vertices, lists), "jaccard_bitmaps")
     first = stored(_candidates(lists, bitmaps, None, True, percent), "jaccard_pairs")
@@ -490,15 +496,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     more = stored(_checked(rest, docs, vertices, size, percent), "jaccard_links")
     if not more.isEmpty():
         comps = stored(components(links.unionByName(more)), "jaccard_components")
-    return (vertices.select("id", "text_hash", "n", "vertex").join(comps, "vertex", "left")
+    return (join_unique(vertices.select("id", "text_hash", "n", "vertex"), comps, ["vertex"], "left", counts=(copies, "times"), nulls_apart=True)
             .select("id", "text_hash", "n", "vertex", F.coalesce("component", "vertex").alias("component")))
 
 
 def with_smallest_id(joined: DataFrame) -> DataFrame:
     """(id, n, vertex, component_id): the smallest id of the component; documents without words are their own."""
     joined = stored(joined, "jaccard_joined")
-    smallest = joined.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest"))
-    return (joined.join(smallest, "component", "left")
+    smallest = stored(joined.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest"), F.count("*").alias("times")),
+                      "jaccard_smallest")
+    return (join_unique(joined, smallest, ["component"], "left", counts=(smallest, "times"), nulls_apart=True)
             .select("id", "n", "vertex", F.coalesce("smallest", "id").alias("component_id")))
 
 
