@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsmith.llm.common import stored, table
+from rowsmith.llm.common import table
 from rowsmith.llm.decontaminate import clean
 from rowsmith.llm.mixing import mix_documents
 from rowsmith.llm.ngram_jaccard import keep_one
 from rowsmith.llm.quality_rules import keep_documents, learn_references
 from rowsmith.llm.vector_packing import pack
+from rowsmith.session import delete_path, scratch_path, temporary
 
 N_SHARDS = 16
 
@@ -59,8 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's input, and what it wrote on the way, goes when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        path = scratch_path(spark, f"pipeline_{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
