@@ -9,7 +9,7 @@ from rowsmith.plans import reports
 from rowsmith.plans import standins as si
 from rowsmith.plans.q_relational import MANAGERS_SQL, ORDER_CONTACTS_SQL, contacts_of, managers, order_contacts, staff
 from rowsmith.plans.registry import query, with_ctes
-from rowsmith.session import scratch_path
+from rowsmith.session import scratch_path, scratch_table
 from rowsmith.sources import tables
 from rowsmith.sources.tables import Catalog
 
@@ -39,8 +39,8 @@ def phone_list_bucketed(spark, base):
     bucketed on the customer key: bucket meets bucket, and nothing is shuffled
     before the sort."""
     cat, root = Catalog(spark, base), scratch_path(spark, "bucketed")
-    orders = tables.write_bucketed(cat.orders, f"{root}/orders", "rowsmith_orders_by_customer", BUCKETS, "o_custkey")
-    customer = tables.write_bucketed(cat.customer, f"{root}/customer", "rowsmith_customer_by_key", BUCKETS, "c_custkey")
+    orders = tables.write_bucketed(cat.orders, f"{root}/orders", scratch_table(spark, "orders"), BUCKETS, "o_custkey")
+    customer = tables.write_bucketed(cat.customer, f"{root}/customer", scratch_table(spark, "customer"), BUCKETS, "c_custkey")
     view = contacts_of(orders, customer.hint("merge"))
     return reports.phone_list(view, "BUILDING", ["c_name", "o_orderpriority", "o_orderkey"],
                               ["c_name", "o_orderpriority", "o_orderkey"])

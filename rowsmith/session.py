@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import logging
 import tempfile
 import uuid
@@ -148,9 +149,48 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     path = f"{root}/{kind}/{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    for scope in _SCOPES:
+        scope.append(path)
     return path
 
 
+def scratch_table(spark: SparkSession, kind: str) -> str:
+    """A fresh table name, one per call; a table of that name is dropped when the application ends."""
+    name = f"rowsmith_{kind}_{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, name)
+    return name
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the application is ending, its JVM may be gone already
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+# Open ``temporary`` blocks, each with the folders made in it.
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Folders of ``scratch_path`` and ``stored`` that are made in this block are deleted at its end.
+
+    For a job that ends with a write of its own: what it read on the way is not needed after that write. Blocks belong to one thread."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the folders of these ``stored`` frames, which nothing will read again."""
+    for df in frames:
+        delete_path(df.sparkSession, df.stored_in)
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -160,7 +200,9 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     split for a hot key; an aggregate right under the join has not."""
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_in = path  # for ``free``
+    return out
 
 
 def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -219,5 +261,5 @@ def stored_lookup(df: DataFrame, keys: list[str], kind: str, max_rows: int = 100
     return F.broadcast(out) if seen.get["rows"] <= max_rows else out
 
 
-__all__ = ["build_session", "checkpoint_root", "delete_path", "list_names", "key_counts", "path_kind", "require_all_unique",
-           "require_unique", "scratch_path", "scale_conf", "small", "stored", "stored_lookup", "DEFAULT_CONF"]
+__all__ = ["build_session", "checkpoint_root", "delete_path", "free", "key_counts", "list_names", "path_kind", "require_all_unique",
+           "require_unique", "scratch_path", "scratch_table", "scale_conf", "small", "stored", "stored_lookup", "temporary", "DEFAULT_CONF"]

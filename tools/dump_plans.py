@@ -30,7 +30,6 @@ def main(argv=None):
     a = ap.parse_args(argv)
     a.out = a.out or os.path.join(HERE, "docs", "PLANS_AT_SCALE.md" if a.at_scale else "PLANS.md")
     from rowsmith.session import build_session
-    import __spark_entry__ as entry
     from rowsmith.plans.catalog import all_queries
     extra = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"} \
         if a.at_scale else {}
@@ -46,7 +45,7 @@ def main(argv=None):
                  "`local[8]`, 16 shuffle partitions (generated by `tools/dump_plans.py`). Broadcast joins here "
                  "reflect the small test sizes; Catalyst and adaptive execution choose shuffled joins when the "
                  "measured sides are larger than the broadcast thresholds (see PLANS_AT_SCALE.md).\n"]
-    for name, fn in entry.queries().items():
+    for name, fn in ((n, s.run) for n, s in specs.items()):
         df = fn(spark, a.sf_dir)
         if not a.at_scale:
             df.collect()
