@@ -85,7 +85,8 @@ def entropy(value: str) -> float:
 def looks_random(value: str) -> bool:
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
-    return min(digits, letters) >= MIN_MIXED and entropy(value) >= MIN_BITS and not _PLACEHOLDER.search(value)
+    # a hair below the limit, so that rounding cannot decide
+    return min(digits, letters) >= MIN_MIXED and entropy(value) >= MIN_BITS - 1e-9 and not _PLACEHOLDER.search(value)
 
 
 def token_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
@@ -180,3 +181,40 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets; sources own documents, a source's repositories are its languages."""
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+_NAME_SQL = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token")) \
+    + "|[aA][pP][iI]_?[kK][eE][yY]"
+_ASSIGN_SQL = rf"""({_NAME_SQL})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches_sql(kind: int, pattern: str, value: int = 0) -> str:
+    return (f"SELECT r, o, l, {kind} AS kind, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS m, "
+            f"regexp_extract_all(t, '{pattern}', {value}) AS v FROM d")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o, coalesce(lang, '') AS l FROM documents),
+lists AS ({_matches_sql(0, _ASSIGN_SQL, 2)} UNION ALL {_matches_sql(1, 'AKIA[A-Z0-9]+')}
+    UNION ALL {_matches_sql(2, '[0-9a-f]{24,}')} UNION ALL {_matches_sql(3, '[A-Za-z0-9_-]{20,}')}),
+pieces AS (SELECT r, o, l, kind, unnest(m) AS m, unnest(v) AS v, generate_subscripts(m, 1) AS i, gaps, m AS ms FROM lists WHERE len(m) > 0),
+spans AS (SELECT r, o, l, kind, v, s AS s, s + length(m) AS e FROM (SELECT *,
+    coalesce(list_sum([length(x) FOR x IN gaps[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS s FROM pieces)
+    WHERE kind IN (2, 3) OR (kind = 0 AND length(v) >= 6) OR (kind = 1 AND length(m) >= 20)),
+marked AS (SELECT *, least(length(regexp_replace(v, '[^0-9]', '', 'g')), length(regexp_replace(v, '[^A-Za-z]', '', 'g'))) >= {MIN_MIXED}
+    AND list_entropy(string_split(v, '')) >= {MIN_BITS} - 1e-9
+    AND NOT regexp_matches(lower(v), '{_PLACEHOLDER.pattern}') AS random FROM spans),
+candidates AS (SELECT * FROM marked a WHERE kind < 3 OR (random AND NOT EXISTS (
+    SELECT 1 FROM marked b WHERE b.r = a.r AND b.kind < 3 AND b.s < a.e AND a.s < b.e))),
+owned AS (SELECT v, count(DISTINCT o) AS owners, count(DISTINCT struct_pack(o := o, l := l)) AS repos FROM candidates GROUP BY v),
+judged AS (SELECT r, s, kind, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || s || ':' || e AS span,
+    CASE WHEN owners > {MAX_OWNERS} OR repos > {MAX_REPOS} THEN 'example' WHEN random THEN 'live' ELSE 'weak' END AS verdict
+    FROM candidates JOIN owned USING (v)),
+lines AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3 OR verdict = 'live') AS spans,
+    string_agg(span, ',' ORDER BY s, kind) FILTER (verdict = 'live') AS live,
+    string_agg(span, ',' ORDER BY s, kind) FILTER (verdict = 'example' AND kind < 3) AS examples FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, '') AS live_spans, coalesce(examples, '') AS example_spans
+FROM d LEFT JOIN lines USING (r)
+"""
