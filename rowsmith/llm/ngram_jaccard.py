@@ -45,7 +45,7 @@ from rowsmith.llm.common import slices, stored, table
 from rowsmith.llm.components import components
 from rowsmith.operators import skew
 from rowsmith.operators.skew import join_unique
-from rowsmith.session import small
+from rowsmith.session import free, small
 
 SHINGLE = 5
 PERCENT = 80
@@ -269,7 +269,10 @@ def _lists(vertices: DataFrame) -> DataFrame:
                                                      F.sum(member).alias("list")).where("low < high")
                       .withColumn("list", F.col("list") * 31 + F.col("members")), "jaccard_shingles")
     shared = join_unique(entries, shingles, ["shingle"], counts=(shingles, "members"))
-    return shared.groupBy("list", "low", "high", "members", "vertex").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"))
+    lists = stored(shared.groupBy("list", "low", "high", "members", "vertex").agg(F.min("pos").alias("pos"), F.count("*").alias("shared")),
+                   "jaccard_lists")
+    free(shingles)
+    return lists
 
 
 def _sets(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -477,32 +480,38 @@ def _checked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, size: int,
 
     left = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard_links")
+    free(sets)
+    return links
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: id, text_hash, n (size of its set), vertex (null: empty set), component (a vertex; null: empty set)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    vertices, copies = _told_apart(stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices"))
-    lists = stored(_lists(vertices), "jaccard_lists")
+    found = stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices")
+    vertices, copies = _told_apart(found)
+    lists = _lists(vertices)
     bitmaps = stored(_bitmaps(vertices, lists), "jaccard_bitmaps")
     first = stored(_candidates(lists, bitmaps, None, True, percent), "jaccard_pairs")
-    links = stored(_checked(first, docs, vertices, size, percent), "jaccard_links")
+    links = _checked(first, docs, vertices, size, percent)
     comps = stored(components(links), "jaccard_components")
     # a set that could be linked at all has a pair in the first round
     active = stored(first.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "jaccard_active")
     left = lists.join(active, "vertex", "left_semi")
     rest = stored(_candidates(left, bitmaps, comps, False, percent).join(first, ["a", "b"], "left_anti"), "jaccard_pairs")
-    more = stored(_checked(rest, docs, vertices, size, percent), "jaccard_links")
+    more = _checked(rest, docs, vertices, size, percent)
     if not more.isEmpty():
         comps = stored(components(links.unionByName(more)), "jaccard_components")
-    return (join_unique(vertices.select("id", "text_hash", "n", "vertex"), comps, ["vertex"], "left", counts=(copies, "times"), nulls_apart=True)
-            .select("id", "text_hash", "n", "vertex", F.coalesce("component", "vertex").alias("component")))
+    free(lists, bitmaps, first, active, rest, links, more)
+    joined = (join_unique(vertices.select("id", "text_hash", "n", "vertex"), comps, ["vertex"], "left", counts=(copies, "times"), nulls_apart=True)
+                .select("id", "text_hash", "n", "vertex", F.coalesce("component", "vertex").alias("component")))
+    joined = stored(joined, "jaccard_joined")
+    free(found, comps)
+    return joined
 
 
 def with_smallest_id(joined: DataFrame) -> DataFrame:
     """(id, n, vertex, component_id): the smallest id of the component; documents without words are their own."""
-    joined = stored(joined, "jaccard_joined")
     smallest = stored(joined.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest"), F.count("*").alias("times")),
                       "jaccard_smallest")
     return (join_unique(joined, smallest, ["component"], "left", counts=(smallest, "times"), nulls_apart=True)
@@ -515,11 +524,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Of each component the row with the smallest id stays (null ids last, then by a hash of the text; of rows equal in
     both, one). Rows without words are linked with nothing and stay.
     """
-    joined = join(docs, id_col, text_col, size, percent).where("component is not null")
-    first = (joined.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("doc"))
+    joined = join(docs, id_col, text_col, size, percent)
+    first = (joined.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("doc"))
              .select("doc.*").distinct())
     key = lambda id_, hash_: [F.xxhash64(id_, id_.isNull()).alias("k1"), hash_.alias("k2")]
-    first = first.select(*key(F.col("id"), F.col("text_hash")), F.lit(True).alias("stays"))
+    first = stored(first.select(*key(F.col("id"), F.col("text_hash")), F.lit(True).alias("stays")), "jaccard_stays")
+    free(joined)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct("*").alias("row"), *key(F.col(id_col), F.xxhash64(text)),
                        F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("has_words"))
@@ -532,3 +542,17 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
     out = with_smallest_id(join(table(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT r, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
+    FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * k >= {PERCENT} * (p.n + q.n - k)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN sizes USING (r)
+JOIN (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x) USING (r)
+"""

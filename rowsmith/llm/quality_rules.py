@@ -19,7 +19,7 @@ reference, or that has no language, passes both distance tests, because other
 languages' shares say nothing about it.
 
 A null text has no words and an empty one neither: both fail the base rule
-(fewer than ``min_words`` words). Repeated rows are judged row by row. An
+(fewer than ``min_words`` words). Very long texts are counted whole, one at a time. Repeated rows are judged row by row. An
 empty table gives an empty result. ``keep_documents`` returns the input's own
 columns only and ``judge`` returns fresh ones next to the id, so extra
 columns of any name do no harm. A null language counts towards no reference.
@@ -251,10 +251,6 @@ def judge_text(text: str | None, lang: str | None, refs: References, limits: Lim
     return n, word_chars, symbols, dup_lines, repeated, base_failed, class_distance, word_distance, kept
 
 
-JUDGED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "base_failed boolean, class_distance double, word_distance double, kept boolean")
-
-
 OTHERS = "array<struct<kind: string, key: string, n: long>>"
 
 

@@ -10,7 +10,7 @@ conversation.
 
 Template of a turn: ``<|turn|>role<|says|>text<|end|>`` and a line feed. In roles and texts
 a backslash is written twice and ``<|`` as ``<\|``, so ``<|`` occurs in the
-output only where the template put it, and ``plain`` restores every text. The
+output only where the template put it, and ``plain`` restores every text, however long. The
 loss mask is a list of spans (start, length, in code points of the output):
 one for the text of each assistant turn.
 

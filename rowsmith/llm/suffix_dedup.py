@@ -41,6 +41,7 @@ from rowsmith.llm.common import slices, stored, table
 from rowsmith.llm.suffix_runs import RANGE_SIZE, common, merge, sorted_ranges
 from rowsmith.operators import skew
 from rowsmith.operators.skew import join_unique
+from rowsmith.session import free
 
 LENGTH = 400
 GRAM = 32
@@ -298,11 +299,13 @@ def _settle(edges: DataFrame, length: int, range_size: int) -> DataFrame:
                    .select("segment", "right", "left", "x", "y").mapInArrow(windows, "segment binary, at long, window binary"), "suffix_windows")
     repeated = shown.groupBy("window").agg(F.countDistinct("segment").alias("n")).where("n > 1").select("window")
     more = (shown.join(repeated, "window", "left_semi").select("segment", F.array("at", "at").alias("spans")))
-    return known.select("segment", "spans").where(F.size("spans") > 0).unionByName(more)
+    spans = stored(known.select("segment", "spans").where(F.size("spans") > 0).unionByName(more), "suffix_spans")
+    free(known, shown)
+    return spans
 
 
 def repeated_windows(texts: DataFrame, copies: DataFrame, length: int, gram: int, range_size: int) -> DataFrame:
-    """(doc, first, last): runs of starts of repeated windows, of every different text."""
+    """(doc, runs): the runs (first, last) of starts of repeated windows, of every different text that has any."""
     segments = stored(_segments(texts, length, gram), "suffix_segments")
     whole = stored(segments.groupBy("segment").agg(F.count("*").alias("n"), F.min("gram_hash").alias("gram_hash"),
                                                    F.min(F.struct("doc", "first", "anchor", "last")).alias("at")), "suffix_counts")
@@ -312,12 +315,15 @@ def repeated_windows(texts: DataFrame, copies: DataFrame, length: int, gram: int
     picked = whole.join(unsettled, "gram_hash", "left_semi").select("segment", "gram_hash", "at.*")
     edges = stored(_edges(texts, picked, copies, length), "suffix_edges")
     spans = _settle(edges, length, range_size)
+    free(edges)
     single = whole.where("n = 1").select("segment", F.col("at.doc").alias("doc"), F.col("at.anchor").alias("anchor"))
     at_edges = (spans.join(single, "segment")
                 .withColumn("i", F.explode(F.sequence(F.lit(0), F.expr("size(spans) div 2 - 1"))))
                 .select("doc", (F.col("anchor") - F.expr("spans[2 * i + 1]")).alias("first"), (F.col("anchor") - F.expr("spans[2 * i]")).alias("last")))
     settled = segments.join(whole.where("n > 1").select("segment"), "segment", "left_semi").select("doc", "first", "last")
-    return settled.distinct().unionByName(at_edges)
+    runs = stored(settled.distinct().unionByName(at_edges).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "suffix_found")
+    free(segments, whole, spans)
+    return runs
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
@@ -327,8 +333,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         raise ValueError("gram must be a power of two of at most length")
     texts = _texts(docs, id_col, text_col)
     copies = _copies(texts)
-    found = stored(repeated_windows(texts, copies, length, gram, range_size).groupBy("doc")
-                   .agg(F.collect_list(F.struct("first", "last")).alias("runs")), "suffix_found")
+    found = repeated_windows(texts, copies, length, gram, range_size)
     names = ["id", "kept", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches):
@@ -362,3 +367,23 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 400-byte strings that start anywhere else too."""
     out = remove(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, i, md5(b[i:i + {LENGTH - 1}]) AS h
+    FROM (SELECT r, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d WHERE octet_length(b) >= {LENGTH})),
+hits AS (SELECT r, i FROM starts WHERE h IN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1)),
+-- a run of removed bytes goes on while the next repeated string begins inside it or right behind it
+numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run
+    FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM hits)),
+runs AS (SELECT r, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM runs
+    UNION ALL SELECT r, max(z) + 1, 9223372036854775807 FROM runs GROUP BY r),
+kept AS (SELECT r, unhex(string_agg(hex(CASE WHEN g.z >= g.a THEN b[g.a:least(g.z, octet_length(b))] ELSE encode('') END), '' ORDER BY g.a)) AS kept
+    FROM gaps g JOIN d USING (r) GROUP BY r),
+counts AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(CASE WHEN n_spans IS NULL THEN b ELSE kept END) AS kept_sha256
+FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""

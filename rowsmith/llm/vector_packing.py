@@ -14,7 +14,7 @@ Inside a shard the rows get gapless slots: each item has a start slot, and
 its rows are numbered from there, so no task ever sees a whole shard.
 
 A null text has no bytes, so its size is 1; null texts are one group, empty
-texts another. Repeated rows (equal in all columns, the id included) are placed
+texts another. Very long texts are measured whole; one that outweighs a shard stays whole too. Repeated rows (equal in all columns, the id included) are placed
 one by one; a tie of ids inside an item is broken by the row's position in the
 stored table, which is fixed before anything is numbered. An empty table gives
 an empty result. Kept columns named like a result column give way to it.

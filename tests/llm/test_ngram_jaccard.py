@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from conftest_llm import SMALL, documents, words
+from conftest_llm import SMALL, documents, same_as_sql, words
 from rowsmith.llm import ngram_jaccard
 from rowsmith.llm.components import components
 from rowsmith.llm.ngram_jaccard import (apart, bitmap, folded, list_pairs, needed, op7_ngram_jaccard, prefix_length, set_name, sets_of, shingles_of,
@@ -57,6 +57,10 @@ def test_query_matches_brute_force(spark):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
 
 
+def test_query_matches_sql(spark):
+    assert same_as_sql(spark, "op7_ngram_jaccard", "/root/testdata/sf0.01") == 1000
+
+
 def near_copies(rng):
     """Chains and stars of near copies, many at the edge of the limit, in a crowd that shares a passage."""
     passage = words(rng, 30, 10_000)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from conftest_llm import SMALL, documents, words
+from conftest_llm import SMALL, documents, same_as_sql, words
 from rowsmith.llm import suffix_dedup
 from rowsmith.llm.suffix_dedup import _gaps, anchors_of, op4_suffix_dedup, remove
 from rowsmith.llm.suffix_runs import common, front_code, merge, read_run, sorted_ranges
@@ -38,6 +38,10 @@ def test_query_matches_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_query_matches_sql(spark):
+    assert same_as_sql(spark, "op4_suffix_dedup") == 200
+
+
 def hard_texts(rng, n=60):
     """Texts of pieces that meet at all offsets: shared passages, edits, periods, copies, parts of copies."""
     piece = [words(rng, rng.randint(3, 20), 200) for _ in range(8)] + ["ab" * 40, "x" * 70, "é" * 30]
