@@ -406,9 +406,10 @@ def _candidates(lists: DataFrame, bitmaps: DataFrame, comps: DataFrame | None, f
         rows = lists.withColumn("comp", F.col("vertex"))
     else:
         rows = lists.join(comps, "vertex", "left").withColumn("comp", F.coalesce("component", "vertex")).drop("component")
-        open_ = (rows.groupBy("list", "low", "high", "members").agg((F.min("comp") < F.max("comp")).alias("open"))
-                 .where("open").drop("open"))
-        rows = rows.join(open_, ["list", "low", "high", "members"], "left_semi")
+        of = ["list", "low", "high", "members"]
+        open_ = stored(rows.groupBy(*of).agg((F.min("comp") < F.max("comp")).alias("open")).where("open").drop("open"), "jaccard_open")
+        # a list tells by itself how many members it has
+        rows = join_unique(rows, open_, of, "left_semi", counts=(open_, "members"))
     # large lists: each member goes to the pairs of blocks that its own block is in
     blocks = F.ceil(F.col("members") / LIST_LIMIT).cast("int")
     mine = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")

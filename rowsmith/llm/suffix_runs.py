@@ -34,6 +34,8 @@ RANGE_SIZE = 60_000
 #: Ranges that the driver cuts, and keys of its sample for each.
 MAX_RANGES = 2_000
 SAMPLE = 20
+#: Shuffle partitions that ranges are dealt to, at most.
+MAX_PARTITIONS = 100_000
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -152,7 +154,11 @@ def _even_cuts(keys: list[bytes], parts: int) -> list[bytes]:
 
 def sorted_ranges(rows: DataFrame, key: str, tag: str, n_rows: int, range_size: int = RANGE_SIZE,
                   run_size: int = RUN_SIZE) -> DataFrame:
-    """(part, block) front-coded runs of ``rows`` (binary key and tag), cut into key ranges of about ``range_size``."""
+    """(part, block) front-coded runs of ``rows`` (binary key and tag), cut into key ranges of about ``range_size``.
+
+    Dealt by range: as many shuffle partitions as ranges (and as the session asks for at least), so that a task's share does not
+    grow with the input.
+    """
     wanted = max(1, -(-n_rows // range_size))
     parts = min(wanted, MAX_RANGES)
     cuts: list[bytes] = []
@@ -176,7 +182,10 @@ def sorted_ranges(rows: DataFrame, key: str, tag: str, n_rows: int, range_size:
             yield blocks(held)
 
     runs = rows.select(key, tag).mapInArrow(run, "part long, block binary")
-    return runs if wanted <= MAX_RANGES else _cut_again(stored(runs, "suffix_runs"), n_rows, range_size)
+    if wanted > MAX_RANGES:
+        runs = _cut_again(stored(runs, "suffix_runs"), n_rows, range_size)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(min(MAX_PARTITIONS, max(least, 2 * wanted)), "part")
 
 
 def _cut_again(runs: DataFrame, n_rows: int, range_size: int) -> DataFrame:
