@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from rowsmith import session
 from rowsmith.session import stored  # noqa: F401  (the operators cut their lineage with it)
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 # UTF-8 bytes that separate words: space and \\x09-\\x0D, exactly what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -15,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_lean(df: DataFrame, kind: str, rows: int = 1000) -> DataFrame:
+    """``stored`` of a frame whose rows are wide and pass through Python: at most ``rows`` of them in an Arrow batch.
+
+    A batch lies outside the heap of the executor's JVM, once more in its Python worker, and one is in work in each task.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        return session.stored(df, kind)
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in pieces of a few rows, so that few of their texts are Python objects at a time."""
     for batch in batches:

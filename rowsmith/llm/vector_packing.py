@@ -23,6 +23,7 @@ an empty result. Kept columns named like a result column give way to it.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rowsmith.llm.common import WORD_PATTERN, stored, table
@@ -123,8 +124,10 @@ def pack(docs: DataFrame, n_shards: int, keep: list[str], text_col: str = "text"
                          (F.col("share") <= WHOLE * pieces_of_all / n_shards).alias("whole")).collect())
     spark = docs.sparkSession
     starts = np.cumsum([cells, *[h[2] for h in hot]]).tolist()
-    cut = spark.createDataFrame([(h[0], h[1], h[2], s) for h, s in zip(hot, starts)],
-                                "hash long, crc long, pieces int, first_item long")
+    # from Arrow tables: a list of rows would start Python workers on the executors
+    cut = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(
+        ([h[0] for h in hot], [h[1] for h in hot], [h[2] for h in hot], starts[:-1]), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
+        names=["hash", "crc", "pieces", "first_item"]))
     item = F.when(F.col("pieces").isNull(), F.pmod("hash", F.lit(cells))).otherwise(
         F.col("first_item") + F.pmod(F.xxhash64("position"), F.col("pieces")))
     placed = keyed.join(F.broadcast(cut), ["hash", "crc"], "left").withColumn("item", item)
@@ -144,8 +147,8 @@ def pack(docs: DataFrame, n_shards: int, keep: list[str], text_col: str = "text"
     for s in range(n_shards):
         mine = np.flatnonzero(shard == s)
         start[mine] = np.cumsum(found["rows"].to_numpy()[mine]) - found["rows"].to_numpy()[mine]
-    where = spark.createDataFrame(list(zip(found["item"].tolist(), shard.tolist(), start.tolist())),
-                                  "item long, shard int, start long")
+    where = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(
+        (found["item"].to_numpy(), shard, start), (pa.int64(), pa.int32(), pa.int64()))], names=["item", "shard", "start"]))
     order = Window.partitionBy("item").orderBy("id", "position")
     return (placed.join(F.broadcast(where), "item")
             .withColumn("slot", F.col("start") + F.row_number().over(order) - 1)
