@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsmith import session
 from rowsmith.session import stored  # noqa: F401  (the operators cut their lineage with it)
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -14,22 +13,19 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Documents are wide rows: from now on at most ``rows`` of this session's rows go to Python in one Arrow batch.
 
+    A batch lies outside the heap of the executor's JVM and once more in its Python worker, and so does what comes back. A session
+    that asks for fewer rows already keeps its setting.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
 
-def stored_lean(df: DataFrame, kind: str, rows: int = 1000) -> DataFrame:
-    """``stored`` of a frame whose rows are wide and pass through Python: at most ``rows`` of them in an Arrow batch.
 
-    A batch lies outside the heap of the executor's JVM, once more in its Python worker, and one is in work in each task.
-    """
-    spark = df.sparkSession
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(rows))
-    try:
-        return session.stored(df, kind)
-    finally:
-        spark.conf.set(_BATCH, before)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def slices(batches, rows: int = 256):

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rowsmith.llm.common import slices, stored, stored_lean, table
+from rowsmith.llm.common import lean_batches, slices, stored, table
 from rowsmith.llm.components import components
 from rowsmith.operators import skew
 from rowsmith.operators.skew import join_unique
@@ -468,7 +468,7 @@ def _candidates(lists: DataFrame, bitmaps: DataFrame, comps: DataFrame | None, f
 
 def _checked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose exact overlap makes a link."""
-    sets = stored_lean(_sets(docs, vertices, pairs, size), "jaccard_sets")
+    sets = stored(_sets(docs, vertices, pairs, size), "jaccard_sets")
 
     def run(batches):
         for batch in batches:
@@ -481,15 +481,16 @@ def _checked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, size: int,
 
     left = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y"))
-    links = stored_lean(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard_links")
+    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard_links")
     free(sets)
     return links
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: id, text_hash, n (size of its set), vertex (null: empty set), component (a vertex; null: empty set)."""
+    lean_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = stored_lean(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices")
+    found = stored(_vertices(docs, _frequent(docs, size), size, percent), "jaccard_vertices")
     vertices, copies = _told_apart(found)
     lists = _lists(vertices)
     bitmaps = stored(_bitmaps(vertices, lists), "jaccard_bitmaps")
