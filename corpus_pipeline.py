@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsmith.llm.common import table
+from rowsmith.llm.common import lean_batches, table
 from rowsmith.llm.decontaminate import clean
 from rowsmith.llm.mixing import mix_documents
 from rowsmith.llm.ngram_jaccard import keep_one
@@ -24,6 +24,7 @@ N_SHARDS = 16
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject."""
+    lean_batches(spark)
     return keep_documents(docs, learn_references(docs))
 
 
