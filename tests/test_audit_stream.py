@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helpers import local_path, rows
 from rowsmith.operators import audit
 from rowsmith.session import delete_path, list_names, scratch_path
+from rowsmith.streaming import audit_stream
 from rowsmith.streaming.audit_stream import audit_files, follow, read_audit, start_audit
 
 AS_OF = "2000-01-01 00:00:00"
@@ -87,3 +88,66 @@ def test_follow_equals_a_plain_walk(spark):
         assert {r["k"]: (r["__at"], r["__value"]) for r in out if r["last"]} == kept
         audits += want
     assert len(audits) > 40
+
+
+def test_a_batch_exchanges_and_writes_its_own_keys_only(spark, monkeypatch):
+    """Small batches against a large state: a batch follows on the state's rows of its keys, which are read where they lie."""
+    folder, root, states = scratch_path(spark, "in"), scratch_path(spark, "out"), []
+
+    def seen(state, *a):
+        if state is not None:
+            states.append((state.count(), state._jdf.queryExecution().executedPlan().toString()))
+        return follow(state, *a)
+
+    monkeypatch.setattr(audit_stream, "follow", seen)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # neither side is small
+    try:
+        arrive(spark, folder, [(k, 1.0, 0) for k in range(2000)])
+        run(spark, folder, root)
+        for version in range(1, 7):
+            arrive(spark, folder, [(k, 1.0 + version, version) for k in range(version, 2000, 200)])
+        got = run(spark, folder, root, max_files_per_trigger=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == sorted((k, 1.0, 1.0 + k % 200) for k in range(2000) if 1 <= k % 200 <= 6)
+    assert [n for n, _ in states] == [10] * 6
+    assert all(plan.count("Exchange hashpartitioning") == 1 and "Join" in plan for _, plan in states)  # that of the batch's keys
+    written = spark.read.parquet(f"{root}/parts")
+    assert written.count() <= 2000 + 6 * 10 * 3
+
+
+def test_parts_are_few_and_hold_the_newest(spark, monkeypatch):
+    """Many batches on the same keys: the state is merged on the way and no audit row is lost or comes twice."""
+    folder, root = scratch_path(spark, "in"), scratch_path(spark, "out")
+    monkeypatch.setattr(audit_stream, "MERGE_AT", 2)
+    for version in range(9):
+        arrive(spark, folder, [(k, None if k == 3 else float(version * k), version) for k in range(version % 2, 6)] + [(None, 1.0, version)])
+        got = run(spark, folder, root)
+        assert len([n for n in list_names(spark, f"{root}/parts") if n.startswith("__part=")]) <= 8
+    want, last = [], {}
+    for version in range(9):
+        for k in range(version % 2, 6):
+            new = None if k == 3 else float(version * k)
+            if None not in (new, last.get(k)) and new != last[k]:
+                want.append((k, last[k], new))
+            last[k] = new
+    assert got == sorted(want) and len(want) == 32
+    listed = spark.read.parquet(f"{root}/state/8").orderBy("__part").collect()
+    assert len(listed) <= 4 and sum(r["rows"] for r in listed) <= 6 * 3
+
+
+def test_which_parts_are_merged():
+    assert [audit_stream._merge_from(n) for n in ([], [5], [1, 1, 1], [1, 1, 1, 1], [9, 1, 1, 1], [9, 1, 1, 1, 1], [9, 8, 9, 10])] == [0, 1, 3, 0, 4, 1, 0]
+
+
+def test_batches_without_rows_and_a_restart(spark):
+    folder, root = scratch_path(spark, "in"), scratch_path(spark, "out")
+    arrive(spark, folder, [(None, 1.0, 0)])
+    assert run(spark, folder, root) == []
+    arrive(spark, folder, [(1, 1.0, 0)])
+    assert run(spark, folder, root) == []
+    arrive(spark, folder, [(1, 1.0, None)])
+    assert run(spark, folder, root) == []
+    arrive(spark, folder, [(1, 2.0, 1)])
+    assert run(spark, folder, root) == [(1, 1.0, 2.0)]
